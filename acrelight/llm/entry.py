@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acrelight.llm.bpe import op4_bpe
 from acrelight.llm.fingerprint import op7_fingerprints
+from acrelight.llm.licenses import op8_licenses
+from acrelight.llm.licenses import oracle as licenses_sql
+from acrelight.llm.line_templates import op3_lines
+from acrelight.llm.media import op2_media
 from acrelight.llm.packing import op1_packing
+from acrelight.llm.pii import op6_pii
 from acrelight.llm.quality import op9_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_bpe, op7_fingerprints, op9_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_lines, op4_bpe, op6_pii, op7_fingerprints, op8_licenses, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licenses": licenses_sql()}
