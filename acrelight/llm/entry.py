@@ -16,10 +16,11 @@ from acrelight.llm.packing import op1_packing
 from acrelight.llm.pii import op6_pii
 from acrelight.llm.quality import op9_quality
 from acrelight.llm.shingles import op10_jaccard
+from acrelight.llm.suffixes import op5_suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_lines, op4_bpe, op6_pii, op7_fingerprints, op8_licenses, op9_quality, op10_jaccard)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_lines, op4_bpe, op5_suffixes, op6_pii, op7_fingerprints, op8_licenses, op9_quality, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
