@@ -211,5 +211,27 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, le
     return seen.mapInPandas(run, kinds).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("text_score", "meta_score", "score")})
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source, n_chars) that the classifier accepts.
+
+    Features are computed once to fit the model, and once more where each row is
+    judged, so no text is shuffled and rows that share a doc_id don't meet.
+    """
+    model = fit(stage(features(docs)), labels, sample)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = character_classes()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seen = np.array([text_view(t.as_py() or "", kinds) for t in batch.column("text")])
+            known = np.array([meta_view(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))])
+            yield batch.filter(pa.array(model.score(seen, known)[2] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
