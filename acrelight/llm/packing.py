@@ -29,16 +29,41 @@ PIECE_TYPES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length
 
 
 class WordIds(dict):
-    """White-space separated words and their ids; forgets all when full, so its memory is bounded."""
+    """White-space separated words and their ids; forgets all when full, so its memory is bounded.
+
+    New words of plain Latin letters, digits and symbols skip the tokenizer's
+    normaliser, which leaves these alone but for case: they are split here, by
+    the tokenizer's own pattern, and go straight to its model.
+    """
 
     def __init__(self, tokenizer, limit: int = 400_000):
         super().__init__()
+        import json
+
+        import regex
+
         self.tokenizer, self.limit = tokenizer, limit
+        stages = json.loads(tokenizer.to_str())
+        splits = stages["pre_tokenizer"]["pretokenizers"]
+        own = [x["type"] for x in stages["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        # without U+0130, whose lower case is two characters
+        self.plain = regex.compile("[\\x21-\\x7e\\xa1-\\u012f\\u0131-\\u024f]+").fullmatch if own else lambda word: None
+        self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall if own else None
+        # byte-level BPE spells bytes as characters: printable ones as themselves, the rest from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = sorted(set(range(256)) - set(shown))
+        self.spelled = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.model = tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> list[int]:
         if len(self) >= self.limit:
             self.clear()
-        ids = self[word] = self.tokenizer.encode(word, add_special_tokens=False).ids
+        if self.plain(word) and "<|" not in word:
+            pieces = [x if x.isascii() else x.encode().decode("latin-1").translate(self.spelled) for x in self.split(word.lower())]
+            ids = [token.id for piece in pieces for token in self.model(piece)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        self[word] = ids
         return ids
 
 
