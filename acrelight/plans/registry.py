@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from acrelight.plans import scoring_queries
+from acrelight.plans import document_queries, scoring_queries
 
-MODULES = [scoring_queries]
+MODULES = [scoring_queries, document_queries]
 
 
 def queries() -> dict:
