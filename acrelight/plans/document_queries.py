@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acrelight.functions.values import address_key, clean_text
@@ -14,12 +14,15 @@ from acrelight.plans.fixtures import cte, view
 from acrelight.plans.scoring_queries import ADDRESS, KEYED, d
 
 AS_OF = "2024-03-01"
-NOW = F.lit(AS_OF).cast("date")
 #: Sections of the generated conversations, by words that are frequent in them.
 PATTERNS = {"opening": ["THTION", "THANED"], "middle": ["EDING", "ONTHE"], "closing": ["ERHA", "ATST"]}
 HEADER = r"^[A-ZÄÖÜÉÈÊÇÑÓÍ][^ ]* [^ ]+\.?$"
 
 
+def now() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     props = view(spark, sf_dir, "properties_fx")
     gone = props.select("property_id", "deleted_at")
@@ -57,7 +60,7 @@ def _patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = view(spark, sf_dir, "properties_fx")
     full = props.withColumns({"address_key": address_key(F.col("street"), F.col("city"), F.col("state_abbr")), "updated_at": F.col("created_at")})
     updates = props.where("property_id % 10 = 3").select("property_id", F.lit(None).cast("string").alias("name"), F.concat(F.lit("9 Oak Avenue #"), F.col("property_id").cast("string")).alias("street"), F.lit(None).cast("string").alias("city"))
-    return L.patch(full, updates, NOW).select("property_id", "street", "city", "address_key", "updated_at")
+    return L.patch(full, updates, now()).select("property_id", "street", "city", "address_key", "updated_at")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +73,12 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROFILED = ["l_quantity", "l_returnflag", "l_linenumber"]
 QUERIES = {
-    "soft_delete": lambda s, x: counted(L.soft_delete(tables(s, x), chosen(s, x), NOW)),
-    "restore": lambda s, x: counted(L.restore(tables(s, x), view(s, x, "properties_fx").where("property_id % 2 = 0"), NOW)),
+    "soft_delete": lambda s, x: counted(L.soft_delete(tables(s, x), chosen(s, x), now())),
+    "restore": lambda s, x: counted(L.restore(tables(s, x), view(s, x, "properties_fx").where("property_id % 2 = 0"), now())),
     "purge": lambda s, x: counted(L.purge(tables(s, x), chosen(s, x))),
-    "retention_purge": lambda s, x: counted(L.retention_purge(tables(s, x), NOW)),
-    "pending_purge": lambda s, x: L.expired(view(s, x, "properties_fx"), NOW).select("property_id", "deleted_at"),
-    "deletion_countdown": lambda s, x: L.deletion_countdown(view(s, x, "properties_fx"), NOW).select("property_id", F.col("permanent_delete_at").cast("date").alias("purge_date"), "days_remaining"),
+    "retention_purge": lambda s, x: counted(L.retention_purge(tables(s, x), now())),
+    "pending_purge": lambda s, x: L.expired(view(s, x, "properties_fx"), now()).select("property_id", "deleted_at"),
+    "deletion_countdown": lambda s, x: L.deletion_countdown(view(s, x, "properties_fx"), now()).select("property_id", F.col("permanent_delete_at").cast("date").alias("purge_date"), "days_remaining"),
     "patch": _patch,
     "profile": lambda s, x: R.profile(view(s, x, "lineitem"), PROFILED),
     "profile_typed": lambda s, x: R.profile_typed(view(s, x, "part"), ["p_brand", "p_size"]),

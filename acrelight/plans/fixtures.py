@@ -52,7 +52,7 @@ VIEWS: dict[str, str] = {
           CASE l_linenumber WHEN 1 THEN '2024 Population' WHEN 7 THEN '2024 Population' WHEN 2 THEN 'Pop Growth 2024-2029' WHEN 3 THEN 'Median Household Income'
             WHEN 4 THEN 'Median Home Value' WHEN 5 THEN 'Renter Occupied' ELSE 'Household Growth' END AS label,
           CASE WHEN l_partkey % 19 = 0 THEN '-' WHEN l_linenumber IN (1, 7) THEN CAST(l_partkey AS STRING)
-            WHEN l_linenumber IN (3, 4) THEN concat('$', CAST(CAST(l_extendedprice AS BIGINT) AS STRING))
+            WHEN l_linenumber IN (3, 4) THEN concat('$', CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING))
             ELSE concat(CAST(CAST(l_quantity AS INT) AS STRING), '%') END AS value
         FROM {lineitem}""",
     "pages_fx": "SELECT conv_id AS doc_id, turn AS page_number, role AS header, text FROM {conversations}",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from acrelight.plans import document_queries, scoring_queries
+from acrelight.plans import document_queries, feature_queries, pipeline, scoring_queries, stream_queries
 
-MODULES = [scoring_queries, document_queries]
+MODULES = [scoring_queries, document_queries, feature_queries, pipeline, stream_queries]
 
 
 def queries() -> dict:
