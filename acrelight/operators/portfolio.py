@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acrelight import dims
 from acrelight.functions.values import address_key, half_up
+from acrelight.sources.shared import stage
 
 
 def live(df: DataFrame, mode: str = "active") -> DataFrame:
@@ -129,11 +130,11 @@ def score_summary(df: DataFrame, forward: float = 7.0, review: float = 5.5) -> D
 
 
 def rank_properties(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Ranked by score, then newest, then least id. With ``n``, a top-n that no task sorts whole."""
+    """Ranked by score, then newest, then least id; with ``n`` only the first n, so no task sorts more than those."""
     order = [F.coalesce("total_score", F.lit(0.0)).desc(), F.desc("created_at"), F.asc("property_id")]
-    if n is not None:
-        df = df.orderBy(*order).limit(n)
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if n is None:
+        return numbered_rows(df, *order).withColumnRenamed("n", "rank")
+    return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def children(df: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -202,16 +203,17 @@ def upsert_properties(incoming: DataFrame, props: DataFrame) -> DataFrame:
     return matched.withColumn("own", own).join(numbered, "own", "left").select("incoming_id", F.coalesce("match_id", "new_id").alias("property_id"), F.col("match_id").isNull().alias("created"))
 
 
-def numbered_rows(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with n = 1, 2, ... in ``order``, a unique key, without sorting all rows in one task.
+def numbered_rows(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` with n = 1, 2, ... in ``order``, without sorting all rows in one task.
 
-    Rows are dealt into ranges; each range is numbered from the sizes of those
-    before it.
+    Rows are dealt into ranges and staged, so that counting and numbering see
+    the same ranges; each is numbered from the sizes of those before it.
     """
-    dealt = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    dealt = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    here = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # one row for each range
     return dealt.join(F.broadcast(before), "_part").withColumn("n", (F.col("_before") + here).cast("long")).drop("_part", "_before")
 
 

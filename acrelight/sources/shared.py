@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_folder(spark)}/acrelight-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The returned frame has no lineage: lost executors cost a re-read, not a
+    recomputation, and every later use sees the same rows.
+    """
+    path = fresh_path(df.sparkSession)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

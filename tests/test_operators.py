@@ -75,6 +75,14 @@ def test_numbers_follow_order_over_many_partitions(spark):
     assert [r["n"] for r in P.numbered_rows(df, "id").orderBy("id").collect()] == list(range(1, 1001))
 
 
+def test_ranks_of_all_and_of_the_first(spark):
+    df = spark.createDataFrame([(i, float(i % 7), date(2024, 1, 1 + i % 5)) for i in range(200)], "property_id int, total_score double, created_at date")
+    every = {r["property_id"]: r["rank"] for r in P.rank_properties(df).collect()}
+    first = {r["property_id"]: r["rank"] for r in P.rank_properties(df, 50).collect()}
+    assert sorted(every.values()) == list(range(1, 201))
+    assert first == {k: v for k, v in every.items() if v <= 50}
+
+
 def test_lookup_tiers(spark):
     cells = spark.createDataFrame([(1, 0, 0, 0, i, h, v) for i, (h, v) in enumerate([("Label", "Median Rent"), ("1 Mile", "$5"), ("3 Mile", "$7")])], "doc_id int, src_ord int, table_index int, row_idx int, col_idx int, header string, value string")
     assert T.table_lookup(cells, "median", "3 Mile").first()["value"] == "$7"
