@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acrelight.sources.shared import stage
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a session whose master is local may lack the setting; it then gets a
-    temporary folder, since its one machine is driver and executor at once.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if getattr(context, "_acrelight_folder", None) is None:
-        context._acrelight_folder = tempfile.mkdtemp(prefix="acrelight-")
-    return context._acrelight_folder
-
-
-def stage(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    The returned frame has no lineage: lost executors cost a re-read, not a
-    recomputation, and every later use sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/acrelight-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "id_text", "stage"]
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
