@@ -36,6 +36,8 @@ POSITION_BITS = 31
 #: About so many anchors are sorted at once.
 CHUNK = 20_000
 FILTER_BITS = 26
+#: With more places than this around one k-gram, windows meet by their hash instead, spread over all tasks.
+HOT = 200_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -327,6 +329,31 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(around, pa.binary())], names=["key", "doc", "place", "around"])
 
 
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w1, w2, doc, row, lo) of every window of each anchor, w1 and w2 being hashes of its bytes."""
+    hasher, other = Hasher(), Hasher(6)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, place = (np.asarray(batch.column(c)) for c in (1, 2))
+        row, position, back, front = place_parts(place)
+        around = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
+        sums = [np.pad(np.cumsum(h.values[around] * h.power[: around.shape[1]], axis=1, dtype=np.uint64), ((0, 0), (1, 0))) for h in (hasher, other)]
+        for r in range(SPAN):
+            at = np.flatnonzero((front <= r) & (r <= back))
+            s = SPAN - 1 - r
+            names = [mixed((x[at, s + LENGTH] - x[at, s]) * hasher.inverse[s]).astype(np.int64) for x in sums]
+            yield pa.record_batch([*map(pa.array, names), pa.array(doc[at]), pa.array(row[at]), pa.array(position[at] - r)], names=["w1", "w2", "doc", "row", "lo"])
+
+
+def repeated_by_hash(around: DataFrame) -> DataFrame:
+    """(doc, row, range) of windows that start earlier too: a window's first place is found before rows are shuffled."""
+    rows = stage(around.mapInArrow(windows, "w1 long, w2 long, doc long, row long, lo long"))
+    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "row", "lo")).alias("first"))
+    later = rows.join(first, ["w1", "w2"]).where(F.struct("doc", "row", "lo") > F.col("first"))
+    return later.select("doc", "row", F.struct("lo", (F.col("lo") + LENGTH).alias("ends")).alias("range"))
+
+
 RESULT = ["doc", "row", "n_bytes", "n_removed", "n_spans", "kept"]
 RESULT_KINDS = "doc long, row long, n_bytes long, n_removed long, n_spans long, kept binary"
 RESULT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -387,7 +414,7 @@ def ordered_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(numbered.select("doc", "row", "data"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every text as UTF-8 bytes without what is repeated.
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a
@@ -400,13 +427,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = source.mapInArrow(find_anchors, MARKS).repartition("key").sortWithinPartitions("key", "context", "doc", "place")
     marks = stage(dealt.mapInArrow(resolve, MARKS))
     row_of: Column = F.shiftright("place", POSITION_BITS + 14).alias("row")
-    edges = marks.where("ends is null").select("doc", row_of, "key", "place").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "place")).alias("anchors"))
+    ends = marks.where("ends is null").select("doc", row_of, "key", "place")
+    frequent = stage(ends.groupBy("key").count().where(F.col("count") > hot).select("key"))
+    edges = ends.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "place")).alias("anchors"))
     edges = stage(edges)
     texts, _ = sieve(source, edges.select("doc"))
     around = texts.join(edges, ["doc", "row"]).select("doc", "data", "anchors").mapInArrow(contexts, "key long, doc long, place long, around binary")
-    late = around.repartition("key").sortWithinPartitions("key").mapInArrow(sort_edges, MARKS)
+    some = not frequent.isEmpty()
+    around = stage(around) if some else around
+    sorted_ = around.join(frequent, "key", "left_anti") if some else around
+    late = sorted_.repartition("key").sortWithinPartitions("key").mapInArrow(sort_edges, MARKS)
     position = F.shiftright("place", 14).bitwiseAND((1 << POSITION_BITS) - 1)
     covers = marks.where("ends is not null").unionByName(late).select("doc", row_of, F.struct(position.alias("lo"), "ends").alias("range"))
+    if some:
+        covers = covers.unionByName(repeated_by_hash(around.join(frequent, "key", "left_semi").select("key", "doc", "place", "around")))
     ranges = stage(covers.groupBy("doc", "row").agg(F.collect_set("range").alias("ranges")))
     cut, whole = sieve(source, ranges.select("doc"))
     none = F.array().cast(ranges.schema["ranges"].dataType)

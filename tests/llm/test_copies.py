@@ -173,8 +173,8 @@ def brute_removal(rows):
     return sorted(out, key=str)
 
 
-def removed(docs):
-    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_repeats(docs).collect()), key=str)
+def removed(docs, **how):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_repeats(docs, **how).collect()), key=str)
 
 
 def test_repeats_go(spark):
@@ -184,7 +184,9 @@ def test_repeats_go(spark):
     rows = [(100 - i, prose(draw.randint(0, 60)) + "".join(draw.choice([*common, prose(40)]) for _ in range(4)) + prose(draw.randint(0, 60)), None, None, None) for i in range(60)]
     rows += [(500, "xy" * 400, None, None, None), (501, "z" * 1000, None, None, None), (502, rows[3][1], None, None, None), (503, "", None, None, None), (504, None, None, None, None)]
     docs = with_clashes(spark.createDataFrame(rows, SCHEMA))
-    assert removed(docs) == brute_removal([r[:2] for r in rows])
+    wanted = brute_removal([r[:2] for r in rows])
+    assert removed(docs) == wanted
+    assert removed(docs, hot=3) == wanted
 
 
 def test_repeated_rows_and_null_ids(spark, odd_docs, empty_docs):
