@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 # Street words and their canonical form.
 SUFFIXES = [("street", "st"), ("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("road", "rd"), ("lane", "ln"), ("court", "ct"), ("place", "pl"), ("apartment", "apt"), ("suite", "ste")]
 # Labels of property facts with names of their own.
-PROPERTY_ALIASES = {"no. of units": "units", "stories": "stories", "avg. unit size": "avg_unit_size", "type": "type", "rent type": "rent_type", "year built": "year_built", "parking": "parking", "distance to transit": "transit_distance"}
+PROPERTY_ALIASES = {
+    "no. of units": "no_of_units", "stories": "stories", "avg. unit size": "avg_unit_size", "type": "property_type", "rent type": "rent_type",
+    "year built": "year_built", "parking": "parking", "distance to transit": "distance_to_transit",
+}
 
 
 def blank_to_null(c: Column) -> Column:
@@ -102,9 +105,9 @@ def camel_key(c: Column) -> Column:
 
 def property_key(c: Column) -> Column:
     """A property label as a snake-case key, some under names of their own."""
-    bare = F.trim(F.lower(F.regexp_replace(c, ":", "")))
+    bare = F.trim(F.lower(F.regexp_replace(c, r":+\z", "")))
     known = F.create_map(*(F.lit(x) for pair in PROPERTY_ALIASES.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, bare), F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9]+", "_"), "^_|_$", ""))
+    return F.coalesce(F.try_element_at(known, bare), F.replace(F.replace(bare, F.lit(" "), F.lit("_")), F.lit("."), F.lit("")))
 
 
 def full_address(street: Column, city: Column, abbr: Column, zip_code: Column) -> Column:

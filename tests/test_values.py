@@ -56,7 +56,8 @@ def test_rounding_goes_up_at_ties(spark):
 
 def test_keys_and_slugs(spark):
     assert one(spark, "Asking Rent / SF", V.camel_key) == "askingRent/Sf"
-    assert one(spark, "No. of Units:", V.property_key) == "units"
+    assert one(spark, "No. of Units:", V.property_key) == "no_of_units"
+    assert one(spark, "Lot Size sq. ft:", V.property_key) == "lot_size_sq_ft"
     assert one(spark, "St. Louis", lambda c: V.slug(c, "-")) == "st-louis"
     assert one(spark, "a/b/e_12-ab3_report.pdf", V.extraction_id) == "e_12-ab3"
     assert one(spark, "report.pdf", V.extraction_id) is None
