@@ -22,19 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrelight.llm.common import documents, id_text, stage
 
+U = np.uint64
 WORDS = 5
 GROUPS = 64
 SKETCH_BITS = 20
-#: Shingles count as frequent from this multiple of the mean of the sketch on.
-FREQUENT = 4
+#: Shingles count as frequent if their cell lies so many standard deviations of even counts over the mean.
+FREQUENT = 5
+#: With so many least sets of its blocks a set is compared before the tree is.
+LEADERS = 4
 TILE = 4096
 LEAF = 32
-U = np.uint64
 
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -44,40 +47,124 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when full, so its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles: of the whole sequence if it is shorter than a shingle."""
-    found = text.encode().lower().split()
-    h = np.fromiter(map(hashes.__getitem__, found), dtype=np.uint64, count=len(found))
-    k = min(words, len(h))
-    if not k:
-        return h
-    out = np.full(len(h) - k + 1, k, dtype=np.uint64)
-    for j in range(k):
-        out *= U(0x9E3779B97F4A7C15)
-        out += h[j : j + len(out)]
-    return np.unique(mixed(out))
-
-
-def counts_of(shingles: np.ndarray) -> np.ndarray:
-    """The count vector of a set."""
-    return np.bincount((shingles >> U(58)).astype(np.int64), minlength=GROUPS).astype("<u4")
-
-
-def set_names(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that name a set."""
-    return int(shingles.sum(dtype=np.uint64).astype(np.int64)), int(mixed(shingles, 7).sum(dtype=np.uint64).astype(np.int64))
+#: A byte's value in word hashes; capital letters have their small letter's.
+VALUES = np.random.default_rng(23).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+VALUES[65:91] = VALUES[97:123]
+POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
+HASH_BITS = 48
+#: Texts are worked on together, about so many bytes at a time.
+TOGETHER = 1_500_000
+
+
+def text_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``TOGETHER`` bytes of text, at most 2^15 rows each."""
+    lengths = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
+    first, size = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > first and (size + n > TOGETHER or i - first >= 1 << 15):
+            yield first, i
+            first, size = i, 0
+        size += n
+    if len(lengths) > first:
+        yield first, len(lengths)
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): the distinct shingles of each text by hash, text after text, and where each text's end.
+
+    A text of fewer words than a shingle has its whole sequence as one. With
+    ``late``, bits by the hash's low end, shingles whose bit is set come last
+    in their text.
+    """
+    data = np.frombuffer(b"".join(x.as_buffer().to_pybytes() if x.is_valid and len(x.as_buffer() or b"") else b"" for x in texts), dtype=np.uint8)
+    edges = np.r_[0, np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64))]
+    inside = ~SPACE[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    bounds = edges[1:-1]
+    bounds = bounds[bounds < len(data)]
+    start[bounds] = inside[bounds]  # a word ends with its text
+    first = np.flatnonzero(start)
+    if not len(first):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    letters = data[inside]
+    rank = np.cumsum(start[inside]) - 1
+    begin = np.flatnonzero(start[inside])
+    at = np.arange(len(letters)) - begin[rank]
+    size = np.diff(np.r_[begin, len(letters)]).astype(np.uint64)
+    word = mixed(np.add.reduceat(VALUES[letters] * POWERS[at & 0xFFFF], begin) + size)
+    text = np.searchsorted(edges, first, side="right") - 1
+    counts = np.bincount(text, minlength=len(texts))
+    whole = np.r_[np.zeros(0, dtype=bool), text[: len(text) - words + 1] == text[words - 1 :]] if len(text) >= words else np.zeros(0, dtype=bool)
+    h = np.full(len(whole), words, dtype=np.uint64)
+    for j in range(words):
+        h *= U(0x9E3779B97F4A7C15)
+        h += word[j : j + len(h)]
+    h, owner = h[whole], text[: len(whole)][whole]
+    begins = np.r_[0, np.cumsum(counts)]
+    short = np.flatnonzero((counts > 0) & (counts < words))
+    if len(short):
+        extra = []
+        for i in short.tolist():
+            v = int(counts[i])
+            for w in word[begins[i] : begins[i + 1]].tolist():
+                v = (v * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
+            extra.append(v)
+        h, owner = np.r_[h, np.array(extra, dtype=np.uint64)], np.r_[owner, short]
+    h = mixed(h) >> U(64 - HASH_BITS)
+    key = owner.astype(np.uint64) << U(HASH_BITS + 1) | h
+    if late is not None:
+        key |= late[(h & U((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64) << U(HASH_BITS)
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    ends = np.cumsum(np.bincount((key >> U(HASH_BITS + 1)).astype(np.int64), minlength=len(texts)))
+    return key & U((1 << HASH_BITS) - 1), ends
+
+
+def sums_by_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 of the values of each text."""
+    total = np.r_[U(0), np.cumsum(values, dtype=np.uint64)]
+    return total[ends] - total[np.r_[0, ends[:-1]]]
+
+
+def set_names(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums that name each text's set."""
+    return sums_by_text(mixed(hashes, 5), ends).astype(np.int64), sums_by_text(mixed(hashes, 7), ends).astype(np.int64)
+
+
+def counts_of(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many of a set's shingles are in each group; groups halve into those of half as many."""
+    return np.bincount((hashes >> U(HASH_BITS - (groups - 1).bit_length())).astype(np.int64), minlength=groups)
+
+
+def fine_counts(hashes: np.ndarray) -> bytes:
+    """Counts by as many groups as half the set's size, as bytes."""
+    groups = GROUPS
+    while groups < len(hashes) // 2 and groups < 1 << 20:
+        groups *= 2
+    counts = counts_of(hashes, groups)
+    while counts.max() > 255:
+        groups *= 2
+        counts = counts_of(hashes, groups)
+    return counts.astype(np.uint8).tobytes()
+
+
+def short_counts(fine: bytes, most: int = 256) -> bytes:
+    """A fine count vector folded to at most ``most`` groups, as far as counts stay bytes."""
+    v = np.frombuffer(fine, dtype=np.uint8)
+    while len(v) > most and (folded := v.reshape(-1, 2).sum(axis=1)).max() <= 255:
+        v = folded.astype(np.uint8)
+    return v.tobytes()
+
+
+def fine_overlap(a: bytes, b: bytes) -> int:
+    """The summed minima of two fine count vectors, at the coarser one's groups."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    groups = min(len(x), len(y))
+    x, y = (v.reshape(groups, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum())
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -123,42 +210,47 @@ def possible(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return (100 + percent) * overlap >= percent * (a + b)
 
 
+TEXT_KEY = ["k1", "k2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k1, k2): 128 bits name each text."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit("second")).alias("k2"))
+
+
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, sid, sid2, counts, block, cells): a row for each document, and rows of the count sketch with a block number."""
-    names = ["doc_id", "n", "sid", "sid2", "counts", "block", "cells"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    """A row for each document with its set's size, names and count vectors, and rows of the count sketch with a block number."""
+    kinds = {"doc_id": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "n": pa.int64(), "sid": pa.int64(), "sid2": pa.int64(), "fine": pa.binary(), "short": pa.binary(), "block": pa.int32(), "cells": pa.binary()}
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         some = False
         for batch in batches:
-            out, seen = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingle_set(text.as_py(), hashes, words)
-                if not len(s):
-                    out.append((doc_id, 0, None, None, None, None, None))
-                    continue
-                out.append((doc_id, len(s), *set_names(s), counts_of(s).tobytes(), None, None))
-                seen.append(s)
-                if sum(map(len, seen[-1:])) > 2_000_000 or len(seen) >= 500:
-                    sketch += np.bincount((np.concatenate(seen) & U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
-                    seen, some = [], True
-            if seen:
-                sketch += np.bincount((np.concatenate(seen) & U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
-                some = True
-            if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+            for lo, hi in text_slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                hashes, ends = shingle_sets(part.column(1), words)
+                some = some or len(hashes) > 0
+                np.add.at(sketch, (hashes & U((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
+                names = set_names(hashes, ends)
+                sets = np.split(hashes, ends[:-1])
+                rows = len(sets)
+                sizes = np.diff(np.r_[0, ends])
+                none = sizes == 0
+                columns = [part.column(0), part.column(2), part.column(3), pa.array(sizes), *(pa.array(x, mask=none) for x in names)]
+                fine = [fine_counts(x) if len(x) else None for x in sets]
+                columns += [pa.array(fine, pa.binary()), pa.array([x and short_counts(x) for x in fine], pa.binary())]
+                yield pa.record_batch([*columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
         if some:
             blocks = sketch.astype("<u4").reshape(256, -1)
-            rows = [(None, None, None, None, None, i, blocks[i].tobytes()) for i in range(256)]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+            empty = [pa.nulls(256, t) for t in list(kinds.values())[:-2]]
+            yield pa.record_batch([*empty, pa.array(range(256), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, sid2 long, counts binary, block int, cells binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sid long, sid2 long, fine binary, short binary, block int, cells binary")
 
 
 def frequent_cells(table: DataFrame) -> np.ndarray:
-    """The sketch's cells over ``FREQUENT`` times the mean as bits: of one size for every corpus."""
+    """The sketch's cells well over the mean as bits: of one size for every corpus."""
 
     def add(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -176,7 +268,7 @@ def frequent_cells(table: DataFrame) -> np.ndarray:
     for block, cells in summed:
         counts[block] = np.frombuffer(cells, dtype="<i8")
     flat = counts.reshape(-1)
-    return flat > FREQUENT * max(1.0, flat.mean())
+    return flat > flat.mean() + FREQUENT * max(1.0, flat.mean()) ** 0.5
 
 
 def block_stars(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -184,23 +276,20 @@ def block_stars(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often = WordHashes(), np.unpackbits(bits.value).astype(bool)
+        often = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
-            keys, sids = [], []
-            told: set[int] = set()
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), hashes, words)
-                if not len(s) or (sid := set_names(s)[0]) in told:
-                    continue
-                told.add(sid)
-                size = prefix_size(len(s), percent)
-                late = often[(s & U((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-                rank = mixed(s, 11) >> U(1) | late.astype(np.uint64) << U(63)
-                first = s[np.argpartition(rank, size - 1)[:size]] if size < len(s) else s
-                keys.append(first.astype(np.int64))
-                sids.append(np.full(len(first), sid, dtype=np.int64))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], names=["key", "sid"])
+            for lo, hi in text_slices(batch.column(1)):
+                hashes, ends = shingle_sets(batch.column(1).slice(lo, hi - lo), words, often)
+                begins = np.r_[0, ends[:-1]]
+                sizes = ends - begins
+                sids, _ = set_names(hashes, ends)
+                _, once = np.unique(sids, return_index=True)
+                keep = np.zeros(len(sizes), dtype=np.int64)
+                keep[once] = prefix_size(sizes[once], percent)
+                keep[sizes == 0] = 0
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                first = np.arange(len(hashes)) - begins[owner] < keep[owner]
+                yield pa.record_batch([pa.array(hashes[first].astype(np.int64)), pa.array(sids[owner[first]])], names=["key", "sid"])
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = least = last = None
@@ -223,83 +312,73 @@ def block_stars(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose count vectors don't rule them out."""
+    """The (a, b) of ``pairs`` whose fine count vectors don't rule them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, n_a, n_b, c_a, c_b = batch.columns
-            counts = [np.frombuffer(b"".join(c.to_pylist()), dtype="<u4").reshape(-1, GROUPS) for c in (c_a, c_b)]
-            overlap = np.minimum(*counts).sum(axis=1).astype(np.int64)
+            a, b, n_a, n_b, fine_a, fine_b = batch.columns
+            overlap = np.fromiter(map(fine_overlap, fine_a.to_pylist(), fine_b.to_pylist()), dtype=np.int64, count=len(a))
             keep = pa.array(possible(overlap, np.asarray(n_a), np.asarray(n_b), percent))
             yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    side = lambda x: points.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}"))
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(run, "a long, b long")
+    side = lambda x, *c: points.select(F.col("sid").alias(x), *(F.col(n).alias(f"{n}_{x}") for n in c))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(near)
+    return sized.join(side("a", "fine"), "a").join(side("b", "fine"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
 
 
-def wanted_texts(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(sid, text) of the sets in ``pairs``, each once.
+def wanted_texts(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """(sid, text) of the sets in ``pairs``, each once; ``names`` (sid, k1, k2) has a text's key for each set.
 
-    A filter of fixed size, one bit for each cell of set names, tells tasks
-    which texts to send; a text sent for nothing finds no pair.
+    A filter of fixed size, one bit for each cell of text keys, tells tasks
+    which texts to send; one sent for nothing finds no partner in the join.
     """
     low = 24
-    cells = pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.col("sid").bitwiseAND((1 << low) - 1).alias("cell")).distinct()
+    wanted = names.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid")
+    cells = wanted.select(F.col("k1").bitwiseAND((1 << low) - 1).alias("cell")).distinct()
     packed = cells.groupBy(F.shiftright("cell", 12).alias("block")).agg(F.collect_set(F.col("cell").bitwiseAND(4095).cast("int")).alias("cells"))
     bits = np.zeros(1 << low, dtype=bool)
     for block, found in packed.toLocalIterator():
         bits[block * 4096 + np.array(found)] = True
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, told = WordHashes(), set()
         for batch in batches:
-            out: dict[int, str] = {}
-            for text in batch.column(1):
-                text = text.as_py()
-                s = shingle_set(text, hashes, words)
-                if not len(s) or (sid := set_names(s)[0]) in told:
-                    continue
-                cell = sid & ((1 << low) - 1)
-                if wanted.value[cell >> 3] >> (7 - (cell & 7)) & 1:
-                    out[sid] = text
-            told = told | out.keys() if len(told) < 500_000 else set(out)
-            yield pa.record_batch([pa.array(out, pa.int64()), pa.array(out.values(), pa.string())], names=["sid", "text"])
-
-    return docs.mapInArrow(run, "sid long, text string").groupBy("sid").agg(F.first("text").alias("text"))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (a, b) of the staged ``pairs`` that are ``percent`` similar, by their texts."""
-    texts = stage(wanted_texts(docs, pairs, words))
+            at = np.asarray(batch.column(0)) & ((1 << low) - 1)
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    found = keyed(docs).select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, text string")
+    return found.groupBy(*TEXT_KEY).agg(F.first("text").alias("text")).join(wanted, TEXT_KEY).select("sid", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        known: dict[int, np.ndarray] = {}
 
-        def set_of(sid: int, text: pa.Scalar) -> np.ndarray:
-            if sid not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[sid] = shingle_set(text.as_py(), hashes, words)
-            return known[sid]
+def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
+    """The (a, b) of the staged ``pairs`` that are ``percent`` similar, by their texts."""
+    texts = stage(wanted_texts(docs, pairs, names))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                x, y = set_of(a, text_a), shingle_set(text_b.as_py(), hashes, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            for lo, hi in text_slices(batch.column(3)):
+                part = batch.slice(lo, hi - lo)
+                a = np.asarray(part.column(0))
+                # rows come sorted by a: its text is read once for each run
+                fresh = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                left, right = np.split(*_cuts(shingle_sets(part.column(2).take(pa.array(fresh)), words))), np.split(*_cuts(shingle_sets(part.column(3), words)))
+                of = np.cumsum(np.r_[True, a[1:] != a[:-1]]) - 1
+                keep = []
+                for i, y in zip(of.tolist(), right):
+                    both = len(np.intersect1d(left[i], y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(left[i]) + len(y) - both))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.record_batch([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
     side = lambda x: texts.select(F.col("sid").alias(x), F.col("text").alias(f"text_{x}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _cuts(sets: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return sets[0], sets[1][:-1]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(sid, root) of every set in the staged ``links``, root the least set that it reaches.
 
@@ -319,37 +398,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def leader_pairs(stars: DataFrame) -> DataFrame:
+    """(a, b): each set with the first ``LEADERS`` least sets of its blocks; a set has at most as many as its prefix."""
+    leaders = stars.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, LEADERS).alias("a"))
+    return leaders.select(F.explode("a").alias("a"), "b")
+
+
 def tree_pairs(stars: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components within a block that the R-tree doesn't rule out.
 
-    A block of two sets was compared already. Large blocks are dealt out as
-    pairs of tiles of about ``TILE`` sets.
+    A block of two sets is its one pair. Large blocks are dealt out as pairs of
+    tiles of about ``TILE`` sets.
     """
     label = lambda x: labels.select(F.col("sid").alias(x), F.col("root").alias(f"root_{x}"))
     named = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "ab"})
-    mixed_blocks = named.groupBy("key").agg(F.count("*").alias("others"), F.count_if(F.col("root_a") != F.col("root_b")).alias("apart")).where("others > 1 and apart > 0").select("key", "others")
-    inside = named.join(mixed_blocks, "key")
+    mixed_blocks = named.groupBy("key").agg(F.count("*").alias("others"), F.count_if(F.col("root_a") != F.col("root_b")).alias("apart")).where("apart > 0").select("key", "others")
+    blocks = named.join(mixed_blocks, "key")
+    alone = blocks.where("others = 1").select("a", "b")
+    inside = blocks.where("others > 1")
     members = inside.select("key", "others", F.col("b").alias("sid"), F.col("root_b").alias("root")).unionByName(inside.select("key", "others", F.col("a").alias("sid"), F.col("root_a").alias("root")).distinct())
     tiles = F.ceil((F.col("others") + 1) / TILE)
     own = members.withColumn("tile", F.pmod(F.xxhash64("sid"), tiles)).withColumn("beside", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    placed = own.select("key", F.least("tile", "beside").alias("lo"), F.greatest("tile", "beside").alias("hi"), "tile", "sid", "root").join(points, "sid")
+    placed = own.select("key", F.least("tile", "beside").alias("lo"), F.greatest("tile", "beside").alias("hi"), "tile", "sid", "root").join(points.select("sid", "n", "short"), "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        def compare(group: pa.Table) -> Iterator[np.ndarray]:
             sid, root, tile, sizes = (group.column(c).to_numpy() for c in ("sid", "root", "tile", "n"))
-            counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int32)
-            one, other = tile == tile.min(), tile == tile.max()
+            if (root == root[0]).all():
+                return
+            vectors = [np.frombuffer(x, dtype=np.uint8) for x in group.column("short").to_pylist()]
+            groups = min(map(len, vectors))
+            fine = np.array([v.reshape(groups, -1).sum(axis=1, dtype=np.int32) for v in vectors])
+            counts = fine.reshape(len(fine), GROUPS, -1).sum(axis=2)
+            one, other = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
             left = CountTree(counts[one], sizes[one])
             right = left if tile.min() == tile.max() else CountTree(counts[other], sizes[other])
             for i, j in left.pairs(right, percent):
-                a, b = np.flatnonzero(one)[i], np.flatnonzero(other)[j]
-                keep = root[a] != root[b]
-                if keep.any():
-                    ends = np.sort(np.column_stack([sid[a[keep]], sid[b[keep]]]), axis=1)
-                    ends = np.unique(ends, axis=0)
-                    yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+                a, b = one[i], other[j]
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+                overlap = np.minimum(fine[a], fine[b]).sum(axis=1)
+                may = possible(overlap, sizes[a], sizes[b], percent)
+                yield np.unique(np.sort(np.column_stack([sid[a[may]], sid[b[may]]]), axis=1), axis=0)
+
+        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.unique(np.concatenate(found), axis=0)
+            return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
+        found: list[np.ndarray] = []
         key = None
         for batch in batches:
             if not batch.num_rows:
@@ -358,15 +455,20 @@ def tree_pairs(stars: DataFrame, labels: DataFrame, points: DataFrame, percent:
             starts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, len(at)]
             for s, e in zip(starts[:-1], starts[1:]):
                 if key is not None and tuple(at[s]) != key:
-                    yield from compare(pa.Table.from_batches(held))
+                    found += compare(pa.Table.from_batches(held))
                     held = []
+                    if sum(map(len, found)) > 200_000:
+                        yield batch_of(found)
+                        found = []
                 key = tuple(at[s])
                 held.append(batch.slice(s, e - s))
         if held:
-            yield from compare(pa.Table.from_batches(held))
+            found += compare(pa.Table.from_batches(held))
+        if found:
+            yield batch_of(found)
 
-    dealt = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "tile", "sid", "root", "n", "counts")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "tile", "sid", "root", "n", "short")
+    return dealt.mapInArrow(run, "a long, b long").unionByName(alone).distinct()
 
 
 def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,18 +482,20 @@ def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_co
     """
     source = id_text(docs, id_col, text_col)
     table = stage(set_table(source, words))
-    sets = table.where("n is not null").select("doc_id", "n", "sid", "sid2", "counts")
-    points = stage(sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("sid2").alias("low"), F.max("sid2").alias("high")))
+    sets = table.where("n is not null").select("doc_id", "n", "sid")
+    first = lambda *c: [F.first(x).alias(x) for x in c]
+    points = stage(table.where("n > 0").groupBy("sid").agg(*first("n", "fine", "short"), F.min(F.struct("k1", "k2")).alias("key"), F.min("sid2").alias("low"), F.max("sid2").alias("high")))
     if not points.where("low <> high").isEmpty():
         raise ValueError("two shingle sets have the same 64-bit name")
-    points = points.select("sid", "n", "counts")
+    names = points.select("sid", "key.k1", "key.k2")
     stars = stage(block_stars(source, frequent_cells(table), words, percent))
-    near = stage(bounded(stars.select("a", "b").distinct(), points, percent))
-    links = stage(verified(source, near, words, percent))
+    tried = stage(bounded(leader_pairs(stars), points, percent))
+    links = stage(verified(source, tried, names, words, percent))
     labels = components(links)
-    more = stage(tree_pairs(stars, labels, points, percent))
+    more = tree_pairs(stars, labels, points, percent).join(tried, ["a", "b"], "left_anti")
+    more = stage(bounded(more, points, percent))
     if not more.isEmpty():
-        links = stage(links.unionByName(verified(source, more, words, percent)))
+        links = stage(links.unionByName(verified(source, more, names, words, percent)))
         labels = components(links)
     rooted = sets.join(labels, "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
