@@ -12,6 +12,7 @@ finds its sequence from its rank alone, by a join with the small pattern table.
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,14 @@ PIECE_TYPES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length
 
 
 class WordIds(dict):
-    """White-space separated words and their ids; forgets all when full, so its memory is bounded.
+    """White-space separated words and their ids, as little-endian unsigned 32-bit bytes; forgets all when full, so its memory is bounded.
 
     New words of plain Latin letters, digits and symbols skip the tokenizer's
     normaliser, which leaves these alone but for case: they are split here, by
     the tokenizer's own pattern, and go straight to its model.
     """
 
-    def __init__(self, tokenizer, limit: int = 400_000):
+    def __init__(self, tokenizer, limit: int = 600_000):
         super().__init__()
         import json
 
@@ -55,7 +56,7 @@ class WordIds(dict):
         self.spelled = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.model = tokenizer.model.tokenize
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
         if self.plain(word) and "<|" not in word:
@@ -63,8 +64,8 @@ class WordIds(dict):
             ids = [token.id for piece in pieces for token in self.model(piece)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = ids
-        return ids
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
 
 def white_space_words(text: str) -> list[str]:
@@ -97,20 +98,18 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from itertools import chain
-
         from tokenizers import Tokenizer
 
-        words = WordIds(Tokenizer.from_file(vocabulary))
+        words, end = WordIds(Tokenizer.from_file(vocabulary)), struct.pack("<I", end_id)
         for batch in batches:
             out: list[tuple] = []
             held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = chain.from_iterable(map(words.__getitem__, white_space_words(text.as_py())))
-                ids = np.fromiter(chain(found, (end_id,)), dtype="<u4")
-                for a, b in cuts(len(ids), sequence):
-                    out.append((doc_id, a, b - a, len(ids), ids[a:b].tobytes()))
-                held += len(ids)
+                ids = b"".join(map(words.__getitem__, white_space_words(text.as_py()))) + end
+                n = len(ids) // 4
+                for a, b in cuts(n, sequence):
+                    out.append((doc_id, a, b - a, n, ids[4 * a : 4 * b]))
+                held += n
                 if held > 4_000_000:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), PIECE_TYPES.types)], schema=PIECE_TYPES)
                     out, held = [], 0
