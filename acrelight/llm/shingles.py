@@ -11,9 +11,10 @@ point holds the count of each group. The summed coordinate minima of two points
 bound the overlap of their sets; so do those of the upper corners of two nodes
 of an R-tree over the points. Pairs that survive are verified on their texts.
 
-Blocks are first joined through their least set only, which connects groups of
-copies with few comparisons. The tree then compares, in each block, sets that
-are not yet in one component: all that could still link different components.
+Each set is first compared with a few of the least sets of its blocks, which
+connects groups of copies with few comparisons. The tree then compares, in each
+block, sets that are not yet in one component: all that could still link
+different components.
 """
 
 from __future__ import annotations
