@@ -1,7 +1,7 @@
 """Every query with SQL gives the SQL's rows; the others give rows."""
 
 import pytest
-from oracle import spark_rows, sql_rows
+from tests.oracle import spark_rows, sql_rows
 
 from acrelight.plans import registry
 
