@@ -34,6 +34,19 @@ def test_templates_go_and_copies_stay(spark):
     assert all(found[100 + i]["text"] == copy for i in range(20))
 
 
+def test_near_copies_do_not_hide_a_recurring_line(spark):
+    draw = random.Random(11)
+    footer = "all rights of this page stay with its owner"
+    rows = [(i, "\n".join([words(draw, 12) for _ in range(6)] + [footer]), "en", "s", 1) for i in range(100)]
+    original = [words(draw, 12) for _ in range(12)]
+    for i in range(400):
+        body = list(original)
+        body[draw.randrange(12)] = words(draw, 12)
+        rows.append((1000 + i, "\n".join(body + [footer]), "en", "s", 1))
+    found = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[i] == text.removesuffix("\n" + footer) for i, text, *_ in rows)
+
+
 def test_lines_of_odd_documents(odd_docs, empty_docs):
     found = line_templates.drop_recurring_lines(odd_docs)
     assert sorted(map(str, (r["text"] for r in found.collect()))) == sorted(map(str, (r["text"] for r in odd_docs.collect())))
