@@ -47,6 +47,17 @@ def test_near_copies_do_not_hide_a_recurring_line(spark):
     assert all(found[i] == text.removesuffix("\n" + footer) for i, text, *_ in rows)
 
 
+def test_shared_headers_and_blank_lines(spark):
+    for head, own, blank in ((3, 1, ""), (3, 4, ""), (5, 4, ""), (2, 1, ""), (1, 4, "\n"), (3, 1, "\n")):
+        draw = random.Random(12)
+        header = [words(draw, 12) for _ in range(head)]
+        rows = [(i, ("\n" + blank).join(header + [words(draw, 12) for _ in range(own)]), "en", "s", 1) for i in range(100)]
+        found = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+        for i, text, *_ in rows:
+            kept = [x for x in found[i].split("\n") if x]
+            assert kept == text.split("\n" + blank)[head:], (head, own, blank)
+
+
 def test_lines_of_odd_documents(odd_docs, empty_docs):
     found = line_templates.drop_recurring_lines(odd_docs)
     assert sorted(map(str, (r["text"] for r in found.collect()))) == sorted(map(str, (r["text"] for r in odd_docs.collect())))
