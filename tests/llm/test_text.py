@@ -58,6 +58,19 @@ def test_shared_headers_and_blank_lines(spark):
             assert kept == text.split("\n" + blank)[head:], (head, own, blank)
 
 
+def test_many_templates_in_one_leaf(spark):
+    draw = random.Random(13)
+    templates = ["you can now " + words(draw, 8) for _ in range(40)] + [f"{{0}} {{1}} {{2}} {words(draw, 8)}" for _ in range(40)]
+    rows = []
+    for i in range(400):
+        line = templates[i % 80].format(i, f"{i}:00", f"id{i}") + " " + words(draw, 1) + f"x{chr(97 + i % 26)}" + words(draw, 1)
+        rows.append((i, "\n".join([words(draw, 20), line, words(draw, 20)]), "en", "s", 1))
+    found = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text, *_ in rows:
+        first, _, last = text.split("\n")
+        assert found[i] == first + "\n" + last
+
+
 def test_lines_of_odd_documents(odd_docs, empty_docs):
     found = line_templates.drop_recurring_lines(odd_docs)
     assert sorted(map(str, (r["text"] for r in found.collect()))) == sorted(map(str, (r["text"] for r in odd_docs.collect())))
