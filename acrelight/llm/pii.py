@@ -30,7 +30,7 @@ BASE = {
 }
 #: Further generators, and the kind of what they find.
 WIDER = {
-    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]?[:=][ ]?[\"']?[A-Za-z0-9_/+=-]{8,200}",
+    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]?[:=][ ]?[\"']?[A-Za-z0-9_/+=-]{8,}+",
     "mailbox": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[a-z0-9-]++ ?(?:\(dot\)|\[dot\]|\.) ?[a-z]{2,10}",
     "call": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "number": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",

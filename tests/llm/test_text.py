@@ -143,6 +143,14 @@ def test_judging_learns_secrets_and_redaction_cuts_them(spark):
         assert clean[i] == re.sub(r"me\d+@x.org", "<EMAIL>", re.sub(r"token = \"[0-9a-f]{32}", "<SECRET>", text))
 
 
+def test_long_secrets_are_one_span(spark):
+    draw = random.Random(8)
+    token = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(300))
+    rows = [(i, f"{words(draw, 9)} token = {token()} end", None, None, None) for i in range(90)]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(clean[i] == re.sub("token = [0-9a-f]{300}", "<SECRET>", text) for i, text, *_ in rows)
+
+
 def test_redaction_of_odd_documents(odd_docs, empty_docs):
     assert sorted(str(r["text"]) for r in pii.redact(odd_docs).collect()) == sorted(str(r["text"]) for r in odd_docs.collect())
     assert pii.redact(empty_docs).count() == 0
