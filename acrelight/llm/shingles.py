@@ -1,506 +1,556 @@
 """Exact n-gram Jaccard join with a count-vector R-tree.
 
-Every document is the set of hashes of its 5-word shingles. Equal sets become
-one. Two sets that reach the wanted similarity share one of the first fifth of
-their shingles in any fixed order of all shingles, so sets meet in blocks by
-those. The order puts shingles that are frequent in the corpus last, by a count
-sketch of fixed size, so common passages make no blocks of their own.
-
-Within a block sets are points: their shingles are hashed into groups, and a
-point holds the count of each group. The summed coordinate minima of two points
-bound the overlap of their sets; so do those of the upper corners of two nodes
-of an R-tree over the points. Pairs that survive are verified on their texts.
-
-Each set is first compared with a few of the least sets of its blocks, which
-connects groups of copies with few comparisons. The tree then compares, in each
-block, sets that are not yet in one component: all that could still link
-different components.
+Every document is the set of its 5-word shingles; equal sets become one. Two
+sets that reach the wanted similarity share one of the first fifth of their
+shingles in any fixed order of all shingles, so sets meet in blocks by those.
+The order puts shingles that are frequent in the corpus last, by a count sketch
+of fixed size, so common passages make no blocks of their own.
+
+Shingles are hashed into groups; a set's counts by group are a point. Within a
+block the points make an R-tree. The summed coordinate minima of the upper
+corners of two nodes bound the overlap of all sets below them, so a descent by
+pairs of nodes leaves few pairs of sets. A block passes on as many of these as
+join what is left, and sets that they join are a family.
+
+A family's texts are compared in one place, by a tree of the same kind. A pair
+is tested only while its ends aren't linked through others, first on hashes,
+then on the words; so a family yields at most one link for each of its sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelight.llm.common import documents, id_text, stage
+from acrelight.llm.common import components, documents, id_text, stage
 
 U = np.uint64
 WORDS = 5
+#: Coordinates of a point.
 GROUPS = 64
 SKETCH_BITS = 20
 #: Shingles count as frequent if their cell lies so many standard deviations of even counts over the mean.
 FREQUENT = 5
-#: With so many least sets of its blocks a set is compared before the tree is.
-LEADERS = 4
-TILE = 4096
+#: What one task compares at once: so many sets, and so many bytes of text.
+TILE_SETS, TILE_BYTES = 4096, 48_000_000
+#: A larger block's sets are first dealt out to tiles so many times.
+TURNS = 3
 LEAF = 32
+#: Texts are worked on together, about so many bytes at a time.
+TOGETHER = 1_500_000
+#: Set filters have so many bits.
+FILTER_BITS = 24
 
 
-def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
-    h = h + U((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
     return h ^ (h >> U(31))
 
 
-#: A byte's value in word hashes; capital letters have their small letter's.
-VALUES = np.random.default_rng(23).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-VALUES[65:91] = VALUES[97:123]
-POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[32, *range(9, 14)]] = True
-HASH_BITS = 48
-#: Texts are worked on together, about so many bytes at a time.
-TOGETHER = 1_500_000
+class WordHashes(dict):
+    """64 bits of a cryptographic digest for each word; forgets all when full, and never holds long words."""
 
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = found
+        return found
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``TOGETHER`` bytes of text, at most 2^15 rows each."""
-    lengths = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
-    first, size = 0, 0
-    for i, n in enumerate(lengths.tolist()):
-        if i > first and (size + n > TOGETHER or i - first >= 1 << 15):
-            yield first, i
-            first, size = i, 0
-        size += n
-    if len(lengths) > first:
-        yield first, len(lengths)
 
+def words_of(text: bytes) -> list[bytes]:
+    """Words between ASCII white space, with A-Z as small letters."""
+    return text.lower().split()
 
-def shingle_sets(texts: pa.Array, words: int = WORDS, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ends): the distinct shingles of each text by hash, text after text, and where each text's end.
 
-    A text of fewer words than a shingle has its whole sequence as one. With
-    ``late``, bits by the hash's low end, shingles whose bit is set come last
-    in their text.
-    """
-    data = np.frombuffer(b"".join(x.as_buffer().to_pybytes() if x.is_valid and len(x.as_buffer() or b"") else b"" for x in texts), dtype=np.uint8)
-    edges = np.r_[0, np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64))]
-    inside = ~SPACE[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    bounds = edges[1:-1]
-    bounds = bounds[bounds < len(data)]
-    start[bounds] = inside[bounds]  # a word ends with its text
-    first = np.flatnonzero(start)
-    if not len(first):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    letters = data[inside]
-    rank = np.cumsum(start[inside]) - 1
-    begin = np.flatnonzero(start[inside])
-    at = np.arange(len(letters)) - begin[rank]
-    size = np.diff(np.r_[begin, len(letters)]).astype(np.uint64)
-    word = mixed(np.add.reduceat(VALUES[letters] * POWERS[at & 0xFFFF], begin) + size)
-    text = np.searchsorted(edges, first, side="right") - 1
-    counts = np.bincount(text, minlength=len(texts))
-    whole = np.r_[np.zeros(0, dtype=bool), text[: len(text) - words + 1] == text[words - 1 :]] if len(text) >= words else np.zeros(0, dtype=bool)
-    h = np.full(len(whole), words, dtype=np.uint64)
+def shingle_sets(texts: list[bytes], known: WordHashes, words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one."""
+    split = list(map(words_of, texts))
+    counts = list(map(len, split))
+    word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=sum(counts))
+    h = np.full(max(0, len(word) - words + 1), words, dtype=np.uint64)
     for j in range(words):
-        h *= U(0x9E3779B97F4A7C15)
-        h += word[j : j + len(h)]
-    h, owner = h[whole], text[: len(whole)][whole]
-    begins = np.r_[0, np.cumsum(counts)]
-    short = np.flatnonzero((counts > 0) & (counts < words))
-    if len(short):
-        extra = []
-        for i in short.tolist():
-            v = int(counts[i])
-            for w in word[begins[i] : begins[i + 1]].tolist():
-                v = (v * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
-            extra.append(v)
-        h, owner = np.r_[h, np.array(extra, dtype=np.uint64)], np.r_[owner, short]
-    h = mixed(h) >> U(64 - HASH_BITS)
-    key = owner.astype(np.uint64) << U(HASH_BITS + 1) | h
-    if late is not None:
-        key |= late[(h & U((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64) << U(HASH_BITS)
-    key.sort()
-    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    ends = np.cumsum(np.bincount((key >> U(HASH_BITS + 1)).astype(np.int64), minlength=len(texts)))
-    return key & U((1 << HASH_BITS) - 1), ends
-
-
-def sums_by_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums modulo 2^64 of the values of each text."""
-    total = np.r_[U(0), np.cumsum(values, dtype=np.uint64)]
-    return total[ends] - total[np.r_[0, ends[:-1]]]
-
-
-def set_names(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that name each text's set."""
-    return sums_by_text(mixed(hashes, 5), ends).astype(np.int64), sums_by_text(mixed(hashes, 7), ends).astype(np.int64)
-
-
-def counts_of(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many of a set's shingles are in each group; groups halve into those of half as many."""
-    return np.bincount((hashes >> U(HASH_BITS - (groups - 1).bit_length())).astype(np.int64), minlength=groups)
-
-
-def fine_counts(hashes: np.ndarray) -> bytes:
-    """Counts by as many groups as half the set's size, as bytes."""
+        h = (h ^ (h >> U(29))) * U(0x9E3779B97F4A7C15) + word[j : j + len(h)]
+    h = mixed(h)
+    out, at = [], 0
+    for n in counts:
+        if n >= words:
+            own = np.sort(h[at : at + n - words + 1])
+            out.append(own[np.r_[True, own[1:] != own[:-1]]] if len(own) > 1 else own)
+        elif n:
+            out.append(np.frombuffer(hashlib.blake2b(word[at : at + n].tobytes(), digest_size=8).digest(), dtype="<u8"))
+        else:
+            out.append(word[:0])
+        at += n
+    return out
+
+
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``TOGETHER`` bytes."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > TOGETHER:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if len(sizes) > first:
+        yield first, len(sizes)
+
+
+def text_bytes(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def name_of(hashes: np.ndarray) -> bytes:
+    """128 bits of a cryptographic digest of a set's hashes."""
+    return hashlib.sha256(hashes.tobytes()).digest()[:16]
+
+
+def route_of(name: bytes) -> int:
+    """A set's name for finding its partners, an even number; two sets may share it, and are told apart by their names."""
+    return int.from_bytes(name[:8], "little", signed=True) & ~1
+
+
+def prefix_of(hashes: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles by which a set must meet every set that is ``percent`` similar: the first ones, frequent ones last."""
+    n = len(hashes)
+    return np.r_[hashes[~often], hashes[often]][: n + (-percent * n // 100) + 1]
+
+
+def group_counts(hashes: np.ndarray) -> bytes:
+    """Counts by as many groups as half the set's size, as bytes; groups halve into those of half as many."""
     groups = GROUPS
     while groups < len(hashes) // 2 and groups < 1 << 20:
         groups *= 2
-    counts = counts_of(hashes, groups)
-    while counts.max() > 255:
+    while True:
+        counts = np.bincount((hashes >> U(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+        if counts.max() <= 255:
+            return counts.astype(np.uint8).tobytes()
         groups *= 2
-        counts = counts_of(hashes, groups)
-    return counts.astype(np.uint8).tobytes()
 
 
 def short_counts(fine: bytes, most: int = 256) -> bytes:
-    """A fine count vector folded to at most ``most`` groups, as far as counts stay bytes."""
+    """A count vector folded to at most ``most`` groups, as far as counts stay bytes."""
     v = np.frombuffer(fine, dtype=np.uint8)
     while len(v) > most and (folded := v.reshape(-1, 2).sum(axis=1)).max() <= 255:
         v = folded.astype(np.uint8)
     return v.tobytes()
 
 
-def fine_overlap(a: bytes, b: bytes) -> int:
-    """The summed minima of two fine count vectors, at the coarser one's groups."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    groups = min(len(x), len(y))
-    x, y = (v.reshape(groups, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
-    return int(np.minimum(x, y).sum())
-
-
-def prefix_size(n: int, percent: int) -> int:
-    """How many first shingles of a set of ``n`` must meet one of every set that is ``percent`` similar."""
-    return n + (-percent * n // 100) + 1
+def common_counts(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors as rows, at the coarsest one's groups."""
+    groups = min(map(len, vectors))
+    return np.array([np.frombuffer(v, dtype=np.uint8).reshape(groups, -1).sum(axis=1, dtype=np.int16) for v in vectors])
 
 
 class CountTree:
-    """A packed R-tree over count vectors: points are split at the median of their widest coordinate down to leaves."""
+    """An R-tree over count vectors, each node split at the median of its widest coordinate.
+
+    A node has the upper corner of its points, their least and greatest size, and
+    two children or a leaf's points.
+    """
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
         self.counts, self.sizes = counts, sizes
-        self.leaves: list[np.ndarray] = []
-        open_nodes = [np.arange(len(sizes))]
-        while open_nodes:
-            node = open_nodes.pop()
-            if len(node) <= LEAF:
-                self.leaves.append(node)
+        self.root = self.grow(np.arange(len(sizes)))
+
+    def grow(self, at: np.ndarray) -> tuple:
+        points, sizes = self.counts[at], self.sizes[at]
+        upper = points.max(axis=0)
+        below: tuple = ()
+        if len(at) > LEAF:
+            axis = int((upper - points.min(axis=0)).argmax())
+            order = at[np.argsort(points[:, axis], kind="stable")]
+            below = (self.grow(order[: len(at) // 2]), self.grow(order[len(at) // 2 :]))
+        return upper, int(sizes.min()), int(sizes.max()), below, at
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indices of points that may be ``percent`` similar, each pair once, by a descent in pairs of nodes."""
+        waiting = [(self.root, self.root)]
+        while waiting:
+            a, b = waiting.pop()
+            if 100 * a[2] < percent * b[1] or 100 * b[2] < percent * a[1]:
                 continue
-            points = counts[node]
-            axis = int((points.max(axis=0) - points.min(axis=0)).argmax())
-            half = np.argsort(points[:, axis], kind="stable")
-            open_nodes += [node[half[: len(node) // 2]], node[half[len(node) // 2 :]]]
-        self.upper = np.array([counts[x].max(axis=0) for x in self.leaves])
-        self.least = np.array([sizes[x].min() for x in self.leaves])
-        self.most = np.array([sizes[x].max() for x in self.leaves])
-
-    def pairs(self, other: CountTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Indices of points of this and of the other tree that may be ``percent`` similar."""
-        for i, node in enumerate(self.leaves):
-            bound = np.minimum(self.upper[i], other.upper).sum(axis=1)
-            may = (100 + percent) * bound >= percent * (self.least[i] + other.least)
-            may &= (100 * other.most >= percent * self.least[i]) & (100 * self.most[i] >= percent * other.least)
-            for j in np.flatnonzero(may):
-                beside = other.leaves[j]
-                bound = np.minimum(self.counts[node][:, None, :], other.counts[beside][None, :, :]).sum(axis=2)
-                a, b = np.nonzero(possible(bound, self.sizes[node][:, None], other.sizes[beside][None, :], percent))
-                yield node[a], beside[b]
-
-
-def possible(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+            if a is not b and not possible(int(np.minimum(a[0], b[0]).sum()), a[1], b[1], percent):
+                continue
+            if not a[3] and not b[3]:
+                i, j = (a[4], b[4])
+                bound = np.minimum(self.counts[i][:, None, :], self.counts[j][None, :, :]).sum(axis=2)
+                x, y = np.nonzero(possible(bound, self.sizes[i][:, None], self.sizes[j][None, :], percent))
+                if a is b:
+                    x, y = x[x < y], y[x < y]
+                if len(x):
+                    yield i[x], j[y]
+            elif a is b:
+                waiting += [(a[3][0], a[3][1]), (a[3][1], a[3][1]), (a[3][0], a[3][0])]
+            elif b[3] and (not a[3] or len(b[4]) >= len(a[4])):
+                waiting += [(a, b[3][0]), (a, b[3][1])]
+            else:
+                waiting += [(a[3][0], b), (a[3][1], b)]
+
+
+def possible(overlap, a, b, percent: int):
     """Whether sets of sizes a and b that share at most ``overlap`` may be ``percent`` similar."""
     return (100 + percent) * overlap >= percent * (a + b)
 
 
-TEXT_KEY = ["k1", "k2"]
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, k1, k2): 128 bits name each text."""
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit("second")).alias("k2"))
+def word_shingles(text: bytes, words: int) -> set:
+    w = words_of(text)
+    return set(zip(*(w[i:] for i in range(words)))) if len(w) >= words else {tuple(w)}
+
+
+def similar_words(a: bytes, b: bytes, words: int, percent: int) -> bool:
+    """The exact test, on the words themselves."""
+    x, y = word_shingles(a, words), word_shingles(b, words)
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
+def link_sets(texts: list[bytes], sets: list[np.ndarray], label: np.ndarray, percent: int, words: int) -> list[tuple[int, int]]:
+    """Links that join all similar sets whose ``label`` differs; ``label`` is brought up to date."""
+    sizes = np.array(list(map(len, sets)))
+    flat = np.concatenate(sets)
+    names, of = np.unique(flat, return_inverse=True)
+    begins = np.r_[0, np.cumsum(sizes)]
+    places = np.repeat(np.arange(len(sets)), sizes) * len(names) + of  # sorted: sets in order, hashes in order
+    links: list[tuple[int, int]] = []
+
+    def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = np.where(sizes[a] <= sizes[b], a, b), np.where(sizes[a] <= sizes[b], b, a)
+        out = np.zeros(len(a), dtype=np.int64)
+        ends = np.cumsum(sizes[a])
+        done = 0
+        while done < len(a):
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 2_000_000)))
+            some = sizes[a[done:stop]]
+            pair = np.repeat(np.arange(done, stop), some)
+            step = np.arange(len(pair)) - np.repeat(np.cumsum(some) - some, some)
+            wanted = b[pair] * len(names) + of[begins[a[pair]] + step]
+            at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+            out[done:stop] = np.bincount(pair[places[at] == wanted] - done, minlength=stop - done)
+            done = stop
+        return out
+
+    def test(a: np.ndarray, b: np.ndarray) -> None:
+        good = possible(overlaps(a, b), sizes[a], sizes[b], percent)
+        for i, j in zip(a[good].tolist(), b[good].tolist()):
+            if label[i] != label[j] and similar_words(texts[i], texts[j], words, percent):
+                label[label == label[j]] = label[i]
+                links.append((i, j))
+
+    counts = common_counts([short_counts(group_counts(x)) for x in sets])
+    for a, b in CountTree(counts, sizes).pairs(percent):
+        # one pair for each pair of labels first; it often makes the others needless
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            continue
+        x, y = label[a], label[b]
+        _, first = np.unique(np.minimum(x, y) * len(sets) + np.maximum(x, y), return_index=True)
+        test(a[first], b[first])
+        left = np.ones(len(a), dtype=bool)
+        left[first] = False
+        left &= label[a] != label[b]
+        if left.any():
+            test(a[left], b[left])
+    return links
+
+
+def may_link(vectors: list[bytes], sizes: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that join all whose ``label`` differs and whose counts don't rule a link out."""
+    out: list[tuple[int, int]] = []
+    for a, b in CountTree(common_counts(vectors), sizes).pairs(percent):
+        while len(a) and (apart := label[a] != label[b]).any():
+            a, b = a[apart], b[apart]
+            label[label == label[b[0]]] = label[a[0]]
+            out.append((int(a[0]), int(b[0])))
+    return out
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """A row for each document with its set's size, names and count vectors, and rows of the count sketch with a block number."""
-    kinds = {"doc_id": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "n": pa.int64(), "sid": pa.int64(), "sid2": pa.int64(), "fine": pa.binary(), "short": pa.binary(), "block": pa.int32(), "cells": pa.binary()}
+    """A row for each document (doc_id, text, n, sid, route, fine, short), and rows of the count sketch with a block number."""
+    kinds = {"doc_id": pa.int64(), "text": pa.string(), "n": pa.int64(), "sid": pa.binary(), "route": pa.int64(), "fine": pa.binary(), "short": pa.binary(), "block": pa.int32(), "cells": pa.binary()}
     schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        some = False
+        sketch, known = np.zeros(1 << SKETCH_BITS, dtype=np.int64), WordHashes()
         for batch in batches:
-            for lo, hi in text_slices(batch.column(1)):
-                part = batch.slice(lo, hi - lo)
-                hashes, ends = shingle_sets(part.column(1), words)
-                some = some or len(hashes) > 0
-                np.add.at(sketch, (hashes & U((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
-                names = set_names(hashes, ends)
-                sets = np.split(hashes, ends[:-1])
-                rows = len(sets)
-                sizes = np.diff(np.r_[0, ends])
-                none = sizes == 0
-                columns = [part.column(0), part.column(2), part.column(3), pa.array(sizes), *(pa.array(x, mask=none) for x in names)]
-                fine = [fine_counts(x) if len(x) else None for x in sets]
+            texts = text_bytes(batch.column(1))
+            for lo, hi in slices(list(map(len, texts))):
+                sets = shingle_sets(texts[lo:hi], known, words)
+                sketch += np.bincount((np.concatenate(sets) & U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                names = [name_of(x) if len(x) else None for x in sets]
+                rows = hi - lo
+                columns = [batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), pa.array(list(map(len, sets)), pa.int64())]
+                columns += [pa.array(names, pa.binary()), pa.array([x and route_of(x) for x in names], pa.int64())]
+                fine = [group_counts(x) if len(x) else None for x in sets]
                 columns += [pa.array(fine, pa.binary()), pa.array([x and short_counts(x) for x in fine], pa.binary())]
                 yield pa.record_batch([*columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
-        if some:
-            blocks = sketch.astype("<u4").reshape(256, -1)
+        if sketch.any():
             empty = [pa.nulls(256, t) for t in list(kinds.values())[:-2]]
-            yield pa.record_batch([*empty, pa.array(range(256), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], schema=schema)
+            yield pa.record_batch([*empty, pa.array(range(256), pa.int32()), pa.array([x.tobytes() for x in sketch.astype("<u4").reshape(256, -1)], pa.binary())], schema=schema)
 
-    return keyed(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sid long, sid2 long, fine binary, short binary, block int, cells binary")
+    return docs.mapInArrow(run, "doc_id long, text string, n long, sid binary, route long, fine binary, short binary, block int, cells binary")
 
 
 def frequent_cells(table: DataFrame) -> np.ndarray:
     """The sketch's cells well over the mean as bits: of one size for every corpus."""
 
-    def add(frames: Iterator) -> Iterator:
-        import pandas as pd
-
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for block, cells in zip(frame["block"], frame["cells"]):
+        for batch in batches:
+            for block, cells in zip(*(c.to_pylist() for c in batch.columns)):
                 total[block] = total.get(block, 0) + np.frombuffer(cells, dtype="<u4").astype(np.int64)
         if total:
-            yield pd.DataFrame({"block": list(total), "cells": [x.astype("<i8").tobytes() for x in total.values()]})
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["block", "cells"])
 
     rows = table.where("block is not null").select("block", "cells")
-    summed = rows.repartition(16, "block").mapInPandas(add, "block int, cells binary").collect()
     counts = np.zeros((256, (1 << SKETCH_BITS) // 256), dtype=np.int64)
-    for block, cells in summed:
+    for block, cells in rows.repartition(16, "block").mapInArrow(add, "block int, cells binary").collect():
         counts[block] = np.frombuffer(cells, dtype="<i8")
     flat = counts.reshape(-1)
     return flat > flat.mean() + FREQUENT * max(1.0, flat.mean()) ** 0.5
 
 
-def block_stars(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(key, a, b): for each block its least set ``a`` with each other set ``b``."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+def edge_batch(key: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    last = pa.nulls(len(key), pa.int64()) if b is None else pa.array(b, pa.int64())
+    return pa.record_batch([pa.array(key, pa.int64()), pa.array(a, pa.int64()), last], names=["key", "a", "b"])
+
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(bits.value).astype(bool)
+def block_edges(table: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(key, a, b): routes of different sets that share a block, joined to trees of the block's sets.
+
+    Each batch joins its own sets of a block to one of them and sends only that
+    one on, so a block that very many sets share brings few rows together.
+    """
+    bits = table.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, known = np.unpackbits(bits.value).astype(bool), WordHashes()
         for batch in batches:
-            for lo, hi in text_slices(batch.column(1)):
-                hashes, ends = shingle_sets(batch.column(1).slice(lo, hi - lo), words, often)
-                begins = np.r_[0, ends[:-1]]
-                sizes = ends - begins
-                sids, _ = set_names(hashes, ends)
-                _, once = np.unique(sids, return_index=True)
-                keep = np.zeros(len(sizes), dtype=np.int64)
-                keep[once] = prefix_size(sizes[once], percent)
-                keep[sizes == 0] = 0
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                first = np.arange(len(hashes)) - begins[owner] < keep[owner]
-                yield pa.record_batch([pa.array(hashes[first].astype(np.int64)), pa.array(sids[owner[first]])], names=["key", "sid"])
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = least = last = None
+            once = dict(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))))
+            routes, texts = list(once), list(once.values())
+            keys: list[np.ndarray] = []
+            for lo, hi in slices(list(map(len, texts))):
+                for hashes in shingle_sets(texts[lo:hi], known, words):
+                    keys.append(prefix_of(hashes, often[(hashes & U((1 << SKETCH_BITS) - 1)).astype(np.int64)], percent))
+            if not keys:
+                continue
+            key, a = np.concatenate(keys).astype(np.int64), np.repeat(np.array(routes, dtype=np.int64), list(map(len, keys)))
+            order = np.argsort(key, kind="stable")
+            key, a = key[order], a[order]
+            fresh = np.r_[True, key[1:] != key[:-1]]
+            first = np.flatnonzero(fresh)
+            lead = a[np.repeat(first, np.diff(np.r_[first, len(key)]))]
+            if not fresh.all():
+                yield edge_batch(key[~fresh], lead[~fresh], a[~fresh])
+            yield edge_batch(key[first], a[first], None)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, s = (np.asarray(c) for c in batch.columns)
-            fresh = np.r_[True, k[1:] != k[:-1]]
-            lead = s[np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))]
-            other = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
-            if key is not None and k[0] == key:
-                lead[: int(np.argmax(np.r_[fresh[1:], True])) + 1] = least
-                other[0] = s[0] != last
-            key, least, last = k[-1], lead[-1], s[-1]
-            keep = other & (lead != s)
-            yield pa.record_batch([pa.array(k[keep]), pa.array(lead[keep]), pa.array(s[keep])], names=["key", "a", "b"])
+            ready = np.asarray(batch.column(2).is_valid())
+            if ready.any():
+                yield batch.filter(pa.array(ready))
+            key, a = (np.asarray(c)[~ready] for c in batch.columns[:2])
+            if not len(key):
+                continue
+            if held is not None:
+                key, a = np.r_[held[0], key], np.r_[held[1], a]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            lead = a[np.repeat(first, np.diff(np.r_[first, len(key)]))]
+            keep = lead != a
+            yield edge_batch(key[keep], lead[keep], a[keep])
+            held = key[-1:], lead[-1:]
 
-    dealt = docs.mapInArrow(prefixes, "key long, sid long").repartition("key").sortWithinPartitions("key", "sid")
-    return dealt.mapInArrow(stars, "key long, a long, b long")
+    rows = table.where("n > 0").select("route", "text").mapInArrow(within, "key long, a long, b long")
+    return rows.repartition(F.coalesce("b", "key")).sortWithinPartitions("key").mapInArrow(across, "key long, a long, b long")
 
 
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose fine count vectors don't rule them out."""
+def filter_bits(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A packed bit for each cell of the one long column of ``values``; tasks build it by ranges, so its size is all that reaches the driver."""
+    low = 15
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            a, b, n_a, n_b, fine_a, fine_b = batch.columns
-            overlap = np.fromiter(map(fine_overlap, fine_a.to_pylist(), fine_b.to_pylist()), dtype=np.int64, count=len(a))
-            keep = pa.array(possible(overlap, np.asarray(n_a), np.asarray(n_b), percent))
-            yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
-
-    side = lambda x, *c: points.select(F.col("sid").alias(x), *(F.col(n).alias(f"{n}_{x}") for n in c))
-    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(near)
-    return sized.join(side("a", "fine"), "a").join(side("b", "fine"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
+            for block, cell in zip(*(c.to_numpy() for c in batch.columns)):
+                found.setdefault(int(block), np.zeros(1 << low, dtype=bool))[cell] = True
+        if found:
+            yield pa.record_batch([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], names=["block", "bits"])
 
+    cell = F.shiftright(F.col(values.columns[0]), 1).bitwiseAND((1 << bits) - 1)
+    cells = values.select(cell.alias("cell")).distinct().select(F.shiftright("cell", low).cast("int").alias("block"), F.col("cell").bitwiseAND((1 << low) - 1).cast("int").alias("cell"))
+    out = np.zeros((1 << (bits - low), 1 << (low - 3)), dtype=np.uint8)
+    for block, packed in cells.repartition("block").mapInArrow(run, "block int, bits binary").collect():
+        out[block] = np.frombuffer(packed, dtype=np.uint8)
+    return out.reshape(-1)
 
-def wanted_texts(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """(sid, text) of the sets in ``pairs``, each once; ``names`` (sid, k1, k2) has a text's key for each set.
 
-    A filter of fixed size, one bit for each cell of text keys, tells tasks
-    which texts to send; one sent for nothing finds no partner in the join.
-    """
-    low = 24
-    wanted = names.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid")
-    cells = wanted.select(F.col("k1").bitwiseAND((1 << low) - 1).alias("cell")).distinct()
-    packed = cells.groupBy(F.shiftright("cell", 12).alias("block")).agg(F.collect_set(F.col("cell").bitwiseAND(4095).cast("int")).alias("cells"))
-    bits = np.zeros(1 << low, dtype=bool)
-    for block, found in packed.toLocalIterator():
-        bits[block * 4096 + np.array(found)] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+def wanted_sets(table: DataFrame, routes: DataFrame) -> DataFrame:
+    """(sid, route, text, size): each set whose route is in ``routes``, or falls in the same cell, once."""
+    sent = table.sparkSession.sparkContext.broadcast(filter_bits(routes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.asarray(batch.column(0)) & ((1 << low) - 1)
+            at = (np.asarray(batch.column(1)) >> 1) & ((1 << FILTER_BITS) - 1)
             yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
 
-    found = keyed(docs).select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, text string")
-    return found.groupBy(*TEXT_KEY).agg(F.first("text").alias("text")).join(wanted, TEXT_KEY).select("sid", "text")
+    found = table.where("n > 0").select("sid", "route", "text").mapInArrow(run, "sid binary, route long, text string")
+    return found.groupBy("sid").agg(F.first("route").alias("route"), F.first("text").alias("text")).withColumn("size", F.octet_length("text"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (a, b) of the staged ``pairs`` that are ``percent`` similar, by their texts."""
-    texts = stage(wanted_texts(docs, pairs, names))
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole count vectors don't rule them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in text_slices(batch.column(3)):
-                part = batch.slice(lo, hi - lo)
-                a = np.asarray(part.column(0))
-                # rows come sorted by a: its text is read once for each run
-                fresh = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                left, right = np.split(*_cuts(shingle_sets(part.column(2).take(pa.array(fresh)), words))), np.split(*_cuts(shingle_sets(part.column(3), words)))
-                of = np.cumsum(np.r_[True, a[1:] != a[:-1]]) - 1
-                keep = []
-                for i, y in zip(of.tolist(), right):
-                    both = len(np.intersect1d(left[i], y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(left[i]) + len(y) - both))
-                mask = pa.array(keep, pa.bool_())
-                yield pa.record_batch([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
-
-    side = lambda x: texts.select(F.col("sid").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
+            a, b, n_a, n_b, fine_a, fine_b = batch.columns
+            overlap = np.array([int(np.minimum(*common_counts(list(x))).sum()) for x in zip(fine_a.to_pylist(), fine_b.to_pylist())], dtype=np.int64)
+            keep = pa.array(possible(overlap, np.asarray(n_a), np.asarray(n_b), percent), pa.bool_())
+            yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-def _cuts(sets: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return sets[0], sets[1][:-1]
+    side = lambda x, *c: points.select(F.col("route").alias(x), *(F.col(n).alias(f"{n}_{x}") for n in c))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(near)
+    return sized.join(side("a", "fine"), "a").join(side("b", "fine"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(sid, root) of every set in the staged ``links``, root the least set that it reaches.
+def compared(rows: DataFrame, payload: DataFrame, compare, kind: str) -> DataFrame:
+    """(a, b): what ``compare`` finds within each ``at`` of ``rows`` (at, id, root); sets of equal ``root`` are joined already.
 
-    Labels fall along links, then along labels, so paths shorten by half each
-    round; every round is a staged table, and only a count reaches the driver.
+    ``payload`` has a row of (id, content, n) for each set, the least that a
+    comparison needs. ``compare`` takes contents, sizes and labels, and returns
+    pairs of places. One ``at`` is held at a time.
     """
-    both = stage(links.select(F.col("a").alias("sid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("sid"), F.col("a").alias("to"))).distinct())
-    labels = stage(both.groupBy("sid").agg(F.least(F.min("to"), F.first("sid")).alias("root")))
-    while True:
-        beside = both.join(labels.select(F.col("sid").alias("to"), "root"), "to").groupBy("sid").agg(F.min("root").alias("near"))
-        lower = labels.join(beside, "sid").select("sid", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        lower = stage(lower)
-        jump = lower.select(F.col("sid").alias("root"), F.col("root").alias("far"))
-        following = stage(lower.join(jump, "root", "left").select("sid", "old", F.least("root", "far").alias("root")))
-        labels = following.select("sid", "root")
-        if following.where("root <> old").isEmpty():
-            return labels
-
+    types = {"long": pa.int64(), "binary": pa.binary()}
 
-def leader_pairs(stars: DataFrame) -> DataFrame:
-    """(a, b): each set with the first ``LEADERS`` least sets of its blocks; a set has at most as many as its prefix."""
-    leaders = stars.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, LEADERS).alias("a"))
-    return leaders.select(F.explode("a").alias("a"), "b")
-
-
-def tree_pairs(stars: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components within a block that the R-tree doesn't rule out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last = WordHashes(), None
+        held: list[tuple] = []
 
-    A block of two sets is its one pair. Large blocks are dealt out as pairs of
-    tiles of about ``TILE`` sets.
-    """
-    label = lambda x: labels.select(F.col("sid").alias(x), F.col("root").alias(f"root_{x}"))
-    named = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "ab"})
-    mixed_blocks = named.groupBy("key").agg(F.count("*").alias("others"), F.count_if(F.col("root_a") != F.col("root_b")).alias("apart")).where("apart > 0").select("key", "others")
-    blocks = named.join(mixed_blocks, "key")
-    alone = blocks.where("others = 1").select("a", "b")
-    inside = blocks.where("others > 1")
-    members = inside.select("key", "others", F.col("b").alias("sid"), F.col("root_b").alias("root")).unionByName(inside.select("key", "others", F.col("a").alias("sid"), F.col("root_a").alias("root")).distinct())
-    tiles = F.ceil((F.col("others") + 1) / TILE)
-    own = members.withColumn("tile", F.pmod(F.xxhash64("sid"), tiles)).withColumn("beside", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    placed = own.select("key", F.least("tile", "beside").alias("lo"), F.greatest("tile", "beside").alias("hi"), "tile", "sid", "root").join(points.select("sid", "n", "short"), "sid")
+        def close() -> list[tuple]:
+            label = np.unique(np.array([x[1] for x in held], dtype=object), return_inverse=True)[1]
+            if not label.any():
+                return []
+            return [(held[i][0], held[j][0]) for i, j in compare([x[3] for x in held], np.array([x[2] for x in held]), label, known)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(group: pa.Table) -> Iterator[np.ndarray]:
-            sid, root, tile, sizes = (group.column(c).to_numpy() for c in ("sid", "root", "tile", "n"))
-            if (root == root[0]).all():
-                return
-            vectors = [np.frombuffer(x, dtype=np.uint8) for x in group.column("short").to_pylist()]
-            groups = min(map(len, vectors))
-            fine = np.array([v.reshape(groups, -1).sum(axis=1, dtype=np.int32) for v in vectors])
-            counts = fine.reshape(len(fine), GROUPS, -1).sum(axis=2)
-            one, other = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
-            left = CountTree(counts[one], sizes[one])
-            right = left if tile.min() == tile.max() else CountTree(counts[other], sizes[other])
-            for i, j in left.pairs(right, percent):
-                a, b = one[i], other[j]
-                apart = root[a] != root[b]
-                a, b = a[apart], b[apart]
-                overlap = np.minimum(fine[a], fine[b]).sum(axis=1)
-                may = possible(overlap, sizes[a], sizes[b], percent)
-                yield np.unique(np.sort(np.column_stack([sid[a[may]], sid[b[may]]]), axis=1), axis=0)
-
-        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-            ends = np.unique(np.concatenate(found), axis=0)
-            return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        found: list[np.ndarray] = []
-        key = None
+        found: list[tuple] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = np.column_stack([np.asarray(batch.column(c)) for c in ("key", "lo", "hi")])
-            starts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, len(at)]
-            for s, e in zip(starts[:-1], starts[1:]):
-                if key is not None and tuple(at[s]) != key:
-                    found += compare(pa.Table.from_batches(held))
+            for at, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != last and held:
+                    found += close()
                     held = []
-                    if sum(map(len, found)) > 200_000:
-                        yield batch_of(found)
-                        found = []
-                key = tuple(at[s])
-                held.append(batch.slice(s, e - s))
-        if held:
-            found += compare(pa.Table.from_batches(held))
-        if found:
-            yield batch_of(found)
-
-    dealt = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "tile", "sid", "root", "n", "short")
-    return dealt.mapInArrow(run, "a long, b long").unionByName(alone).distinct()
-
+                last = at
+                held.append(row)
+            if found:
+                yield pa.record_batch([pa.array(x, types[kind]) for x in zip(*found)], names=["a", "b"])
+                found = []
+        if held and (found := close()):
+            yield pa.record_batch([pa.array(x, types[kind]) for x in zip(*found)], names=["a", "b"])
+
+    dealt = rows.join(payload, "id").select("at", "id", "root", "n", "content").repartition("at").sortWithinPartitions("at")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def compared_blocks(members: DataFrame, payload: DataFrame, compare, kind: str, most: int, room: int) -> DataFrame:
+    """(a, b): pairs that join, in each ``key`` of the staged ``members`` (key, id, size), all that ``compare`` joins.
+
+    A block of up to ``most`` members and ``room`` bytes is compared in one task.
+    Larger ones are dealt out to tiles by hash, several times over, which joins
+    nearly all that belongs together. Then those outside a block's largest
+    joined part are compared with all, tile by tile: rows grow with the block,
+    and with the square only of what stays apart.
+    """
 
-def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def tiles(count: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(count / most), F.ceil(size / room), F.lit(1)).cast("int")
+
+    blocks = stage(members.groupBy("key").agg(F.count("*").alias("n"), tiles(F.count("*"), F.sum("size")).alias("tiles")).where("n > 1"))
+    spot = lambda part, i, j: F.struct(F.col("key"), F.lit(part).alias("part"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    tile = lambda n, *more: F.pmod(F.xxhash64("id", *more), n)
+    zero = F.lit(0)
+    placed = members.join(blocks.select("key", "tiles"), "key")
+    whole = placed.where("tiles = 1").select(spot(0, zero, zero).alias("at"), "id", F.col("id").alias("root"))
+    links = compared(whole, payload, compare, kind)
+    if blocks.where("tiles > 1").isEmpty():
+        return links
+    large = stage(placed.where("tiles > 1"))
+    turns = large.withColumn("turn", F.explode(F.array(*map(F.lit, range(TURNS)))))
+    near = turns.select(spot(1, F.col("turn"), tile(F.col("tiles"), "turn", "key")).alias("at"), "id", F.col("id").alias("root"))
+    links = stage(links.unionByName(compared(near, payload, compare, kind)))
+    roots = components(links).select(F.col("sid").alias("id"), "root")
+    rooted = stage(large.join(roots, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root")))
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    total = parts.groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts"))
+    apart = stage(total.where("parts > 1").select("key", F.col("top.root").alias("main"), tiles(F.col("top.n"), F.col("top.size")).alias("mains"), tiles(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("others")))
+    rows = rooted.join(apart, "key").withColumn("other", F.col("root") != F.col("main")).withColumn("tile", F.when(F.col("other"), tile(F.col("others"))).otherwise(tile(F.col("mains"))))
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    own = F.col("tile")
+    beside = F.when(F.col("other"), F.transform(upto("mains"), lambda j: spot(2, own, j))).otherwise(F.transform(upto("others"), lambda i: spot(2, i, own)))
+    others = F.transform(F.filter(upto("others"), lambda j: F.col("other") & (j != own)), lambda j: spot(3, F.least(own, j), F.greatest(own, j)))
+    return links.unionByName(compared(rows.select("id", "root", F.explode(F.concat(beside, others)).alias("at")), payload, compare, kind))
+
+
+def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", most: int = TILE_SETS, room: int = TILE_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Documents link when their shingle sets have a Jaccard similarity of at least
     ``percent`` in a hundred; ``component_id`` is the least doc_id that links
     reach. Null and empty texts have no shingles and link with nothing; rows
     with equal texts or equal doc_ids each keep their own row. A null doc_id is
-    never a component's least while another is there.
+    never a component's least while another is there. Other columns of ``docs``
+    are left behind, whatever their names. A text of any length is one whole
+    set; a text of over ``room`` bytes is compared in a task of its own tile.
+    Shingles count as equal in ``n_shingles`` if 64-bit hashes over digests of
+    their words are; a link is always tested on the words.
     """
-    source = id_text(docs, id_col, text_col)
-    table = stage(set_table(source, words))
-    sets = table.where("n is not null").select("doc_id", "n", "sid")
-    first = lambda *c: [F.first(x).alias(x) for x in c]
-    points = stage(table.where("n > 0").groupBy("sid").agg(*first("n", "fine", "short"), F.min(F.struct("k1", "k2")).alias("key"), F.min("sid2").alias("low"), F.max("sid2").alias("high")))
-    if not points.where("low <> high").isEmpty():
-        raise ValueError("two shingle sets have the same 64-bit name")
-    names = points.select("sid", "key.k1", "key.k2")
-    stars = stage(block_stars(source, frequent_cells(table), words, percent))
-    tried = stage(bounded(leader_pairs(stars), points, percent))
-    links = stage(verified(source, tried, names, words, percent))
+    return set_groups(docs, percent, words, id_col, text_col, most, room).select("doc_id", "n_shingles", "component_id")
+
+
+def set_groups(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str, most: int, room: int) -> DataFrame:
+    """As ``similar_groups``, with ``sid``, the name of each row's set, null without shingles."""
+    table = stage(set_table(id_text(docs, id_col, text_col), words))
+    rows = table.where("block is null").select("doc_id", "n", "sid")
+    edges = stage(block_edges(table, frequent_cells(table), words, percent))
+    points = stage(table.where("n > 0").groupBy("sid").agg(F.first("route").alias("route"), F.first("n").alias("n"), F.first("fine").alias("fine"), F.first("short").alias("short")))
+    # a block of two sets is one pair, tried once for all blocks; in larger ones the tree decides
+    sizes = edges.groupBy("key").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    alone = sizes.where("n = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    inside = edges.join(sizes.where("n > 1").select("key"), "key").select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = stage(inside.withColumn("size", F.lit(256)))
+
+    def tree(contents: list[bytes], sizes: np.ndarray, label: np.ndarray, known: WordHashes) -> list[tuple[int, int]]:
+        return may_link(contents, sizes, label, percent)
+
+    def exact(contents: list[str], sizes: np.ndarray, label: np.ndarray, known: WordHashes) -> list[tuple[int, int]]:
+        texts = [x.encode() for x in contents]
+        return link_sets(texts, shingle_sets(texts, known, words), label, percent, words)
+
+    vectors = points.select(F.col("route").alias("id"), F.col("short").alias("content"), "n")
+    candidates = stage(bounded(alone, points, percent).unionByName(compared_blocks(members, vectors, tree, "long", most, room)))
+    family = components(candidates).select(F.col("sid").alias("route"), F.col("root").alias("key"))
+    sets = stage(wanted_sets(table, family.select("route")).join(family, "route"))
+    texts = sets.select(F.col("sid").alias("id"), F.col("text").alias("content"), F.col("size").alias("n"))
+    links = stage(compared_blocks(sets.select("key", F.col("sid").alias("id"), "size"), texts, exact, "binary", most, room))
     labels = components(links)
-    more = tree_pairs(stars, labels, points, percent).join(tried, ["a", "b"], "left_anti")
-    more = stage(bounded(more, points, percent))
-    if not more.isEmpty():
-        links = stage(links.unionByName(verified(source, more, names, words, percent)))
-        labels = components(links)
-    rooted = sets.join(labels, "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # the least doc_id of each set, then of all sets that are linked, each as a table of its own: joins can then split a frequent set
+    least = stage(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")))
+    reached = labels.join(least, "sid")
+    roots = stage(reached.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = stage(labels.join(roots, "root").select("sid", "component_id"))
+    of_sets = stage(least.join(linked, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id")))
+    full = rows.where("n > 0").join(of_sets, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sid")
+    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sid"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
