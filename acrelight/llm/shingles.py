@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from acrelight.llm.common import components, documents, id_text, stage
 
@@ -274,30 +275,32 @@ def may_link(vectors: list[bytes], sizes: np.ndarray, label: np.ndarray, percent
     return out
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """A row for each document (doc_id, text, n, sid, route, fine, short), and rows of the count sketch with a block number."""
-    kinds = {"doc_id": pa.int64(), "text": pa.string(), "n": pa.int64(), "sid": pa.binary(), "route": pa.int64(), "fine": pa.binary(), "short": pa.binary(), "block": pa.int32(), "cells": pa.binary()}
-    schema = pa.schema(list(kinds.items()))
+def set_table(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` (doc_id, text, own) with the size, names and counts of each row's set, a number ``at`` of its own, and rows of the count sketch with a block number."""
+    added = {"n": pa.int64(), "sid": pa.binary(), "route": pa.int64(), "fine": pa.binary(), "short": pa.binary(), "block": pa.int32(), "cells": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, known = np.zeros(1 << SKETCH_BITS, dtype=np.int64), WordHashes()
+        given: list[pa.Field] = []
         for batch in batches:
+            given = list(batch.schema)
             texts = text_bytes(batch.column(1))
             for lo, hi in slices(list(map(len, texts))):
                 sets = shingle_sets(texts[lo:hi], known, words)
                 sketch += np.bincount((np.concatenate(sets) & U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 names = [name_of(x) if len(x) else None for x in sets]
-                rows = hi - lo
-                columns = [batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), pa.array(list(map(len, sets)), pa.int64())]
-                columns += [pa.array(names, pa.binary()), pa.array([x and route_of(x) for x in names], pa.int64())]
                 fine = [group_counts(x) if len(x) else None for x in sets]
-                columns += [pa.array(fine, pa.binary()), pa.array([x and short_counts(x) for x in fine], pa.binary())]
-                yield pa.record_batch([*columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
+                columns = [list(map(len, sets)), names, [x and route_of(x) for x in names], fine, [x and short_counts(x) for x in fine], [None] * len(sets), [None] * len(sets)]
+                yield pa.record_batch([*batch.slice(lo, hi - lo).columns, *(pa.array(x, t) for x, t in zip(columns, added.values()))], names=[f.name for f in given] + list(added))
         if sketch.any():
-            empty = [pa.nulls(256, t) for t in list(kinds.values())[:-2]]
-            yield pa.record_batch([*empty, pa.array(range(256), pa.int32()), pa.array([x.tobytes() for x in sketch.astype("<u4").reshape(256, -1)], pa.binary())], schema=schema)
+            nulls = [pa.nulls(256, t) for t in [*(f.type for f in given), *list(added.values())[:-2]]]
+            cells = [x.tobytes() for x in sketch.astype("<u4").reshape(256, -1)]
+            yield pa.record_batch([*nulls, pa.array(range(256), pa.int32()), pa.array(cells, pa.binary())], names=[f.name for f in given] + list(added))
 
-    return docs.mapInArrow(run, "doc_id long, text string, n long, sid binary, route long, fine binary, short binary, block int, cells binary")
+    nullable = [StructField(f.name, f.dataType, True) for f in rows.schema]
+    kinds = {"n": LongType(), "sid": BinaryType(), "route": LongType(), "fine": BinaryType(), "short": BinaryType(), "block": IntegerType(), "cells": BinaryType()}
+    schema = StructType([*nullable, *(StructField(n, t, True) for n, t in kinds.items())])
+    return rows.mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id())
 
 
 def frequent_cells(table: DataFrame) -> np.ndarray:
@@ -501,28 +504,10 @@ def compared_blocks(members: DataFrame, payload: DataFrame, compare, kind: str,
     return links.unionByName(compared(rows.select("id", "root", F.explode(F.concat(beside, others)).alias("at")), payload, compare, kind))
 
 
-def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", most: int = TILE_SETS, room: int = TILE_BYTES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
-
-    Documents link when their shingle sets have a Jaccard similarity of at least
-    ``percent`` in a hundred; ``component_id`` is the least doc_id that links
-    reach. Null and empty texts have no shingles and link with nothing; rows
-    with equal texts or equal doc_ids each keep their own row. A null doc_id is
-    never a component's least while another is there. Other columns of ``docs``
-    are left behind, whatever their names. A text of any length is one whole
-    set; a text of over ``room`` bytes is compared in a task of its own tile.
-    Shingles count as equal in ``n_shingles`` if 64-bit hashes over digests of
-    their words are; a link is always tested on the words.
-    """
-    return set_groups(docs, percent, words, id_col, text_col, most, room).select("doc_id", "n_shingles", "component_id")
-
-
-def set_groups(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str, most: int, room: int) -> DataFrame:
-    """As ``similar_groups``, with ``sid``, the name of each row's set, null without shingles."""
-    table = stage(set_table(id_text(docs, id_col, text_col), words))
-    rows = table.where("block is null").select("doc_id", "n", "sid")
+def linked_sets(table: DataFrame, percent: int, words: int, most: int, room: int) -> DataFrame:
+    """(sid, root): the sets of the staged ``table`` that link with another, and the least set that each reaches."""
     edges = stage(block_edges(table, frequent_cells(table), words, percent))
-    points = stage(table.where("n > 0").groupBy("sid").agg(F.first("route").alias("route"), F.first("n").alias("n"), F.first("fine").alias("fine"), F.first("short").alias("short")))
+    points = stage(table.where("n > 0").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("route", "n", "fine", "short"))))
     # a block of two sets is one pair, tried once for all blocks; in larger ones the tree decides
     sizes = edges.groupBy("key").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     alone = sizes.where("n = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -541,16 +526,52 @@ def set_groups(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     family = components(candidates).select(F.col("sid").alias("route"), F.col("root").alias("key"))
     sets = stage(wanted_sets(table, family.select("route")).join(family, "route"))
     texts = sets.select(F.col("sid").alias("id"), F.col("text").alias("content"), F.col("size").alias("n"))
-    links = stage(compared_blocks(sets.select("key", F.col("sid").alias("id"), "size"), texts, exact, "binary", most, room))
-    labels = components(links)
-    # the least doc_id of each set, then of all sets that are linked, each as a table of its own: joins can then split a frequent set
-    least = stage(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")))
-    reached = labels.join(least, "sid")
-    roots = stage(reached.groupBy("root").agg(F.min("least").alias("component_id")))
+    return components(stage(compared_blocks(sets.select("key", F.col("sid").alias("id"), "size"), texts, exact, "binary", most, room)))
+
+
+def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", most: int = TILE_SETS, room: int = TILE_BYTES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+
+    Documents link when their shingle sets have a Jaccard similarity of at least
+    ``percent`` in a hundred; ``component_id`` is the least doc_id that links
+    reach. Null and empty texts have no shingles and link with nothing; rows
+    with equal texts or equal doc_ids each keep their own row. A null doc_id is
+    never a component's least while another is there. Other columns of ``docs``
+    are left behind, whatever their names. A text of any length is one whole
+    set. Shingles count as equal in ``n_shingles`` if 64-bit hashes over digests
+    of their words are; a link is always tested on the words. One task compares
+    up to ``most`` sets of ``room`` bytes at a time.
+    """
+    table = stage(set_table(id_text(docs, id_col, text_col), words))
+    rows = table.where("block is null").select("doc_id", F.col("n").alias("n_shingles"), "sid")
+    labels = linked_sets(table, percent, words, most, room)
+    # the least doc_id of each set, then of all sets that are linked; each a table of its own, so a join with it can split a frequent set
+    least = stage(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")))
+    roots = stage(labels.join(least, "sid").groupBy("root").agg(F.min("least").alias("component_id")))
     linked = stage(labels.join(roots, "root").select("sid", "component_id"))
     of_sets = stage(least.join(linked, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id")))
-    full = rows.where("n > 0").join(of_sets, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sid")
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sid"))
+    none = rows.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.where("sid is not null").join(of_sets, "sid").select("doc_id", "n_shingles", "component_id").unionByName(none)
+
+
+def keep_one_of_similar(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", most: int = TILE_SETS, room: int = TILE_BYTES) -> DataFrame:
+    """One row of each group of similar documents, in all its columns, and every row without words.
+
+    A group is what links of ``similar_groups`` reach, exact copies included; its
+    row is one of the least doc_id, a null doc_id being the last; equal ids go by
+    their text's hash, and of fully equal rows one stays. Different texts that
+    share a doc_id, or have none, are documents of their own.
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(text_col).isNull().alias("no text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), own.alias("own"))
+    table = stage(set_table(rows, words))
+    labels = linked_sets(table, percent, words, most, room)
+    turn = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tie"), "at")
+    first = stage(table.where("n > 0").groupBy("sid").agg(F.min(turn).alias("first")))
+    kept = first.join(labels, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")).select("first.at")
+    found = table.where("n > 0").join(kept, "at", "left_semi").unionByName(table.where("n = 0"))
+    text = F.when(~F.col("own.`no text`"), F.col("text"))
+    return found.select(*(text.alias(c) if c == text_col else F.col(f"own.`{c}`") for c in docs.columns))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

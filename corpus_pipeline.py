@@ -8,7 +8,7 @@ columns of documents, with n_chars brought up to date.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrelight.llm import line_templates, packing, pii, quality, shingles
@@ -17,45 +17,47 @@ from acrelight.llm.common import documents, stage
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
+def as_given(docs: DataFrame) -> DataFrame:
+    """The columns of documents alone; one that is missing is null."""
+    return docs.select(*((F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name) for name, kind in COLUMNS.items()))
+
+
 def as_documents(docs: DataFrame) -> DataFrame:
-    """The columns of documents alone; one that is missing is null, and n_chars is the text's length."""
-    column = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
-    own = docs.select(*(column(name, kind) for name, kind in COLUMNS.items()))
-    return own.withColumn("n_chars", F.length("text").cast("long"))
+    """The columns of documents alone, with n_chars as the text's length."""
+    return as_given(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts, each row judged by its own text and metadata."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    own = docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in COLUMNS.items()))
-    return as_documents(quality.keep_good(own, labels))
+    """Documents that the co-trained classifier accepts, each row judged by its own text and metadata.
+
+    Null and empty texts and null metadata are judged as such; equal rows have
+    equal judgements; an empty table stays empty. Further columns go.
+    """
+    return as_documents(quality.keep_good(as_given(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of templates that recur across unrelated documents; every document stays."""
-    return as_documents(line_templates.drop_recurring_lines(as_documents(docs)))
+    """Documents without lines of templates that recur across unrelated documents; every row stays, a null text null. Further columns go."""
+    return as_documents(line_templates.drop_recurring_lines(as_given(docs)))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of similar ones, or of each set of equal doc_ids.
+    """One document of each group of similar ones: the one with the least doc_id.
 
-    Documents without words link with nothing and stay.
+    A null doc_id comes last. Different texts that share a doc_id, or have none,
+    are documents of their own; of equal rows one stays. Documents without words
+    link with nothing and all stay. Further columns go.
     """
-    own = as_documents(docs)
-    groups = shingles.similar_groups(own)
-    first = groups.where("doc_id <=> component_id or n_shingles = 0").select(F.col("doc_id").alias("kept")).distinct()
-    found = own.join(first, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source")
-    return found.withColumn("at", F.row_number().over(order)).where("at = 1 or doc_id is null").drop("at")
+    return as_documents(shingles.keep_one_of_similar(as_given(docs)))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose personal data is replaced by its kind; every document stays."""
-    return as_documents(pii.redact(as_documents(docs)))
+    """Documents whose personal data is replaced by its kind; every row stays, a null text null. Further columns go."""
+    return as_documents(pii.redact(as_given(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of every document, with their sequence and offset."""
+    """Token pieces of every row, with their sequence and offset; a null or empty text is one piece of the end token. Further columns go."""
     return packing.packed_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
