@@ -83,8 +83,8 @@ def shared_filter(digests: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
-ROWS = "doc_id long, row string, n_bytes long, chunk_list array<struct<digest:binary,length:int,shared:boolean>>, bodies binary"
-ROW_TYPES = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("n_bytes", pa.int64()), ("chunk_list", pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("shared", pa.bool_())]))), ("bodies", pa.binary())])
+ROWS = "doc_id long, row binary, n_bytes long, chunk_list array<struct<digest:binary,length:int,shared:boolean>>, bodies binary"
+ROW_TYPES = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_bytes", pa.int64()), ("chunk_list", pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("shared", pa.bool_())]))), ("bodies", pa.binary())])
 
 
 class MediaStore:
@@ -96,20 +96,26 @@ class MediaStore:
     def read(self) -> DataFrame:
         """(doc_id, n_bytes, pieces): the bodies in order, private ones from the row, shared ones by joins with the chunk table.
 
-        Rows without shared chunks take no join. A frequent chunk's rows are
-        split by adaptive execution; what meets for one row is its own payload.
+        Rows without shared chunks take no join. Equal payloads fetch their
+        chunks once. A frequent chunk's or payload's rows are split by adaptive
+        execution; what meets for one row is its own payload.
         """
         rows = self.rows
         own = rows.where(~F.exists("chunk_list", lambda c: c["shared"]))
         mixed = rows.where(F.exists("chunk_list", lambda c: c["shared"]))
-        wanted = mixed.select("row", F.explode(F.array_distinct(F.transform(F.filter("chunk_list", lambda c: c["shared"]), lambda c: c["digest"]))).alias("digest"))
-        fetched = wanted.join(self.chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "body")).alias("fetched"))
+        wanted = mixed.select("row", F.explode(F.array_distinct(F.transform(F.filter("chunk_list", lambda c: c["shared"]), lambda c: c["digest"]))).alias("digest")).distinct()
+        fetched = stage(wanted.join(self.chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "body")).alias("fetched")))
         none = F.lit(None).cast(fetched.schema["fetched"].dataType)
         return mixed.join(fetched, "row", "left").select(*rows.columns, "fetched").unionByName(own.withColumn("fetched", none))
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> MediaStore:
-    """Chunk and store the payload of every text; a null text counts as empty, repeated rows are stored each with its own list."""
+    """Chunk and store the payload of every text.
+
+    A null text counts as empty; repeated rows are stored each with its own list.
+    Other columns of ``docs`` are left behind, whatever their names. A text of
+    any length is one payload, held by one task at a time.
+    """
     source = id_text(docs, id_col, text_col)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +137,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Me
                 bodies = chunks_of(payload_of(text))
                 keys = list(map(digest, bodies))
                 shared = list(map(is_shared, keys))
-                name = hashlib.sha256(f"{doc_id}:".encode() + b"".join(keys)).hexdigest()
+                name = digest(b"".join(keys))[:16]
                 out.append((doc_id, name, len(text.encode()), [{"digest": k, "length": len(x), "shared": s} for k, x, s in zip(keys, bodies, shared)], b"".join(x for x, s in zip(bodies, shared) if not s)))
                 if len(out) == 1000:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), ROW_TYPES.types)], schema=ROW_TYPES)
