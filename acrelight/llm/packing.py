@@ -24,7 +24,8 @@ from acrelight.llm.common import documents, id_text, stage
 
 SEQUENCE = 2048
 UNIT = 8
-SALTS = 64
+#: About so many pieces of one length class are ranked in one task.
+RANKED = 500_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 PIECE_TYPES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -93,7 +94,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE,
     crosses white space, on every worker. ``ids`` holds little-endian unsigned
     32-bit ids; each document ends with ``end_id``. A null or empty text gives
     one piece of that id alone; an empty table no pieces; repeated rows and
-    null doc_ids are kept as they are.
+    null doc_ids are kept as they are. A text of any length is tokenised whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,24 +211,25 @@ def whole_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, rou
     return chosen
 
 
-def assign_sequences(pieces: DataFrame, sequence: int = SEQUENCE, unit: int = UNIT) -> DataFrame:
-    """``pieces`` with sequence_id and offset; reads ``pieces`` more than once, so give it a staged table.
+def staged_pieces(pieces: DataFrame) -> DataFrame:
+    """``pieces`` as a table, each with a number of its own that also deals them out evenly, whatever their content."""
+    return stage(pieces.withColumn("_turn", F.xxhash64(F.monotonically_increasing_id())))
 
-    The driver sees counts by length class and salt (at most sequence / unit * 64
-    rows) and sends back as many rank offsets and the pattern runs: all bounded
-    by the sequence length, whatever the input. Pieces are ranked within class
-    and salt, so a class that holds most pieces is still spread over 64 tasks.
+
+def assign_sequences(pieces: DataFrame, sequence: int = SEQUENCE, unit: int = UNIT, ranked: int = RANKED) -> DataFrame:
+    """``staged_pieces`` with sequence_id and offset.
+
+    The driver sees counts by length class and sends back the pattern runs: both
+    bounded by the sequence length, whatever the input. Pieces are ranked within
+    class and salt; there are as many salts as leave about ``ranked`` pieces to
+    each, so a class that holds most pieces is spread over many tasks.
     """
     spark = pieces.sparkSession
     capacity = sequence // unit
-    own = [c for c, kind in pieces.dtypes if kind != "binary"]
-    salted = pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    counts = sorted(map(tuple, salted.groupBy("_class", "_salt").count().collect()))
-    demand: dict[int, int] = {}
-    first: list[tuple[int, int, int]] = []
-    for u, salt, n in counts:
-        first.append((u, salt, demand.get(u, 0)))
-        demand[u] = demand.get(u, 0) + n
+    of_class = F.ceil(F.col("length") / unit).cast("int").alias("_class")
+    demand = dict(sorted(tuple(r) for r in pieces.groupBy(of_class).count().collect()))
+    salts = max(64, -(-max(demand.values(), default=0) // ranked))
+    salted = pieces.withColumn("_class", of_class).withColumn("_salt", F.pmod("_turn", F.lit(salts)).cast("int"))
     runs: list[tuple[int, int, int, int, int]] = []
     used = dict.fromkeys(demand, 0)
     sequences = 0
@@ -236,29 +238,36 @@ def assign_sequences(pieces: DataFrame, sequence: int = SEQUENCE, unit: int = UN
             runs.append((u, used[u], used[u] + n * times, n, sequences))
             used[u] += n * times
         sequences += times
-    ranks = spark.createDataFrame(first, "_class int, _salt int, _first long")
+    counts = salted.groupBy("_class", "_salt").count()
+    upto = Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select("_class", "_salt", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_first"))
     slots = spark.createDataFrame(runs, "_class int, _from long, _to long, _each long, _base long")
-    ranked = (
-        salted.withColumn("_at", F.row_number().over(Window.partitionBy("_class", "_salt").orderBy(*own)) - 1)
-        .join(F.broadcast(ranks), ["_class", "_salt"])
+    placed = (
+        salted.withColumn("_at", F.row_number().over(Window.partitionBy("_class", "_salt").orderBy("_turn")) - 1)
+        .join(ranks, ["_class", "_salt"])
         .withColumn("_rank", F.col("_first") + F.col("_at"))
         .join(F.broadcast(slots), "_class")
         .where("_rank >= _from and _rank < _to")
         .withColumn("sequence_id", F.expr("_base + (_rank - _from) div _each"))
     )
     before = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    return ranked.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select(*pieces.columns, "sequence_id", "offset")
+    own = [c for c in pieces.columns if c != "_turn"]
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select(*own, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token pieces with their ids, sequence_id and offset: training sequences as rows."""
-    return assign_sequences(stage(tokenize_pieces(docs, vocabulary, sequence, end_id, id_col, text_col)), sequence)
+    """Token pieces with their ids, sequence_id and offset: training sequences as rows.
+
+    Nulls, repeated rows and long texts are as in ``tokenize_pieces``; other
+    columns of ``docs`` are left behind, whatever their names.
+    """
+    return assign_sequences(staged_pieces(tokenize_pieces(docs, vocabulary, sequence, end_id, id_col, text_col)), sequence)
 
 
 def packed_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """As ``pack``, with the checksum of each piece's ids in place of the ids."""
     pieces = tokenize_pieces(docs, vocabulary).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return assign_sequences(stage(pieces))
+    return assign_sequences(staged_pieces(pieces))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
