@@ -22,6 +22,8 @@ from acrelight.llm.common import documents, id_text, stage
 KMER = 12
 COMPONENTS = 64
 TUPLE = 2
+#: So many hash values are worked on at once.
+TOGETHER = 1 << 16
 
 
 class OrderMinHash:
@@ -62,17 +64,19 @@ class OrderMinHash:
         if not text:
             return "0000" * self.components
         kmers = self.numbered_kmers(text)
-        out = np.empty(self.components, dtype=">u2")
-        for j in range(self.components):
-            v = (kmers ^ self.masks[j]) * self.factors[j]
-            at = []
-            for _ in range(min(self.tuple_size, len(v))):
-                at.append(int(v.argmin()))
-                v[at[-1]] = 0xFFFFFFFF
-            mixed = 0
-            for i in sorted(at):
-                mixed = ((mixed ^ int(kmers[i])) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
-            out[j] = (mixed >> 40) & 0xFFFF
+        picked = np.empty((self.components, min(self.tuple_size, len(kmers))), dtype=np.int64)
+        step = max(1, TOGETHER // len(kmers))
+        for first in range(0, self.components, step):
+            some = slice(first, first + step)
+            v = (kmers[None, :] ^ self.masks[some, None]) * self.factors[some, None]
+            for i in range(picked.shape[1]):
+                picked[some, i] = at = v.argmin(axis=1)
+                v[np.arange(len(v)), at] = 0xFFFFFFFF
+        picked.sort(axis=1)
+        mixed = np.zeros(self.components, dtype=np.uint64)
+        for i in range(picked.shape[1]):
+            mixed = (mixed ^ kmers[picked[:, i]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+        out = ((mixed >> np.uint64(40)) & np.uint64(0xFFFF)).astype(">u2")
         return out.tobytes().hex()
 
 
@@ -83,7 +87,7 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, fingerprint) of every whole text; null texts count as empty."""
+    """(doc_id, n_chars, fingerprint) of every whole text, of any length; null texts count as empty, repeated rows are kept, other columns left behind."""
     types = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("fingerprint", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +120,8 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text's hash, null doc_ids come first. One range shuffle puts neighbours
     together; each task holds two texts at a time. Only the first and last
     document of each task, two rows a task, meet in a second small job. An empty
-    table gives no rows; a lone document is its own neighbour.
+    table gives no rows; a lone document is its own neighbour. Null texts count as
+    empty; other columns of ``docs`` are left behind, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
