@@ -7,7 +7,7 @@ bytes has an anchor, its least k-gram by hash. Equal windows have equal anchors
 in the same place, and neighbouring windows mostly share one.
 
 Anchors meet by their k-gram. Where all windows of an anchor repeat an earlier
-place as a whole, a hash of their bytes shows it. The others, at the ends of
+place as a whole, 128 bits of a cryptographic digest of their bytes show it. The others, at the ends of
 repeated passages, are sorted with their surroundings: suffixes from the anchor
 on, and reversed prefixes before it. The sort is a mergesort; two suffixes are
 compared by binary search for the longest common extension over prefix
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrelight.llm.common import documents, stage
@@ -31,13 +31,11 @@ SPAN = LENGTH - KGRAM + 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 U = np.uint64
-#: An anchor's place in one number: which row of a doc_id, position, how far back its windows reach, how near they end.
-POSITION_BITS = 31
 #: About so many anchors are sorted at once.
 CHUNK = 20_000
 FILTER_BITS = 26
-#: With more places than this around one k-gram, windows meet by their hash instead, spread over all tasks.
-HOT = 200_000
+#: With more places than this around one k-gram, their windows are dealt out by digest over all tasks, with the same result.
+HOT = 20_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -67,10 +65,10 @@ class Hasher:
         return sums
 
     def anchors(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, context hash, position, first start, last start) of each anchor, over all windows in order."""
+        """(key, position, first start, last start) of each anchor, over all windows in order."""
         n = len(data)
         if n < LENGTH:
-            return tuple(np.zeros((5, 0), dtype=np.int64))
+            return tuple(np.zeros((4, 0), dtype=np.int64))
         sums = self.prefixes(data)
         kgrams = mixed((sums[KGRAM:] - sums[:-KGRAM]) * self.inverse[: n - KGRAM + 1])
         least, at = kgrams, np.arange(len(kgrams), dtype=np.int32)
@@ -83,70 +81,83 @@ class Hasher:
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:] - 1, n - LENGTH]
         position = at[first].astype(np.int64)
-        context = (sums[last + LENGTH] - sums[first]) * self.inverse[first]
-        shape = ((position - first) * SPAN + (position - last)).astype(np.uint64)
-        return kgrams[position].astype(np.int64), mixed(context + shape * U(BASE)).astype(np.int64), position, first, last
+        return kgrams[position].astype(np.int64), position, first, last
 
 
-def merged(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+def digest_of(window: bytes, shape: int = 0) -> bytes:
+    """128 bits that name a string and, with ``shape``, where in it an anchor is."""
+    return hashlib.blake2b(window + shape.to_bytes(2, "little"), digest_size=16).digest()
+
+
+def merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges joined where they touch within a document."""
-    order = np.lexsort((lo, row, doc))
-    doc, row, lo, end = doc[order], row[order], lo[order], end[order]
+    order = np.lexsort((lo, doc))
+    doc, lo, end = doc[order], lo[order], end[order]
     if not len(doc):
-        return doc, row, lo, end
-    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]
+        return doc, lo, end
+    fresh = np.r_[True, doc[1:] != doc[:-1]]
     group = np.cumsum(fresh)
     reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
     starts = np.r_[True, fresh[1:] | (lo[1:] > reach[:-1])]
     first = np.flatnonzero(starts)
-    return doc[first], row[first], lo[first], np.maximum.reduceat(end, first)
+    return doc[first], lo[first], np.maximum.reduceat(end, first)
 
 
-def place_of(row: np.ndarray, position: np.ndarray, back: np.ndarray, front: np.ndarray) -> np.ndarray:
-    return ((row << POSITION_BITS | position) << 7 | back) << 7 | front
+def place_of(position: np.ndarray, back: np.ndarray, front: np.ndarray) -> np.ndarray:
+    """An anchor's place in one number: position, how far back its windows reach, how near they end."""
+    return (position << 7 | back) << 7 | front
 
 
 def place_parts(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    return place >> (POSITION_BITS + 14), (place >> 14) & ((1 << POSITION_BITS) - 1), (place >> 7) & 127, place & 127
+    return place >> 14, (place >> 7) & 127, place & 127
 
 
-MARKS = "key long, context long, doc long, place long, ends long"
+MARKS = "key long, context binary, doc long, place long, ends long"
 MARK_NAMES = ["key", "context", "doc", "place", "ends"]
 
 
 def mark_batch(key, context, doc, place, ends=None) -> pa.RecordBatch:
     last = pa.nulls(len(key), pa.int64()) if ends is None else pa.array(ends)
-    return pa.record_batch([*(pa.array(x, pa.int64()) for x in (key, context, doc, place)), last], names=MARK_NAMES)
+    return pa.record_batch([pa.array(key, pa.int64()), pa.array(context, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), last], names=MARK_NAMES)
 
 
-def cover_batch(doc, row, lo, end) -> pa.RecordBatch:
+def cover_batch(doc, lo, end) -> pa.RecordBatch:
     """Ranges to remove, as marks that carry their end; dealt out by document."""
-    doc, row, lo, end = merged(doc, row, lo, end)
+    doc, lo, end = merged(doc, lo, end)
     zero = np.zeros_like(doc)
-    return mark_batch(mixed(doc.astype(np.uint64)).astype(np.int64), zero, doc, place_of(row, lo, zero, zero), end)
+    return mark_batch(mixed(doc.astype(np.uint64)).astype(np.int64), [b""] * len(doc), doc, place_of(lo, zero, zero), end)
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of every text; within a batch, all but the first of equal ones become ranges to remove at once."""
     hasher = Hasher()
     for batch in batches:
+        docs = batch.column(0).to_pylist()
+        order = sorted(range(len(docs)), key=docs.__getitem__)
+        seen: set[bytes] = set()
         parts: list[tuple] = []
         size = 0
-        for i in range(batch.num_rows):
-            data = np.frombuffer(batch.column(2)[i].as_buffer() or b"", dtype=np.uint8)
-            found = hasher.anchors(data)
-            parts.append((*found, *(np.full(len(found[0]), batch.column(c)[i].as_py(), dtype=np.int64) for c in (0, 1))))
-            size += len(data)
-            if size > 16_000_000 or i == batch.num_rows - 1:
-                key, context, position, first, last, doc, row = map(np.concatenate, zip(*parts))
-                order = np.lexsort((position, row, doc))
-                key, context, position, first, last, doc, row = (x[order] for x in (key, context, position, first, last, doc, row))
-                _, at = np.unique(mixed(key.astype(np.uint64) + U(BASE)) ^ context.astype(np.uint64), return_index=True)
-                keep = np.zeros(len(key), dtype=bool)
-                keep[at] = True
-                yield mark_batch(key[keep], context[keep], doc[keep], place_of(row, position, position - first, position - last)[keep])
-                yield cover_batch(doc[~keep], row[~keep], first[~keep], last[~keep] + LENGTH)
-                parts, size = [], 0
+        for step, i in enumerate(order):
+            text = batch.column(1)[i].as_buffer()
+            raw = text.to_pybytes() if text is not None else b""
+            key, position, first, last = hasher.anchors(np.frombuffer(raw, dtype=np.uint8))
+            context, keep = [], np.ones(len(key), dtype=bool)
+            shape = ((position - first) * SPAN + (position - last)).tolist()
+            for at, (a, b, n) in enumerate(zip(first.tolist(), (last + LENGTH).tolist(), shape)):
+                name = digest_of(raw[a:b], n)
+                context.append(name)
+                if name in seen:
+                    keep[at] = False
+                else:
+                    seen.add(name)
+            parts.append((key, position, first, last, np.full(len(key), docs[i], dtype=np.int64), keep, context))
+            size += len(raw)
+            if size > 16_000_000 or step == len(order) - 1:
+                key, position, first, last, doc, keep = map(np.concatenate, list(zip(*parts))[:6])
+                names = [x for p in parts for x, k in zip(p[6], p[5].tolist()) if k]
+                yield mark_batch(key[keep], names, doc[keep], place_of(position, position - first, position - last)[keep])
+                yield cover_batch(doc[~keep], first[~keep], last[~keep] + LENGTH)
+                parts, size, seen = [], 0, set()
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,22 +173,24 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = np.asarray(batch.column(4).is_valid())
         if ready.any():
             yield batch.filter(pa.array(ready))
-        key, context, doc, place = (np.asarray(c)[~ready] for c in batch.columns[:4])
+            batch = batch.filter(pa.array(~ready))
+        key, doc, place = (np.asarray(batch.column(c)) for c in (0, 2, 3))
+        context = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, 2)
         if held is not None:
-            key, context, doc, place = (np.r_[h, x] for h, x in zip(held, (key, context, doc, place)))
+            key, context, doc, place = (np.concatenate([h, x]) for h, x in zip(held, (key, context, doc, place)))
         if not len(key):
             continue
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])]
-        row, position, back, front = place_parts(place[~fresh])
-        yield cover_batch(doc[~fresh], row, position - back, position - front + LENGTH)
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]).any(axis=1)]
+        position, back, front = place_parts(place[~fresh])
+        yield cover_batch(doc[~fresh], position - back, position - front + LENGTH)
         at = np.flatnonzero(fresh)
         same = key[at][1:] == key[at][:-1]
         edge = np.r_[before, same] | np.r_[same, False]
         out = at[:-1][edge[:-1]]
-        yield mark_batch(key[out], context[out], doc[out], place[out])
+        yield mark_batch(key[out], [b""] * len(out), doc[out], place[out])
         held, before = tuple(x[at[-1] : at[-1] + 1] for x in (key, context, doc, place)), bool(edge[-1])
     if held is not None and before:
-        yield mark_batch(*held)
+        yield mark_batch(held[0], [b""], held[2], held[3])
 
 
 class SuffixOrder:
@@ -263,7 +276,7 @@ def repeated_windows(group: np.ndarray, doc: np.ndarray, place: np.ndarray, afte
     of it backwards. A window that starts r bytes before its anchor is the same
     as another's if r bytes before and LENGTH - r bytes after are the same.
     """
-    row, position, back, front = place_parts(place)
+    position, back, front = place_parts(place)
     forward = SuffixOrder(after, LENGTH - front, group, hasher)
     reverse = SuffixOrder(before, back, group, hasher)
     earliest = np.lexsort((place, doc))
@@ -281,7 +294,7 @@ def repeated_windows(group: np.ndarray, doc: np.ndarray, place: np.ndarray, afte
     edges = np.diff(np.pad(repeated, ((0, 0), (1, 0))).astype(np.int8), axis=1)
     for_row, least = np.nonzero(edges == 1)
     _, most = np.nonzero(edges == -1)
-    out = (doc[for_row], row[for_row], position[for_row] - (most - 1), position[for_row] - least + LENGTH)
+    out = (doc[for_row], position[for_row] - (most - 1), position[for_row] - least + LENGTH)
     return cover_batch(*out)
 
 
@@ -321,7 +334,7 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, data, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             data = data.as_buffer().to_pybytes() if data.as_buffer() is not None else b""
             for x in anchors:
-                _, position, back, front = (int(v) for v in place_parts(np.int64(x["place"])))
+                position, back, front = (int(v) for v in place_parts(np.int64(x["place"])))
                 keys.append(x["key"])
                 docs.append(doc)
                 places.append(x["place"])
@@ -330,39 +343,37 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, doc, row, lo) of every window of each anchor, w1 and w2 being hashes of its bytes."""
-    hasher, other = Hasher(), Hasher(6)
+    """(window, doc, lo) of every window of each anchor, by the digest of its bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
         doc, place = (np.asarray(batch.column(c)) for c in (1, 2))
-        row, position, back, front = place_parts(place)
-        around = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
-        sums = [np.pad(np.cumsum(h.values[around] * h.power[: around.shape[1]], axis=1, dtype=np.uint64), ((0, 0), (1, 0))) for h in (hasher, other)]
+        position, back, front = place_parts(place)
+        around = batch.column(3).to_pylist()
         for r in range(SPAN):
             at = np.flatnonzero((front <= r) & (r <= back))
             s = SPAN - 1 - r
-            names = [mixed((x[at, s + LENGTH] - x[at, s]) * hasher.inverse[s]).astype(np.int64) for x in sums]
-            yield pa.record_batch([*map(pa.array, names), pa.array(doc[at]), pa.array(row[at]), pa.array(position[at] - r)], names=["w1", "w2", "doc", "row", "lo"])
+            names = [digest_of(around[i][s : s + LENGTH]) for i in at.tolist()]
+            yield pa.record_batch([pa.array(names, pa.binary()), pa.array(doc[at]), pa.array(position[at] - r)], names=["window", "doc", "lo"])
 
 
-def repeated_by_hash(around: DataFrame) -> DataFrame:
-    """(doc, row, range) of windows that start earlier too: a window's first place is found before rows are shuffled."""
-    rows = stage(around.mapInArrow(windows, "w1 long, w2 long, doc long, row long, lo long"))
-    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "row", "lo")).alias("first"))
-    later = rows.join(first, ["w1", "w2"]).where(F.struct("doc", "row", "lo") > F.col("first"))
-    return later.select("doc", "row", F.struct("lo", (F.col("lo") + LENGTH).alias("ends")).alias("range"))
+def repeated_by_digest(around: DataFrame) -> DataFrame:
+    """(doc, range) of windows that start earlier too: a window's first place is found before rows are shuffled."""
+    rows = stage(around.mapInArrow(windows, "window binary, doc long, lo long"))
+    first = stage(rows.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("first")))
+    later = rows.join(first, "window").where(F.struct("doc", "lo") > F.col("first"))
+    return later.select("doc", F.struct("lo", (F.col("lo") + LENGTH).alias("ends")).alias("range"))
 
 
-RESULT = ["doc", "row", "n_bytes", "n_removed", "n_spans", "kept"]
-RESULT_KINDS = "doc long, row long, n_bytes long, n_removed long, n_spans long, kept binary"
-RESULT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+RESULT_KINDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+RESULT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, row, data, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+        for doc_id, data, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             data = data.as_py() or b""
             at, cut, spans, kept = 0, 0, 0, []
             for lo, end in sorted((x["lo"], x["ends"]) for x in ranges):
@@ -374,23 +385,34 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cut += end - at
                 at = max(at, end)
             kept.append(data[at:])
-            out.append((doc, row, len(data), cut, spans, b"".join(kept)))
+            out.append((doc_id, len(data), cut, spans, b"".join(kept)))
         if out:
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), RESULT_TYPES)], names=RESULT)
 
 
-def sieve(docs: DataFrame, wanted: DataFrame) -> tuple:
-    """Bits for the cells of the documents in ``wanted``: one size for every corpus, so it may go to every task.
+def sieve(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that may be in ``wanted``, and the others.
 
-    Where it lets a document pass for nothing, the join behind it drops it.
+    The filter has one size for every corpus, so it may go to every task; tasks
+    build its parts. Where it lets a document pass for nothing, the join behind
+    it drops it.
     """
-    words = 1 << 12
+    low = 15
     cell = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
-    packed = wanted.select(cell.alias("cell")).distinct().groupBy((F.col("cell") / words).cast("int").alias("block")).agg(F.collect_set((F.col("cell") % words).cast("int")).alias("cells"))
-    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    for block, cells in packed.toLocalIterator():
-        bits[block * words + np.array(cells)] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                found.setdefault(at >> low, np.zeros(1 << low, dtype=bool))[at & ((1 << low) - 1)] = True
+        if found:
+            yield pa.record_batch([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], names=["block", "bits"])
+
+    cells = wanted.select(cell.alias("cell")).distinct().repartition(F.shiftright("cell", low))
+    bits = np.zeros((1 << (FILTER_BITS - low), 1 << (low - 3)), dtype=np.uint8)
+    for block, packed in cells.mapInArrow(pack, "block int, bits binary").collect():
+        bits[block] = np.frombuffer(packed, dtype=np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
     def passing(keep: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,19 +421,25 @@ def sieve(docs: DataFrame, wanted: DataFrame) -> tuple:
                 found = (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
                 yield batch.select([0, 1, 2]).filter(pa.array(found == keep))
 
-        return docs.withColumn("cell", cell).mapInArrow(run, "doc long, row long, data binary")
+        return docs.select("doc", "doc_id", "data", cell.alias("cell")).mapInArrow(run, "doc long, doc_id long, data binary")
 
     return passing(True), passing(False)
 
 
 def ordered_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, row, data): null doc_ids before all others; rows that share a doc_id are numbered by their text's hash."""
-    lowest = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("doc"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
-    if rows.groupBy("doc").count().where("count > 1").isEmpty():
-        return rows.select("doc", F.lit(0).cast("long").alias("row"), "data")
-    numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("data"))).cast("long") - 1)
-    return stage(numbered.select("doc", "row", "data"))
+    """(doc, doc_id, data): ``doc`` is a number of its own for each row, in the order of documents.
+
+    Where doc_ids are such numbers they serve. Else rows are sorted over all tasks
+    by doc_id, null first, then by their text's hash, and numbered as they come;
+    fully equal rows in any order.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "data")
+    turn = rows.withColumn("tie", F.xxhash64("data")).withColumn("turn", F.xxhash64(F.monotonically_increasing_id()))
+    order = ["doc_id", "tie", "turn"]
+    sorted_ = turn.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(sorted_.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "data"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -419,36 +447,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a
     smaller doc_id, or before in the same document. Null and empty texts, and
-    texts under LENGTH bytes, lose nothing. Rows that share a doc_id are
-    documents of their own, ordered by their text's hash; so a repeated row
-    loses all if it has LENGTH bytes. A text holds at most 2 GB.
+    texts under LENGTH bytes, lose nothing. Null doc_ids come first. Rows that
+    share a doc_id, or have none, are documents of their own, ordered by their
+    text's hash; so a repeated row loses all if it has LENGTH bytes. A text holds
+    at most 2 GB. Other columns of ``docs`` are left behind, whatever their names.
     """
     source = ordered_documents(docs, id_col, text_col)
-    dealt = source.mapInArrow(find_anchors, MARKS).repartition("key").sortWithinPartitions("key", "context", "doc", "place")
-    marks = stage(dealt.mapInArrow(resolve, MARKS))
-    row_of: Column = F.shiftright("place", POSITION_BITS + 14).alias("row")
-    ends = marks.where("ends is null").select("doc", row_of, "key", "place")
+    dealt = source.select("doc", "data").mapInArrow(find_anchors, MARKS).repartition("key").sortWithinPartitions("key", "context", "doc", "place")
+    marks = stage(dealt.mapInArrow(resolve, MARKS).drop("context"))
+    ends = marks.where("ends is null").select("doc", "key", "place")
     frequent = stage(ends.groupBy("key").count().where(F.col("count") > hot).select("key"))
-    edges = ends.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "place")).alias("anchors"))
-    edges = stage(edges)
+    edges = stage(ends.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("anchors")))
     texts, _ = sieve(source, edges.select("doc"))
-    around = texts.join(edges, ["doc", "row"]).select("doc", "data", "anchors").mapInArrow(contexts, "key long, doc long, place long, around binary")
+    around = texts.join(edges, "doc").select("doc", "data", "anchors").mapInArrow(contexts, "key long, doc long, place long, around binary")
     some = not frequent.isEmpty()
     around = stage(around) if some else around
     sorted_ = around.join(frequent, "key", "left_anti") if some else around
-    late = sorted_.repartition("key").sortWithinPartitions("key").mapInArrow(sort_edges, MARKS)
-    position = F.shiftright("place", 14).bitwiseAND((1 << POSITION_BITS) - 1)
-    covers = marks.where("ends is not null").unionByName(late).select("doc", row_of, F.struct(position.alias("lo"), "ends").alias("range"))
+    late = sorted_.repartition("key").sortWithinPartitions("key").mapInArrow(sort_edges, MARKS).drop("context")
+    covers = marks.where("ends is not null").unionByName(late).select("doc", F.struct(F.shiftright("place", 14).alias("lo"), "ends").alias("range"))
     if some:
-        covers = covers.unionByName(repeated_by_hash(around.join(frequent, "key", "left_semi").select("key", "doc", "place", "around")))
-    ranges = stage(covers.groupBy("doc", "row").agg(F.collect_set("range").alias("ranges")))
+        covers = covers.unionByName(repeated_by_digest(around.join(frequent, "key", "left_semi").select("key", "doc", "place", "around")))
+    ranges = stage(covers.groupBy("doc").agg(F.collect_set("range").alias("ranges")))
     cut, whole = sieve(source, ranges.select("doc"))
     none = F.array().cast(ranges.schema["ranges"].dataType)
-    changed = cut.join(ranges, ["doc", "row"], "left").select("doc", "row", "data", F.coalesce("ranges", none).alias("ranges")).mapInArrow(removed, RESULT_KINDS)
+    changed = cut.join(ranges, "doc", "left").select("doc_id", "data", F.coalesce("ranges", none).alias("ranges")).mapInArrow(removed, RESULT_KINDS)
     zero = F.lit(0).cast("long")
-    same = whole.select("doc", "row", F.octet_length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"))
-    doc_id = F.when(F.col("doc") != F.lit(-(1 << 63)).cast("long"), F.col("doc")).alias("doc_id")
-    return changed.unionByName(same).select(doc_id, "n_bytes", "n_removed", "n_spans", "kept")
+    same = whole.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"))
+    return changed.unionByName(same)
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
