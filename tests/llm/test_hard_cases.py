@@ -1,0 +1,173 @@
+"""Colliding hashes, shared and missing ids, very long texts, clashing names, and the pipeline's stages."""
+
+import random
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from acrelight.llm import line_templates, media, packing, pii, quality, shingles, suffixes
+
+from .conftest import SCHEMA
+from .test_copies import brute_groups, near_copies
+from .test_text import words
+
+#: Two pairs of texts that a chained 64-bit hash takes for one.
+FIRST = "dteatjbl------------------------aaqgbmfv------------------------"
+SECOND = "ybgrcbaz------------------------xH,(#}^=------------------------"
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+
+
+def test_texts_whose_hashes_collide_get_their_own_results(spark):
+    docs = frame(spark, [FIRST + " mail q@b.cd", SECOND + " mail nobody"])
+    assert {r["doc_id"]: r["n_email"] for r in pii.span_digests(docs).collect()} == {0: 1, 1: 0}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == {0: FIRST + " mail <EMAIL>", 1: SECOND + " mail nobody"}
+    assert {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs).collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def test_words_whose_hashes_collide_do_not_link(spark):
+    texts = [thue_morse(1024, 0), thue_morse(1024, 1), "a" * 65536 + "b" + "x" * 9 + "a", "b" + "a" * 65536 + "x" * 9 + "a", thue_morse(1024, 0).upper()]
+    docs = frame(spark, texts)
+    assert Counter(map(tuple, shingles.similar_groups(docs).collect())) == brute_groups(list(enumerate(texts)))
+
+
+def test_blocks_dealt_out_as_tiles_lose_no_link(spark):
+    docs = near_copies(spark, 4, 90)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert Counter(map(tuple, shingles.similar_groups(docs, most=4).collect())) == brute_groups(rows)
+
+
+def test_one_of_each_group_stays(spark):
+    draw = random.Random(2)
+    a, b, c = words(draw, 30), words(draw, 30), words(draw, 30)
+    rows = [(5, a, "en", "s", 1), (3, a.upper(), "en", "s", 1), (3, b, "en", "s", 1), (3, b, "en", "s", 1), (None, a, "en", "s", 1), (None, c, "x", "s", 1), (None, c, "x", "s", 1), (None, None, "en", None, None), (7, " ", "en", None, None), (7, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit(n) for n in ("at", "own", "sid", "first", "root", "block")})
+    kept = shingles.keep_one_of_similar(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"], r["at"]) for r in kept.collect()) == Counter([(3, a.upper(), "at"), (3, b, "at"), (None, c, "at"), (None, None, "at"), (7, " ", "at"), (7, None, "at")])
+
+
+@pytest.mark.parametrize("n", [4, 200])
+def test_a_documents_spans_do_not_depend_on_others(spark, n):
+    draw = random.Random(n)
+    token = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'{words(draw, 9)} token = "{token()}" {words(draw, 3)}' for _ in range(n)]
+    clean = [r["text"] for r in pii.redact(frame(spark, texts)).collect()]
+    assert all("<SECRET>" in x for x in clean)
+
+
+def test_planted_kinds_are_found_and_look_alikes_are_not(spark):
+    told = pii.planted(900, seed=99)
+    docs = frame(spark, [t for t, _ in told])
+    found = {r["doc_id"]: r["spans"] for r in pii.span_digests(docs).collect()}
+    hit, false = Counter(), Counter()
+    for i, (text, spans) in enumerate(told):
+        got = {(k, text[int(a) : int(b)]) for k, a, b in (x.split(":") for x in found[i].split(",") if x)}
+        for kind, span in spans:
+            hit[kind, (kind, span) in got] += 1
+        false[bool(spans), bool(got - set(spans))] += 1
+    for kind in pii.ORDER:
+        assert hit[kind, True] > 0.9 * (hit[kind, True] + hit[kind, False]), kind
+    assert false[False, True] < 0.1 * (false[False, True] + false[False, False])
+
+
+def test_callers_columns_stay(spark):
+    names = ["k", "row", "found", "dropped", "n", "k1", "k2", "_n", "text key", "a.b"]
+    docs = frame(spark, ["mail q@b.cd", "plain"]).withColumns({n: F.lit(n) for n in names})
+    for out in (pii.redact(docs), line_templates.drop_recurring_lines(docs)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
+    replaced = line_templates.drop_recurring_lines(docs.withColumns({"n_lines": F.lit("x"), "n_dropped": F.lit("y")}))
+    assert {(r["n_lines"], r["n_dropped"]) for r in replaced.collect()} == {(1, 0)}
+
+
+def test_equal_rows_and_null_ids_stay_apart(spark):
+    draw = random.Random(7)
+    text = words(draw, 300)
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    back = media.read_back(media.store(docs)).groupBy("payload_sha256", "n_bytes").count().collect()
+    assert [(r["n_bytes"], r["count"]) for r in back] == [(len(text), 2000)]
+    packed = packing.packed_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+    assert packed.select(F.countDistinct("sequence_id", "offset")).first()[0] == packed.count() >= 2000
+    left = suffixes.remove_repeats(docs).groupBy("n_removed").count().collect()
+    assert {r["n_removed"]: r["count"] for r in left} == {0: 1, len(text): 1999}
+    assert {r["component_id"] for r in shingles.similar_groups(docs).collect()} == {None}
+    assert shingles.keep_one_of_similar(docs).count() == 1
+
+
+def test_least_possible_id_is_an_id(spark):
+    docs = spark.createDataFrame([(-(1 << 63), "x" * 150), (None, "x" * 150), (4, "y")], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["n_removed"]) for r in suffixes.remove_repeats(docs).collect()), key=str) == [(-(1 << 63), 150), (4, 0), (None, 149)]
+
+
+def test_very_long_texts(spark):
+    draw = random.Random(3)
+    vocabulary = [words(draw, 1) for _ in range(5000)]
+    long = [draw.choice(vocabulary) for _ in range(25_000)]
+    other = list(long)
+    for _ in range(300):
+        other[draw.randrange(len(other))] = "new"
+    texts = [" ".join(long), " ".join(other), "\n".join(long), " ".join(long[:1000])]
+    docs = frame(spark, texts)
+    assert Counter(map(tuple, shingles.similar_groups(docs).collect())) == brute_groups(list(enumerate(texts)))
+    found = {r["doc_id"]: r for r in media.read_back(media.store(docs)).collect()}
+    assert [found[i]["n_bytes"] for i in range(4)] == list(map(len, texts))
+    kept = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert kept[2]["n_lines"] == 25_000
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.score_documents(docs, none).count() == 4
+
+
+def stage_cases(spark):
+    draw = random.Random(21)
+    text = words(draw, 40)
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text.upper(), None, None, None), (None, None, None, None, None), (None, words(draw, 20), "de", "b", 9), (3, "", "en", "a", 0), (3, " \n ", "en", "a", 3), (4, " ".join(words(draw, 1) for _ in range(21_000)), "en", "a", 1)]
+    return spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit(1) for n in ("k", "row", "at", "own", "n", "score", "keep", "found", "n_lines", "sid")})
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("labels"))
+    spark.createDataFrame([(None, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name, function", corpus_pipeline.STAGES)
+def test_stages_take_odd_and_empty_tables(spark, labelled, name, function):
+    docs = stage_cases(spark)
+    out = function(spark, docs, labelled)
+    rows = out.collect()
+    if name == "packing":
+        assert sum(r["length"] for r in rows) == sum(n for _, n in {(i, r["doc_tokens"]) for i, r in enumerate(rows) if r["start"] == 0})
+    else:
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+        texts = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+        found = Counter((r["doc_id"], r["text"]) for r in rows)
+        if name == "similar":
+            # of three equal shingle sets one row stays
+            assert sum(texts.values()) - sum(found.values()) == 2 and not found - texts
+        else:
+            assert found == texts
+    assert function(spark, docs.limit(0), labelled).count() == 0
+
+
+def test_whole_pipeline_on_a_table(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_suffix_digests_tell_windows_apart():
+    assert suffixes.digest_of(b"x" * 100) != suffixes.digest_of(b"x" * 100, 1)
+    assert len(suffixes.digest_of(b"")) == 16
