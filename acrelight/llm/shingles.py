@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,16 +54,38 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class WordHashes(dict):
-    """64 bits of a cryptographic digest for each word; forgets all when full, and never holds long words."""
+#: A random 64-bit value for each byte at each of the first places of a word; capital letters have their small letter's.
+PLACES = 64
+VALUES = np.random.default_rng(23).integers(0, 2**64, (PLACES, 256), dtype=np.uint64)
+VALUES[:, 65:91] = VALUES[:, 97:123]
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = found
-        return found
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each text), a word's hash being the sum of its bytes' values at their places.
+
+    Places beyond the table mix a byte's value with the place, so each has values of its own.
+    """
+    data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
+    inside = ~SPACE[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[:1].any():
+        edge = np.r_[0, edge]
+    begin, end = edge[::2], edge[1::2]
+    sizes = end - begin
+    starts = np.cumsum(np.r_[0, [len(x) + 1 for x in texts]])
+    counts = np.diff(np.searchsorted(begin, starts))
+    if not len(begin):
+        return np.zeros(0, dtype=np.uint64), counts
+    letters = data[inside]
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+    values = VALUES.reshape(-1)[(np.minimum(at, PLACES - 1) << 8) | letters]
+    far = np.flatnonzero(at >= PLACES)
+    if len(far):
+        values[far] = mixed(values[far] + mixed(at[far].astype(np.uint64)))
+    return mixed(np.add.reduceat(values, first) + sizes.astype(np.uint64)), counts
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -72,17 +93,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def shingle_sets(texts: list[bytes], known: WordHashes, words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one."""
-    split = list(map(words_of, texts))
-    counts = list(map(len, split))
-    word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=sum(counts))
+    word, counts = word_hashes(texts)
     h = np.full(max(0, len(word) - words + 1), words, dtype=np.uint64)
     for j in range(words):
         h = (h ^ (h >> U(29))) * U(0x9E3779B97F4A7C15) + word[j : j + len(h)]
     h = mixed(h)
     out, at = [], 0
-    for n in counts:
+    for n in counts.tolist():
         if n >= words:
             own = np.sort(h[at : at + n - words + 1])
             out.append(own[np.r_[True, own[1:] != own[:-1]]] if len(own) > 1 else own)
@@ -148,7 +167,10 @@ def short_counts(fine: bytes, most: int = 256) -> bytes:
 
 def common_counts(vectors: list[bytes]) -> np.ndarray:
     """Count vectors as rows, at the coarsest one's groups."""
-    groups = min(map(len, vectors))
+    sizes = list(map(len, vectors))
+    groups = min(sizes)
+    if groups == max(sizes):
+        return np.frombuffer(b"".join(vectors), dtype=np.uint8).reshape(len(vectors), groups).astype(np.int16)
     return np.array([np.frombuffer(v, dtype=np.uint8).reshape(groups, -1).sum(axis=1, dtype=np.int16) for v in vectors])
 
 
@@ -280,13 +302,13 @@ def set_table(rows: DataFrame, words: int) -> DataFrame:
     added = {"n": pa.int64(), "sid": pa.binary(), "route": pa.int64(), "fine": pa.binary(), "short": pa.binary(), "block": pa.int32(), "cells": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, known = np.zeros(1 << SKETCH_BITS, dtype=np.int64), WordHashes()
+        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         given: list[pa.Field] = []
         for batch in batches:
             given = list(batch.schema)
             texts = text_bytes(batch.column(1))
             for lo, hi in slices(list(map(len, texts))):
-                sets = shingle_sets(texts[lo:hi], known, words)
+                sets = shingle_sets(texts[lo:hi], words)
                 sketch += np.bincount((np.concatenate(sets) & U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 names = [name_of(x) if len(x) else None for x in sets]
                 fine = [group_counts(x) if len(x) else None for x in sets]
@@ -336,13 +358,13 @@ def block_edges(table: DataFrame, frequent: np.ndarray, words: int, percent: int
     bits = table.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, known = np.unpackbits(bits.value).astype(bool), WordHashes()
+        often = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
             once = dict(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))))
             routes, texts = list(once), list(once.values())
             keys: list[np.ndarray] = []
             for lo, hi in slices(list(map(len, texts))):
-                for hashes in shingle_sets(texts[lo:hi], known, words):
+                for hashes in shingle_sets(texts[lo:hi], words):
                     keys.append(prefix_of(hashes, often[(hashes & U((1 << SKETCH_BITS) - 1)).astype(np.int64)], percent))
             if not keys:
                 continue
@@ -438,14 +460,15 @@ def compared(rows: DataFrame, payload: DataFrame, compare, kind: str) -> DataFra
     types = {"long": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = WordHashes(), None
+        last = None
         held: list[tuple] = []
 
         def close() -> list[tuple]:
-            label = np.unique(np.array([x[1] for x in held], dtype=object), return_inverse=True)[1]
-            if not label.any():
+            names = {root: i for i, root in enumerate(dict.fromkeys(x[1] for x in held))}
+            if len(names) == 1:
                 return []
-            return [(held[i][0], held[j][0]) for i, j in compare([x[3] for x in held], np.array([x[2] for x in held]), label, known)]
+            label = np.array([names[x[1]] for x in held])
+            return [(held[i][0], held[j][0]) for i, j in compare([x[3] for x in held], np.array([x[2] for x in held]), label)]
 
         found: list[tuple] = []
         for batch in batches:
@@ -514,12 +537,12 @@ def linked_sets(table: DataFrame, percent: int, words: int, most: int, room: int
     inside = edges.join(sizes.where("n > 1").select("key"), "key").select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
     members = stage(inside.withColumn("size", F.lit(256)))
 
-    def tree(contents: list[bytes], sizes: np.ndarray, label: np.ndarray, known: WordHashes) -> list[tuple[int, int]]:
+    def tree(contents: list[bytes], sizes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
         return may_link(contents, sizes, label, percent)
 
-    def exact(contents: list[str], sizes: np.ndarray, label: np.ndarray, known: WordHashes) -> list[tuple[int, int]]:
+    def exact(contents: list[str], sizes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
         texts = [x.encode() for x in contents]
-        return link_sets(texts, shingle_sets(texts, known, words), label, percent, words)
+        return link_sets(texts, shingle_sets(texts, words), label, percent, words)
 
     vectors = points.select(F.col("route").alias("id"), F.col("short").alias("content"), "n")
     candidates = stage(bounded(alone, points, percent).unionByName(compared_blocks(members, vectors, tree, "long", most, room)))
@@ -538,8 +561,8 @@ def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_co
     with equal texts or equal doc_ids each keep their own row. A null doc_id is
     never a component's least while another is there. Other columns of ``docs``
     are left behind, whatever their names. A text of any length is one whole
-    set. Shingles count as equal in ``n_shingles`` if 64-bit hashes over digests
-    of their words are; a link is always tested on the words. One task compares
+    set. Shingles count as equal in ``n_shingles`` if their 64-bit hashes are; a
+    link is always tested on the words. One task compares
     up to ``most`` sets of ``room`` bytes at a time.
     """
     table = stage(set_table(id_text(docs, id_col, text_col), words))
