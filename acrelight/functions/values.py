@@ -137,22 +137,32 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+# The marks that converters leave, in the order in which they are rewritten.
+CLEAN_UPS = [
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]", ""),
+    (r"(?s)\[embed\](.*?)\[/embed\]", "$1"),
+    (r"(?s)\[binary content\](.*?)\[/binary content\]", "$1"),
+    (r"(©[^\n\r]*?)(\r?)(?:\n|\z)(?:©[^\n\r]*?(?:\r?\n|\z))*", "$1$2\n"),
+    (r"(?m)^(\d{1,2}/\d{1,2}/\d{4})\s+\d{1,2}:\d{2}(?::\d{2})?\s*(?:AM|PM)?[^\n]*$", "$1"),
+    (r"\bPage\s+(\d+)\s*(?:\r?\n|\z)", "[[Page $1]]\n"),
+    (r"\[X\]|\[\s\]", "[✓]"),
+    (r"[/\\]([\w\s.-]+)[/\\]", "[$1]"),
+    (r"\n{4,}", "\n\n\n"),
+    (r"[^\x20-\x7E\n\t]", " "),
+]
+
+
 def clean_text(c: Column) -> Column:
-    """Text without the marks that converters leave: control characters, page and time marks, check boxes, paths, blank runs."""
-    rules = [
-        (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),
-        (r"(?m)^\s*\d{1,2}/\d{1,2}/\d{4}\s*$", ""),
-        (r"(?mi)^\s*page \d+(?: of \d+)?\s*$", ""),
-        (r"[☐☑☒]", ""),
-        (r"(?:[A-Za-z]:)?(?:[\\/][\w.-]+){3,}", ""),
-        (r"©(?:\s*©)+", "©"),
-        (r"[^\x00-\x7F]", " "),
-        (r"[ \t]+(?=\n)", ""),
-        (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, put in rules:
+    """Text in plain ASCII without control characters, whose marks are rewritten in fixed order.
+
+    The inside of embedded and binary marks stays, so do the first of several
+    copyright lines, the date of a time stamp, page numbers as '[[Page n]]' and
+    file names of paths in brackets; check boxes become one sign, which the last
+    rule turns into a space as it does all that isn't ASCII.
+    """
+    for pattern, put in CLEAN_UPS:
         c = F.regexp_replace(c, pattern, put)
-    return F.trim(c)
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
 
 
 def split_table_row(c: Column) -> Column:

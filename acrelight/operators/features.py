@@ -28,40 +28,44 @@ def nonzero(c: Column) -> Column:
     return F.when(c != 0, c)
 
 
-def _three_mile(cells: DataFrame, years: Sequence[str]) -> DataFrame:
-    """(doc_id, feature, value, at) of every 3-mile cell that gives a feature."""
-    label = F.lower("label")
-    has = lambda *words: any_of(label, list(words))
-    population = has(*(f"{y} population" for y in years)) | (label == "population")
-    number, share = parse_numeric(F.col("value")), parse_numeric(F.col("value"), percent=True)
-    entry = lambda name, test, v: F.struct(F.lit(name).alias("feature"), test.alias("hit"), v.alias("number"))
-    tests = [
-        entry("population_3mile", population & (F.coalesce(number, F.lit(0.0)) > 1000), number),
-        entry("population_growth_3mile", has("pop growth", "population growth", "household growth"), share),
-        entry("median_hh_income_3mile", has("median household income", "median hh income"), number),
-        entry("median_home_value_3mile", has("median home value"), number),
-        entry("renter_households_pct_3mile", has("renter"), share),
-    ]
-    here = cells.where((F.col("header") == "3 Mile") & (F.col("value") != ""))
-    at = F.struct("src_ord", "table_index", "row_idx", "tie")
-    return here.select("doc_id", at.alias("at"), F.inline(F.array(*tests))).where("hit")
+def joined_prose(texts: DataFrame) -> DataFrame:
+    """(doc_id, _text): a document's texts in order of their page and item, where they have these, then of the texts."""
+    order = [c for c in ("page_number", "item_idx") if c in texts.columns]
+    placed = F.array_sort(F.collect_list(F.struct(*order, "text")))
+    return texts.groupBy("doc_id").agg(F.array_join(F.transform(placed, lambda x: x["text"]), " ").alias("_text"))
 
 
 def demographics_features(cells: DataFrame, texts: DataFrame | None = None, years: Sequence[str] = ("2024",)) -> DataFrame:
-    """(doc_id, five 3-mile features): the last matching row wins; what is missing or zero is looked up by label, then in prose.
+    """(doc_id, five 3-mile features): the last matching row wins; what is missing or zero is looked up in prose.
 
     ``cells`` have a label, and tie, which orders rows of the same place;
-    ``texts`` (doc_id, text) is the section's prose.
+    ``texts`` (doc_id, text) is the section's prose. Only cells whose label
+    matches are parsed, and one aggregation sees every cell once.
     """
     cells = cells if "label" in cells.columns else labelled(cells)
     cells = cells if "tie" in cells.columns else cells.withColumn("tie", F.lit(0))
-    names = ["population_3mile", "population_growth_3mile", "median_hh_income_3mile", "median_home_value_3mile", "renter_households_pct_3mile"]
-    last = lambda n: F.max_by("number", F.when(F.col("feature") == n, F.col("at"))).alias(n)
-    out = cells.select("doc_id").distinct().join(_three_mile(cells, years).groupBy("doc_id").agg(*map(last, names)), "doc_id", "left")
+    label = F.lower("label")
+    here = (F.col("header") == "3 Mile") & (F.col("value") != "")
+    has = lambda *words: F.coalesce(here & any_of(label, list(words)), F.lit(False))
+    hits = {
+        "population_3mile": has(*(f"{y} population" for y in years)) | F.coalesce(here & (label == "population"), F.lit(False)),
+        "population_growth_3mile": has("pop growth", "population growth", "household growth"),
+        "median_hh_income_3mile": has("median household income", "median hh income"),
+        "median_home_value_3mile": has("median home value"),
+        "renter_households_pct_3mile": has("renter"),
+    }
+    at = F.struct("src_ord", "table_index", "row_idx", "tie")
+    marked = cells.select("doc_id", "value", at.alias("at"), *(hit.alias(n) for n, hit in hits.items()))
+    shares = F.col("population_growth_3mile") | F.col("renter_households_pct_3mile")
+    numbers = F.col("population_3mile") | F.col("median_hh_income_3mile") | F.col("median_home_value_3mile")
+    parsed = marked.withColumns({"number": F.when(numbers, parse_numeric(F.col("value"))), "share": F.when(shares, parse_numeric(F.col("value"), percent=True))})
+    parsed = parsed.withColumn("population_3mile", F.col("population_3mile") & (F.coalesce("number", F.lit(0.0)) > 1000))
+    value = lambda n: "share" if n in ("population_growth_3mile", "renter_households_pct_3mile") else "number"
+    out = parsed.groupBy("doc_id").agg(*(F.max_by(value(n), F.when(F.col(n), F.col("at"))).alias(n) for n in hits))
     if texts is not None:
-        out = out.join(texts.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("_text")), "doc_id", "full")
+        out = out.join(joined_prose(texts), "doc_id", "full")
         rent = F.coalesce(extracted(F.col("_text"), r"(?i)(\d+(?:\.\d+)?)\s*%\s*(?:of\s+)?(?:households?\s+)?(?:now\s+)?rent"), extracted(F.col("_text"), r"(?i)rent(?:er|al)?[:\s]+(\d+(?:\.\d+)?)\s*%"))
-        share = names[-1]
+        share = "renter_households_pct_3mile"
         out = out.withColumn(share, F.coalesce(nonzero(F.col(share)), rent.try_cast("double") / 100, F.col(share))).drop("_text")
     return out
 
@@ -118,7 +122,7 @@ def submarket_features(cells: DataFrame, texts: DataFrame | None = None) -> Data
     prose = F.lit(None).cast("double")
     if texts is not None:
         pattern = r"(?i)(?:submarket['s]?\s+)?vacancy\s+(?:rate\s+)?(?:of\s+|has\s+\w+\s+to\s+|is\s+|at\s+)?(\d+(?:\.\d+)?)\s*%"
-        out = out.join(texts.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("_text")), "doc_id", "full")
+        out = out.join(joined_prose(texts), "doc_id", "full")
         prose = nonzero(extracted(F.col("_text"), pattern).try_cast("double") / 100)
     return out.select(
         "doc_id",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from acrelight.functions.values import address_key, clean_text
+from acrelight.functions.values import CLEAN_UPS, address_key, clean_text
 from acrelight.operators import lifecycle as L
 from acrelight.operators import lines as N
 from acrelight.operators import profile as R
@@ -87,7 +89,8 @@ QUERIES = {
     "section_fill": lambda s, x: filled(s, x).select("doc_id", "page_number", "section"),
     "section_inventory": lambda s, x: X.section_inventory(filled(s, x)),
     "assemble_sections": lambda s, x: X.assemble_sections(filled(s, x), pages(s, x).where("kind = 'text'")).select("doc_id", "section", "first_page", "last_page", "n_pages", F.length("raw_text").alias("n_chars")),
-    "clean_pages": lambda s, x: X.clean_pages(X.first_pages(X.items_to_pages(pages(s, x)), 3)),
+    "clean_pages": lambda s, x: X.clean_pages(X.items_to_pages(pages(s, x))),
+    "first_pages": lambda s, x: X.first_pages(X.items_to_pages(pages(s, x)), 3).select("doc_id", "page_number", F.size("text_items").alias("n_text")),
     "bundle_sections": lambda s, x: X.bundle_sections(X.with_subject(_distinct(s, x))).select("base", F.size("documents").alias("n"), F.array_join(F.array_sort(F.map_keys("documents")), ",").alias("sections")),
     "has_property_data": lambda s, x: X.has_property_data(_sections(s, x)).groupBy("section").agg(F.count("*").alias("n")),
     "segment_lines": lambda s, x: N.segment_lines(lines(s, x), F.col("line").rlike(HEADER)).groupBy("doc_id", "segment").agg(F.count("*").alias("n"), F.min("line_idx").alias("first_line")),
@@ -97,7 +100,7 @@ QUERIES = {
     "segment_tables": lambda s, x: N.segment_tables(lines(s, x), F.col("line").rlike(HEADER), F.length("line") > 200).groupBy("doc_id", "block").agg(F.count("*").alias("n")),
     "section_summary": lambda s, x: N.section_summary(lines(s, x)),
     "key_values": lambda s, x: N.key_values(_keyed_lines(s, x)),
-    "clean_text": lambda s, x: view(s, x, "documents").select("doc_id", F.sha2(clean_text(F.col("text")), 256).alias("clean_sha256")),
+    "clean_text": lambda s, x: view(s, x, "documents").select("doc_id", F.sha2(clean_text(F.concat(F.lit(MARKED), "text")), 256).alias("clean_sha256")),
     "page_stats": lambda s, x: N.page_stats(N.split_pages(view(s, x, "documents"))),
     "detect_tables": lambda s, x: N.detect_tables(_wide_lines(s, x)).select("doc_id", "table_idx", "first_line", "last_line", "n_rows", F.size("positions").alias("n_positions")),
 }
@@ -125,6 +128,10 @@ def _wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("doc_id"), at.alias("line_idx"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("text")).otherwise(cell).alias("line"))
 
 
+# a text with every mark of converters, put before each document
+MARKED = " \t[embed]in\nside[/embed] [binary content]raw[/binary content] Subpage 7 \u00a9 one\n\u00a9 two\n\u00a9 three\n1/2/2024 10:30 AM printed\n12/31/2024  9:05\nsee Page 12 \n[X] yes [ ] no /var/my file.txt/ at a\\\\b\\\\\x07\n\n\n\n\nend \u00e9 "
+
+
 TABLES = f"""{cte('properties_fx', 'documents_fx', 'extracted_fx')},
 everything AS (SELECT 'properties' AS table_name, property_id, deleted_at FROM properties_fx
   UNION ALL SELECT 'documents', property_id, deleted_at FROM documents_fx JOIN properties_fx USING (property_id)
@@ -136,7 +143,20 @@ DETECT = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(upper(text), $${p}$$)
 HEAD = DETECT.replace("upper(text)", "upper(header)")
 FILLED = f"{cte('pages_fx')}, det AS (SELECT *, coalesce({HEAD}, {DETECT}) AS detected FROM pages_fx), filled AS (SELECT *, coalesce(last_value(detected IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number ROWS UNBOUNDED PRECEDING), 'unknown') AS section FROM det)"
 COUNT = " GROUP BY 1, 2"
+WIDE = "w AS (SELECT o_custkey AS doc_id, o_orderkey % 5 <> 0 AS cells, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS line_idx FROM orders)"
+
+
+def clean_sql(text: str) -> str:
+    """The clean-up rules as nested calls; groups are written another way there."""
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for pattern, put in CLEAN_UPS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(re.sub(r'[$](\d)', r'\\\1', put))}, 'g')"
+    return f"regexp_replace({text}, '^\\s+|\\s+\\z', '', 'g')"
+
+
 SQL = {
+    "clean_text": f"SELECT doc_id, sha256({clean_sql("(" + " || ".join(f"chr({ord(c)})" if not (c.isalnum() and c.isascii()) else f"'{c}'" for c in MARKED) + " || text)")}) AS clean_sha256 FROM documents",
+    "detect_tables": f"WITH {WIDE}, r AS (SELECT doc_id, line_idx, line_idx - row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS run FROM w WHERE cells), t AS (SELECT doc_id, CAST(min(line_idx) AS INT) AS first_line, CAST(max(line_idx) AS INT) AS last_line, CAST(count(*) AS INT) AS n_rows FROM r GROUP BY doc_id, run HAVING count(*) >= 3) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INT) AS table_idx, 3 AS n_positions FROM t",
     "soft_delete": f"WITH {TABLES} SELECT table_name, CASE WHEN property_id % 10 = 3 AND deleted_at IS NULL THEN DATE '{AS_OF}' ELSE deleted_at END AS deleted_at, count(*) AS n FROM everything{COUNT}",
     "restore": f"WITH {TABLES} SELECT table_name, CASE WHEN property_id % 2 = 0 THEN NULL ELSE deleted_at END AS deleted_at, count(*) AS n FROM everything{COUNT}",
     "purge": f"WITH {TABLES} SELECT table_name, deleted_at, count(*) AS n FROM everything WHERE property_id % 10 <> 3{COUNT}",
@@ -153,7 +173,8 @@ SQL = {
     "section_fill": f"WITH {FILLED} SELECT doc_id, page_number, section FROM filled",
     "section_inventory": f"WITH {FILLED} SELECT section, count(DISTINCT doc_id) AS documents, count(*) AS pages, min(page_number) AS first_page, max(page_number) AS last_page FROM filled GROUP BY 1",
     "assemble_sections": f"WITH {FILLED} SELECT doc_id, section, min(page_number) AS first_page, max(page_number) AS last_page, count(DISTINCT page_number) AS n_pages, CAST(sum(length(text)) + count(*) - 1 AS INT) AS n_chars FROM filled GROUP BY 1, 2",
-    "clean_pages": "SELECT conv_id AS doc_id, turn AS page_number, CAST(count(text) AS INT) AS n_text, CAST(count(role) AS INT) AS n_headers, 0 AS table_count FROM conversations WHERE turn <= 3 GROUP BY 1, 2",
+    "clean_pages": "SELECT conv_id AS doc_id, turn AS page_number, CAST(count(text) AS INT) AS n_text, CAST(count(role) AS INT) AS n_headers, 0 AS table_count FROM conversations GROUP BY 1, 2",
+    "first_pages": "SELECT conv_id AS doc_id, turn AS page_number, CAST(count(text) AS INT) AS n_text FROM conversations WHERE turn <= 3 GROUP BY 1, 2",
     "bundle_sections": f"WITH {cte('extracted_fx')} SELECT property_id AS base, CAST(count(DISTINCT section) AS INT) AS n, string_agg(DISTINCT section, ',' ORDER BY section) AS sections FROM extracted_fx GROUP BY 1 HAVING count(*) FILTER (WHERE section = 'subject_property') > 0",
     "has_property_data": f"WITH {cte('extracted_fx')} SELECT section, count(*) AS n FROM extracted_fx WHERE property_id IN (SELECT property_id FROM extracted_fx WHERE section IN ('subject_property', 'demographics', 'construction', 'combined')) GROUP BY 1",
     "segment_lines": f"WITH {SEGMENTS} SELECT doc_id, segment, count(*) AS n, min(line_idx) AS first_line FROM seg WHERE segment > 0 GROUP BY 1, 2",

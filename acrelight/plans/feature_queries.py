@@ -157,7 +157,29 @@ OUTCOMES = """outcomes AS (
     unnest([CASE WHEN c_custkey % 3 <> 0 THEN c_name END, c_mktsegment, CAST(CAST(c_custkey % 40 AS DOUBLE) / CAST(100 AS DOUBLE) AS VARCHAR), 'price', '1', CASE WHEN c_custkey % 2 = 0 THEN '2' ELSE '3' END, NULL]) AS value
   FROM customer)"""
 SLUG = lambda c, m: f"regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '{m}', 'g'), '^{m}|{m}$', '', 'g')"
+PICK = lambda way, test: f"arg_{way}_null(num, (table_index, row_idx)) FILTER (WHERE {test})"
+ROWS = f"{cte('cells_fx')}, g AS (SELECT doc_id, table_index, row_idx, min(label) AS label, min(value) AS value FROM cells_fx GROUP BY 1, 2, 3), n AS (SELECT *, {NUM} AS num FROM g)"
+
+
+def lookups_sql() -> str:
+    """The last rows' values, then what each lookup finds for those that are missing or zero."""
+    own = {
+        "population_3mile": "label = '2024 Population' AND num > 1000",
+        "population_growth_3mile": "label IN ('Pop Growth 2024-2029', 'Household Growth')",
+        "median_hh_income_3mile": "label = 'Median Household Income'",
+        "median_home_value_3mile": "label = 'Median Home Value'",
+        "renter_households_pct_3mile": "label = 'Renter Occupied'",
+    }
+    value = {n: f"b.{n}" for n in own}
+    for i, (name, label, _, _) in enumerate(X.DEMOGRAPHICS_LOOKUPS):
+        value[name] = f"coalesce(nullif({value[name]}, 0), l{i}, {value[name]})"
+    base = ", ".join(f"{PICK('max', f'row_idx > 4 AND {t}')} AS {n}" for n, t in own.items())
+    found = ", ".join(f"{PICK('min', f'contains(lower(label), {chr(39)}{x[1].lower()}{chr(39)})')} AS l{i}" for i, x in enumerate(X.DEMOGRAPHICS_LOOKUPS))
+    return f"WITH {ROWS}, b AS (SELECT doc_id, {base}, {found} FROM n GROUP BY 1 HAVING max(row_idx) > 4) SELECT doc_id, {', '.join(f'{v} AS {n}' for n, v in value.items())} FROM b"
+
+
 SQL = {
+    "demographics_lookups": lookups_sql(),
     "unit_mix_summary": f"WITH {cte('units_fx')} SELECT property_id, sum(units) AS total_units, sum(available) AS total_available, {half_up('avg(avg_sf)', 4)} AS avg_sf, {half_up('avg(asking_rent)', 4)} AS avg_rent, count(*) AS rows FROM units_fx WHERE bed NOT IN ('Totals', 'All 2 Beds') GROUP BY 1",
     "classify_units": f"WITH {cte('units_fx')}, r(bed, bath, lo, hi, class) AS (VALUES {', '.join(map(str, RANGES))}) SELECT class, count(*) AS n, sum(units) AS units FROM units_fx u LEFT JOIN r ON u.bed = r.bed AND u.bath = r.bath AND avg_sf >= lo AND avg_sf < hi GROUP BY 1",
     "array_mapping": f"""WITH {cte('units_fx')}, g AS (SELECT property_id, bed, bath, sum(units) AS units, sum(available) AS available FROM units_fx GROUP BY 1, 2, 3), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY property_id ORDER BY concat(bed, bath)) + 9 AS INT) AS "row" FROM g)

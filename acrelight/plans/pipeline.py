@@ -10,8 +10,9 @@ from acrelight.operators import features as X
 from acrelight.operators import portfolio as P
 from acrelight.operators import scorecard as S
 from acrelight.plans.feature_queries import cells, quarter_cells
-from acrelight.plans.fixtures import view
-from acrelight.plans.scoring_queries import incoming
+from acrelight.plans.feature_queries import SQL as FEATURE_SQL
+from acrelight.plans.fixtures import cte, view
+from acrelight.plans.scoring_queries import FLAT, SQL as SCORING_SQL, d, decision_sql, half_up, incoming, total_sql
 
 
 def feature_records(demographics: DataFrame, submarket: DataFrame, external: DataFrame) -> DataFrame:
@@ -53,4 +54,19 @@ def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"rescore": _rescored, "backfill": _backfill}
-SQL: dict[str, str] = {}
+
+
+def _body(sql: str) -> str:
+    return f"({sql})"
+
+
+RECORDS = f"""demographic AS (SELECT * FROM {_body(FEATURE_SQL["demographics_features"])}), submarket AS (SELECT * FROM {_body(FEATURE_SQL["submarket_features"])}),
+{cte("features_fx")},
+records AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, population_3mile AS population, population_growth_3mile AS growth, median_hh_income_3mile AS income, median_home_value_3mile AS home_value, renter_households_pct_3mile AS renter,
+  violent, property_crime, school, walk, transit, vacancy_rate AS vacancy, delivered_pct_of_inventory AS delivered, construction_pct_of_inventory AS building
+  FROM demographic a FULL JOIN submarket b ON a.doc_id = b.doc_id LEFT JOIN features_fx f ON f.property_id = coalesce(a.doc_id, b.doc_id)),
+rescored AS (SELECT doc_id, {total_sql(DEFAULT_SCORECARD)} AS total_score, {half_up(" + ".join([d(0.0), *(f"(CASE WHEN {FLAT[f.path]} IS NOT NULL THEN {d(f.weight)} ELSE {d(0.0)} END)" for f in DEFAULT_SCORECARD.factors)]), 3)} AS coverage FROM records)"""
+SQL = {
+    "rescore": f"WITH {RECORDS} SELECT *, {decision_sql('total_score')} AS decision, CASE WHEN total_score >= 7 THEN 'green' WHEN total_score >= {d(5.5)} THEN 'yellow' ELSE 'red' END AS color FROM rescored",
+    "backfill": f"WITH {RECORDS}, built AS (SELECT * FROM {_body(SCORING_SQL['upsert_properties'])} u LEFT JOIN rescored r ON u.incoming_id = r.doc_id) SELECT count(*) AS documents, count(DISTINCT property_id) AS properties, count(*) FILTER (WHERE created) AS created, count(total_score) AS scored FROM built",
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from acrelight.plans import document_queries, feature_queries, freetext_queries, pipeline, scoring_queries, stream_queries
+from acrelight.plans import document_queries, feature_queries, freetext_queries, pipeline, scoring_queries, source_queries, stream_queries
 
-MODULES = [scoring_queries, document_queries, feature_queries, freetext_queries, pipeline, stream_queries]
+MODULES = [scoring_queries, document_queries, feature_queries, freetext_queries, pipeline, source_queries, stream_queries]
 
 
 def queries() -> dict:
