@@ -20,6 +20,7 @@ then on the words; so a family yields at most one link for each of its sets.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,12 @@ SKETCH_BITS = 20
 #: Shingles count as frequent if their cell lies so many standard deviations of even counts over the mean.
 FREQUENT = 5
 #: What one task compares at once: so many sets, and so many bytes of text.
-TILE_SETS, TILE_BYTES = 4096, 48_000_000
+TILE_SETS, TILE_BYTES = 4096, 16_000_000
 #: A larger block's sets are first dealt out to tiles so many times.
 TURNS = 3
 LEAF = 32
+#: Blocks of up to so many links are compared once for all that have the same sets.
+SAME = 64
 #: Texts are worked on together, about so many bytes at a time.
 TOGETHER = 1_500_000
 #: Set filters have so many bits.
@@ -421,17 +424,32 @@ def filter_bits(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.reshape(-1)
 
 
-def wanted_sets(table: DataFrame, routes: DataFrame) -> DataFrame:
-    """(sid, route, text, size): each set whose route is in ``routes``, or falls in the same cell, once."""
-    sent = table.sparkSession.sparkContext.broadcast(filter_bits(routes))
+def wanted_sets(table: DataFrame, family: DataFrame) -> DataFrame:
+    """(key, sid, text, size): each set whose route is in ``family`` (route, key), once; its text compressed, its size before that.
+
+    Each task sends a set once, as far as it remembers, so copies of one text are
+    few where they meet; texts are shuffled by route alone, for the join too.
+    """
+    sent = table.sparkSession.sparkContext.broadcast(filter_bits(family.select("route")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
         for batch in batches:
             at = (np.asarray(batch.column(1)) >> 1) & ((1 << FILTER_BITS) - 1)
-            yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-
-    found = table.where("n > 0").select("sid", "route", "text").mapInArrow(run, "sid binary, route long, text string")
-    return found.groupBy("sid").agg(F.first("route").alias("route"), F.first("text").alias("text")).withColumn("size", F.octet_length("text"))
+            batch = batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            keep = []
+            for sid in batch.column(0).to_pylist():
+                keep.append(sid not in told)
+                told.add(sid)
+            if len(told) > 500_000:
+                told = set()
+            batch = batch.filter(pa.array(keep, pa.bool_()))
+            texts = text_bytes(batch.column(2))
+            yield pa.record_batch([*batch.columns[:2], pa.array([zlib.compress(x, 1) for x in texts], pa.binary()), pa.array(list(map(len, texts)), pa.int64())], names=["sid", "route", "text", "size"])
+
+    found = table.where("n > 0").select("sid", "route", "text").mapInArrow(run, "sid binary, route long, text binary, size long").repartition("route")
+    once = found.groupBy("route", "sid").agg(F.first("text").alias("text"), F.first("size").alias("size"))
+    return once.join(family, "route").select("key", "sid", "text", "size")
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -450,11 +468,10 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return sized.join(side("a", "fine"), "a").join(side("b", "fine"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
 
 
-def compared(rows: DataFrame, payload: DataFrame, compare, kind: str) -> DataFrame:
-    """(a, b): what ``compare`` finds within each ``at`` of ``rows`` (at, id, root); sets of equal ``root`` are joined already.
+def compared(rows: DataFrame, compare, kind: str) -> DataFrame:
+    """(a, b): what ``compare`` finds within each ``at`` of ``rows`` (at, id, root, n, content); sets of equal ``root`` are joined already.
 
-    ``payload`` has a row of (id, content, n) for each set, the least that a
-    comparison needs. ``compare`` takes contents, sizes and labels, and returns
+    ``content`` is the least that a comparison needs of a set. ``compare`` takes contents, sizes and labels, and returns
     pairs of places. One ``at`` is held at a time.
     """
     types = {"long": pa.int64(), "binary": pa.binary()}
@@ -472,24 +489,25 @@ def compared(rows: DataFrame, payload: DataFrame, compare, kind: str) -> DataFra
 
         found: list[tuple] = []
         for batch in batches:
-            for at, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != last and held:
-                    found += close()
-                    held = []
-                last = at
-                held.append(row)
+            for first in range(0, batch.num_rows, 500):
+                for at, *row in zip(*(c.to_pylist() for c in batch.slice(first, 500).columns)):
+                    if at != last and held:
+                        found += close()
+                        held = []
+                    last = at
+                    held.append(row)
             if found:
                 yield pa.record_batch([pa.array(x, types[kind]) for x in zip(*found)], names=["a", "b"])
                 found = []
         if held and (found := close()):
             yield pa.record_batch([pa.array(x, types[kind]) for x in zip(*found)], names=["a", "b"])
 
-    dealt = rows.join(payload, "id").select("at", "id", "root", "n", "content").repartition("at").sortWithinPartitions("at")
+    dealt = rows.select("at", "id", "root", "n", "content").repartition("at").sortWithinPartitions("at")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def compared_blocks(members: DataFrame, payload: DataFrame, compare, kind: str, most: int, room: int) -> DataFrame:
-    """(a, b): pairs that join, in each ``key`` of the staged ``members`` (key, id, size), all that ``compare`` joins.
+def compared_blocks(members: DataFrame, compare, kind: str, most: int, room: int) -> DataFrame:
+    """(a, b): pairs that join, in each ``key`` of the staged ``members`` (key, id, size, n, content), all that ``compare`` joins.
 
     A block of up to ``most`` members and ``room`` bytes is compared in one task.
     Larger ones are dealt out to tiles by hash, several times over, which joins
@@ -502,20 +520,20 @@ def compared_blocks(members: DataFrame, payload: DataFrame, compare, kind: str,
         return F.greatest(F.ceil(count / most), F.ceil(size / room), F.lit(1)).cast("int")
 
     blocks = stage(members.groupBy("key").agg(F.count("*").alias("n"), tiles(F.count("*"), F.sum("size")).alias("tiles")).where("n > 1"))
-    spot = lambda part, i, j: F.struct(F.col("key"), F.lit(part).alias("part"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    spot = lambda part, i, j: F.concat_ws(":", F.col("key").cast("string"), F.lit(part).cast("string"), i.cast("string"), j.cast("string"))
     tile = lambda n, *more: F.pmod(F.xxhash64("id", *more), n)
     zero = F.lit(0)
     placed = members.join(blocks.select("key", "tiles"), "key")
-    whole = placed.where("tiles = 1").select(spot(0, zero, zero).alias("at"), "id", F.col("id").alias("root"))
-    links = compared(whole, payload, compare, kind)
+    whole = placed.where("tiles = 1").select(spot(0, zero, zero).alias("at"), "id", F.col("id").alias("root"), "n", "content")
+    links = compared(whole, compare, kind)
     if blocks.where("tiles > 1").isEmpty():
         return links
     large = stage(placed.where("tiles > 1"))
     turns = large.withColumn("turn", F.explode(F.array(*map(F.lit, range(TURNS)))))
-    near = turns.select(spot(1, F.col("turn"), tile(F.col("tiles"), "turn", "key")).alias("at"), "id", F.col("id").alias("root"))
-    links = stage(links.unionByName(compared(near, payload, compare, kind)))
+    near = turns.select(spot(1, F.col("turn"), tile(F.col("tiles"), "turn", "key")).alias("at"), "id", F.col("id").alias("root"), "n", "content")
+    links = stage(links.unionByName(compared(near, compare, kind)))
     roots = components(links).select(F.col("sid").alias("id"), "root")
-    rooted = stage(large.join(roots, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root")))
+    rooted = stage(large.join(roots, "id", "left").select("key", "id", "size", "n", "content", F.coalesce("root", "id").alias("root")))
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     total = parts.groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts"))
     apart = stage(total.where("parts > 1").select("key", F.col("top.root").alias("main"), tiles(F.col("top.n"), F.col("top.size")).alias("mains"), tiles(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("others")))
@@ -524,32 +542,35 @@ def compared_blocks(members: DataFrame, payload: DataFrame, compare, kind: str,
     own = F.col("tile")
     beside = F.when(F.col("other"), F.transform(upto("mains"), lambda j: spot(2, own, j))).otherwise(F.transform(upto("others"), lambda i: spot(2, i, own)))
     others = F.transform(F.filter(upto("others"), lambda j: F.col("other") & (j != own)), lambda j: spot(3, F.least(own, j), F.greatest(own, j)))
-    return links.unionByName(compared(rows.select("id", "root", F.explode(F.concat(beside, others)).alias("at")), payload, compare, kind))
+    return links.unionByName(compared(rows.select("id", "root", rows["n"], "content", F.explode(F.concat(beside, others)).alias("at")), compare, kind))
 
 
 def linked_sets(table: DataFrame, percent: int, words: int, most: int, room: int) -> DataFrame:
     """(sid, root): the sets of the staged ``table`` that link with another, and the least set that each reaches."""
     edges = stage(block_edges(table, frequent_cells(table), words, percent))
     points = stage(table.where("n > 0").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("route", "n", "fine", "short"))))
-    # a block of two sets is one pair, tried once for all blocks; in larger ones the tree decides
-    sizes = edges.groupBy("key").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    alone = sizes.where("n = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    inside = edges.join(sizes.where("n > 1").select("key"), "key").select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = stage(inside.withColumn("size", F.lit(256)))
+    # a block of two sets is one pair, tried once for all blocks; in larger ones the tree decides, once for blocks of the same sets
+    sizes = stage(edges.groupBy("key").agg(F.count("*").alias("links"), F.first("a").alias("a"), F.first("b").alias("b")))
+    alone = sizes.where("links = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    inside = edges.join(sizes.where("links > 1").select("key", "links"), "key")
+    few = inside.where(F.col("links") <= SAME).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("ids"))
+    several = few.groupBy("ids").agg(F.min("key").alias("key")).select("key", F.explode("ids").alias("id"))
+    many = inside.where(F.col("links") > SAME).select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
+    vectors = points.select(F.col("route").alias("id"), F.col("short").alias("content"), "n", F.lit(256).alias("size"))
+    members = stage(several.unionByName(many).join(vectors, "id"))
 
     def tree(contents: list[bytes], sizes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
         return may_link(contents, sizes, label, percent)
 
-    def exact(contents: list[str], sizes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-        texts = [x.encode() for x in contents]
+    def exact(contents: list[bytes], sizes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+        texts = list(map(zlib.decompress, contents))
         return link_sets(texts, shingle_sets(texts, words), label, percent, words)
 
-    vectors = points.select(F.col("route").alias("id"), F.col("short").alias("content"), "n")
-    candidates = stage(bounded(alone, points, percent).unionByName(compared_blocks(members, vectors, tree, "long", most, room)))
+    candidates = stage(bounded(alone, points, percent).unionByName(compared_blocks(members, tree, "long", most, room)))
     family = components(candidates).select(F.col("sid").alias("route"), F.col("root").alias("key"))
-    sets = stage(wanted_sets(table, family.select("route")).join(family, "route"))
-    texts = sets.select(F.col("sid").alias("id"), F.col("text").alias("content"), F.col("size").alias("n"))
-    return components(stage(compared_blocks(sets.select("key", F.col("sid").alias("id"), "size"), texts, exact, "binary", most, room)))
+    sets = stage(wanted_sets(table, family))
+    texts = sets.select("key", F.col("sid").alias("id"), "size", F.col("size").alias("n"), F.col("text").alias("content"))
+    return components(stage(compared_blocks(texts, exact, "binary", most, room)))
 
 
 def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", most: int = TILE_SETS, room: int = TILE_BYTES) -> DataFrame:
