@@ -39,3 +39,9 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     path = fresh_path(df.sparkSession)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> bool:
+    """Remove all tables that this application has staged; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/acrelight-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
