@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from acrelight.llm import line_templates, media, packing, pii, quality, shingles, suffixes
+from acrelight.llm import entry, fingerprint, line_templates, media, packing, pii, quality, shingles, suffixes
 
 from .conftest import SCHEMA
 from .test_copies import brute_groups, near_copies
@@ -171,3 +171,52 @@ def test_whole_pipeline_on_a_table(spark):
 def test_suffix_digests_tell_windows_apart():
     assert suffixes.digest_of(b"x" * 100) != suffixes.digest_of(b"x" * 100, 1)
     assert len(suffixes.digest_of(b"")) == 16
+
+
+def plain_signature(text, sketch):
+    """Order MinHash as its definition reads, with the sketch's own hash of numbered k-mers."""
+    if not text:
+        return "0000" * sketch.components
+    kmers = sketch.numbered_kmers(text).tolist()
+    out = []
+    for mask, factor in zip(sketch.masks.tolist(), sketch.factors.tolist()):
+        ranked = sorted(range(len(kmers)), key=lambda i: ((kmers[i] ^ mask) * factor & 0xFFFFFFFF, i))
+        mixed = 0
+        for i in sorted(ranked[: sketch.tuple_size]):
+            mixed = ((mixed ^ kmers[i]) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
+        out.append(f"{mixed >> 40 & 0xFFFF:04x}")
+    return "".join(out)
+
+
+def test_signatures_follow_their_definition():
+    draw = random.Random(31)
+    sketch = fingerprint.OrderMinHash()
+    for n in (0, 1, 2, 11, 12, 13, 200, 3000):
+        text = "".join(draw.choice("abcd é😀") for _ in range(n))
+        assert sketch(text) == plain_signature(text, sketch), n
+
+
+def test_numbered_kmers_are_equal_just_where_kmer_and_occurrence_are():
+    sketch = fingerprint.OrderMinHash(kmer=3)
+    draw = random.Random(32)
+    names = {}
+    for _ in range(30):
+        text = "".join(draw.choice("ab") for _ in range(60))
+        seen = Counter()
+        for i, h in enumerate(sketch.numbered_kmers(text).tolist()):
+            kmer = text[i : i + 3]
+            seen[kmer] += 1
+            assert names.setdefault((kmer, seen[kmer]), h) == h
+    assert len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_queries_run_over_whole_tables(spark, name):
+    found = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    if name == "op8_licenses":
+        assert found.count() > 0
+    elif name == "op1_packing":
+        assert found.select("doc_id").distinct().count() == n
+    else:
+        assert found.count() == n
