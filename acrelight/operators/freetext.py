@@ -45,6 +45,13 @@ PROPERTY_PATTERNS = {
     "two_bed": [r"2\s*Beds?\s*[^\n]*?(\d+)\s*Units?"],
     "three_bed": [r"3\s*Beds?\s*[^\n]*?(\d+)\s*Units?"],
 }
+# Patterns of owner panels, places and amenity blocks.
+PHONE = r"^\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
+PURCHASED = r"(?:Purchased\s+)?([A-Za-z]+\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"
+PRICED = r"^\$([\d,]+)(?:\s*\(([^)]+)\))?"
+LOCATED = r"^([^,]+),\s*([A-Za-z\s]+?)(?:\s*-|\z)"
+SITE_BLOCK = r"## SITE AMENITIES\s*\n([\s\S]*?)(?=\n## |\n<!-- image -->|\z)"
+UNIT_BLOCK = r"## UNIT AMENITIES\s*\n([\s\S]*?)(?=\n## |\n<!-- |\z)"
 
 
 def parse_unit_row(line: Column) -> Column:
@@ -97,21 +104,19 @@ def panel_facts(panel: DataFrame) -> DataFrame:
     """
     v, at = F.col("value"), F.struct("table_index", "row_idx")
     owner = F.col("panel") == "owner"
-    phone = ~owner & v.rlike(r"^\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}")
+    phone = ~owner & v.rlike(PHONE)
     price = owner & F.startswith(v, F.lit("$"))
-    dated = r"(?:Purchased\s+)?([A-Za-z]+\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"
-    date = owner & ~price & v.rlike(dated)
+    date = owner & ~price & v.rlike(PURCHASED)
     last = lambda c, test: F.max_by(c, F.when(test, at))
     first = lambda c, test: F.min_by(c, F.when(test, at))
-    priced = r"^\$([\d,]+)(?:\s*\(([^)]+)\))?"
     return panel.groupBy("doc_id").agg(
         first(v, ~owner & ~phone).alias("manager_name"),
         last(v, phone).alias("manager_phone"),
         first(v, owner & ~price & ~date).alias("owner_name"),
-        last(v, price & v.rlike(priced)).alias("purchase_price"),
-        last(F.regexp_replace(F.regexp_extract(v, priced, 1), ",", ""), price & v.rlike(priced)).alias("purchase_price_raw"),
-        last(blank_to_null(F.regexp_extract(v, priced, 2)), price & (F.regexp_extract(v, priced, 2) != "")).alias("price_per_unit"),
-        last(F.when(F.contains(v, F.lit("Purchased")), v).otherwise(F.regexp_extract(v, dated, 1)), date).alias("purchase_date"),
+        last(v, price & v.rlike(PRICED)).alias("purchase_price"),
+        last(F.regexp_replace(F.regexp_extract(v, PRICED, 1), ",", ""), price & v.rlike(PRICED)).alias("purchase_price_raw"),
+        last(blank_to_null(F.regexp_extract(v, PRICED, 2)), price & (F.regexp_extract(v, PRICED, 2) != "")).alias("price_per_unit"),
+        last(F.when(F.contains(v, F.lit("Purchased")), v).otherwise(F.regexp_extract(v, PURCHASED, 1)), date).alias("purchase_date"),
     )
 
 
@@ -119,21 +124,20 @@ def address_from_sections(sections: DataFrame) -> DataFrame:
     """(doc_id, address, name, city, state) from each document's first section (doc_id, ord, header, content array)."""
     first = sections.groupBy("doc_id").agg(F.min_by(F.struct("header", "content"), "ord").alias("s")).select("doc_id", "s.*")
     name, place = F.get("content", F.lit(0)), F.get("content", F.lit(1))
-    located = r"^([^,]+),\s*([A-Za-z\s]+?)(?:\s*-|\z)"
     general = F.upper("header").rlike("^(PREPARED|SUBJECT|PROPERTY)")
     return first.select(
         "doc_id",
         F.when(~general, blank_to_null(F.trim("header"))).alias("address"),
         F.coalesce(blank_to_null(F.trim(F.regexp_extract(name, r"^(.+?)\s+\d+\s+Unit", 1))), blank_to_null(F.trim(F.regexp_extract(name, r"^([A-Za-z\s]+)", 1)))).alias("name"),
-        blank_to_null(F.trim(F.regexp_extract(place, located, 1))).alias("city"),
-        state_abbr(blank_to_null(F.regexp_extract(place, located, 2))).alias("state"),
+        blank_to_null(F.trim(F.regexp_extract(place, LOCATED, 1))).alias("city"),
+        state_abbr(blank_to_null(F.regexp_extract(place, LOCATED, 2))).alias("state"),
     )
 
 
 def amenities(text: Column) -> Column:
     """A struct of site and unit amenities, from their blocks; site amenities may stand in table rows."""
-    site = F.regexp_extract(text, r"## SITE AMENITIES\s*\n([\s\S]*?)(?=\n## |\n<!-- image -->|\z)", 1)
-    unit = F.regexp_extract(text, r"## UNIT AMENITIES\s*\n([\s\S]*?)(?=\n## |\n<!-- |\z)", 1)
+    site = F.regexp_extract(text, SITE_BLOCK, 1)
+    unit = F.regexp_extract(text, UNIT_BLOCK, 1)
     rows = F.filter(F.split(site, r"[|\n]"), lambda x: ~x.rlike(r"^[\s:-]*\z"))
     return F.struct(ordered_distinct(rows).alias("site"), F.filter(ordered_distinct(F.split(unit, "\n")), lambda x: ~F.startswith(x, F.lit("#"))).alias("unit"))
 
