@@ -31,18 +31,18 @@ def text_key(text: Column) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """(sid, root) of every end of the staged ``links`` (a, b), root the least that it reaches.
 
-    Labels fall along links, then along labels, so paths shorten by half each
-    round; every round is a staged table, and only whether labels still change
-    reaches the driver. The sides of each join are staged tables, so adaptive
-    execution can split a root that many ends share.
+    Labels fall along links and are then replaced by their own labels, so paths
+    shorten by half each round; every round is a staged table, and only whether
+    labels still change reaches the driver. Both sides of each join are staged
+    tables, so adaptive execution can split a root that many ends share.
     """
     ends = links.select(F.col("a").alias("sid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("sid"), F.col("a").alias("to")))
     both = stage(ends.distinct())
     labels = stage(both.groupBy("sid").agg(F.min("to").alias("to")).select("sid", F.least("sid", "to").alias("root")))
     while True:
         beside = both.join(labels.select(F.col("sid").alias("to"), "root"), "to").groupBy("sid").agg(F.min("root").alias("near"))
-        lower = stage(labels.join(beside, "sid").select("sid", F.col("root").alias("old"), F.least("root", "near").alias("root")))
-        jump = lower.select(F.col("sid").alias("root"), F.col("root").alias("far"))
+        lower = labels.join(beside, "sid").select("sid", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = labels.select(F.col("sid").alias("root"), F.col("root").alias("far"))
         following = stage(lower.join(jump, "root", "left").select("sid", "old", F.least("root", "far").alias("root")))
         labels = following.select("sid", "root")
         if following.where("root <> old").isEmpty():

@@ -45,6 +45,8 @@ TURNS = 3
 LEAF = 32
 #: Blocks of up to so many links are compared once for all that have the same sets.
 SAME = 64
+#: Cells of a table of sets by shingles that are worked on at once.
+BITS = 1 << 26
 #: Texts are worked on together, about so many bytes at a time.
 TOGETHER = 1_500_000
 #: Set filters have so many bits.
@@ -243,25 +245,31 @@ def link_sets(texts: list[bytes], sets: list[np.ndarray], label: np.ndarray, per
     """Links that join all similar sets whose ``label`` differs; ``label`` is brought up to date."""
     sizes = np.array(list(map(len, sets)))
     flat = np.concatenate(sets)
-    names, of = np.unique(flat, return_inverse=True)
-    begins = np.r_[0, np.cumsum(sizes)]
-    places = np.repeat(np.arange(len(sets)), sizes) * len(names) + of  # sorted: sets in order, hashes in order
+    names, of, often = np.unique(flat, return_inverse=True, return_counts=True)
+    # only shingles of several sets can be common; each of those has a column
+    column = np.cumsum(often > 1) - 1
+    shared = often[of] > 1
+    owner, at = np.repeat(np.arange(len(sets)), sizes)[shared], column[of[shared]]
+    width = -(-int((often > 1).sum()) // 64) + 1
     links: list[tuple[int, int]] = []
 
     def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        a, b = np.where(sizes[a] <= sizes[b], a, b), np.where(sizes[a] <= sizes[b], b, a)
+        """Common shingles of pairs: set bits of both rows, by so many columns at a time as fit in ``BITS``."""
         out = np.zeros(len(a), dtype=np.int64)
-        ends = np.cumsum(sizes[a])
-        done = 0
-        while done < len(a):
-            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 2_000_000)))
-            some = sizes[a[done:stop]]
-            pair = np.repeat(np.arange(done, stop), some)
-            step = np.arange(len(pair)) - np.repeat(np.cumsum(some) - some, some)
-            wanted = b[pair] * len(names) + of[begins[a[pair]] + step]
-            at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-            out[done:stop] = np.bincount(pair[places[at] == wanted] - done, minlength=stop - done)
-            done = stop
+        rows, place = np.unique(np.r_[a, b], return_inverse=True)
+        x, y = place[: len(a)], place[len(a) :]
+        row = np.full(len(sets), -1)
+        row[rows] = np.arange(len(rows))
+        mine = row[owner] >= 0
+        own, col = row[owner[mine]], at[mine]
+        step = max(1, BITS // (64 * len(rows)))
+        for first in range(0, width, step):
+            here = (col >> 6 >= first) & (col >> 6 < first + step)
+            bits = np.zeros((len(rows), min(step, width - first) * 64), dtype=bool)
+            bits[own[here], col[here] - 64 * first] = True
+            packed = np.packbits(bits, axis=1).view(np.uint64)
+            for k in range(0, len(a), 256):
+                out[k : k + 256] += np.bitwise_count(packed[x[k : k + 256]] & packed[y[k : k + 256]]).sum(axis=1, dtype=np.int64)
         return out
 
     def test(a: np.ndarray, b: np.ndarray) -> None:
