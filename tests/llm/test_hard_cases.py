@@ -220,3 +220,76 @@ def test_queries_run_over_whole_tables(spark, name):
         assert found.select("doc_id").distinct().count() == n
     else:
         assert found.count() == n
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    from acrelight.llm.common import components, stage
+
+    draw = random.Random(41)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 520)] + [(600 + i, 600 + (i + 1) % 7) for i in range(7)]
+    pairs += [(draw.randrange(1000, 1100), draw.randrange(1000, 1100)) for _ in range(60)]
+    draw.shuffle(pairs)
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = {r["sid"]: r["root"] for r in components(stage(spark.createDataFrame(pairs, "a long, b long"))).collect()}
+    assert found == {x: find(x) for x in root}
+
+
+def brute_templates(texts, leading=3, least=4):
+    """The kept lines of unrelated texts, by the template rules written out one line at a time."""
+    import math
+    import re
+
+    lines = [(t, i, re.sub(r"(?<!\S)[^\s\d]*+\d\S*", "<*>", x).strip(" ")) for t, text in enumerate(texts) for i, x in enumerate(text.split("\n")) if x.strip()]
+    tokens = {(t, i): re.split(r"\s+", m) for t, i, m in lines}
+    leaf = {k: (len(w), tuple(w[:leading])) for k, w in tokens.items()}
+
+    def common(pairs):
+        holders = {}
+        for value, t in pairs:
+            holders.setdefault(value, set()).add(t)
+        return {v for v, ts in holders.items() if len(ts) >= least}, holders
+
+    exact, _ = common((m, t) for t, _, m in lines)
+    gone = {(t, i) for t, i, m in lines if m in exact}
+    rest = [k for k in tokens if k not in gone]
+    leaves, _ = common((leaf[k], k[0]) for k in rest)
+    open_lines = [k for k in rest if leaf[k] in leaves]
+    places = {k: [(leaf[k], at, w) for at, w in enumerate(tokens[k]) if "<*>" not in w] for k in open_lines}
+    _, holders = common((p, k[0]) for k in open_lines for p in places[k])
+    shapes = {}
+    for k in open_lines:
+        counts = sorted((len(holders[p]) for p in places[k]), reverse=True)
+        for share in (0.7, 0.8, 0.9) if counts else ():
+            lowest = counts[math.ceil(len(counts) * round(100 * share) / 100) - 1]
+            if lowest >= least:
+                shapes.setdefault(k, set()).add((leaf[k], frozenset(p for p in places[k] if len(holders[p]) >= lowest)))
+    recurring, _ = common((s, k[0]) for k, found in shapes.items() for s in found)
+    gone |= {k for k, found in shapes.items() if found & recurring}
+    return ["\n".join(x for i, x in enumerate(text.split("\n")) if (t, i) not in gone) for t, text in enumerate(texts)]
+
+
+def test_templates_against_brute_force(spark):
+    draw = random.Random(51)
+    heads = [words(draw, 3) for _ in range(4)]
+    tails = [words(draw, draw.randint(3, 8)).split() for _ in range(12)]
+    texts = []
+    for i in range(60):
+        body = [words(draw, 14) for _ in range(8)]
+        for _ in range(3):
+            tail = list(draw.choice(tails))
+            if draw.random() < 0.6:
+                tail[draw.randrange(len(tail))] = draw.choice([words(draw, 1), str(i), f"id{i}x", "same"])
+            body.insert(draw.randrange(9), draw.choice(heads) + " " + " ".join(tail))
+        texts.append(draw.choice(["\n", "\n\n"]).join(body))
+    found = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(frame(spark, texts)).collect()}
+    wanted = brute_templates(texts)
+    assert [found[i] for i in range(60)] == wanted and wanted != texts
