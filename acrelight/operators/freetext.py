@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acrelight.functions.values import blank_to_null, camel_key, extracted, normalize_value, normalize_value_text
@@ -142,6 +142,25 @@ def amenities(text: Column) -> Column:
     return F.struct(ordered_distinct(rows).alias("site"), F.filter(ordered_distinct(F.split(unit, "\n")), lambda x: ~F.startswith(x, F.lit("#"))).alias("unit"))
 
 
+def amenity_lists(texts: DataFrame, cells: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, site, unit): amenities of all places in a report, each once, in order.
+
+    Site amenities come from the block of ``texts`` (doc_id, text), then from
+    cells of tables without headers but blank ones and numbers. Unit amenities
+    come from ``sections`` (doc_id, ord, header, content array) headed so, then
+    from the block.
+    """
+    nameless = F.min(F.col("header").rlike(r"^\d*\z").cast("int")).over(Window.partitionBy("doc_id", "src_ord", "table_index")) == 1
+    listed = lambda *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"])
+    site = cells.withColumn("_bare", nameless).where(F.col("_bare") & (F.length("value") > 2)).groupBy("doc_id").agg(listed("src_ord", "table_index", "row_idx", "col_idx").alias("_site"))
+    headed = sections.where(F.contains(F.upper("header"), F.lit("UNIT AMENITIES")))
+    unit = headed.select("doc_id", "ord", F.posexplode("content").alias("at", "value")).groupBy("doc_id").agg(listed("ord", "at").alias("_unit"))
+    block = texts.select("doc_id", amenities(F.col("text")).alias("_block"))
+    both = block.join(site, "doc_id", "full").join(unit, "doc_id", "full")
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    return both.select("doc_id", F.array_distinct(F.concat(some(F.col("_block.site")), some(F.col("_site")))).alias("site"), F.array_distinct(F.concat(ordered_distinct(some(F.col("_unit"))), some(F.col("_block.unit")))).alias("unit"))
+
+
 def format_unit_mix(cells: DataFrame) -> DataFrame:
     """(doc_id, table_index, row_idx, key, number, text): unit-mix cells under camel-case keys."""
     value = normalize_value_text(F.col("value"))

@@ -65,6 +65,25 @@ def key_values(lines: DataFrame, last_wins: bool = False) -> DataFrame:
     return found.groupBy("doc_id", "key").agg((F.max_by if last_wins else F.min_by)("value", "line_idx").alias("value"))
 
 
+def related_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, key, line_idx, related): each line without a colon under the first key above it that it mentions, in any case.
+
+    Keys are what stands before a line's first colon, in order of their first
+    line. Blank lines and lines that mention no key have no row.
+    """
+    named = F.contains("line", F.lit(":"))
+    keys = lines.where(named).groupBy("doc_id", F.trim(F.substring_index("line", ":", 1)).alias("key")).agg(F.min("line_idx").alias("key_at"))
+    plain = lines.where(~named & (F.trim("line") != ""))
+    mentions = (F.col("l.doc_id") == F.col("k.doc_id")) & (F.col("key_at") < F.col("line_idx")) & F.contains(F.lower("line"), F.lower("key"))
+    found = plain.alias("l").join(keys.alias("k"), mentions).select("l.doc_id", "line_idx", "line", "key", "key_at")
+    return found.groupBy("doc_id", "line_idx").agg(F.min_by("key", "key_at").alias("key"), F.trim(F.first("line")).alias("related"))
+
+
+def subsection_counts(nested: DataFrame) -> DataFrame:
+    """(doc_id, main, subsections): how many sections each main section of ``nest_sections`` holds beside itself."""
+    return nested.where("main is not null").groupBy("doc_id", "main").agg(F.count_if(F.col("segment") != F.col("main")).alias("subsections"))
+
+
 def section_summary(lines: DataFrame) -> DataFrame:
     """(doc_id, total_lines, tables, list_items, key_values): line kinds counted."""
     kind = line_kind(F.col("line"))

@@ -100,6 +100,8 @@ QUERIES = {
     "segment_tables": lambda s, x: N.segment_tables(lines(s, x), F.col("line").rlike(HEADER), F.length("line") > 200).groupBy("doc_id", "block").agg(F.count("*").alias("n")),
     "section_summary": lambda s, x: N.section_summary(lines(s, x)),
     "key_values": lambda s, x: N.key_values(_keyed_lines(s, x)),
+    "related_lines": lambda s, x: N.related_lines(_mentions(s, x)),
+    "subsection_counts": lambda s, x: N.subsection_counts(N.nest_sections(N.segment_text(lines(s, x), F.col("line").rlike(HEADER)), F.length("title") % 2 == 0)),
     "clean_text": lambda s, x: view(s, x, "documents").select("doc_id", F.sha2(clean_text(F.concat(F.lit(MARKED), "text")), 256).alias("clean_sha256")),
     "page_stats": lambda s, x: N.page_stats(N.split_pages(view(s, x, "documents"))),
     "detect_tables": lambda s, x: N.detect_tables(_wide_lines(s, x)).select("doc_id", "table_idx", "first_line", "last_line", "n_rows", F.size("positions").alias("n_positions")),
@@ -120,6 +122,13 @@ def _keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).withColumn("line", F.concat(F.lit("Key "), (F.col("line_idx") % 5).cast("string"), F.lit(": "), F.length("line").cast("string")))
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as text: every third names a key, others mention keys in capitals."""
+    l = view(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_idx")).agg(F.min("l_partkey").alias("part"))  # noqa: E741
+    key = lambda n: F.concat(F.lit("Key "), n.cast("string"))
+    return l.select("doc_id", "line_idx", F.when(F.col("line_idx") % 3 == 1, F.concat(key(F.col("part") % 4), F.lit(": x: y"))).otherwise(F.concat(F.lit(" see "), F.upper(key(F.col("part") % 4)), F.lit(" "))).alias("line"))
+
+
 def _wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of three columns, in runs, made from the orders."""
     o = view(spark, sf_dir, "orders")
@@ -155,6 +164,8 @@ def clean_sql(text: str) -> str:
 
 
 SQL = {
+    "related_lines": "WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_idx, min(l_partkey) % 4 AS k FROM lineitem GROUP BY 1, 2), k AS (SELECT doc_id, k, min(line_idx) AS key_at FROM l WHERE line_idx % 3 = 1 GROUP BY 1, 2) SELECT l.doc_id, l.line_idx, concat('Key ', CAST(k AS VARCHAR)) AS key, concat('see KEY ', CAST(k AS VARCHAR)) AS related FROM l JOIN k USING (doc_id, k) WHERE l.line_idx % 3 <> 1 AND key_at < l.line_idx",
+    "subsection_counts": f"WITH {TITLED}, m AS (SELECT doc_id, segment, last_value(CASE WHEN length(title) % 2 = 0 THEN segment END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY segment ROWS UNBOUNDED PRECEDING) AS main FROM titled) SELECT doc_id, main, count(*) FILTER (WHERE segment <> main) AS subsections FROM m WHERE main IS NOT NULL GROUP BY 1, 2",
     "clean_text": f"SELECT doc_id, sha256({clean_sql("(" + " || ".join(f"chr({ord(c)})" if not (c.isalnum() and c.isascii()) else f"'{c}'" for c in MARKED) + " || text)")}) AS clean_sha256 FROM documents",
     "detect_tables": f"WITH {WIDE}, r AS (SELECT doc_id, line_idx, line_idx - row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS run FROM w WHERE cells), t AS (SELECT doc_id, CAST(min(line_idx) AS INT) AS first_line, CAST(max(line_idx) AS INT) AS last_line, CAST(count(*) AS INT) AS n_rows FROM r GROUP BY doc_id, run HAVING count(*) >= 3) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INT) AS table_idx, 3 AS n_positions FROM t",
     "soft_delete": f"WITH {TABLES} SELECT table_name, CASE WHEN property_id % 10 = 3 AND deleted_at IS NULL THEN DATE '{AS_OF}' ELSE deleted_at END AS deleted_at, count(*) AS n FROM everything{COUNT}",

@@ -220,7 +220,22 @@ def _outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("line") == F.upper("line")).alias("upper_lines"))
 
 
+def _amenity_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amenities of parts: a block in two of three texts, a table that is nameless for even keys, sections for some."""
+    k = F.col("p_partkey")
+    p = view(spark, sf_dir, "part").select(k.alias("doc_id"))
+    k = F.col("doc_id")
+    texts = p.select("doc_id", F.when(k % 3 > 0, F.lit("a\n## SITE AMENITIES\n| Pool | Gym |\n|---|---|\n\n## UNIT AMENITIES\nBalcony\nok\n")).otherwise("none").alias("text"))
+    cell = lambda i, header, value: F.struct(F.lit(i).alias("col_idx"), header.alias("header"), value.alias("value"))
+    rows = F.array(cell(0, F.lit(""), F.lit("Gym")), cell(1, F.when(k % 2 == 0, "7").otherwise("Name"), F.concat(F.lit("Spa "), k.cast("string"))), cell(2, F.lit("2"), F.lit("no")))
+    cells = p.select("doc_id", F.lit(0).alias("src_ord"), F.lit(0).alias("table_index"), F.lit(0).alias("row_idx"), F.inline(rows))
+    sections = p.select("doc_id", F.lit(1).alias("ord"), F.when(k % 5 == 0, "Unit Amenities of all").otherwise("Other").alias("header"), F.array(F.lit(" Patio "), F.lit("x"), F.lit("Balcony")).alias("content"))
+    found = R.amenity_lists(texts, cells, sections)
+    return found.select("doc_id", F.array_join("site", ";").alias("site"), F.array_join("unit", ";").alias("unit"))
+
+
 QUERIES = {
+    "amenity_lists": _amenity_lists,
     "source_csv": _csv,
     "source_sections": _sections,
     "source_external": _external,
@@ -255,6 +270,8 @@ SAVED_CARD = O.load_scorecard(SAVED)
 MERGED_CARD = S.merge_scorecard(O.load_scorecard(), PATCH)
 PERSON = "concat('Person ', CAST(part AS VARCHAR))"
 SQL = {
+    "amenity_lists": """SELECT p_partkey AS doc_id, concat_ws(';', CASE WHEN p_partkey % 3 > 0 THEN 'Pool;Gym' WHEN p_partkey % 2 = 0 THEN 'Gym' END, CASE WHEN p_partkey % 2 = 0 THEN concat('Spa ', CAST(p_partkey AS VARCHAR)) END) AS site,
+        concat_ws(';', CASE WHEN p_partkey % 5 = 0 THEN 'Patio;Balcony' WHEN p_partkey % 3 > 0 THEN 'Balcony' END) AS unit FROM part""",
     "source_csv": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer",
     "source_sections": "SELECT 'combined' AS section, CASE WHEN n_nationkey % 3 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS raw_text, n_nationkey % 3 = 0 AS bad FROM nation",
     "source_external": f"SELECT n_nationkey * {d(1.5)} AS violent, n_nationkey * {d(2.5)} AS property_crime, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey * 4 AS INT) END AS walk_score FROM nation",
