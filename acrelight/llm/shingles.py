@@ -39,14 +39,14 @@ SKETCH_BITS = 20
 #: Shingles count as frequent if their cell lies so many standard deviations of even counts over the mean.
 FREQUENT = 5
 #: What one task compares at once: so many sets, and so many bytes of text.
-TILE_SETS, TILE_BYTES = 4096, 16_000_000
+TILE_SETS, TILE_BYTES = 4096, 8_000_000
 #: A larger block's sets are first dealt out to tiles so many times.
 TURNS = 3
 LEAF = 32
 #: Blocks of up to so many links are compared once for all that have the same sets.
 SAME = 64
 #: Cells of a table of sets by shingles that are worked on at once.
-BITS = 1 << 26
+BITS = 1 << 24
 #: Texts are worked on together, about so many bytes at a time.
 TOGETHER = 1_500_000
 #: Set filters have so many bits.
@@ -572,7 +572,8 @@ def linked_sets(table: DataFrame, percent: int, words: int, most: int, room: int
 
     def exact(contents: list[bytes], sizes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
         texts = list(map(zlib.decompress, contents))
-        return link_sets(texts, shingle_sets(texts, words), label, percent, words)
+        sets = [x for lo, hi in slices(list(map(len, texts))) for x in shingle_sets(texts[lo:hi], words)]
+        return link_sets(texts, sets, label, percent, words)
 
     candidates = stage(bounded(alone, points, percent).unionByName(compared_blocks(members, tree, "long", most, room)))
     family = components(candidates).select(F.col("sid").alias("route"), F.col("root").alias("key"))
