@@ -139,9 +139,15 @@ def property_metrics(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", score("walk").alias("walk_score"), score("transit").alias("transit_score"))
 
 
-def state_abbr(name: Column) -> Column:
-    """A state's abbreviation; else the first two letters in capitals."""
-    known = F.create_map(*(F.lit(x) for abbr, state in dims.STATE_NAMES.items() for x in (state.lower(), abbr)))
+def state_abbr(name: Column, keep_unknown: bool = False) -> Column:
+    """A state's abbreviation; else the first two letters in capitals.
+
+    With ``keep_unknown`` what is no state, the capital's district included,
+    stays as it is.
+    """
+    known = F.create_map(*(F.lit(x) for abbr, state in dims.STATE_NAMES.items() if not (keep_unknown and abbr == "DC") for x in (state.lower(), abbr)))
+    if keep_unknown:
+        return F.coalesce(F.try_element_at(known, F.lower(name)), name)
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(name))), blank_to_null(F.upper(F.left(F.trim(name), F.lit(2)))))
 
 

@@ -126,6 +126,32 @@ def clean_outside_tables(lines: DataFrame, tables: DataFrame, clean) -> DataFram
     return inside.select("l.doc_id", "line_idx", F.when(F.col("first_line").isNull(), clean(F.col("line"))).otherwise(F.col("line")).alias("line"))
 
 
+def describe_columns(rows: DataFrame) -> DataFrame:
+    """(doc_id, table_idx, col_idx, header, column_type) of fixed-width tables, from their lines (doc_id, table_idx, line_idx, line).
+
+    The first line's cells, each of which begins the line or follows two spaces,
+    are the headers, and their places cut up all other lines. A type is that of
+    all cells below a header that aren't blank. Tables of one line have none.
+    """
+    table = ["doc_id", "table_idx"]
+    head = rows.groupBy(*table).agg(F.min_by("line", "line_idx").alias("_head"), F.min("line_idx").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    starts = F.array_compact(F.transform(F.split("_head", ""), lambda c, i: F.when((c != " ") & ((i == 0) | (F.substring("_head", i - 1, F.lit(2)) == "  ")), i)))
+    placed = rows.join(head.withColumn("_starts", starts), table).select(*table, "line_idx", "line", "_first", "_starts", F.posexplode("_starts").alias("col_idx", "_from"))
+    upto = F.coalesce(F.get("_starts", F.col("col_idx") + 1), F.length("line"))
+    cells = placed.withColumn("value", F.trim(F.substring("line", F.col("_from") + 1, F.greatest(upto - F.col("_from"), F.lit(0)))))
+    v = F.col("value")
+    below = (F.col("line_idx") > F.col("_first")) & (v != "")
+    every = lambda test: F.bool_and(F.when(below, test))
+    kind = (
+        F.when(F.count_if(below) == 0, "empty")
+        .when(every(F.replace(v, F.lit(","), F.lit("")).rlike(r"^-?\d+(?:\.\d+)?\z")), "numeric")
+        .when(every(v.rlike(r"^\$[\d,.]+\z")), "currency")
+        .when(every(v.rlike(r"^\d+(?:\.\d+)?%\z")), "percentage")
+        .otherwise("text")
+    )
+    return cells.groupBy(*table, "col_idx").agg(F.min_by("value", "line_idx").alias("header"), kind.alias("column_type"))
+
+
 def detect_tables(lines: DataFrame, least_rows: int = 3, near: int = 1) -> DataFrame:
     """(doc_id, table_idx, first_line, last_line, n_rows, positions) of fixed-width tables in plain text.
 

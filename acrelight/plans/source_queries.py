@@ -234,7 +234,24 @@ def _amenity_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("site", ";").alias("site"), F.array_join("unit", ";").alias("unit"))
 
 
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a table for each customer, a line for each order: words, money, shares, and numbers in some."""
+    k = F.col("o_orderkey")
+    cell = lambda c: F.rpad(c, 18, " ")
+    line = F.concat(cell(F.col("o_orderpriority")), cell(F.concat(F.lit("$"), k.cast("string"))), cell(F.concat((k % 90).cast("string"), F.lit(".5%"))), F.when(k % 4 == 0, "").otherwise(k.cast("string")))
+    rows = view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("table_idx"), k.alias("line_idx"), line.alias("line"))
+    return L.describe_columns(rows)
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.get(F.array(*map(F.lit, ("Texas", "new york", "District of Columbia", "Ontario", "x"))), (k % 5).cast("int"))
+    return view(spark, sf_dir, "supplier").select("s_suppkey", X.state_abbr(name).alias("letters"), X.state_abbr(name, keep_unknown=True).alias("kept"))
+
+
 QUERIES = {
+    "describe_columns": _columns,
+    "state_abbreviations": _states,
     "amenity_lists": _amenity_lists,
     "source_csv": _csv,
     "source_sections": _sections,
@@ -270,6 +287,13 @@ SAVED_CARD = O.load_scorecard(SAVED)
 MERGED_CARD = S.merge_scorecard(O.load_scorecard(), PATCH)
 PERSON = "concat('Person ', CAST(part AS VARCHAR))"
 SQL = {
+    "describe_columns": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+        c AS (SELECT o_custkey AS doc_id, max(o_orderpriority) FILTER (WHERE r = 1) AS p, max(o_orderkey) FILTER (WHERE r = 1) AS k, count(*) FILTER (WHERE r > 1 AND o_orderkey % 4 <> 0) AS numbers FROM o WHERE n > 1 GROUP BY 1)
+        SELECT doc_id, 0 AS table_idx, 0 AS col_idx, p AS header, 'text' AS column_type FROM c
+        UNION ALL SELECT doc_id, 0, 1, concat('$', CAST(k AS VARCHAR)), 'currency' FROM c
+        UNION ALL SELECT doc_id, 0, 2, concat(CAST(k % 90 AS VARCHAR), '.5%'), CASE WHEN k % 4 = 0 AND numbers > 0 THEN 'text' ELSE 'percentage' END FROM c
+        UNION ALL SELECT doc_id, 0, 3, CAST(k AS VARCHAR), CASE WHEN numbers > 0 THEN 'numeric' ELSE 'empty' END FROM c WHERE k % 4 <> 0""",
+    "state_abbreviations": "SELECT s_suppkey, ['TX', 'NY', 'DC', 'ON', 'X'][s_suppkey % 5 + 1] AS letters, ['TX', 'NY', 'District of Columbia', 'Ontario', 'x'][s_suppkey % 5 + 1] AS kept FROM supplier",
     "amenity_lists": """SELECT p_partkey AS doc_id, concat_ws(';', CASE WHEN p_partkey % 3 > 0 THEN 'Pool;Gym' WHEN p_partkey % 2 = 0 THEN 'Gym' END, CASE WHEN p_partkey % 2 = 0 THEN concat('Spa ', CAST(p_partkey AS VARCHAR)) END) AS site,
         concat_ws(';', CASE WHEN p_partkey % 5 = 0 THEN 'Patio;Balcony' WHEN p_partkey % 3 > 0 THEN 'Balcony' END) AS unit FROM part""",
     "source_csv": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer",
