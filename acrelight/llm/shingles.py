@@ -10,7 +10,8 @@ Shingles are hashed into groups; a set's counts by group are a point. Within a
 block the points make an R-tree. The summed coordinate minima of the upper
 corners of two nodes bound the overlap of all sets below them, so a descent by
 pairs of nodes leaves few pairs of sets. A block passes on as many of these as
-join what is left, and sets that they join are a family.
+join what is left; what they join is parted further by a tree over whole count
+vectors, and sets that then are still joined are a family.
 
 A family's texts are compared in one place, by a tree of the same kind. A pair
 is tested only while its ends aren't linked through others, first on hashes,
@@ -297,10 +298,33 @@ def link_sets(texts: list[bytes], sets: list[np.ndarray], label: np.ndarray, per
     return links
 
 
+def pair_bounds(vectors: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The summed minima of pairs of whole count vectors, each pair at its coarser one's groups."""
+    sizes = np.array(list(map(len, vectors)))
+    out = np.zeros(len(a), dtype=np.int64)
+    for groups in np.unique(np.minimum(sizes[a], sizes[b])).tolist():
+        at = np.flatnonzero(np.minimum(sizes[a], sizes[b]) == groups)
+        step = max(1, (1 << 22) // groups)
+        for first in range(0, len(at), step):
+            some = at[first : first + step]
+            used, place = np.unique(np.r_[a[some], b[some]], return_inverse=True)
+            counts = np.array([np.frombuffer(vectors[i], dtype=np.uint8).reshape(groups, -1).sum(axis=1, dtype=np.uint16) for i in used.tolist()])
+            for k in range(0, len(some), 64):
+                x, y = place[: len(some)][k : k + 64], place[len(some) :][k : k + 64]
+                out[some[k : k + 64]] = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def may_link(vectors: list[bytes], sizes: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs that join all whose ``label`` differs and whose counts don't rule a link out."""
+    """Pairs that join all whose ``label`` differs and whose counts don't rule a link out: those of a common size in the tree, then whole ones."""
     out: list[tuple[int, int]] = []
-    for a, b in CountTree(common_counts(vectors), sizes).pairs(percent):
+    for a, b in CountTree(common_counts(list(map(short_counts, vectors))), sizes).pairs(percent):
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            continue
+        may = possible(pair_bounds(vectors, a, b), sizes[a], sizes[b], percent)
+        a, b = a[may], b[may]
         while len(a) and (apart := label[a] != label[b]).any():
             a, b = a[apart], b[apart]
             label[label == label[b[0]]] = label[a[0]]
@@ -576,7 +600,10 @@ def linked_sets(table: DataFrame, percent: int, words: int, most: int, room: int
         return link_sets(texts, sets, label, percent, words)
 
     candidates = stage(bounded(alone, points, percent).unionByName(compared_blocks(members, tree, "long", most, room)))
-    family = components(candidates).select(F.col("sid").alias("route"), F.col("root").alias("key"))
+    # whole count vectors, each sent once, part what the short ones of the blocks could not
+    loose = components(candidates).select(F.col("sid").alias("route"), F.col("root").alias("key"))
+    whole = points.join(loose, "route").select("key", F.col("route").alias("id"), F.octet_length("fine").alias("size"), "n", F.col("fine").alias("content"))
+    family = components(stage(compared_blocks(stage(whole), tree, "long", most, room))).select(F.col("sid").alias("route"), F.col("root").alias("key"))
     sets = stage(wanted_sets(table, family))
     texts = sets.select("key", F.col("sid").alias("id"), "size", F.col("size").alias("n"), F.col("text").alias("content"))
     return components(stage(compared_blocks(texts, exact, "binary", most, room)))
