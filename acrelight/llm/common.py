@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from acrelight.sources.shared import stage
 
-__all__ = ["components", "documents", "id_text", "stage", "text_key"]
+__all__ = ["components", "documents", "id_text", "stage", "text_key", "text_keys"]
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,6 +28,12 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.left(F.sha2(text, 256), F.lit(32)))
 
 
+def text_keys(text: Column) -> list[Column]:
+    """120 bits of a text's SHA-256 as k1 and k2, two whole numbers: lighter than ``text_key`` where a text has many rows."""
+    digest = F.sha2(text, 256)
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for name, at in (("k1", 1), ("k2", 16))]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(sid, root) of every end of the staged ``links`` (a, b), root the least that it reaches.
 
