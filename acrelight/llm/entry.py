@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from acrelight.llm import phrases, warc
+from acrelight.llm.alignment import op12_alignment
 from acrelight.llm.bpe import op4_bpe
 from acrelight.llm.fingerprint import op7_fingerprints
 from acrelight.llm.licenses import op8_licenses
@@ -20,8 +22,8 @@ from acrelight.llm.suffixes import op5_suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_lines, op4_bpe, op5_suffixes, op6_pii, op7_fingerprints, op8_licenses, op9_quality, op10_jaccard)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_lines, op4_bpe, op5_suffixes, op6_pii, op7_fingerprints, op8_licenses, op9_quality, op10_jaccard, phrases.op11_collocations, op12_alignment, warc.op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses_sql()}
+    return {"op8_licenses": licenses_sql(), "op11_collocations": phrases.SQL, "op13_warc": warc.SQL}
