@@ -246,15 +246,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SQL = rf"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-lists AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
-places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
-grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3)) t(k) WHERE i + k - 1 <= len(w)),
-counts AS (SELECT lang, phrase, k AS words, count(*) AS f FROM grams GROUP BY lang, phrase, k),
+numbered AS (SELECT lang, piece, row_number() OVER () AS p FROM pieces),
+split AS (SELECT lang, p, generate_subscripts(x, 1) AS i, unnest(x) AS w FROM (SELECT lang, p, string_split_regex(piece, '[\x20\x09]+') AS x FROM numbered)),
+words AS (SELECT lang, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM split WHERE w <> '' WINDOW o AS (PARTITION BY p ORDER BY i)),
+counts AS (SELECT lang, a AS phrase, 1 AS words, count(*) AS f FROM words GROUP BY lang, a
+  UNION ALL SELECT lang, a || ' ' || b, 2, count(*) FROM words WHERE b IS NOT NULL GROUP BY lang, a, b
+  UNION ALL SELECT lang, a || ' ' || b || ' ' || c, 3, count(*) FROM words WHERE c IS NOT NULL GROUP BY lang, a, b, c),
 totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE words = 1 GROUP BY lang),
 candidates AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE words > 1 AND f >= 10),
 cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:words], ' ') AS tail FROM candidates, (VALUES (1), (2)) t(k) WHERE k < words),
-scored AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
-  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head JOIN counts y ON y.lang = c.lang AND y.phrase = c.tail),
+heads AS MATERIALIZED (SELECT c.*, x.f AS l FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head),
+scored AS (SELECT c.lang, c.phrase, c.a, k, l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l AS HUGEINT) * y.f) AS score
+  FROM heads c JOIN counts y ON y.lang = c.lang AND y.phrase = c.tail),
 weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE words = 3) GROUP BY lang, phrase),
 kept AS (SELECT k.* FROM weakest k LEFT JOIN inside i ON i.lang = k.lang AND i.phrase = k.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * k.a)
