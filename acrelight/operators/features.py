@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from acrelight import dims
 from acrelight.functions.values import address_confidence, blank_to_null, extracted, full_address, parse_numeric
-from acrelight.operators.tables import ROW, any_of, labelled, table_lookup
+from acrelight.operators.tables import ROW, any_of, labelled, table_lookups
 
 # Street words, and the patterns of addresses.
 STREET_WORDS = "St|Street|Ave|Avenue|Blvd|Boulevard|Dr|Drive|Rd|Road|Way|Ln|Lane|Ct|Court|Pl|Place|Cir|Circle"
@@ -19,6 +19,9 @@ CITY_STATE_AREA = r"^([A-Za-z\s]+),\s*([A-Za-z\s]+)\s*[-–]"
 CITY_STATE = r"^([A-Za-z\s]+),\s*([A-Za-z\s]+)\z"
 ZIP = r"\b(\d{5}(?:-\d{4})?)\b"
 NAME_UNITS = r"(?i)^(.+?)\s+(\d+)\s+Unit\s+(?:Apartment|Building)"
+# How prose tells shares of renters and vacancy.
+RENT_SHARES = [r"(?i)(\d+(?:\.\d+)?)\s*%\s*(?:of\s+)?(?:households?\s+)?(?:now\s+)?rent", r"(?i)rent(?:er|al)?[:\s]+(\d+(?:\.\d+)?)\s*%"]
+VACANCY = r"(?i)(?:submarket['s]?\s+)?vacancy\s+(?:rate\s+)?(?:of\s+|has\s+\w+\s+to\s+|is\s+|at\s+)?(\d+(?:\.\d+)?)\s*%"
 # Utilities and pet restrictions.
 UTILITIES = ["gas", "water", "electricity", "electric", "heat", "heating", "trash", "garbage", "sewer", "cable", "internet", "wifi"]
 PET_RESTRICTIONS = [r"breed restrictions?", r"weight limit", r"max (\d+) pets?", r"pet deposit", r"pet rent"]
@@ -30,7 +33,7 @@ def nonzero(c: Column) -> Column:
 
 def joined_prose(texts: DataFrame) -> DataFrame:
     """(doc_id, _text): a document's texts in order of their page and item, where they have these, then of the texts."""
-    order = [c for c in ("page_number", "item_idx") if c in texts.columns]
+    order = [c for c in ("src_ord", "page_number", "item_idx") if c in texts.columns]
     placed = F.array_sort(F.collect_list(F.struct(*order, "text")))
     return texts.groupBy("doc_id").agg(F.array_join(F.transform(placed, lambda x: x["text"]), " ").alias("_text"))
 
@@ -62,20 +65,32 @@ def demographics_features(cells: DataFrame, texts: DataFrame | None = None, year
     parsed = parsed.withColumn("population_3mile", F.col("population_3mile") & (F.coalesce("number", F.lit(0.0)) > 1000))
     value = lambda n: "share" if n in ("population_growth_3mile", "renter_households_pct_3mile") else "number"
     out = parsed.groupBy("doc_id").agg(*(F.max_by(value(n), F.when(F.col(n), F.col("at"))).alias(n) for n in hits))
-    if texts is not None:
-        out = out.join(joined_prose(texts), "doc_id", "full")
-        rent = F.coalesce(extracted(F.col("_text"), r"(?i)(\d+(?:\.\d+)?)\s*%\s*(?:of\s+)?(?:households?\s+)?(?:now\s+)?rent"), extracted(F.col("_text"), r"(?i)rent(?:er|al)?[:\s]+(\d+(?:\.\d+)?)\s*%"))
-        share = "renter_households_pct_3mile"
-        out = out.withColumn(share, F.coalesce(nonzero(F.col(share)), rent.try_cast("double") / 100, F.col(share))).drop("_text")
-    return out
+    return out if texts is None else renters_from_prose(out, texts)
+
+
+def renters_from_prose(features: DataFrame, texts: DataFrame) -> DataFrame:
+    """``features`` whose share of renters, where missing or zero, is the first that the prose names."""
+    share = "renter_households_pct_3mile"
+    out = features.join(joined_prose(texts), "doc_id", "full")
+    told = F.coalesce(*(extracted(F.col("_text"), pattern) for pattern in RENT_SHARES)).try_cast("double") / 100
+    return out.withColumn(share, F.coalesce(nonzero(F.col(share)), told, F.col(share))).drop("_text")
 
 
 def with_lookups(features: DataFrame, cells: DataFrame, fallbacks: Sequence[tuple[str, str, str, bool]], markdown: bool = True) -> DataFrame:
-    """``features`` whose missing or zero values are looked up: (feature, label, column, percent) in order."""
-    for name, label, column, percent in fallbacks:
-        found = table_lookup(cells, label, column, markdown).select("doc_id", parse_numeric(F.col("value"), percent).alias("_found"))
-        features = features.join(found, "doc_id", "left").withColumn(name, F.coalesce(nonzero(F.col(name)), F.col("_found"), F.col(name))).drop("_found")
-    return features
+    """``features`` whose missing or zero values are looked up: (feature, label, column, percent) in order.
+
+    The first lookup of a feature that finds any text decides, even if the text
+    is no number. All lookups are one pass over ``cells``, which have form or
+    are all ``markdown``, or not; documents without features take part too.
+    """
+    cells = cells if "form" in cells.columns else cells.withColumn("form", F.lit(0 if markdown else 1))
+    found = table_lookups(cells, {f"_found{i}": (label, column) for i, (_, label, column, _) in enumerate(fallbacks)})
+    out = features.join(found, "doc_id", "full")
+    for name in dict.fromkeys(f[0] for f in fallbacks):
+        own = [(i, percent) for i, (feature, _, _, percent) in enumerate(fallbacks) if feature == name]
+        text = F.coalesce(*(blank_to_null(F.col(f"_found{i}")) for i, _ in own))
+        out = out.withColumn(name, F.when(nonzero(F.col(name)).isNull() & text.isNotNull(), parse_numeric(text, own[0][1])).otherwise(F.col(name)))
+    return out.drop(*found.columns[1:])
 
 
 # Where demographics are looked up when the 3-mile column has none.
@@ -88,6 +103,8 @@ DEMOGRAPHICS_LOOKUPS = [
     ("median_hh_income_3mile", "Median HH Income", "3 Mile", False),
     ("median_home_value_3mile", "Median Home Value", "3 Mile", False),
     ("renter_households_pct_3mile", "Renter", "3 Mile", True),
+    ("renter_households_pct_3mile", "Renter Occupied", "3 Mile", True),
+    ("renter_households_pct_3mile", "Renter Households", "3 Mile", True),
 ]
 
 
@@ -121,9 +138,8 @@ def submarket_features(cells: DataFrame, texts: DataFrame | None = None) -> Data
     out = cells.select("doc_id").distinct().join(found, "doc_id", "left").join(share, "doc_id", "left")
     prose = F.lit(None).cast("double")
     if texts is not None:
-        pattern = r"(?i)(?:submarket['s]?\s+)?vacancy\s+(?:rate\s+)?(?:of\s+|has\s+\w+\s+to\s+|is\s+|at\s+)?(\d+(?:\.\d+)?)\s*%"
         out = out.join(joined_prose(texts), "doc_id", "full")
-        prose = nonzero(extracted(F.col("_text"), pattern).try_cast("double") / 100)
+        prose = nonzero(extracted(F.col("_text"), VACANCY).try_cast("double") / 100)
     return out.select(
         "doc_id",
         F.coalesce(prose, "table_vacancy").alias("vacancy_rate"),

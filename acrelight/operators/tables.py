@@ -6,7 +6,7 @@ value); src_ord ranks where a table comes from.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,9 +43,9 @@ def parse_markdown(tables: DataFrame) -> DataFrame:
     return each.select(*ROW, "col_idx", "header", F.coalesce(F.get("_cells", F.col("col_idx")), F.lit("")).alias("value"))
 
 
-def labelled(cells: DataFrame) -> DataFrame:
+def labelled(cells: DataFrame, row: Sequence[str] = ROW) -> DataFrame:
     """``cells`` with label, the first value of their row."""
-    first = Window.partitionBy(*ROW).orderBy("col_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = Window.partitionBy(*row).orderBy("col_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return cells.withColumn("label", F.first("value").over(first))
 
 
@@ -65,6 +65,30 @@ def table_lookup(cells: DataFrame, label: str, column: str | None, markdown: boo
     return ranked.groupBy("doc_id").agg(F.min_by("value", F.struct("src_ord", "table_index", "row_idx", "_tier", "col_idx")).alias("value"))
 
 
+def table_lookups(cells: DataFrame, wanted: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """(doc_id, a column for each name): many lookups of (label, column) in one pass over ``cells``, null where nothing is found.
+
+    Cells have form, which is 0 for a table's markdown and 1 for its rows: a
+    table's markdown is looked through before its rows, and a document's tables
+    in order of src_ord and table_index. Rules are those of ``table_lookup``,
+    but a whole name of a column is compared in any case only in markdown. Cells
+    of rows that match no label leave before the one aggregation by document.
+    """
+    here = cells if "label" in cells.columns else labelled(cells, [*ROW, "form"])
+    label, header, markdown = F.lower("label"), F.lower("header"), F.col("form") == 0
+    other = F.when(markdown, F.col("col_idx") == 1).otherwise((F.col("col_idx") > 0) & F.col("value").rlike(r"[\d$%]"))
+    picks = {}
+    for name, (text, column) in wanted.items():
+        tier = F.lit(None).cast("int")
+        if column:
+            whole = F.when(markdown, F.trim(header) == column.lower()).otherwise(F.col("header") == column)
+            tier = F.when(whole, 0).when(F.contains(header, F.lit(column.lower())), 1)
+        tier = F.coalesce(tier, F.when(other, 2))
+        at = F.struct("src_ord", "table_index", "form", "row_idx", tier.alias("tier"), "col_idx")
+        picks[name] = F.min_by("value", F.when(F.contains(label, F.lit(text.lower())) & tier.isNotNull(), at)).alias(name)
+    return here.where(any_of(label, sorted({text.lower() for text, _ in wanted.values()}))).groupBy("doc_id").agg(*picks.values())
+
+
 def classify_tables(tables: DataFrame) -> DataFrame:
     """``tables`` (headers array, first_cells array, error) with kind; tables with an error are left out.
 

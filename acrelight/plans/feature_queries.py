@@ -59,7 +59,7 @@ def address_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         item("header", 1, F.when(k % 3 == 0, F.concat(street, F.lit(" - The Lofts "), k.cast("string"))).when(k % 3 == 1, street).otherwise("Overview")),
         item("text", 0, F.when(k % 4 == 0, "Phoenix, Arizona - Central").when(k % 4 == 1, "Austin, Texas").otherwise("built 1999")),
         item("text", 1, F.when(k % 5 == 0, "zip 85001 here").otherwise("none")),
-        item("raw", 0, F.when(k % 4 == 2, "Boise, Idaho - North").otherwise(F.concat(F.lit("Serafina 183 Unit Apartment Building "), k.cast("string")))),
+        item("raw", 0, F.when(k % 4 == 2, "Boise, Idaho - North").otherwise(F.concat(F.lit("Juniper Court 183 Unit Apartment Building "), k.cast("string")))),
         item("cell", 0, F.when(k % 6 == 0, "98101-1234").otherwise("x")),
     )
     return p.select(k.alias("doc_id"), F.inline(items))
@@ -131,7 +131,7 @@ QUERIES = {
     "parse_values": _parse_values,
     "demographics_features": lambda s, x: X.demographics_features(cells(s, x)),
     "table_lookup": lambda s, x: T.table_lookup(wide_cells(s, x), "Median", "3 mile"),
-    "demographics_lookups": lambda s, x: X.with_lookups(X.demographics_features(wide_cells(s, x).where("row_idx > 4")), wide_cells(s, x), X.DEMOGRAPHICS_LOOKUPS, markdown=False),
+    "demographics_lookups": lambda s, x: X.with_lookups(X.demographics_features(wide_cells(s, x)), wide_cells(s, x), X.DEMOGRAPHICS_LOOKUPS, markdown=False),
     "submarket_features": lambda s, x: X.submarket_features(quarter_cells(s, x)),
     "extract_metrics": _metrics,
     "extract_address": lambda s, x: X.extract_address(address_items(s, x)),
@@ -149,7 +149,14 @@ QUERIES = {
 }
 
 TOP = lambda name, test: f"arg_max_null(CASE WHEN {test} THEN num END, (table_index, row_idx, t1, t2, t3)) FILTER (WHERE {test} AND num IS NOT NULL) AS {name}"
-NUM = f"CASE WHEN value = '-' THEN NULL WHEN contains(value, '%') THEN CAST(replace(value, '%', '') AS DOUBLE) / {d(100.0)} ELSE CAST(replace(value, '$', '') AS DOUBLE) END"
+
+
+def number_sql(text: str) -> str:
+    """The number of a cell in SQL; percentages are divided by 100."""
+    return f"CASE WHEN {text} = '-' THEN NULL WHEN contains({text}, '%') THEN CAST(replace({text}, '%', '') AS DOUBLE) / {d(100.0)} ELSE CAST(replace({text}, '$', '') AS DOUBLE) END"
+
+
+NUM = number_sql("value")
 OUTCOMES = """outcomes AS (
   SELECT c_custkey AS doc_id, unnest(['Summary', 'Summary', 'Summary', 'Summary', 'Units', 'Units', 'Loan']) AS sheet, unnest(['B2', 'B3', 'B4', 'B5', 'C1', 'C2', 'D1']) AS cell,
     unnest(['Name', 'City', 'Vacancy', 'Price', 'First unit', 'Third unit', 'Rate']) AS label,
@@ -170,12 +177,11 @@ def lookups_sql() -> str:
         "median_home_value_3mile": "label = 'Median Home Value'",
         "renter_households_pct_3mile": "label = 'Renter Occupied'",
     }
-    value = {n: f"b.{n}" for n in own}
-    for i, (name, label, _, _) in enumerate(X.DEMOGRAPHICS_LOOKUPS):
-        value[name] = f"coalesce(nullif({value[name]}, 0), l{i}, {value[name]})"
-    base = ", ".join(f"{PICK('max', f'row_idx > 4 AND {t}')} AS {n}" for n, t in own.items())
-    found = ", ".join(f"{PICK('min', f'contains(lower(label), {chr(39)}{x[1].lower()}{chr(39)})')} AS l{i}" for i, x in enumerate(X.DEMOGRAPHICS_LOOKUPS))
-    return f"WITH {ROWS}, b AS (SELECT doc_id, {base}, {found} FROM n GROUP BY 1 HAVING max(row_idx) > 4) SELECT doc_id, {', '.join(f'{v} AS {n}' for n, v in value.items())} FROM b"
+    base = ", ".join(f"{PICK('max', t)} AS {n}" for n, t in own.items())
+    found = ", ".join(f"arg_min(value, (table_index, row_idx)) FILTER (WHERE contains(lower(label), '{x[1].lower()}')) AS t{i}" for i, x in enumerate(X.DEMOGRAPHICS_LOOKUPS))
+    text = {n: "coalesce(" + ", ".join(f"t{i}" for i, x in enumerate(X.DEMOGRAPHICS_LOOKUPS) if x[0] == n) + ")" for n in own}
+    value = ", ".join(f"CASE WHEN coalesce({n}, 0) = 0 AND {t} IS NOT NULL THEN {number_sql(t)} ELSE {n} END AS {n}" for n, t in text.items())
+    return f"WITH {ROWS}, b AS (SELECT doc_id, {base}, {found} FROM n GROUP BY 1) SELECT doc_id, {value} FROM b"
 
 
 SQL = {
@@ -211,7 +217,7 @@ SQL = {
         SELECT k AS doc_id, 'current' AS metric, p AS per_unit, sf AS per_sf, rate AS vacancy_rate, units AS vacancy_units, 0 - units AS absorption FROM o UNION ALL SELECT k, 'last_quarter', p, sf, rate, units, NULL FROM o UNION ALL SELECT k, 'year_ago', p, sf, rate, units, NULL FROM o
         UNION ALL SELECT k, 'competitor_total', NULL, NULL, NULL, NULL, 0 - units FROM o""",
     "extract_address": """WITH a AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN concat(c_custkey % 20 + 1, ' Main Street') WHEN 1 THEN concat(c_custkey % 20 + 1, ' Main St') END AS street,
-          CASE WHEN c_custkey % 3 = 0 THEN concat('The Lofts ', c_custkey) WHEN c_custkey % 4 <> 2 THEN 'Serafina' END AS name, ['Phoenix', 'Austin', 'Boise', NULL][c_custkey % 4 + 1] AS city, ['Arizona', 'Texas', 'Idaho', NULL][c_custkey % 4 + 1] AS state,
+          CASE WHEN c_custkey % 3 = 0 THEN concat('The Lofts ', c_custkey) WHEN c_custkey % 4 <> 2 THEN 'Juniper Court' END AS name, ['Phoenix', 'Austin', 'Boise', NULL][c_custkey % 4 + 1] AS city, ['Arizona', 'Texas', 'Idaho', NULL][c_custkey % 4 + 1] AS state,
           ['AZ', 'TX', 'ID', NULL][c_custkey % 4 + 1] AS state_abbr, CASE WHEN c_custkey % 5 = 0 THEN '85001' WHEN c_custkey % 6 = 0 THEN '98101-1234' END AS zip FROM customer)
         SELECT k AS doc_id, street, name, city, state, zip, state_abbr, nullif(concat_ws(', ', street, city, state_abbr, zip), '') AS address,
           CASE WHEN street IS NULL THEN 0 ELSE 30 END + CASE WHEN city IS NULL THEN 0 ELSE 25 END + CASE WHEN state_abbr IS NULL THEN 0 ELSE 25 END + CASE WHEN zip IS NULL THEN 0 ELSE 20 END AS confidence FROM a""",

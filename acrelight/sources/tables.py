@@ -20,13 +20,16 @@ from acrelight.operators.mapping import FieldMapping
 
 SECTIONS = ["subject_property", "rent_comps", "construction", "sale_comps", "demographics", "submarket_report", "market_report", "external", "unknown"]
 TEXT_ITEM = "struct<text:string,label:string,level:int>"
+TABLE = "struct<table_index:int,page_number:int,headers:array<string>,column_types:map<string,string>,rows:array<map<string,string>>,row_count:int,column_count:int,markdown:string,error:string>"
+EXTERNAL = "crime struct<violent_crime_index:double,property_crime_index:double,total_crime_index:double>, schools struct<average_rating:double>, walkScore struct<walk_score:int,transit_score:int,bike_score:int>"
 SECTION_SCHEMA = (
     "section string, section_name string, page_range struct<start:int,end:int>, "
-    f"pages array<struct<page_number:int,text_items:array<{TEXT_ITEM}>,headers:array<struct<text:string,level:int>>,table_count:int>>, "
-    "tables array<struct<table_index:int,page_number:int,headers:array<string>,column_types:map<string,string>,rows:array<map<string,string>>,row_count:int,column_count:int,markdown:string,error:string>>, "
-    "raw_text string, metadata struct<source_file:string,total_pages_in_section:int,total_tables_in_section:int,extraction_date:string,processor:string>, _corrupt_record string"
+    f"pages array<struct<page_number:int,text_items:array<{TEXT_ITEM}>,headers:array<struct<text:string,level:int>>,table_count:int,tables:array<{TABLE}>>>, "
+    f"tables array<{TABLE}>, "
+    "raw_text string, metadata struct<source_file:string,total_pages_in_section:int,total_tables_in_section:int,extraction_date:string,processor:string>, "
+    f"{EXTERNAL}, _corrupt_record string"
 )
-EXTERNAL_SCHEMA = "crime struct<violent_crime_index:double,property_crime_index:double,total_crime_index:double>, schools struct<average_rating:double>, walkScore struct<walk_score:int,transit_score:int,bike_score:int>, _corrupt_record string"
+EXTERNAL_SCHEMA = f"{EXTERNAL}, _corrupt_record string"
 TABLES = ["properties", "documents", "extracted_files", "scores", "generated_files", "files"]
 # File families by extension.
 FAMILIES = {"pdf": "pdf", "csv": "csv", "xlsx": "excel", "xls": "excel", "png": "image", "jpg": "image", "jpeg": "image", "tiff": "image", "bmp": "image"}

@@ -44,7 +44,7 @@ def test_tagged_values(spark):
 
 @pytest.mark.parametrize(
     ("name", "value", "wanted"),
-    [("divide_by_100", "6.0", "0.06"), ("to_number", "$27,450,000", "2.745E7"), ("extract_city", "Phoenix, Arizona - Central", "Phoenix"), ("extract_state_abbrev", "Phoenix, Arizona - Central", "AZ"), ("extract_property_name", "Serafina 183 Unit Apartment", "Serafina"), ("years_since_purchase", "Purchased Mar 2019", "6"), ("unknown", "x", "x")],
+    [("divide_by_100", "6.0", "0.06"), ("to_number", "$27,450,000", "2.745E7"), ("extract_city", "Phoenix, Arizona - Central", "Phoenix"), ("extract_state_abbrev", "Phoenix, Arizona - Central", "AZ"), ("extract_property_name", "Juniper Court 183 Unit Apartment", "Juniper Court"), ("years_since_purchase", "Purchased Mar 2019", "6"), ("unknown", "x", "x")],
 )
 def test_transforms(spark, name, value, wanted):
     assert one(spark, value, lambda c: V.apply_transform(name, c, F.lit("2025-06-30").cast("date"))) == wanted
