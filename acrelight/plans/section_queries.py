@@ -11,7 +11,7 @@ from acrelight.operators.tables import table_lookups
 from acrelight.plans.feature_queries import number_sql
 from acrelight.plans.fixtures import VIEWS, cte, view
 from acrelight.plans.scoring_queries import FLAT, d, decision_sql, half_up, total_sql
-from acrelight.sources.shared import fresh_path, stage
+from acrelight.sources.shared import fresh_path
 from acrelight.sources.tables import SECTION_SCHEMA
 from acrelight.sources.versions import VersionedTable
 from acrelight.streaming.sections import score_table, section_table, stream_sections
@@ -87,7 +87,7 @@ def _damaged(lines: DataFrame) -> DataFrame:
 
 
 def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rescore_sections(stage(as_sections(_damaged(edition_documents(spark, sf_dir).where("v = 0")))))
+    return rescore_sections(as_sections(_damaged(edition_documents(spark, sf_dir).where("v = 0"))))
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
