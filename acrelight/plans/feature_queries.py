@@ -114,6 +114,14 @@ def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.combine_external(crime, E.school_ratings(E.school_cards(h)), walk).select("page_id", F.col("crime.total_crime_index").alias("crime"), F.col("schools.average_rating").alias("schools"), F.col("walkScore.walk_score").alias("walk"), F.size("errors").alias("n_errors"), "success")
 
 
+def _schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assigned schools of pages that mark any, listed ones of the others."""
+    pages = view(spark, sf_dir, "captured_fx")
+    assigned = E.assigned_schools(pages)
+    found = E.schools_by_level(assigned.unionByName(E.listed_schools(pages).join(assigned.select("page_id").distinct(), "page_id", "left_anti")))
+    return found.select("page_id", *(F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("elementary", "middle", "high") for c in ("name", "rating")), "average_rating")
+
+
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.extract_metrics(metric_texts(spark, sf_dir))
 
@@ -140,7 +148,11 @@ QUERIES = {
     "mapping_coverage": lambda s, x: M.coverage(outcomes(s, x)),
     "fees_and_policies": _policies,
     "walk_scores": lambda s, x: E.walk_scores(view(s, x, "html_fx")).select("page_id", "walk_score"),
-    "crime_indices": lambda s, x: E.crime_indices(view(s, x, "html_fx")),
+    "crime_indices": lambda s, x: E.crime_indices(view(s, x, "html_fx")).drop("tier"),
+    "crime_tiers": lambda s, x: E.crime_indices(view(s, x, "captured_fx")),
+    "assigned_schools": lambda s, x: E.assigned_schools(view(s, x, "captured_fx")).select("page_id", "name", "rating", "level"),
+    "listed_schools": lambda s, x: E.listed_schools(view(s, x, "captured_fx")).select("page_id", "name", "rating", "level", "grades"),
+    "schools_by_level": _schools,
     "school_cards": lambda s, x: E.school_cards(view(s, x, "html_fx")).select("page_id", "rating", "level", "name"),
     "combine_external": _external,
     "location_slugs": lambda s, x: E.location_slug(view(s, x, "properties_fx")).select("property_id", "city_underscore", "city_hyphen", "address_slug"),
@@ -168,6 +180,17 @@ PICK = lambda way, test: f"arg_{way}_null(num, (table_index, row_idx)) FILTER (W
 ROWS = f"{cte('cells_fx')}, g AS (SELECT doc_id, table_index, row_idx, min(label) AS label, min(value) AS value FROM cells_fx GROUP BY 1, 2, 3), n AS (SELECT *, {NUM} AS num FROM g)"
 
 
+_R = "CAST(page_id % 10 + 1 AS DOUBLE)"
+LISTED = " UNION ALL ".join(
+    f"SELECT page_id, {name} AS name, {rating} AS rating, {level} AS level, {grades} AS grades FROM pages WHERE page_id % 4 = {m}"
+    for m, name, rating, level, grades in [
+        (0, "'North School'", "CAST(NULL AS DOUBLE)", "'elementary'", "NULL"), (1, "'Hill School'", _R, "'elementary'", "NULL"), (1, "'Dale Middle'", "CAST(4 AS DOUBLE)", "'middle'", "NULL"),
+        (2, "'Alpha Academy'", _R, "NULL", "'K'"), (2, "'Beta Academy'", "CAST(NULL AS DOUBLE)", "NULL", "'10-12'"), (3, "'Lake Middle'", _R, "'middle'", "NULL"),
+        ("3 AND page_id % 6 = 1", "'Property crime'", "CAST(page_id % 70 + 1 AS DOUBLE)", "NULL", "NULL"), ("3 AND page_id % 6 = 1", "'Overall'", "CAST(page_id % 60 + 1 AS DOUBLE)", "NULL", "NULL"),
+    ]
+)
+
+
 def lookups_sql() -> str:
     """The last rows' values, then what each lookup finds for those that are missing or zero."""
     own = {
@@ -207,12 +230,19 @@ SQL = {
     "mapping_coverage": f"WITH {OUTCOMES} SELECT sheet, count(*) FILTER (WHERE status = 'filled') AS filled, count(*) AS total, floor(CAST(count(*) FILTER (WHERE status = 'filled') AS DOUBLE) * 10000 / count(*) + {d(0.5)}) / 10000 AS share FROM outcomes GROUP BY 1",
     "fees_and_policies": "SELECT p_partkey, CAST(p_partkey % 500 AS DOUBLE) AS admin_fee, p_partkey % 2 = 0 AND p_partkey % 7 <> 0 AS dogs, p_partkey % 3 = 0 AND p_partkey % 7 <> 0 AS cats, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS restrictions, 'Gas,Water,Heat' AS utilities FROM part",
     "walk_scores": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN CAST(page_id % 101 AS INT) END AS walk_score FROM pages",
-    "crime_indices": f"WITH c AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN CAST(page_id % 80 AS DOUBLE) + {d(0.5)} END AS v, CASE WHEN page_id % 2 = 0 THEN CAST(concat(page_id % 70, '.3') AS DOUBLE) END AS p FROM pages) SELECT page_id, v AS violent_crime_index, p AS property_crime_index, {half_up('(v + p) / 2', 1)} AS total_crime_index FROM c",
+    "crime_indices": f"SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN CAST(page_id % 80 AS DOUBLE) + {d(0.5)} END AS violent_crime_index, CASE WHEN page_id % 2 = 0 THEN CAST(concat(page_id % 70, '.3') AS DOUBLE) END AS property_crime_index, CASE WHEN page_id % 5 = 0 AND (page_id % 3 <> 0 OR page_id % 2 = 0) THEN CAST(concat(page_id % 60 + 1, '.1') AS DOUBLE) END AS total_crime_index FROM pages",
+    "crime_tiers": f"""WITH c AS (SELECT page_id, page_id % 6 AS m, CAST(concat(page_id % 80 + 1, '.4') AS DOUBLE) AS v, CAST(concat(page_id % 70 + 1, '.5') AS DOUBLE) AS p FROM pages)
+        SELECT page_id, CASE WHEN m < 5 THEN v END AS violent_crime_index, CASE WHEN m < 5 THEN p END AS property_crime_index, CASE m WHEN 0 THEN {half_up('(v + p) / 2', 1)} WHEN 1 THEN CAST(page_id % 60 + 1 AS DOUBLE) END AS total_crime_index, CASE m WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 4 END AS tier FROM c""",
+    "assigned_schools": "SELECT page_id, 'North School' AS name, CAST(page_id % 10 + 1 AS DOUBLE) AS rating, 'elementary' AS level FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'East', CAST(9 AS DOUBLE), 'high' FROM pages WHERE page_id % 4 = 0",
+    "listed_schools": f"SELECT page_id, name, rating, level, grades FROM ({LISTED})",
+    "schools_by_level": """WITH p AS (SELECT page_id, page_id % 4 AS m, CAST(page_id % 10 + 1 AS DOUBLE) AS r FROM pages)
+        SELECT page_id, CASE m WHEN 0 THEN 'North School' WHEN 1 THEN 'Hill School' WHEN 2 THEN 'Alpha Academy' END AS elementary_name, CASE WHEN m < 3 THEN r END AS elementary_rating, CASE m WHEN 1 THEN 'Dale Middle' WHEN 3 THEN 'Lake Middle' END AS middle_name, CASE m WHEN 1 THEN CAST(4 AS DOUBLE) WHEN 3 THEN r END AS middle_rating,
+          CASE m WHEN 0 THEN 'East' WHEN 2 THEN 'Beta Academy' END AS high_name, CASE WHEN m = 0 THEN CAST(9 AS DOUBLE) END AS high_rating, CASE m WHEN 0 THEN floor((r + 9) / 2 * 10 + 0.5) / 10 ELSE r END AS average_rating FROM p""",
     "school_cards": "SELECT page_id, CAST(page_id % 11 AS DOUBLE) AS rating, 'elementary' AS level, 'Elementary School' AS name FROM pages",
     "location_slugs": f"WITH {cte('properties_fx')} SELECT property_id, {SLUG('city', '_')} AS city_underscore, {SLUG('city', '-')} AS city_hyphen, {SLUG('concat_ws(chr(32), street, city, state_abbr)', '-')} AS address_slug FROM properties_fx",
     "property_metrics": "SELECT page_id AS doc_id, CAST(page_id % 100 AS INT) AS walk_score, CAST(page_id % 90 AS INT) AS transit_score FROM pages",
     "combine_external": f"""WITH c AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN CAST(page_id % 80 AS DOUBLE) + {d(0.5)} END AS v, CASE WHEN page_id % 2 = 0 THEN CAST(concat(page_id % 70, '.3') AS DOUBLE) END AS p, CASE WHEN page_id % 4 <> 0 THEN CAST(page_id % 101 AS INT) END AS walk FROM pages)
-        SELECT page_id, {half_up('(v + p) / 2', 1)} AS crime, CASE WHEN page_id % 11 > 0 THEN CAST(page_id % 11 AS DOUBLE) END AS schools, walk, CASE WHEN coalesce(v, p) IS NULL THEN 1 ELSE 0 END + CASE WHEN walk IS NULL THEN 1 ELSE 0 END AS n_errors, true AS success FROM c""",
+        SELECT page_id, CASE WHEN page_id % 5 = 0 AND coalesce(v, p) IS NOT NULL THEN CAST(concat(page_id % 60 + 1, '.1') AS DOUBLE) END AS crime, CASE WHEN page_id % 11 > 0 THEN CAST(page_id % 11 AS DOUBLE) END AS schools, walk, CASE WHEN coalesce(v, p) IS NULL THEN 1 ELSE 0 END + CASE WHEN walk IS NULL THEN 1 ELSE 0 END AS n_errors, true AS success FROM c""",
     "extract_metrics": f"""WITH o AS (SELECT o_orderkey AS k, CAST(replace(format('{{:,.0f}}', o_totalprice), ',', '') AS DOUBLE) AS p, CAST(concat('1.', o_orderkey % 90) AS DOUBLE) AS sf, CAST(o_orderkey % 30 AS DOUBLE) + {d(0.5)} AS rate, CAST(o_orderkey AS DOUBLE) AS units FROM orders)
         SELECT k AS doc_id, 'current' AS metric, p AS per_unit, sf AS per_sf, rate AS vacancy_rate, units AS vacancy_units, 0 - units AS absorption FROM o UNION ALL SELECT k, 'last_quarter', p, sf, rate, units, NULL FROM o UNION ALL SELECT k, 'year_ago', p, sf, rate, units, NULL FROM o
         UNION ALL SELECT k, 'competitor_total', NULL, NULL, NULL, NULL, 0 - units FROM o""",

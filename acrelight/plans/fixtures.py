@@ -62,8 +62,25 @@ VIEWS: dict[str, str] = {
         SELECT page_id, concat(html, CASE WHEN page_id % 4 <> 0 THEN concat('<img alt="', CAST(page_id % 101 AS STRING), ' Walk Score of X">') ELSE '' END,
           CASE WHEN page_id % 3 <> 0 THEN concat('<p>Violent Crime: ', CAST(page_id % 80 AS STRING), '.5</p>') ELSE '' END,
           CASE WHEN page_id % 2 = 0 THEN concat('<p>Property Crime: ', CAST(page_id % 70 AS STRING), '.3</p>') ELSE '' END,
+          CASE WHEN page_id % 5 = 0 THEN concat('<p>Overall Crime: ', CAST(page_id % 60 + 1 AS STRING), '.1</p>') ELSE '' END,
           '<div class="school"><span class="circle-rating--', CAST(page_id % 11 AS STRING), '"></span>Elementary School</div>') AS html
         FROM {pages}""",
+    "captured_fx": r"""
+        SELECT page_id, concat(html,
+          CASE page_id % 6
+            WHEN 0 THEN concat('<img aria-label="Violent, 22.7. USA"><img aria-label="Violent, ', CAST(page_id % 80 + 1 AS STRING), '.4. Some State."><svg role="img" aria-label="Property, ', CAST(page_id % 70 + 1 AS STRING), '.5. Some State."></svg>')
+            WHEN 1 THEN concat('<p>Violent Crime: ', CAST(page_id % 80 + 1 AS STRING), '.4</p><table><tr><th>Kind<th>Index</tr><tr><td>Property crime</td><td>about ', CAST(page_id % 70 + 1 AS STRING), '.5</td></tr><tr><td>Overall<td>', CAST(page_id % 60 + 1 AS STRING), '</table>')
+            WHEN 2 THEN concat('<p>99 violent storms elsewhere</p><div class="crime-data"><div>It is ', CAST(page_id % 80 + 1 AS STRING), '.4 for violent acts</div> while the property crime rate is ', CAST(page_id % 70 + 1 AS STRING), '.5</div>')
+            WHEN 3 THEN concat('<div class="progress-bar" aria-label="Violent" aria-valuenow="', CAST(page_id % 80 + 1 AS STRING), '.4"></div><div class="meter" aria-label="Property level" style="width: ', CAST(page_id % 70 + 1 AS STRING), '.5%"></div>')
+            WHEN 4 THEN concat('<div class="violent"><div><svg><text>', CAST(page_id % 80 + 1 AS STRING), '.4</text></svg></div></div><div class="box property"><span class="chart-value">', CAST(page_id % 70 + 1 AS STRING), '.5</span></div>')
+            ELSE '' END,
+          CASE page_id % 4
+            WHEN 0 THEN concat('<div class="school-list"><ul><li class="school-card"><div><a href="/school/1">North School</a><div class="circle-rating--search-page circle-rating--', CAST(page_id % 10 + 1 AS STRING), '"></div></div><div class="assigned-tag">Assigned: Mesa Elementary District</div></li>',
+              '<li><section><a href="/school/2">East</a><span class="circle-rating--search-page circle-rating--9">9</span> High School<div><div class="assigned-tag">Assigned</div></div></section></li><li><section><a href="/school/3">Other Elementary School</a></section></li></ul></div>')
+            WHEN 1 THEN concat('<article class="big school"><h3>Hill School</h3><span class="rating" data-rating="', CAST(page_id % 10 + 1 AS STRING), '"></span><p>for K-5</article><article class="school"><div class="title">Dale Middle</div><i class="score">4/10</i></article>')
+            WHEN 2 THEN concat('<div class="school-card"><h2>Alpha Academy</h2><span class="circle" aria-label="rated ', CAST(page_id % 10 + 1 AS STRING), '"></span><span class="grades">K</span></div><div class="school-card"><h2>Beta Academy</h2><span class="grades">10-12</span></div>')
+            ELSE concat('<table><tr><td>Lake Middle</td><td>Rating ', CAST(page_id % 10 + 1 AS STRING), '</td></tr><tr><td>none</td><td>x</td></tr></table>') END) AS html
+        FROM {pages}""",
 }
 SOURCES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
