@@ -10,6 +10,8 @@ TABLE_LIKE = r"\S {2,}\S.* {2,}\S"
 LIST_ITEM = r"^[•\-*]\s+"
 KEY_VALUE = r"^([^:]{1,60}):\s*(.*)$"
 ORPHAN_COUNT = r"^\d+\s*Units?\z"
+#: Keys meet lines by so many of their first letters.
+KEY_START = 4
 METRIC_ORDER = ["Current", "Last Quarter", "Year Ago", "Competitors", "Submarket"]
 
 
@@ -70,13 +72,20 @@ def related_lines(lines: DataFrame) -> DataFrame:
 
     Keys are what stands before a line's first colon, in order of their first
     line. Blank lines and lines that mention no key have no row.
+
+    Lines and keys meet by the key's first letters, which a line that mentions
+    it has somewhere, so rows grow with what lines and keys have in common.
     """
     named = F.contains("line", F.lit(":"))
+    lower = F.lower("key")
     keys = lines.where(named).groupBy("doc_id", F.trim(F.substring_index("line", ":", 1)).alias("key")).agg(F.min("line_idx").alias("key_at"))
-    plain = lines.where(~named & (F.trim("line") != ""))
-    mentions = (F.col("l.doc_id") == F.col("k.doc_id")) & (F.col("key_at") < F.col("line_idx")) & F.contains(F.lower("line"), F.lower("key"))
-    found = plain.alias("l").join(keys.alias("k"), mentions).select("l.doc_id", "line_idx", "line", "key", "key_at")
-    return found.groupBy("doc_id", "line_idx").agg(F.min_by("key", "key_at").alias("key"), F.trim(F.first("line")).alias("related"))
+    keys = keys.withColumns({"size": F.least(F.length("key"), F.lit(KEY_START)), "start": F.left(lower, F.lit(KEY_START))})
+    sizes = keys.groupBy("doc_id").agg(F.collect_set("size").alias("sizes"))  # of a document no more than KEY_START + 1
+    plain = lines.where(~named & (F.trim("line") != "")).withColumn("low", F.lower("line"))
+    starts = F.flatten(F.transform("sizes", lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - n + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, n)))))
+    parts = plain.join(sizes, "doc_id").select("doc_id", "line_idx", "line", "low", F.explode(F.array_distinct(starts)).alias("start"))
+    met = parts.join(keys, ["doc_id", "start"]).where((F.col("key_at") < F.col("line_idx")) & F.contains("low", lower))
+    return met.groupBy("doc_id", "line_idx").agg(F.min_by("key", "key_at").alias("key"), F.trim(F.first("line")).alias("related"))
 
 
 def subsection_counts(nested: DataFrame) -> DataFrame:
@@ -158,31 +167,20 @@ def detect_tables(lines: DataFrame, least_rows: int = 3, near: int = 1) -> DataF
     Consecutive table-like lines form a table if at least ``least_rows`` follow
     one another. Column positions are carried along the rows: each row's starts
     within ``near`` of a running position move it, old weighing 2 to 1. That
-    recurrence depends on its own state, so a document's lines, in order, go
-    through a small Python function.
+    recurrence is a fold over the rows of one run, the only rows that are
+    gathered; a document's lines are only put in order.
     """
-    import pandas as pd
-
-    schema = "doc_id long, table_idx int, first_line int, last_line int, n_rows int, positions array<double>"
     starts = F.array_compact(F.transform(F.split("line", ""), lambda c, i: F.when((c != " ") & ((i == 0) | (F.substring("line", i - 1, F.lit(2)) == "  ")), i.cast("double"))))
     table_like = lines.where(looks_like_table(F.col("line"))).select("doc_id", "line_idx", starts.alias("starts"))
-    run = F.col("line_idx") - F.row_number().over(_ordered())
-    runs = table_like.withColumn("run", run)
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, group in rows.sort_values("line_idx").groupby("run", sort=True):
-            if len(group) < least_rows:
-                continue
-            at: list[float] = []
-            for starts_here in group["starts"]:
-                for s in starts_here:
-                    close = next((i for i, p in enumerate(at) if abs(p - s) <= near), None)
-                    if close is None:
-                        at.append(float(s))
-                    else:
-                        at[close] = (2 * at[close] + s) / 3
-            out.append((key[0], len(out), int(group["line_idx"].iloc[0]), int(group["line_idx"].iloc[-1]), len(group), sorted(at)))
-        return pd.DataFrame(out, columns=["doc_id", "table_idx", "first_line", "last_line", "n_rows", "positions"])
-
-    return runs.groupBy("doc_id").applyInPandas(fold, schema)
+    runs = table_like.withColumn("run", F.col("line_idx") - F.row_number().over(_ordered()))
+    none = F.array().cast("array<double>")
+
+    def moved(at: Column, start: Column) -> Column:
+        found = F.array_position(F.transform(at, lambda p: F.abs(p - start) <= near), True)
+        return F.when(found == 0, F.concat(at, F.array(start))).otherwise(F.transform(at, lambda p, i: F.when(i + 1 == found, (2 * p + start) / 3).otherwise(p)))
+
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "starts"))), lambda r: r["starts"])
+    tables = runs.groupBy("doc_id", "run").agg(F.min("line_idx").cast("int").alias("first_line"), F.max("line_idx").cast("int").alias("last_line"), F.count("*").cast("int").alias("n_rows"), rows.alias("rows")).where(F.col("n_rows") >= least_rows)
+    positions = F.array_sort(F.aggregate("rows", none, lambda at, row: F.aggregate(row, at, moved)))
+    index = (F.row_number().over(Window.partitionBy("doc_id").orderBy("first_line")) - 1).cast("int")
+    return tables.withColumns({"positions": positions, "table_idx": index}).select("doc_id", "table_idx", "first_line", "last_line", "n_rows", "positions")

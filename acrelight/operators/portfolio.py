@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,6 +161,36 @@ def link_new(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataF
     return incoming.join(existing, keys, "left_anti")
 
 
+def link_documents(incoming: DataFrame, existing: DataFrame, owner: str = "property_id", names: tuple[str, str] = ("storage_path", "file_name"), order: str = "id") -> DataFrame:
+    """Incoming rows that none of their owner's rows equals in either of two ``names``, as if put in one by one in ``order``.
+
+    A missing name equals none. Against what exists, that is an equal anti join
+    for each name. Among the incoming, a row whose names no earlier undecided
+    one has is put in, which decides those that share a name with it; that is
+    repeated until all are decided, in as many staged rounds as the longest
+    chain of shared names has links. Rows of equal ``order`` go by both names;
+    equal rows are put in once.
+    """
+    first, second = names
+    rest = incoming.where(F.col(owner).isNotNull()).dropDuplicates([owner, *names, order])
+    for name in names:
+        rest = rest.join(existing.select(owner, name).where(F.col(name).isNotNull()).distinct(), [owner, name], "left_anti")
+    rest, taken = stage(rest.select(*incoming.columns)), []
+    while not rest.isEmpty():
+        mine = F.struct(order, *(F.coalesce(F.col(n), F.lit("")) for n in names))
+        leads = rest.withColumn("_mine", mine)
+        for i, name in enumerate(names):
+            least = leads.where(F.col(name).isNotNull()).groupBy(owner, name).agg(F.min("_mine").alias(f"_least{i}"))
+            leads = leads.join(least, [owner, name], "left")
+        now = stage(leads.where((F.coalesce(F.col("_least0"), F.col("_mine")) == F.col("_mine")) & (F.coalesce(F.col("_least1"), F.col("_mine")) == F.col("_mine"))).select(*incoming.columns))
+        taken.append(now)
+        rest = rest.join(now.select(owner, order, *(F.coalesce(F.col(n), F.lit("")).alias(f"_{n}") for n in names)), (rest[owner] == now[owner]) & (rest[order] == now[order]) & (F.coalesce(rest[first], F.lit("")) == F.col(f"_{first}")) & (F.coalesce(rest[second], F.lit("")) == F.col(f"_{second}")), "left_anti")
+        for name in names:
+            rest = rest.join(now.select(owner, name).where(F.col(name).isNotNull()).distinct(), [owner, name], "left_anti")
+        rest = stage(rest.select(*incoming.columns))
+    return reduce(DataFrame.unionByName, taken) if taken else rest
+
+
 def changed(incoming: DataFrame, existing: DataFrame, keys: list[str], hash_col: str = "data_hash") -> DataFrame:
     """Incoming rows whose content differs from the row with the same keys."""
     old = existing.select(*keys, F.col(hash_col).alias("_old"))

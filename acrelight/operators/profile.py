@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acrelight.functions.values import half_up
+from acrelight.sources.shared import stage
 
 
 def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -16,29 +17,49 @@ def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))))
 
 
+def medians(values: DataFrame) -> DataFrame:
+    """(column, median) of weighted numbers (column, number, n): the middle one, or the mean of both.
+
+    Numbers are dealt into ranges and staged; from the counts of each range, one
+    row for each column and range, follows which ranges hold the middle, and
+    only these are counted through. No task holds a column or a map of it.
+    """
+    dealt = stage(values.repartitionByRange("column", "number").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("column", "_part").agg(F.sum("n").alias("_size"))
+    ranges = Window.partitionBy("column").orderBy("_part")
+    placed = sizes.withColumns({"_before": F.sum("_size").over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"), "_all": F.sum("_size").over(Window.partitionBy("column"))})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)
+    middle = placed.where((F.col("_before") <= high) & (F.col("_before") + F.col("_size") > low))
+    within = Window.partitionBy("column", "_part").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    upto = dealt.join(middle, ["column", "_part"]).withColumn("_upto", F.col("_before") + F.sum("n").over(within))
+    at = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("n") <= rank), F.col("number")))
+    return upto.groupBy("column").agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Type, null and distinct counts, and number statistics of each column.
 
     Values are counted first by column and value, so that the distinct count and
-    the statistics come from far fewer rows. An empty string is null. A column
-    is numeric if all its values are numbers, and 'empty' without any; statistics
-    are there if any value is a number.
+    the statistics come from far fewer rows, and staged, as all else reads them.
+    An empty string is null. A column is numeric if all its values are numbers,
+    and 'empty' without any; statistics are there if any value is a number.
     """
     columns = columns or df.columns
     cell = unpivoted(df, columns).withColumn("value", F.when(F.col("value") != "", F.col("value")))
-    values = cell.groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("number", F.col("value").try_cast("double"))
+    values = stage(cell.groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("number", F.col("value").try_cast("double")))
     number, n = F.col("number"), F.col("n")
     known = F.sum(F.when(F.col("value").isNotNull(), n).otherwise(0))
     numbers = F.sum(F.when(number.isNotNull(), n).otherwise(0))
-    return values.groupBy("column").agg(
+    out = values.groupBy("column").agg(
         F.when(known == 0, "empty").when(numbers == known, "numeric").otherwise("text").alias("dtype"),
         F.sum(F.when(F.col("value").isNull(), n).otherwise(0)).alias("null_count"),
         F.count("value").alias("unique_count"),
         F.min("number").alias("min"),
         F.max("number").alias("max"),
         half_up(F.try_divide(F.sum(number * n), numbers), 4).alias("mean"),
-        F.percentile("number", 0.5, F.when(number.isNotNull(), n).otherwise(0)).alias("median"),
     )
+    # a row for each column
+    return out.join(medians(values.where("number is not null").select("column", "number", "n")), "column", "left")
 
 
 def profile_typed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

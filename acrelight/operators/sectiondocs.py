@@ -8,6 +8,7 @@ section's own tables before those of its pages.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from acrelight.dims import DEFAULT_SCORECARD, Scorecard
 from acrelight.functions.values import parse_numeric
 from acrelight.operators import features as X
 from acrelight.operators import scorecard as S
+from acrelight.operators.freetext import match_source_document
+from acrelight.operators.portfolio import link_documents, link_new, upsert_properties
+from acrelight.operators.sections import has_property_data
 from acrelight.operators.tables import parse_markdown, table_lookups
 from acrelight.sources.shared import stage
 
@@ -115,6 +119,56 @@ def rescore_sections(sections: DataFrame, card: Scorecard = DEFAULT_SCORECARD, y
     return scored.select("base", *out, "unreadable", F.when(lost, F.lit("no section could be read")).alias("error"))
 
 
+def subject_items(sections: DataFrame) -> DataFrame:
+    """(doc_id, kind, page_number, item_idx, text): what addresses are looked for in, from the subject section, else the combined one.
+
+    Headers, text items, lines of the raw text and cells of tables, each in its order.
+    """
+    here = sections.where(F.col("section").isin("subject_property", "combined"))
+    first = here.groupBy("base").agg(F.min_by("document", F.col("section") != "subject_property").alias("document"))
+    doc = first.select(F.col("base").alias("doc_id"), "document")
+    pages = doc.select("doc_id", F.posexplode("document.pages").alias("page_number", "p"))
+    item = lambda df, kind, page, at, text: df.select("doc_id", F.lit(kind).alias("kind"), page.cast("int").alias("page_number"), at.cast("int").alias("item_idx"), text.alias("text"))
+    headers = pages.select("doc_id", "page_number", F.posexplode("p.headers").alias("at", "x"))
+    texts = pages.select("doc_id", "page_number", F.posexplode("p.text_items").alias("at", "x"))
+    raw = doc.select("doc_id", F.posexplode(F.split("document.raw_text", "\n")).alias("at", "x"))
+    cells = table_cells(section_tables(sections, ["subject_property", "combined"]).where(F.col("rows").isNotNull())).where("form = 1")
+    zero, c = F.lit(0), F.col
+    parts = [item(headers, "header", c("page_number"), c("at"), c("x.text")), item(texts, "text", c("page_number"), c("at"), c("x.text")), item(raw, "raw", zero, c("at"), c("x")), item(cells, "cell", c("src_ord") * 100_000 + c("table_index"), c("row_idx") * 1000 + c("col_idx"), c("value"))]
+    return reduce(DataFrame.unionByName, parts).where(F.col("text").isNotNull())
+
+
+def build_portfolio(sections: DataFrame, files: DataFrame, props: DataFrame, documents: DataFrame, extracted: DataFrame, card: Scorecard = DEFAULT_SCORECARD) -> dict[str, DataFrame]:
+    """From section documents to linked and scored properties; what is to be put into each table, and what became of each base.
+
+    ``sections`` (base, section, document, status) of which some may be
+    unreadable; ``files`` (file_name, storage_path) are the sources that bases
+    may be from; ``props``, ``documents`` (id, property_id, storage_path,
+    file_name) and ``extracted`` (property_id, section) are there already.
+
+    ``bases`` (base, property_id, created, status, reason): a base without
+    property data, or without a readable section, is left out and says why.
+    ``documents``, ``extracted``: links that aren't there yet; of the bases of
+    one property the least one links a section. ``scores``: one for each
+    property, that of its greatest base.
+    """
+    sections = stage(sections.select("base", "section", "document", "status"))
+    good = sections.where("status = 'success'")
+    kept = has_property_data(good)
+    known = kept.select("base").distinct()
+    unread = sections.groupBy("base").agg(F.count_if(F.col("status") == "success").alias("_good"))
+    found = known.join(X.extract_address(subject_items(kept)).select(F.col("doc_id").alias("base"), "street", "city", "state_abbr"), "base", "left")
+    matched = stage(upsert_properties(found.withColumnRenamed("base", "incoming_id"), props).withColumnRenamed("incoming_id", "base"))
+    reason = F.when(F.col("property_id").isNotNull(), None).when(F.col("_good") == 0, "no section could be read").otherwise("no property data")
+    bases = unread.join(matched, "base", "left").select("base", "property_id", F.coalesce("created", F.lit(False)).alias("created"), F.when(reason.isNull(), "processed").otherwise("skipped").alias("status"), reason.alias("reason"))
+    source = match_source_document(matched.select("base"), files).where("file_name is not null").join(files, "file_name").join(matched, "base")
+    links = link_documents(source.select(F.col("base").alias("id"), "property_id", "storage_path", "file_name"), documents)
+    sectioned = kept.join(matched, "base").groupBy("property_id", "section").agg(F.min("base").alias("base"))
+    scored = rescore_sections(kept, card).where("error is null").join(matched, "base")
+    scores = scored.groupBy("property_id").agg(F.max_by(F.struct("total_score", "decision", "color"), "base").alias("s")).select("property_id", "s.*")
+    return {"bases": bases, "documents": links.withColumnRenamed("id", "base"), "extracted": link_new(sectioned, extracted, ["property_id", "section"]), "scores": scores}
+
+
 def rescore_report(scored: DataFrame) -> DataFrame:
     """(rescored, errors, unreadable): how many bases were scored and not, and sections that could not be read."""
     return scored.agg(F.count_if(F.col("error").isNull()).alias("rescored"), F.count("error").alias("errors"), F.coalesce(F.sum("unreadable"), F.lit(0)).alias("unreadable"))

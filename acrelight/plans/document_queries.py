@@ -73,7 +73,8 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "extracted_fx").select(F.col("property_id").alias("base"), "section", "content")
 
 
-PROFILED = ["l_quantity", "l_returnflag", "l_linenumber"]
+PROFILED = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+TYPED = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")]
 QUERIES = {
     "soft_delete": lambda s, x: counted(L.soft_delete(tables(s, x), chosen(s, x), now())),
     "restore": lambda s, x: counted(L.restore(tables(s, x), view(s, x, "properties_fx").where("property_id % 2 = 0"), now())),
@@ -82,8 +83,8 @@ QUERIES = {
     "pending_purge": lambda s, x: L.expired(view(s, x, "properties_fx"), now()).select("property_id", "deleted_at"),
     "deletion_countdown": lambda s, x: L.deletion_countdown(view(s, x, "properties_fx"), now()).select("property_id", F.col("permanent_delete_at").cast("date").alias("purge_date"), "days_remaining"),
     "patch": _patch,
-    "profile": lambda s, x: R.profile(view(s, x, "lineitem"), PROFILED),
-    "profile_typed": lambda s, x: R.profile_typed(view(s, x, "part"), ["p_brand", "p_size"]),
+    "profile": lambda s, x: R.profile(view(s, x, "lineitem")),
+    "profile_typed": lambda s, x: R.profile_typed(view(s, x, "part")),
     "infer_column_types": lambda s, x: R.infer_column_types(_cells(s, x), ["table_index", "label"]),
     "categorize_columns": lambda s, x: R.categorize_columns(view(s, x, "part"), "p_partkey").select("p_partkey", "category", F.array_join(F.array_sort(F.map_keys("data")), ",").alias("columns")),
     "section_fill": lambda s, x: filled(s, x).select("doc_id", "page_number", "section"),
@@ -104,7 +105,7 @@ QUERIES = {
     "subsection_counts": lambda s, x: N.subsection_counts(N.nest_sections(N.segment_text(lines(s, x), F.col("line").rlike(HEADER)), F.length("title") % 2 == 0)),
     "clean_text": lambda s, x: view(s, x, "documents").select("doc_id", F.sha2(clean_text(F.concat(F.lit(MARKED), "text")), 256).alias("clean_sha256")),
     "page_stats": lambda s, x: N.page_stats(N.split_pages(view(s, x, "documents"))),
-    "detect_tables": lambda s, x: N.detect_tables(_wide_lines(s, x)).select("doc_id", "table_idx", "first_line", "last_line", "n_rows", F.size("positions").alias("n_positions")),
+    "detect_tables": lambda s, x: N.detect_tables(_wide_lines(s, x)).select("doc_id", "table_idx", "first_line", "last_line", "n_rows", F.size("positions").alias("n_positions"), F.array_join("positions", " ").alias("positions")),
 }
 
 
@@ -167,7 +168,7 @@ SQL = {
     "related_lines": "WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_idx, min(l_partkey) % 4 AS k FROM lineitem GROUP BY 1, 2), k AS (SELECT doc_id, k, min(line_idx) AS key_at FROM l WHERE line_idx % 3 = 1 GROUP BY 1, 2) SELECT l.doc_id, l.line_idx, concat('Key ', CAST(k AS VARCHAR)) AS key, concat('see KEY ', CAST(k AS VARCHAR)) AS related FROM l JOIN k USING (doc_id, k) WHERE l.line_idx % 3 <> 1 AND key_at < l.line_idx",
     "subsection_counts": f"WITH {TITLED}, m AS (SELECT doc_id, segment, last_value(CASE WHEN length(title) % 2 = 0 THEN segment END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY segment ROWS UNBOUNDED PRECEDING) AS main FROM titled) SELECT doc_id, main, count(*) FILTER (WHERE segment <> main) AS subsections FROM m WHERE main IS NOT NULL GROUP BY 1, 2",
     "clean_text": f"SELECT doc_id, sha256({clean_sql("(" + " || ".join(f"chr({ord(c)})" if not (c.isalnum() and c.isascii()) else f"'{c}'" for c in MARKED) + " || text)")}) AS clean_sha256 FROM documents",
-    "detect_tables": f"WITH {WIDE}, r AS (SELECT doc_id, line_idx, line_idx - row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS run FROM w WHERE cells), t AS (SELECT doc_id, CAST(min(line_idx) AS INT) AS first_line, CAST(max(line_idx) AS INT) AS last_line, CAST(count(*) AS INT) AS n_rows FROM r GROUP BY doc_id, run HAVING count(*) >= 3) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INT) AS table_idx, 3 AS n_positions FROM t",
+    "detect_tables": f"WITH {WIDE}, r AS (SELECT doc_id, line_idx, line_idx - row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS run FROM w WHERE cells), t AS (SELECT doc_id, CAST(min(line_idx) AS INT) AS first_line, CAST(max(line_idx) AS INT) AS last_line, CAST(count(*) AS INT) AS n_rows FROM r GROUP BY doc_id, run HAVING count(*) >= 3) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INT) AS table_idx, 3 AS n_positions, '0.0 20.0 28.0' AS positions FROM t",
     "soft_delete": f"WITH {TABLES} SELECT table_name, CASE WHEN property_id % 10 = 3 AND deleted_at IS NULL THEN DATE '{AS_OF}' ELSE deleted_at END AS deleted_at, count(*) AS n FROM everything{COUNT}",
     "restore": f"WITH {TABLES} SELECT table_name, CASE WHEN property_id % 2 = 0 THEN NULL ELSE deleted_at END AS deleted_at, count(*) AS n FROM everything{COUNT}",
     "purge": f"WITH {TABLES} SELECT table_name, deleted_at, count(*) AS n FROM everything WHERE property_id % 10 <> 3{COUNT}",
@@ -177,7 +178,7 @@ SQL = {
     "patch": f"WITH {cte('properties_fx')}, {KEYED}, u AS (SELECT *, CASE WHEN property_id % 10 = 3 THEN concat('9 Oak Avenue #', property_id) ELSE street END AS s2 FROM keyed) SELECT property_id, s2 AS street, city, CASE WHEN property_id % 10 = 3 THEN {ADDRESS.format('concat_ws(chr(32), s2, city, state_abbr)')} ELSE address_key END AS address_key, CASE WHEN property_id % 10 = 3 THEN DATE '{AS_OF}' ELSE created_at END AS updated_at FROM u",
     "profile": " UNION ALL ".join(f"""SELECT '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'empty' WHEN count(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) = count({c}) THEN 'numeric' ELSE 'text' END AS dtype, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count,
         min(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS min, max(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS max, floor(avg(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) * {d(10000.0)} + {d(0.5)}) / {d(10000.0)} AS mean, median(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS median FROM lineitem""" for c in PROFILED),
-    "profile_typed": " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) - count({c}) AS nulls, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS unique_values, '{k}' AS declared FROM part""" for c, k in (("p_brand", "string"), ("p_size", "int"))),
+    "profile_typed": " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) - count({c}) AS nulls, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS unique_values, '{k}' AS declared FROM part""" for c, k in TYPED),
     "infer_column_types": f"""WITH {cte('cells_fx')} SELECT table_index, label, CASE WHEN bool_and(regexp_matches(trim(value), '^\\$[\\d,]+(\\.\\d+)?')) THEN 'currency' WHEN bool_and(regexp_matches(trim(value), '^-?\\d+(\\.\\d+)?%')) THEN 'percentage'
         WHEN bool_and(regexp_full_match(trim(value), '-?[\\d,]+(\\.\\d+)?') OR lower(trim(value)) IN ('-', 'n/a', '')) THEN 'numeric' ELSE 'text' END AS column_type FROM cells_fx GROUP BY 1, 2""",
     "categorize_columns": "SELECT p_partkey, unnest(['property_info', 'financial_data', 'unit_mix']) AS category, unnest(['p_brand,p_name,p_type', 'p_retailprice', 'p_size']) AS columns FROM part",

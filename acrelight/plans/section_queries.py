@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrelight.dims import DEFAULT_SCORECARD
-from acrelight.operators.sectiondocs import rescore_report, rescore_sections
+from acrelight.operators.sectiondocs import build_portfolio, rescore_report, rescore_sections
 from acrelight.operators.tables import table_lookups
 from acrelight.plans.feature_queries import number_sql
 from acrelight.plans.fixtures import VIEWS, cte, view
-from acrelight.plans.scoring_queries import FLAT, d, decision_sql, half_up, total_sql
+from acrelight.plans.scoring_queries import ADDRESS, FLAT, INCOMING, KEYED, d, decision_sql, half_up, incoming, total_sql
 from acrelight.sources.shared import fresh_path
 from acrelight.sources.tables import SECTION_SCHEMA
 from acrelight.sources.versions import VersionedTable
@@ -120,6 +120,32 @@ def _upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().withColumn("versions", F.lit(len(table.versions())))
 
 
+def portfolio_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of reports on suppliers' properties: an address in the subject section, sometimes none; some external only, some cut short."""
+    i, lit, c = incoming(spark, sf_dir), F.lit, F.col
+    k = c("incoming_id")
+    header = lambda *texts: F.array(*(F.struct(t.alias("text")) for t in texts))
+    place = F.concat("city", lit(", "), F.element_at(F.create_map(*map(lit, ("AZ", "Arizona", "TX", "Texas", "NY", "New York"))), c("state_abbr")))
+    subject = F.struct(F.array(F.struct(header(lit("SUBJECT PROPERTY"), F.regexp_replace("street", ",", "")).alias("headers"), _texts(F.regexp_replace(place, r"\\d", "")).alias("text_items"))).alias("pages"))
+    demographic = F.struct(F.array(F.struct(F.array(lit("Label"), lit("3 Mile")).alias("headers"), _pairs("3 Mile", (lit("2024 Population"), (k * 997 % 60000 + 2000).cast("string"))).alias("rows"))).alias("tables"))
+    external = F.struct(F.struct((k % 90).cast("double").alias("violent_crime_index")).alias("crime"))
+    section = lambda name, doc, there: F.struct(lit(name).alias("section"), F.when(there, F.to_json(doc)).alias("line"))
+    only = k % 7 == 0
+    each = F.inline(F.array(section("subject_property", subject, ~only), section("demographics", demographic, ~only & (k % 3 == 0)), section("external", external, lit(True))))
+    lines = i.select(F.concat(lit("e_"), F.lpad(k.cast("string"), 7, "0"), lit("-ab")).alias("base"), k.alias("k"), each).where("line is not null")
+    return as_sections(lines.withColumn("line", F.when(c("k") % 11 == 0, lit("{ cut")).otherwise(c("line"))))
+
+
+def _portfolio(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    k = F.col("s_suppkey")
+    number = F.lpad(k.cast("string"), 7, "0")
+    files = view(spark, sf_dir, "supplier").where(k % 2 == 0).select(F.concat(number, F.lit("-ab_report.pdf")).alias("file_name"), F.concat(F.lit("store/"), (k % 8).cast("string")).alias("storage_path"))
+    none = view(spark, sf_dir, "properties_fx").where("false")
+    documents = none.select(F.col("property_id").cast("string").alias("id"), "property_id", F.col("name").alias("storage_path"), F.col("name").alias("file_name"))
+    props = view(spark, sf_dir, "properties_fx").withColumn("city", F.when(F.col("property_id") % 2 == 0, "City").otherwise(F.col("city")))
+    return build_portfolio(portfolio_sections(spark, sf_dir), files, props, documents, none.select("property_id", F.col("name").alias("section")))
+
+
 def both_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of tables that have rows, markdown or both, with two mile columns."""
     g = view(spark, sf_dir, "forms_fx")
@@ -140,6 +166,10 @@ QUERIES = {
     "rescore_report": lambda s, x: rescore_report(_rescored(s, x)),
     "stream_sections": _streamed,
     "score_upserts": _upserts,
+    "portfolio_bases": lambda s, x: _portfolio(s, x)["bases"],
+    "portfolio_documents": lambda s, x: _portfolio(s, x)["documents"],
+    "portfolio_extracted": lambda s, x: _portfolio(s, x)["extracted"],
+    "portfolio_scores": lambda s, x: _portfolio(s, x)["scores"],
 }
 
 
@@ -158,6 +188,14 @@ scored AS (SELECT concat('e_', CAST(k AS VARCHAR)) AS base, CASE WHEN NOT lost T
   CAST(CASE WHEN lost THEN (CASE WHEN k % 17 = 0 THEN 2 ELSE 3 END) WHEN {broken} AND k % 17 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS unreadable, CASE WHEN lost THEN 'no section could be read' END AS error FROM s)"""
 
 
+# properties by the addresses that reports give: the number in a city's name is no part of it
+_MATCHED = f"""{cte('properties_fx')}, pp AS (SELECT * REPLACE (CASE WHEN property_id % 2 = 0 THEN 'City' ELSE city END AS city) FROM properties_fx), {KEYED.replace('FROM properties_fx', 'FROM pp')}, i AS ({INCOMING.format(supplier='supplier')}),
+b AS (SELECT incoming_id AS k, concat('e_', lpad(CAST(incoming_id AS VARCHAR), 7, '0'), '-ab') AS base, replace(street, ',', '') AS street, state_abbr, incoming_id % 11 = 0 AS cut, incoming_id % 7 = 0 AS outside FROM i),
+ik AS (SELECT *, {ADDRESS.format("concat_ws(chr(32), street, 'City', state_abbr)")} AS address_key FROM b WHERE NOT cut AND NOT outside),
+known AS (SELECT address_key, min(property_id) AS match_id FROM keyed WHERE deleted_at IS NULL GROUP BY 1), j AS (SELECT * FROM ik LEFT JOIN known USING (address_key)),
+fresh AS (SELECT address_key, row_number() OVER (ORDER BY min(base)) + (SELECT max(property_id) FROM properties_fx) AS new_id FROM j WHERE match_id IS NULL GROUP BY 1),
+m AS (SELECT k, base, coalesce(match_id, new_id) AS property_id, match_id IS NULL AS created FROM j LEFT JOIN fresh USING (address_key))"""
+_PORTFOLIO_FACTORS = {"population": "CASE WHEN k % 3 = 0 THEN CAST(k * 997 % 60000 + 2000 AS DOUBLE) END", "violent": "CAST(k % 90 AS DOUBLE)"}
 _SECTIONS = _values("v = 0", "k % 13 = 0", "k % 29 = 0")
 _AT = "(table_index, form, row_idx)"
 SQL = {
@@ -166,5 +204,11 @@ SELECT doc_id, arg_min(three, {_AT}) FILTER (WHERE label = 'Median Income') AS i
     "rescore_sections": f"WITH {_SECTIONS} SELECT * FROM scored",
     "rescore_report": f"WITH {_SECTIONS} SELECT count(*) FILTER (WHERE error IS NULL) AS rescored, count(error) AS errors, CAST(sum(unreadable) AS BIGINT) AS unreadable FROM scored",
     "stream_sections": f"WITH {_values('v = CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END')} SELECT base, total_score, decision, coverage, error FROM scored",
+    "portfolio_bases": f"WITH {_MATCHED} SELECT b.base, property_id, coalesce(created, false) AS created, CASE WHEN property_id IS NULL THEN 'skipped' ELSE 'processed' END AS status, CASE WHEN cut THEN 'no section could be read' WHEN outside THEN 'no property data' END AS reason FROM b LEFT JOIN m USING (base)",
+    # of one property's reports the one with the least base takes a storage path; file names are all different
+    "portfolio_documents": f"WITH {_MATCHED} SELECT min(base) AS base, property_id, concat('store/', k % 8) AS storage_path, arg_min(concat(lpad(CAST(k AS VARCHAR), 7, '0'), '-ab_report.pdf'), base) AS file_name FROM m WHERE k % 2 = 0 GROUP BY property_id, k % 8",
+    "portfolio_extracted": f"WITH {_MATCHED}, s AS (SELECT property_id, base, unnest(['subject_property', 'external', CASE WHEN k % 3 = 0 THEN 'demographics' END]) AS section FROM m) SELECT property_id, section, min(base) AS base FROM s WHERE section IS NOT NULL GROUP BY 1, 2",
+    "portfolio_scores": f"""WITH {_MATCHED}, f AS (SELECT property_id, base, {', '.join(f"{_PORTFOLIO_FACTORS.get(n, 'CAST(NULL AS DOUBLE)')} AS {n}" for n in FLAT.values())} FROM m), s AS (SELECT property_id, base, {total_sql(DEFAULT_SCORECARD)} AS score FROM f)
+        SELECT property_id, arg_max(score, base) AS total_score, arg_max({decision_sql('score')}, base) AS decision, arg_max(CASE WHEN score >= 7 THEN 'green' WHEN score >= {d(5.5)} THEN 'yellow' ELSE 'red' END, base) AS color FROM s GROUP BY property_id""",
     "score_upserts": "SELECT user_id AS property_id, max(event_id) AS event_id, arg_max(value, event_id) AS value, 2 AS versions FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
 }

@@ -52,8 +52,24 @@ def _dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-QUERIES = {"stream_scores": _scores, "stream_dedupe": _dedupe}
+def _returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three months of events, each a delivery of its own: a key that comes again in the next month is a repeat, after that its state is gone and it counts again."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and event_type is not null")
+    month = (F.col("event_id") % 3).cast("int")
+    keyed = events.select("user_id", "event_type", month.alias("month"), F.add_months(F.lit("2024-01-01").cast("date"), month).cast("timestamp").alias("ts"))
+    inbox, out, checkpoint = fresh_path(spark), fresh_path(spark), fresh_path(spark)
+    for i in range(3):
+        keyed.where(F.col("month") == i).write.parquet(f"{inbox}/{i}")
+        unique = stream_dedupe(spark.readStream.schema(keyed.schema).parquet(f"{inbox}/*"), ["user_id", "event_type"], late="10 days")
+        unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_type", "month")
+
+
+QUERIES = {"stream_returning": _returning, "stream_scores": _scores, "stream_dedupe": _dedupe}
 SQL = {
     "stream_scores": f"WITH f AS (SELECT c_custkey AS property_id, {', '.join(f'{e} AS {n}' for n, e in EXPRESSIONS.items())} FROM customer), t AS (SELECT property_id, {total_sql(DEFAULT_SCORECARD)} AS total_score FROM f) SELECT *, {decision_sql('total_score')} AS decision FROM t",
+    "stream_returning": """WITH k AS (SELECT DISTINCT user_id, event_type, CAST(event_id % 3 AS INT) AS month FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+        w AS (SELECT user_id, event_type, month, bool_or(month = 0) OVER p AS zero, bool_or(month = 1) OVER p AS one FROM k WINDOW p AS (PARTITION BY user_id, event_type))
+        SELECT user_id, event_type, month FROM w WHERE month = 0 OR (month = 1 AND NOT zero) OR (month = 2 AND NOT (one AND NOT zero))""",
     "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
 }
