@@ -126,7 +126,7 @@ def portfolio_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = c("incoming_id")
     header = lambda *texts: F.array(*(F.struct(t.alias("text")) for t in texts))
     place = F.concat("city", lit(", "), F.element_at(F.create_map(*map(lit, ("AZ", "Arizona", "TX", "Texas", "NY", "New York"))), c("state_abbr")))
-    subject = F.struct(F.array(F.struct(header(lit("SUBJECT PROPERTY"), F.regexp_replace("street", ",", "")).alias("headers"), _texts(F.regexp_replace(place, r"\\d", "")).alias("text_items"))).alias("pages"))
+    subject = F.struct(F.array(F.struct(header(lit("SUBJECT PROPERTY"), F.regexp_replace("street", ",", "")).alias("headers"), _texts(F.regexp_replace(place, r"\d", "")).alias("text_items"))).alias("pages"))
     demographic = F.struct(F.array(F.struct(F.array(lit("Label"), lit("3 Mile")).alias("headers"), _pairs("3 Mile", (lit("2024 Population"), (k * 997 % 60000 + 2000).cast("string"))).alias("rows"))).alias("tables"))
     external = F.struct(F.struct((k % 90).cast("double").alias("violent_crime_index")).alias("crime"))
     section = lambda name, doc, there: F.struct(lit(name).alias("section"), F.when(there, F.to_json(doc)).alias("line"))
