@@ -128,6 +128,11 @@ def valid_zip(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^\d{5}(-\d{4})?\z"), F.lit(False))
 
 
+def valid_zip5(c: Column) -> Column:
+    """A zip code without its extension, as the lookup of crime pages takes it."""
+    return F.coalesce(c.rlike(r"^\d{5}\z"), F.lit(False))
+
+
 def extraction_id(path: Column) -> Column:
     """The extraction id that begins a storage path's last segment."""
     return extracted(F.element_at(F.split(path, "/"), -1), r"^(e_\d+-[a-z0-9]+)_")

@@ -168,11 +168,12 @@ def state_abbr(name: Column, keep_unknown: bool = False) -> Column:
 
 
 def extract_address(items: DataFrame) -> DataFrame:
-    """(doc_id, street, name, city, state, state_abbr, zip, address, confidence) from items (doc_id, kind, page_number, item_idx, text).
+    """(doc_id, street, name, city, state, zip, sources, state_abbr, address, confidence) from items (doc_id, kind, page_number, item_idx, text).
 
     Kinds are header, text, raw (lines of the raw text) and cell. Each part is
     the first that any source has: headers for streets, texts before raw lines
-    for city and state, texts before cells for the zip code.
+    for city and state, texts before cells for the zip code. ``sources`` says,
+    in that order, where each part is from.
     """
     t = F.trim("text")
     kind = F.col("kind")
@@ -183,10 +184,21 @@ def extract_address(items: DataFrame) -> DataFrame:
     area, plain = t.rlike(CITY_STATE_AREA) & kind.isin("text", "raw"), t.rlike(CITY_STATE) & (kind == "text")
     place = lambda i: F.when(area, F.trim(F.regexp_extract(t, CITY_STATE_AREA, i))).when(plain, F.trim(F.regexp_extract(t, CITY_STATE, i)))
     code = F.when(((kind == "text") & ~area) | (kind == "cell"), blank_to_null(F.regexp_extract(t, ZIP, 1)))
+    whole = F.when(area, F.lit(None).cast("string")).otherwise("text:city-state-simple")
+    labels = {
+        "street": F.when(named, "header:address-name").otherwise("header:street"),
+        "name": F.when(kind == "header", "header:property-name").otherwise("raw:property-name"),
+        "city": F.coalesce(whole, F.concat(kind, F.lit(":city"))),
+        "state": F.coalesce(whole, F.concat(kind, F.lit(":state"))),
+        "zip": F.when(kind == "cell", "table:zip").otherwise("text:zip"),
+    }
     rank = F.struct(F.array_position(F.array(*map(F.lit, ("header", "text", "raw", "cell"))), kind).alias("r"), "page_number", "item_idx")
-    found = items.select("doc_id", rank.alias("at"), street.alias("street"), name.alias("name"), place(1).alias("city"), place(2).alias("state"), code.alias("zip"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    out = found.groupBy("doc_id").agg(*map(first, ("street", "name", "city", "state", "zip")))
+    values = {"street": street, "name": name, "city": place(1), "state": place(2), "zip": code}
+    found = items.select("doc_id", rank.alias("at"), *(F.when(v.isNotNull(), F.struct(v.alias("value"), labels[n].alias("source"))).alias(n) for n, v in values.items()))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c)))).alias(c)
+    out = found.groupBy("doc_id").agg(*map(first, values))
+    told = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}.at"), F.lit(i).alias("i"), F.col(f"{n}.{n}.source").alias("source"))) for i, n in enumerate(values))))
+    out = out.select("doc_id", *(F.col(f"{n}.{n}.value").alias(n) for n in values), F.array_distinct(F.transform(F.array_sort(told), lambda x: x["source"])).alias("sources"))
     out = out.withColumn("state_abbr", state_abbr(F.col("state")))
     parts = [F.col(c) for c in ("street", "city", "state_abbr", "zip")]
     return out.withColumns({"address": full_address(*parts), "confidence": address_confidence(*parts)})
@@ -200,6 +212,35 @@ def best_address(subject: DataFrame, other: DataFrame) -> DataFrame:
     return both.select("doc_id", chosen.alias("a")).select("doc_id", "a.*")
 
 
+# Where the blocks of raw text with expenses and pet rules begin and end.
+RECURRING_BLOCK = r"(?s)## RECURRING EXPENSES\s*\n(.*?)(?=\n## |\z)"
+ONE_TIME_BLOCK = r"(?s)## ONE TIME EXPENSES\s*\n(.*?)(?=\n## |\nPET POLICY|\z)"
+PET_BLOCK = r"(?s)PET POLICY\s*\n(.*?)(?=\n## |\n<!-- |\z)"
+
+
+def expense_blocks(docs: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """(doc_id, description, utilities, admin_fee, application_fee, deposit, dogs_allowed, cats_allowed, restrictions) of docs (doc_id, raw_text).
+
+    Only the blocks of recurring expenses, one-time expenses and pets are read,
+    and of ``sections`` (doc_id, item_idx, header, text) those whose header names
+    either kind of expense; sections go before the raw text, whose fees replace
+    theirs. The first text is the description. Without a block: no utilities, no fees, no pets.
+    """
+    raw = docs.select("doc_id", "raw_text")
+    kinds = {"recurring": "RECURRING EXPENSES", "once": "ONE TIME EXPENSES"}
+    if sections is not None:
+        own = lambda name, mark: F.transform(F.array_sort(F.collect_list(F.when(F.contains(F.upper("header"), F.lit(mark)) & (F.trim("text") != ""), F.struct("item_idx", "text")))), lambda x: F.trim(x["text"])).alias(name)
+        raw = raw.join(sections.groupBy("doc_id").agg(*(own(n, m) for n, m in kinds.items())), "doc_id", "left")
+    else:
+        raw = raw.withColumns({n: F.array().cast("array<string>") for n in kinds})
+    block = lambda pattern: blank_to_null(F.regexp_replace(F.regexp_extract("raw_text", pattern, 1), r"^\s+|\s+\z", ""))
+    texts = lambda n, pattern: F.array_compact(F.concat(F.coalesce(n, F.array().cast("array<string>")), F.array(block(pattern))))
+    read = raw.select("doc_id", texts("recurring", RECURRING_BLOCK).alias("recurring"), F.array_join(texts("once", ONE_TIME_BLOCK), "\n").alias("once"), F.coalesce(F.regexp_extract("raw_text", PET_BLOCK, 1), F.lit("")).alias("pets"))
+    named = F.array_distinct(F.flatten(F.transform("recurring", recurring_expenses)))
+    fees, pets = one_time_fees(F.col("once")), pet_policy(F.col("pets"))
+    return read.select("doc_id", F.get("recurring", F.lit(0)).alias("description"), named.alias("utilities"), *(fees[n].alias(n) for n in ("admin_fee", "application_fee", "deposit")), *(pets[n].alias(n) for n in ("dogs_allowed", "cats_allowed", "restrictions")))
+
+
 def recurring_expenses(c: Column) -> Column:
     """The utilities named in a text, capitalised, in fixed order."""
     words = F.filter(F.array(*map(F.lit, UTILITIES)), lambda u: F.contains(F.lower(c), u))
@@ -207,9 +248,9 @@ def recurring_expenses(c: Column) -> Column:
 
 
 def one_time_fees(c: Column) -> Column:
-    """The last admin fee, application fee and deposit named in a text."""
-    last = lambda word: F.regexp_replace(F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(c, F.lit(rf"(?i){word}\s*\$?([\d,]+)"), F.lit(1))), -1), ",", "").try_cast("double")
-    return F.struct(last(r"Admin\s*Fee").alias("admin_fee"), last(r"Application\s*Fee").alias("application_fee"), last("Deposit").alias("deposit"))
+    """The admin fee, application fee and deposit named in a text: of a line the first, of lines the last."""
+    last = lambda word: F.regexp_replace(F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(c, F.lit(rf"(?im)^.*?{word}[^\S\n]*\$?([\d,]+)"), F.lit(1))), -1), ",", "").try_cast("double")
+    return F.struct(last(r"Admin[^\S\n]*Fee").alias("admin_fee"), last(r"Application[^\S\n]*Fee").alias("application_fee"), last("Deposit").alias("deposit"))
 
 
 def pet_policy(c: Column) -> Column:

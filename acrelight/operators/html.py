@@ -42,7 +42,7 @@ def elements(pages: DataFrame, wanted) -> DataFrame:
     """
     pieces = pages.select("page_id", F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("pieces"))
     tags = pieces.where(F.exists("pieces", lambda p: p.startswith("<") & wanted(p))).select("page_id", F.posexplode("pieces").alias("at", "tag"))
-    named = tags.withColumn("name", F.lower(F.regexp_extract("tag", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))).where(~F.col("name").rlike(rf"^(?:{VOID})?\z") & ~F.col("tag").rlike(r"/>\z"))
+    named = tags.withColumn("name", F.lower(F.regexp_extract("tag", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))).where(~F.col("name").rlike(rf"^(?:{VOID})?\z") & F.col("tag").rlike(r"^<[^<>]*>\z") & ~F.col("tag").rlike(r"/>\z"))
     ends = F.startswith("tag", F.lit("</"))
     upto = Window.partitionBy("page_id", "name").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     level = F.sum(F.when(ends, -1).otherwise(1)).over(upto) + F.when(ends, 1).otherwise(0)

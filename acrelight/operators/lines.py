@@ -56,6 +56,37 @@ def looks_like_table(c: Column) -> Column:
     return c.rlike(TABLE_LIKE) | F.contains(c, F.lit(" | "))
 
 
+# Words that mark section headers, sections of tables and of keys, and rows of table headers.
+SECTION_WORDS = ["PROPERTY", "OWNER", "VACANCY", "ASKING RENTS", "ABSORPTION", "OCCUPANCY", "LEASE EXPIRY", "UNIT MIX"]
+TABLE_SECTIONS = ["UNIT MIX", "RENT ROLL", "LEASE EXPIRY", "MARKET SURVEY", "ASKING RENTS"]
+KEY_SECTIONS = ["PROPERTY", "OWNER", "VACANCY", "ABSORPTION", "OCCUPANCY"]
+TABLE_HEADER_WORDS = r"(?i)(?:TYPE|SIZE|UNITS?|RENT|DATE|TOTAL)"
+
+
+def _names(c: Column, words: list[str]) -> Column:
+    return c.rlike("|".join(words))
+
+
+def is_section_header(c: Column) -> Column:
+    """A line in capitals, a numbered or a named section, or one with a known section's word."""
+    return c.rlike(r"^[A-Z][A-Z\s]{3,}\z") | c.rlike(r"^(?:\d+\.)*\d+\s+[A-Z]") | c.rlike(r"(?i)^(?:SECTION|PART|CHAPTER)\s+\w+") | _names(F.upper(c), SECTION_WORDS)
+
+
+def is_table_header(c: Column) -> Column:
+    """A line of columns that doesn't begin with a digit and has a word of table headers."""
+    return c.rlike(r"\s{2,}") & ~c.rlike(r"^\s*\d") & c.rlike(TABLE_HEADER_WORDS)
+
+
+def is_table_end(c: Column) -> Column:
+    """A blank line, a section header or a rule."""
+    return (F.trim(c) == "") | is_section_header(F.trim(c)) | F.trim(c).rlike(r"^[\-=]{3,}\z")
+
+
+def section_kind(header: Column) -> Column:
+    """table, key_value or text, by the words of a section's header."""
+    return F.when(_names(F.upper(header), TABLE_SECTIONS), "table").when(_names(F.upper(header), KEY_SECTIONS), "key_value").otherwise("text")
+
+
 def line_kind(c: Column) -> Column:
     """table, list_item, key_value, blank or text."""
     return F.when(F.trim(c) == "", "blank").when(looks_like_table(c), "table").when(c.rlike(LIST_ITEM), "list_item").when(c.rlike(KEY_VALUE), "key_value").otherwise("text")

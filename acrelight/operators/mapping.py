@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,16 @@ def mapping_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupingSets([["sheet", "status"], ["status"]], "sheet", "status").agg(F.count("*").alias("n"))
 
 
-def coverage(outcomes: DataFrame) -> DataFrame:
-    """(sheet, filled, total, share) of the mapped fields."""
+def coverage(outcomes: DataFrame, *by: str) -> DataFrame:
+    """(sheet or ``by``, filled, total, share) of the mapped fields."""
     filled = F.count_if(F.col("status") == "filled")
-    return outcomes.groupBy("sheet").agg(filled.alias("filled"), F.count("*").alias("total"), (F.floor(filled * 10000 / F.count("*") + 0.5) / 10000).alias("share"))
+    return outcomes.groupBy(*(by or ("sheet",))).agg(filled.alias("filled"), F.count("*").alias("total"), (F.floor(filled * 10000 / F.count("*") + 0.5) / 10000).alias("share"))
+
+
+def with_source(outcomes: DataFrame, mappings: Sequence[FieldMapping]) -> DataFrame:
+    """``outcomes`` with the kind of source of their field."""
+    known = F.create_map(*(F.lit(x) for m in mappings for x in (f"{m.sheet}!{m.cell}", m.source)))
+    return outcomes.withColumn("source", F.try_element_at(known, F.concat_ws("!", "sheet", "cell")))
 
 
 def resolve_array_mapping(units: DataFrame, first_row: int, columns: dict[str, str], order: str) -> DataFrame:

@@ -97,6 +97,15 @@ def breadcrumb(region: str | None = None, state: str | None = None, city: str |
     return [*path, city] if city else path
 
 
+def breadcrumb_path(region: Column, state: Column, city: Column) -> Column:
+    """The labels of a drill-down path as a column: names of region and state, as given where unknown; a missing part ends nothing."""
+    names = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+    known = lambda table, key, given: F.coalesce(F.try_element_at(names(table), key), given)
+    given = lambda c: F.when(c != "", c)
+    parts = [F.lit("All Regions"), known([(k, n) for k, n, _ in dims.REGIONS], F.lower(given(region)), given(region)), known(dims.STATE_NAMES.items(), F.upper(given(state)), given(state)), given(city)]
+    return F.array_compact(F.array(*parts))
+
+
 def filter_summary(df: DataFrame) -> DataFrame:
     """Counts of a selection; red counts outright rejections only."""
     return df.agg(F.count("*").alias("total"), *(F.count_if(F.col("decision") == d).alias(n) for n, d in (("green", "Move Forward"), ("yellow", "Needs Review"), ("red", "Rejected"))))
@@ -131,6 +140,12 @@ def score_summary(df: DataFrame, forward: float = 7.0, review: float = 5.5) -> D
     )
 
 
+def score_list(df: DataFrame, forward: float = 7.0, review: float = 5.5) -> DataFrame:
+    """(property_id, score, bucket): the scores that ``score_summary`` counts, one row each rather than one list."""
+    s = F.coalesce(F.col("total_score"), F.lit(0.0))
+    return df.select("property_id", s.alias("score"), F.when(s >= forward, "move_forward").when(s >= review, "needs_review").otherwise("rejected").alias("bucket"))
+
+
 def rank_properties(df: DataFrame, n: int | None = None) -> DataFrame:
     """Ranked by score, then newest, then least id; with ``n`` only the first n, so no task sorts more than those."""
     order = [F.coalesce("total_score", F.lit(0.0)).desc(), F.desc("created_at"), F.asc("property_id")]

@@ -62,6 +62,25 @@ def assemble_sections(pages: DataFrame, texts: DataFrame, tables: DataFrame | No
     return out.join(counts, ["doc_id", "section"], "full").withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
 
 
+def section_documents(pages: DataFrame, texts: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, section, first_page, last_page, pages, tables, raw_text): sections with their pages and tables, not only counts.
+
+    ``pages`` have a section, ``texts`` (doc_id, page_number, text), ``tables``
+    (doc_id, page_number, table_index, ...). A table on a page that isn't there
+    is in the section 'unknown'. One row gathers one section of one document.
+    """
+    placed = pages.select("doc_id", "page_number", "section")
+    own = placed.join(texts.select("doc_id", "page_number", "text"), ["doc_id", "page_number"], "left")
+    gathered = F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"))))
+    out = own.groupBy("doc_id", "section").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), gathered.alias("pages"))
+    rest = [c for c in tables.columns if c not in ("doc_id", "page_number", "table_index")]
+    listed = tables.join(placed, ["doc_id", "page_number"], "left").withColumn("section", F.coalesce("section", F.lit("unknown"))).groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("table_index", "page_number", *rest))).alias("tables"))
+    both = out.join(listed, ["doc_id", "section"], "full")
+    empty = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
+    body = F.array_join(F.transform(F.col("pages"), lambda p: p["text"]), "\n")
+    return both.select("doc_id", "section", "first_page", "last_page", empty("pages"), empty("tables"), F.coalesce(body, F.lit("")).alias("raw_text"))
+
+
 def section_inventory(pages: DataFrame) -> DataFrame:
     """(section, documents, pages, first_page, last_page)."""
     return pages.groupBy("section").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("pages"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acrelight.functions.values import half_up, parse_currency, parse_percent, parse_units, property_key
+from acrelight.functions.values import camel_key, half_up, parse_currency, parse_percent, parse_units, property_key
 
 ROW = ["doc_id", "src_ord", "table_index", "row_idx"]
 # Words in headers that classify a table, in the order in which they are tried.
@@ -21,6 +21,9 @@ TABLE_PATTERNS = {
     "rent_roll": [r"unit\s*#", r"tenant", r"lease\s*start", r"rent\s*amount"],
     "expenses": [r"expense", r"category", r"amount", r"per\s*unit"],
 }
+# How merged metric tables and their rows look.
+METRIC_TABLE = r"\|\s*Current:\s*\|\s*\$[\d,]+\s*\|[^|]+\|\s*Current:\s*\|[^|]+\|[^|]+\|\s*Current:\s*\|[^|]+\|"
+METRIC_ROW = r"\|\s*([^|]+):\s*\|\s*([^|]+)\|\s*([^|]+)\|\s*([^|]+):\s*\|\s*([^|]+)\|\s*([^|]+)\|\s*([^|]+):\s*\|\s*([^|]+)\|"
 # Labels of metric rows and absorption rows.
 METRICS = {"current": "current", "last quarter": "last_quarter", "year ago": "year_ago", "competitors": "competitors", "submarket": "submarket"}
 ABSORPTION = {"current": "current", "competitor total": "competitor_total", "competitor avg": "competitor_avg", "submarket total": "submarket_total", "submarket avg": "submarket_avg"}
@@ -127,10 +130,8 @@ def extract_metrics(docs: DataFrame, text_col: str = "raw_text") -> DataFrame:
     Texts without a row of current values have none; a later row of a label
     replaces an earlier one. Absorption follows its own labels.
     """
-    guard = r"\|\s*Current:\s*\|\s*\$[\d,]+\s*\|[^|]+\|\s*Current:\s*\|[^|]+\|[^|]+\|\s*Current:\s*\|[^|]+\|"
-    row = r"\|\s*([^|]+):\s*\|\s*([^|]+)\|\s*([^|]+)\|\s*([^|]+):\s*\|\s*([^|]+)\|\s*([^|]+)\|\s*([^|]+):\s*\|\s*([^|]+)\|"
-    found = docs.where(F.col(text_col).rlike(guard)).select("doc_id", F.posexplode(F.regexp_extract_all(text_col, F.lit(row), F.lit(0))).alias("at", "row"))
-    parts = found.select("doc_id", "at", *(F.trim(F.regexp_extract("row", row, i)).alias(f"c{i}") for i in range(1, 9)))
+    found = docs.where(F.col(text_col).rlike(METRIC_TABLE)).select("doc_id", F.posexplode(F.regexp_extract_all(text_col, F.lit(METRIC_ROW), F.lit(0))).alias("at", "row"))
+    parts = found.select("doc_id", "at", *(F.trim(F.regexp_extract("row", METRIC_ROW, i)).alias(f"c{i}") for i in range(1, 9)))
     entry = lambda key, **values: F.struct(key.alias("metric"), *(values.get(n, F.lit(None).cast("double")).cast("double").alias(n) for n in ("per_unit", "per_sf", "vacancy_rate", "vacancy_units", "absorption")))
     each = parts.select(
         "doc_id",
@@ -155,9 +156,15 @@ def unit_mix_summary(units: DataFrame) -> DataFrame:
     return drop_total_rows(units).groupBy("property_id").agg(F.sum("units").alias("total_units"), F.sum("available").alias("total_available"), half_up(F.avg("avg_sf"), 4).alias("avg_sf"), half_up(F.avg("asking_rent"), 4).alias("avg_rent"), F.count("*").alias("rows"))
 
 
+def unit_totals(cells: DataFrame) -> DataFrame:
+    """(doc_id, table_index, total_units): the sum of whole parts of the numbers under headers with 'unit', from cells (doc_id, table_index, header, number)."""
+    under = F.contains(F.lower(camel_key(F.col("header"))), F.lit("unit"))
+    return cells.groupBy("doc_id", "table_index").agg(F.coalesce(F.sum(F.when(under, F.col("number").cast("long"))), F.lit(0)).alias("total_units"))
+
+
 def classify_units(units: DataFrame, ranges: DataFrame) -> DataFrame:
     """``units`` with the class of their bed, bath and size range; ``ranges`` (bed, bath, lo, hi, class) is configuration."""
-    r = F.broadcast(ranges.select(F.col("bed").alias("_bed"), F.col("bath").alias("_bath"), "lo", "hi", "class"))
+    r = ranges.select(F.col("bed").alias("_bed"), F.col("bath").alias("_bath"), "lo", "hi", "class")
     near = (F.col("bed") == F.col("_bed")) & (F.col("bath") == F.col("_bath")) & (F.col("avg_sf") >= F.col("lo")) & (F.col("avg_sf") < F.col("hi"))
     return units.join(r, near, "left").drop("_bed", "_bath", "lo", "hi")
 

@@ -142,7 +142,7 @@ QUERIES = {
     "demographics_lookups": lambda s, x: X.with_lookups(X.demographics_features(wide_cells(s, x)), wide_cells(s, x), X.DEMOGRAPHICS_LOOKUPS, markdown=False),
     "submarket_features": lambda s, x: X.submarket_features(quarter_cells(s, x)),
     "extract_metrics": _metrics,
-    "extract_address": lambda s, x: X.extract_address(address_items(s, x)),
+    "extract_address": lambda s, x: X.extract_address(address_items(s, x)).withColumn("sources", F.array_join("sources", ",")),
     "resolve_mappings": lambda s, x: outcomes(s, x),
     "mapping_report": lambda s, x: M.mapping_report(outcomes(s, x)),
     "mapping_coverage": lambda s, x: M.coverage(outcomes(s, x)),
@@ -249,7 +249,8 @@ SQL = {
     "extract_address": """WITH a AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN concat(c_custkey % 20 + 1, ' Main Street') WHEN 1 THEN concat(c_custkey % 20 + 1, ' Main St') END AS street,
           CASE WHEN c_custkey % 3 = 0 THEN concat('The Lofts ', c_custkey) WHEN c_custkey % 4 <> 2 THEN 'Juniper Court' END AS name, ['Phoenix', 'Austin', 'Boise', NULL][c_custkey % 4 + 1] AS city, ['Arizona', 'Texas', 'Idaho', NULL][c_custkey % 4 + 1] AS state,
           ['AZ', 'TX', 'ID', NULL][c_custkey % 4 + 1] AS state_abbr, CASE WHEN c_custkey % 5 = 0 THEN '85001' WHEN c_custkey % 6 = 0 THEN '98101-1234' END AS zip FROM customer)
-        SELECT k AS doc_id, street, name, city, state, zip, state_abbr, nullif(concat_ws(', ', street, city, state_abbr, zip), '') AS address,
+        SELECT k AS doc_id, street, name, city, state, zip, state_abbr, concat_ws(',', ['header:address-name,header:property-name', 'header:street', NULL][k % 3 + 1], ['text:city,text:state', 'text:city-state-simple', NULL, NULL][k % 4 + 1], CASE WHEN k % 5 = 0 THEN 'text:zip' END,
+          CASE WHEN k % 4 = 2 THEN 'raw:city,raw:state' WHEN k % 3 > 0 THEN 'raw:property-name' END, CASE WHEN k % 6 = 0 AND k % 5 > 0 THEN 'table:zip' END) AS sources, nullif(concat_ws(', ', street, city, state_abbr, zip), '') AS address,
           CASE WHEN street IS NULL THEN 0 ELSE 30 END + CASE WHEN city IS NULL THEN 0 ELSE 25 END + CASE WHEN state_abbr IS NULL THEN 0 ELSE 25 END + CASE WHEN zip IS NULL THEN 0 ELSE 20 END AS confidence FROM a""",
     "trailing_totals": "SELECT o_custkey AS property_id, " + ", ".join(half_up(f"sum(o_totalprice) FILTER (WHERE date_trunc('month', o_orderdate) > DATE '1997-12-01' - INTERVAL {m} MONTH AND date_trunc('month', o_orderdate) <= DATE '1997-12-01')", 2) + f" AS t{m}" for m in (12, 6, 3)) + " FROM orders GROUP BY 1",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from acrelight.plans import document_queries, feature_queries, freetext_queries, pipeline, scoring_queries, section_queries, source_queries, stream_queries
+from acrelight.plans import detail_queries, document_queries, feature_queries, freetext_queries, pipeline, scoring_queries, section_queries, source_queries, stream_queries
 
-MODULES = [scoring_queries, document_queries, feature_queries, freetext_queries, pipeline, source_queries, section_queries, stream_queries]
+MODULES = [scoring_queries, document_queries, feature_queries, freetext_queries, pipeline, source_queries, section_queries, detail_queries, stream_queries]
 
 
 def queries() -> dict:

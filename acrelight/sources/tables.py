@@ -87,7 +87,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     reader = spark.read.format("jdbc").options(**options)
     if key is None:
         return reader.load()
-    low, high = spark.read.format("jdbc").options(**{k: v for k, v in options.items() if k != "dbtable"}).option("query", f"SELECT min({key}) AS lo, max({key}) AS hi FROM {table}").load().head()
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    low, high = spark.read.format("jdbc").options(**{k: v for k, v in options.items() if k != "dbtable"}).option("query", f"SELECT min({name}) AS lo, max({name}) AS hi FROM {table}").load().head()
     if low is None or low == high:
         return reader.load()
     return reader.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high + 1).option("numPartitions", partitions).load()
