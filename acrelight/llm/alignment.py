@@ -15,6 +15,7 @@ many documents there are, so no id's group holds more than a small share.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -33,7 +34,9 @@ from acrelight.llm.common import documents, id_text, stage
 BLOCK_WORDS = 500_000
 KNOWN_WORDS = 250_000
 SLICE = 1 << 20
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+BETWEEN = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: New words are given to the tokenizers so many at once.
+JOINED = 500
 #: About so many records of a radix are merged in one task.
 MERGED = 1_000_000
 LEAST_RADIXES = 64
@@ -62,13 +65,18 @@ def unpacked(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def plain(word: str) -> bool:
+    """Whether a word may be joined with others: a space or line feed, then no white space at either end, and no mark that stands for a space."""
+    return len(word) > 1 and word[0] in " \n" and not word[1].isspace() and not word[-1].isspace() and "▁" not in word
+
+
 class Aligner:
-    """Aligns words, each with the space before it, and remembers them.
+    """Aligns words, each with the space or line feed before it, and remembers them.
 
-    No token of either tokenizer goes on over a space that follows a character
-    which isn't white space and precedes another such: the first one's pattern
-    ends there, and no piece of the second has a space within. So both end with
-    each word, and a text's alignment is that of its words, one after another.
+    No token of either tokenizer goes on over a lone space or line feed between
+    two characters that are no white space: the first one's pattern ends there;
+    no piece of the second has a space within, nor a line feed at all. So both
+    end with each word, and a text's alignment is that of its words in order.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -88,7 +96,7 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if any("▁" in p.lstrip("▁") for p in pieces):
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("pieces of the second tokenizer go on over spaces")
         self.forget()
 
@@ -97,51 +105,70 @@ class Aligner:
         self.groups: list[str] = []
         self.n_a: list[int] = []
         self.n_b: list[int] = []
-        self.pairs: list[list[int]] = []
+        self.pairs: list[int] = []
+        self.n_pairs: list[int] = []
         self.bad: set[int] = set()
 
     def words(self, text: str) -> Iterator[list[str]]:
-        """The words of a text without the space before each, some at a time."""
-        at = 0
-        while at <= len(text):
+        """The words of a text, a space put before it, some at a time."""
+        text, at = " " + text, 0
+        while at < len(text):
             cut = BETWEEN.search(text, at + SLICE) if len(text) - at > SLICE else None
             end = cut.start() if cut else len(text)
             yield BETWEEN.split(text[at:end])
-            at = end + 1
+            at = end
 
     def learn(self, words: list[str]) -> None:
-        spaced = [" " + w for w in words]
-        for word, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(words, num_threads=1)):
-            self.align(word.encode(), a.ids, b)
-
-    def align(self, data: bytes, a: list[int], b: list[int]) -> None:
-        a_ends, b_ends, here = [], [], len(self.groups)
-        end = 0
+        """Align new words, those of ``plain`` many at a time, in the order given."""
+        first = next((i for i, w in enumerate(words) if not plain(w)), len(words))
+        for at in range(0, first, JOINED):
+            part = words[at : min(at + JOINED, first)]
+            if not self.align("".join(part), [len(w.encode()) for w in part]):
+                for word in part:
+                    self.learn_alone(word)
+        for word in words[first:]:
+            self.learn_alone(word)
+
+    def learn_alone(self, word: str) -> None:
+        if not self.align(word, [len(word.encode())]):
+            self.bad.add(len(self.groups))
+            self.remember([], 0, 0)
+
+    def remember(self, groups: list[str], n_a: int, n_b: int) -> None:
+        self.groups.append(";".join(groups))
+        self.n_pairs.append(len(groups))
+        self.n_a.append(n_a)
+        self.n_b.append(n_b)
+
+    def align(self, text: str, sizes: list[int]) -> bool:
+        """Align a text that consists of words of ``sizes`` bytes; whether both tokenizers give its bytes back."""
+        a_bytes, b_bytes, data = self.a_bytes, self.b_bytes, text.encode()
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        # the second tokenizer puts a space before what it is given; before a line feed, that is a token by itself
+        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        if b"".join(map(a_bytes.__getitem__, a)) != data or b"".join(map(b_bytes.__getitem__, b)) != data:
+            return False
+        ends, pair = iter(sizes), self.pairs.append
+        out, own, other, n_a, n_b, a_end, b_end, rest = [], "", "", 0, 0, 0, 0, iter(b)
+        word_end = next(ends)
         for i in a:
-            end += len(self.a_bytes[i])
-            a_ends.append(end)
-        end = 0
-        for i in b:
-            end += len(self.b_bytes[i])
-            b_ends.append(end)
-        pairs: list[int] = []
-        groups = ""
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-            self.bad.add(here)
-        else:
-            out, p, q = [], 0, 0
-            places = dict(zip(b_ends, count()))
-            for i, end in enumerate(a_ends):
-                j = places.get(end)
-                if j is not None:
-                    out.append(f"{','.join(map(str, a[p : i + 1]))}|{','.join(map(str, b[q : j + 1]))}")
-                    pairs.append(b[j] << 32 | a[i])
-                    p, q = i + 1, j + 1
-            groups = ";".join(out)
-        self.groups.append(groups)
-        self.n_a.append(len(a))
-        self.n_b.append(len(b))
-        self.pairs.append(pairs)
+            a_end += len(a_bytes[i])
+            n_a += 1
+            own = f"{own},{i}" if own else str(i)
+            while b_end < a_end:
+                j = next(rest)
+                b_end += len(b_bytes[j])
+                n_b += 1
+                other = f"{other},{j}" if other else str(j)
+            if a_end == b_end:
+                out.append(f"{own}|{other}")
+                pair(j << 32 | i)
+                own = other = ""
+                if a_end == word_end:
+                    self.remember(out, n_a, n_b)
+                    out, n_a, n_b = [], 0, 0
+                    word_end += next(ends, 0)
+        return True
 
 
 class Spill:
@@ -155,47 +182,41 @@ class Spill:
 
     def add(self, doc_id: int | None, text: str) -> None:
         aligner = self.aligner
-        held, n_a, n_b, n_groups, seen = [], 0, 0, 0, hashlib.sha256()
-        texts, good = [], text != ""
+        held, seen, texts, good = [], hashlib.sha256(), [], text != ""
         for words in aligner.words(text) if good else ():
-            fresh = list(dict.fromkeys(w for w in words if w not in aligner.number))
+            fresh = [w for w in dict.fromkeys(words) if w not in aligner.number]
             if fresh:
+                fresh.sort(key=plain, reverse=True)
                 aligner.number.update(zip(fresh, count(len(aligner.groups))))
                 aligner.learn(fresh)
             at = list(map(aligner.number.__getitem__, words))
             if aligner.bad and not aligner.bad.isdisjoint(at):
                 good = False
                 break
-            n_a += sum(map(aligner.n_a.__getitem__, at))
-            n_b += sum(map(aligner.n_b.__getitem__, at))
             part = ";".join(map(aligner.groups.__getitem__, at))
-            n_groups += part.count(";") + 1
             seen.update((b";" if held else b"") + part.encode())
             if self.keep_groups:
                 texts.append(part)
             held.append(np.array(at, dtype=np.int64))
-        if not good:
-            held, n_a, n_b, n_groups, groups = [], 0, 0, 0, ""
-        else:
-            groups = ";".join(texts) if self.keep_groups else seen.hexdigest()
-        self.words.append(np.concatenate(held) if held else np.zeros(0, dtype=np.int64))
+        groups = "" if not good else ";".join(texts) if self.keep_groups else seen.hexdigest()
+        self.words.append(np.concatenate(held) if good else np.zeros(0, dtype=np.int64))
         self.size += len(self.words[-1])
-        self.rows.append((doc_id, n_a, n_b, n_groups, groups))
+        self.rows.append((doc_id, groups))
 
     def finish(self, block: int) -> Iterator[pa.RecordBatch]:
         """The documents' rows with their records, then a row with the block's pairs."""
-        lengths = np.array(list(map(len, self.aligner.pairs)), dtype=np.int64)
+        lengths, n_a, n_b = (np.array(x, dtype=np.int64) for x in (self.aligner.n_pairs, self.aligner.n_a, self.aligner.n_b))
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.array([p for pairs in self.aligner.pairs for p in pairs], dtype=np.int64)
+        flat = np.array(self.aligner.pairs, dtype=np.int64)
         words = np.concatenate(self.words) if self.words else np.zeros(0, dtype=np.int64)
-        used = np.unique(words)
         mask = np.zeros(len(lengths), dtype=bool)
-        mask[used] = True
+        mask[words] = True
         pairs = np.unique(flat[np.repeat(mask, lengths)]) if len(flat) else flat
         number = np.searchsorted(pairs, flat) if len(pairs) else flat
         total = np.zeros(len(pairs), dtype=np.int64)
         out, held = [], 0
-        for row, own in zip(self.rows, self.words):
+        for (doc_id, groups), own in zip(self.rows, self.words):
+            counts = int(n_a[own].sum()), int(n_b[own].sum()), int(lengths[own].sum())
             if len(own):
                 size = lengths[own]
                 first = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
@@ -204,8 +225,8 @@ class Spill:
                 records = packed(np.diff(pair, prepend=0).astype("<u4"), n.astype("<u4"))
             else:
                 records = b""
-            out.append((block, *row, None, records))
-            held += len(records) + len(row[4])
+            out.append((block, doc_id, *counts, groups, None, records))
+            held += len(records) + len(groups)
             if held > 16 << 20 or len(out) >= 10_000:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), SPILLED_TYPES.types)], schema=SPILLED_TYPES)
                 out, held = [], 0
@@ -220,6 +241,7 @@ def spill(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool, id_col:
         from pyspark import TaskContext
 
         aligner = Aligner(a_path, b_path)
+        gc.freeze()  # both vocabularies stay to the end of the task
         block = TaskContext.get().partitionId() << 32
         held = Spill(aligner, keep_groups)
         for batch in batches:
