@@ -83,6 +83,18 @@ def shared_filter(digests: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def unit_of(chunk: bytes) -> bytes:
+    """A chunk as it is stored: its length as a little-endian unsigned 32-bit integer, then its 8-bit samples."""
+    return struct.pack("<I", len(chunk)) + chunk
+
+
+def chunk_of(unit: bytes) -> bytes:
+    """The samples of a stored unit, whose length must be the one that it states."""
+    if len(unit) < 4 or struct.unpack_from("<I", unit)[0] != len(unit) - 4:
+        raise ValueError("a stored unit is damaged")
+    return unit[4:]
+
+
 ROWS = "doc_id long, row binary, n_bytes long, chunk_list array<struct<digest:binary,length:int,shared:boolean>>, bodies binary"
 ROW_TYPES = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_bytes", pa.int64()), ("chunk_list", pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("shared", pa.bool_())]))), ("bodies", pa.binary())])
 
@@ -138,7 +150,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Me
                 keys = list(map(digest, bodies))
                 shared = list(map(is_shared, keys))
                 name = digest(b"".join(keys))[:16]
-                out.append((doc_id, name, len(text.encode()), [{"digest": k, "length": len(x), "shared": s} for k, x, s in zip(keys, bodies, shared)], b"".join(x for x, s in zip(bodies, shared) if not s)))
+                out.append((doc_id, name, len(text.encode()), [{"digest": k, "length": len(x) + 4, "shared": s} for k, x, s in zip(keys, bodies, shared)], b"".join(unit_of(x) for x, s in zip(bodies, shared) if not s)))
                 if len(out) == 1000:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), ROW_TYPES.types)], schema=ROW_TYPES)
                     out = []
@@ -152,7 +164,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Me
             for text in batch.column(1):
                 for x in chunks_of(payload_of(text.as_py())):
                     if is_shared(k := digest(x)) and k not in told:
-                        out[k] = x
+                        out[k] = unit_of(x)
             told = told | out.keys() if len(told) < 500_000 else set(out)
             yield pa.record_batch([pa.array(out, pa.binary()), pa.array(out.values(), pa.binary())], names=["digest", "body"])
 
@@ -173,9 +185,10 @@ def samples_feature(payload: bytes) -> str:
 def read_back(media: MediaStore) -> DataFrame:
     """Digests and features of every payload, from the stored bytes alone.
 
-    The stored form of a payload is its framed chunk sequence: for each chunk its
-    length as a little-endian unsigned 32-bit integer, then its 8-bit samples.
-    A body that doesn't have its digest, or is missing, fails the job.
+    The stored form of a payload is the sequence of its stored units, in the
+    order of its chunk list, as ``unit_of`` makes them: ``media_*`` are of these
+    bytes. A unit that is missing, or whose chunk doesn't have its digest, fails
+    the job. An empty table gives no rows.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -193,11 +206,11 @@ def read_back(media: MediaStore) -> DataFrame:
                     else:
                         body = private[at : at + c["length"]]
                         at += c["length"]
-                    if digest(body) != c["digest"]:
+                    if digest(chunk_of(body)) != c["digest"]:
                         raise ValueError(f"document {doc_id}: a stored chunk is damaged")
                     pieces.append(body)
-                payload = b"".join(pieces)
-                framed = b"".join(struct.pack("<I", len(x)) + x for x in pieces)
+                payload = b"".join(map(chunk_of, pieces))
+                framed = b"".join(pieces)
                 out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(framed), hashlib.sha256(framed).hexdigest(), samples_feature(payload)))
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from acrelight.llm import fingerprint, media, shingles, suffixes
 
@@ -69,6 +70,30 @@ def test_shared_bodies_are_stored_once(spark):
     assert total < 0.8 * sum(-(-len(r["text"].encode()) // 576) * 576 for r in docs.collect())
 
 
+def test_media_columns_are_of_the_stored_bytes(spark):
+    docs = near_copies(spark)
+    store = media.store(docs)
+    shared = {bytes(r["digest"]): bytes(r["body"]) for r in store.chunks.collect()}
+    stored = Counter()
+    for r in store.rows.collect():
+        at, units = 0, []
+        for c in r["chunk_list"]:
+            unit = shared[bytes(c["digest"])] if c["shared"] else bytes(r["bodies"])[at : at + c["length"]]
+            at += 0 if c["shared"] else c["length"]
+            units.append(unit)
+        assert at == len(r["bodies"])
+        whole = b"".join(units)
+        stored[r["doc_id"], len(whole), hashlib.sha256(whole).hexdigest()] += 1
+    assert stored == Counter((r["doc_id"], r["media_bytes"], r["media_sha256"]) for r in media.read_back(store).collect())
+
+
+def test_a_damaged_unit_fails_the_job(spark):
+    store = media.store(near_copies(spark).limit(3))
+    for change in ("concat(left(bodies, 10), unhex('00'), substr(bodies, 12))", "left(bodies, length(bodies) - 1)"):
+        with pytest.raises(Exception, match="damaged"):
+            media.read_back(media.MediaStore(store.rows.selectExpr("doc_id", "row", "n_bytes", "chunk_list", f"if(length(bodies) > 0, {change}, bodies) as bodies"), store.chunks)).collect()
+
+
 def test_fingerprints_of_neighbours(spark, odd_docs):
     docs = near_copies(spark).unionByName(odd_docs.where("doc_id = 7").selectExpr("1000 as doc_id", "text", "lang", "source", "n_chars"))
     texts = dict(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
