@@ -193,9 +193,12 @@ def sure_from(logit: np.ndarray, y: np.ndarray, precise: float) -> float:
     return float(logit[order[good[-1]]]) if len(good) else np.inf
 
 
-def pseudo_sums(seen: DataFrame, models: dict[str, Logistic], least: dict[str, tuple[float, float]]) -> dict[int, np.ndarray]:
+def pseudo_sums(seen: DataFrame, models: dict[str, Logistic], least: dict[str, tuple[float, float]], told: frozenset[int] = frozenset()) -> dict[int, np.ndarray]:
     """Newton sums of each view by class over all rows that the other view is sure of, and how many rows these are.
 
+    Rows whose doc_id was ``told``, the sample of labels, give no pseudo-labels:
+    some of them check the models.
+
     Part 2 * view + class; a part's array has the count, the gradient and the
     curvature, filled up to the wider view's size. ``least`` has a view's least
     scores for the classes good and bad, the latter of the opposite sign.
@@ -205,7 +208,7 @@ def pseudo_sums(seen: DataFrame, models: dict[str, Logistic], least: dict[str, t
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((4, width + 1, width + 1))
         for frame in frames:
-            x = dict(zip(("text", "meta"), arrays(frame)))
+            x = dict(zip(("text", "meta"), arrays(frame[~frame["doc_id"].isin(told)])))
             for v, (name, other) in enumerate((("text", "meta"), ("meta", "text"))):
                 z = models[other].logit(x[other])
                 for label, sure in ((0, -z >= least[other][1]), (1, z >= least[other][0])):
@@ -220,16 +223,19 @@ def pseudo_sums(seen: DataFrame, models: dict[str, Logistic], least: dict[str, t
     return summed(seen.mapInPandas(run, "part int, sums binary"), (width + 1, width + 1))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, seen: DataFrame, rounds: int = ROUNDS, seed: int = 3) -> Quality | None:
-    """Fit on labelled rows and on pseudo-labels of all rows of ``seen``; None unless there are four labelled rows of each class.
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, seen: DataFrame, told: frozenset[int] = frozenset(), rounds: int = ROUNDS, seed: int = 3) -> Quality | None:
+    """Fit on labelled rows and on pseudo-labels of all other rows of ``seen``; None unless there are four labelled rows of each class.
+
+    Of the labelled rows three fifths fit the views, a fifth sets how sure a view
+    must be, and a fifth, which decides nothing else, calibrates the two together.
 
     Pseudo-labels of a class weigh together at most as much as its labelled
     rows, however many they are, so they don't shift the share of the classes.
     """
     if len(np.unique(y)) < 2 or min(np.bincount(y.astype(int), minlength=2)) < 4:
         return None
-    part = np.random.default_rng(seed).permutation(len(y)) % 3
-    train, check = part > 0, part == 0
+    part = np.random.default_rng(seed).permutation(len(y)) % 5
+    train, check, last = part > 1, part == 0, part == 1
     views = {"text": text, "meta": meta}
     models = {name: Logistic().fit(x[train], y[train]) for name, x in views.items()}
     count = np.bincount(y[train].astype(int), minlength=2)
@@ -238,7 +244,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, seen: DataFrame,
         least = {name: (sure_from(z, y[check] == 1, SURE), sure_from(-z, y[check] == 0, SURE)) for name, z in known.items()}
         if not np.isfinite(list(least.values())).any():
             break
-        added = pseudo_sums(seen, models, least)
+        added = pseudo_sums(seen, models, least, told)
         for v, name in enumerate(views):
             gradient, curve = models[name].sums(views[name][train], y[train])
             n = len(gradient)
@@ -248,8 +254,8 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, seen: DataFrame,
                     share = min(1.0, count[label] / sums[0, 0])
                     gradient, curve = gradient + share * sums[0, 1 : n + 1], curve + share * sums[1 : n + 1, 1 : n + 1]
             models[name].step(gradient, curve)
-    held = np.column_stack([models[n].logit(views[n][check]) for n in ("text", "meta")])
-    return Quality(models["text"], models["meta"], Logistic(squares=False).fit(held, y[check]))
+    held = np.column_stack([models[n].logit(views[n][last]) for n in ("text", "meta")])
+    return Quality(models["text"], models["meta"], Logistic(squares=False).fit(held, y[last]))
 
 
 def arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -265,16 +271,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Quali
     once, with their lowest quality; null labels don't count. Rows that share a
     labelled doc_id count as one.
     """
-    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     turn = F.xxhash64("doc_id")
-    some = stage(told.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(turn).limit(sample))
+    some = stage(given.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(turn).limit(sample))
     first = F.pmod(F.shiftright(turn, 20), F.lit(3)) == 0
     odds = word_odds(docs, some.where(first))
     seen = stage(features(docs, odds))
     # the sample has at most ``sample`` rows, so it may be broadcast
     known = seen.join(F.broadcast(some.where(~first)), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text_view", "meta_view")).alias("x"))
     frame = known.select("doc_id", "quality", "x.*").toPandas().sort_values("doc_id")
-    return co_train(*arrays(frame), frame.quality.to_numpy(dtype=float), seen), odds, seen
+    told = frozenset(r[0] for r in some.select("doc_id").collect())  # of the sample's size
+    return co_train(*arrays(frame), frame.quality.to_numpy(dtype=float), seen, told), odds, seen
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:

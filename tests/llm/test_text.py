@@ -181,3 +181,29 @@ def test_quality_without_labels(spark, odd_docs, empty_docs):
     assert len(found) == odd_docs.count() and all(r["keep"] and r["score"] is None for r in found)
     assert quality.score_documents(empty_docs, none).count() == 0
     assert quality.keep_good(odd_docs, none).count() == odd_docs.count()
+
+
+def test_pseudo_labels_are_summed_over_rows_without_labels(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    widths = (quality.TEXT_FEATURES, quality.SOURCES + quality.LANGS + 3)
+    views = [draw.normal(size=(60, w)).astype(np.float32) for w in widths]
+    y = (views[0][:, 0] + views[1][:, 0] > 0).astype(float)
+    models = {n: quality.Logistic().fit(x.astype(float), y) for n, x in zip(("text", "meta"), views)}
+    rows = [(None if i == 7 else i, views[0][i].tolist(), views[1][i].tolist()) for i in range(60)]
+    seen = spark.createDataFrame(rows, "doc_id long, text_view array<float>, meta_view array<float>").repartition(3)
+    told, least = frozenset(range(0, 60, 4)), {"text": (0.5, 0.25), "meta": (0.1, np.inf)}
+    found = quality.pseudo_sums(seen, models, least, told)
+    free = np.array([i for i in range(60) if i not in told])
+    wide = dict(zip(("text", "meta"), (x[free].astype(float) for x in views)))
+    for v, (name, other) in enumerate((("text", "meta"), ("meta", "text"))):
+        z = models[other].logit(wide[other])
+        for label, sure in ((0, -z >= least[other][1]), (1, z >= least[other][0])):
+            sums = found[2 * v + label]
+            assert sums[0, 0] == sure.sum()
+            if sure.any():
+                gradient, curve = models[name].sums(wide[name][sure], np.full(int(sure.sum()), float(label)))
+                n = len(gradient)
+                np.testing.assert_allclose(sums[0, 1 : n + 1], gradient)
+                np.testing.assert_allclose(sums[1 : n + 1, 1 : n + 1], curve)
