@@ -3,9 +3,11 @@
 The rows are parted into a few shards. Each shard is mined completely, level by
 level, at the support divided by the number of shards: a phrase that reaches the
 support in all rows reaches that share of it in some shard, so the union of what
-the shards find has every frequent phrase. A last pass counts all of the union
-over all rows, exactly. A shard is a key of a distributed count, not a task, so
-it may have any size and the lowered support stays well above one.
+the shards find has every frequent phrase. A shard where a phrase isn't found
+has fewer than that share of it, which bounds the phrase's count; where the bound
+is below the support, it goes. A last pass counts all of the union over all
+rows, exactly. A shard is a key of a distributed count, not a task, so it may
+have any size and the lowered support stays above one.
 
 Between the levels go bit filters of one size for every corpus. A bit that other
 phrases set too lets a phrase be counted for nothing; the exact count drops it.
@@ -28,6 +30,8 @@ FILTER_BITS = 26
 #: A task counts about so many words at once, and cuts texts at so many bytes.
 RUN_WORDS = 2_000_000
 SLICE = 1 << 20
+#: A language's phrases are ranked in so many parts, of which each sends on no more than the ranks asked for.
+RANKED = 32
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 WORDS = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 BETWEEN = re.compile(rb"[ \t.,;:!?\n-\r]")
@@ -48,10 +52,10 @@ class Numbers(dict):
 
 
 class Run:
-    """The words of many texts of one language and shard as numbers, 0 where a piece ends."""
+    """The words of many texts of one language as numbers, 0 where a piece ends."""
 
-    def __init__(self, lang: str, shard: int):
-        self.lang, self.shard, self.numbers, self.parts, self.size = lang, shard, Numbers(), [], 0
+    def __init__(self, lang: str):
+        self.lang, self.numbers, self.parts, self.size = lang, Numbers(), [], 0
 
     def add(self, text: str) -> None:
         data, at = text.encode().lower(), 0  # of bytes, this lowers A to Z alone
@@ -72,32 +76,37 @@ class Run:
         seed = xxhash.xxh3_64_intdigest(self.lang.encode())
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words], dtype=np.uint64)
 
-    def grams(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start of one occurrence, count, group of each of ``at``) of the phrases of ``length`` words that start at ``at``."""
+    def grams(self, at: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(numbers of their words, counts) of the phrases of ``length`` words that start at ``at``."""
+        size = len(self.words)
+        if size**length >= 1 << 63:
+            found, count = np.unique(np.stack([self.ids[at + j] for j in range(length)]), axis=1, return_counts=True)
+            return list(found), count
         code = self.ids[at]
         for j in range(1, length):
-            if j > 1:
-                code = np.unique(code, return_inverse=True)[1]
-            code = code * np.int64(len(self.words)) + self.ids[at + j]
-        _, first, group, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        return at[first], count, group
-
-    def hashed(self, at: np.ndarray, length: int) -> np.ndarray:
-        out = np.zeros(len(at), dtype=np.uint64)
-        for j in range(length):
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.ids[at + j]]
+            code = code * size + self.ids[at + j]
+        code, count = np.unique(code, return_counts=True)
+        parts = []
+        for _ in range(length):
+            code, last = np.divmod(code, size)
+            parts.append(last)
+        return parts[::-1], count
+
+    def hashed(self, parts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(parts[0]), dtype=np.uint64)
+        for numbers in parts:
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[numbers]
         return out ^ (out >> np.uint64(31))
 
     def starts(self, filters: list[np.ndarray]) -> np.ndarray:
         """Where phrases of one word more than the levels of ``filters`` start, all of whose parts of those levels pass them."""
         alive = self.ids > 0
         for length, bits in enumerate(filters, 1):
-            at = np.flatnonzero(alive)
-            if not len(at):
-                return at
-            first, _, group = self.grams(at, length)
-            alive = np.zeros(len(self.ids), dtype=bool)
-            alive[at] = passes(bits, self.hashed(first, length))[group]
+            if length == 1:
+                alive &= passes(bits, self.hashed([np.arange(len(self.words))]))[self.ids]
+            else:
+                at = np.flatnonzero(alive)
+                alive[at] = passes(bits, self.hashed([self.ids[at + j] for j in range(length)]))
             alive[:-1] &= alive[1:]  # the phrase that begins one word later passes too
             alive[-1] = False
         return np.flatnonzero(alive)
@@ -109,27 +118,30 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
-    """Runs of rows (lang, shard, text), of bounded size together."""
-    held: dict[tuple[str, int], Run] = {}
+    """Runs of rows (lang, text), of bounded size together."""
+    held: dict[str, Run] = {}
+    size = 0
     for batch in batches:
-        for lang, shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if (lang, shard) not in held:
-                held[lang, shard] = Run(lang, shard)
-            held[lang, shard].add(text.as_py())
-            if sum(run.size for run in held.values()) >= RUN_WORDS:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if lang not in held:
+                held[lang] = Run(lang)
+            before = held[lang].size
+            held[lang].add(text.as_py())
+            size += held[lang].size - before
+            if size >= RUN_WORDS:
                 for run in held.values():
                     run.finish()
                     yield run
-                held = {}
+                held, size = {}, 0
     for run in held.values():
         run.finish()
         yield run
 
 
-def sharded(docs: DataFrame, shards: int, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, shard, text) of the rows with a text; equal texts share a shard."""
+def texts_of(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """(lang, text) of the rows with a text."""
     text = F.col(text_col)
-    return docs.where(text.isNotNull() & (text != "")).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"), text.alias("text"))
+    return docs.where(text.isNotNull() & (text != "")).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text.alias("text"))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -138,31 +150,34 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs_of(batches):
             n = np.bincount(run.ids, minlength=len(run.words))[1:]
-            if not len(n):
-                continue
-            at = np.zeros(len(run.words), dtype=np.int64)
-            at[run.ids[::-1]] = np.arange(len(run.ids))[::-1]
-            yield pa.record_batch(
-                [pa.array([run.lang] * len(n), pa.string()), pa.array([w.decode() for w in run.words[1:]], pa.string()), pa.array(run.hashed(at[1:], 1).view(np.int64)), pa.array(n)],
-                names=["lang", "phrase", "hash", "f"],
-            )
+            if len(n):
+                hashes = run.hashed([np.arange(1, len(run.words))]).view(np.int64)
+                yield pa.record_batch([pa.array([run.lang] * len(n), pa.string()), pa.array(run.words[1:], pa.binary()).cast(pa.string()), pa.array(hashes), pa.array(n)], names=["lang", "phrase", "hash", "f"])
 
     return rows.mapInArrow(count, "lang string, phrase string, hash long, f long").groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f"))
 
 
-def locally_frequent(rows: DataFrame, filters: list, support: int) -> DataFrame:
-    """(hash) of the phrases of one word more than ``filters`` has levels, that reach ``support`` in a shard."""
-    length = len(filters) + 1
+def locally_frequent(rows: DataFrame, filters: list, least: int, shards: int) -> DataFrame:
+    """(hash) of the phrases of one word more than ``filters`` has levels, that a shard finds and that may reach ``least`` in all.
+
+    A task's rows are of one shard. A shard finds what it has ``least / shards``
+    times, rounded up; of what it doesn't find it has at most one less.
+    """
+    length, support = len(filters) + 1, -(-least // shards)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() % shards
         for run in runs_of(batches):
             at = run.starts([x.value for x in filters])
             if len(at):
-                first, count, _ = run.grams(at, length)
-                yield pa.record_batch([pa.array(np.full(len(first), run.shard, dtype=np.int32)), pa.array(run.hashed(first, length).view(np.int64)), pa.array(count)], names=["shard", "hash", "n"])
+                parts, count = run.grams(at, length)
+                yield pa.record_batch([pa.array(np.full(len(count), shard, dtype=np.int32)), pa.array(run.hashed(parts).view(np.int64)), pa.array(count)], names=["shard", "hash", "n"])
 
-    found = rows.mapInArrow(mine, "shard int, hash long, n long").groupBy("shard", "hash").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= support).select("hash").distinct()
+    found = rows.mapInArrow(mine, "shard int, hash long, n long").groupBy("shard", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    bound = F.sum("n") + (shards - F.count("*")) * (support - 1)
+    return found.groupBy("hash").agg(bound.alias("most")).where(F.col("most") >= least).select("hash")
 
 
 def global_counts(rows: DataFrame, filters: list) -> DataFrame:
@@ -171,38 +186,34 @@ def global_counts(rows: DataFrame, filters: list) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [x.value for x in filters]
         for run in runs_of(batches):
+            words = np.array([w.decode() for w in run.words], dtype=object)
             for length in range(2, len(bits) + 1):
                 at = run.starts(bits[: length - 1])
+                at = at[passes(bits[length - 1], run.hashed([run.ids[at + j] for j in range(length)]))] if len(at) else at
                 if not len(at):
                     break
-                first, n, _ = run.grams(at, length)
-                keep = passes(bits[length - 1], run.hashed(first, length))
-                first, n = first[keep], n[keep]
-                parts = [[run.words[i].decode() for i in run.ids[first + j].tolist()] for j in range(length)]
-                yield pa.record_batch(
-                    [pa.array([run.lang] * len(n), pa.string()), pa.array(list(map(" ".join, zip(*parts))), pa.string()), pa.array(np.full(len(n), length, dtype=np.int32)), pa.array(n)],
-                    names=["lang", "phrase", "words", "f"],
-                )
+                parts, n = run.grams(at, length)
+                phrases = list(map(" ".join, zip(*(words[p].tolist() for p in parts))))
+                yield pa.record_batch([pa.array([run.lang] * len(n), pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(n), length, dtype=np.int32)), pa.array(n)], names=["lang", "phrase", "words", "f"])
 
     return rows.mapInArrow(count, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 4, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of one to ``longest`` words that occur ``least`` times in their language, and (lang, n), the words of each.
 
     A null text is empty, a null language ``und``. Empty texts and tables give
     nothing. Repeated rows count each. Other columns are left behind, whatever
     their names. A text of any length is cut between words, never within one.
     """
-    rows = sharded(docs, shards, lang_col, text_col)
+    rows = texts_of(docs, lang_col, text_col)
     context = docs.sparkSession.sparkContext
     words = stage(word_counts(rows))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
     filters = [context.broadcast(filter_bits(frequent.select("hash"), FILTER_BITS))]
-    support = -(-least // shards)
     for _ in range(2, longest + 1):
-        filters.append(context.broadcast(filter_bits(stage(locally_frequent(rows, filters, support)), FILTER_BITS)))
+        filters.append(context.broadcast(filter_bits(stage(locally_frequent(rows, filters, least, shards)), FILTER_BITS)))
     phrases = global_counts(rows, filters).where(F.col("f") >= least)
     return stage(frequent.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(phrases)), totals
 
@@ -213,7 +224,7 @@ def score(a: Column, l: Column, r: Column) -> Column:
     return F.call_function("div", wide(a) * wide(a) * F.lit(1_000_000).cast("decimal(7,0)"), wide(l) * wide(r))
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, contained: int = 50, top: int = 2000, shards: int = 4, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, contained: int = 50, top: int = 2000, shards: int = 5, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by the score of their weakest cut.
 
     A phrase of ``a`` occurrences, cut into parts of ``l`` and ``r``, scores
@@ -234,8 +245,10 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, contained:
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("words") - m + 1), lambda i: F.array_join(F.slice(words, i, m), " "))))
     inside = candidates.where("words > 2").select("lang", "a", F.explode(F.array_distinct(spans)).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = weakest.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * contained))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    parted = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", F.pmod(F.xxhash64("phrase"), F.lit(RANKED)).alias("part"))
+    first = parted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
