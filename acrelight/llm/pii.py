@@ -40,11 +40,16 @@ WIDER = {
     "account": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,}+(?: ?[0-9]{1,3})?(?![A-Z0-9])",
 }
 ORDER = [*KINDS, *WIDER]
-FEATURES = ["size", "marks", "digits", "letters", "cue", "left", "right"]
+FEATURES = ["size", "marks", "digits", "letters", "loose", "cue", "left", "right"]
 #: So many texts are planted to fit the trees.
 SAMPLE = 3000
-CUES = r"(?i)(token|secret|password|key|card|visa|account|phone|tel|call|mobile|mail|contact|ssn|iban|ip|host)[^a-z0-9]{0,4}$"
-TREES, RATE, PRECISE = 24, 0.4, 0.9
+#: Words that tell of personal data, right before a span or within the text before it.
+CUE_WORDS = "token|secret|password|passwd|key|card|visa|account|acct|bank|phone|telephone|tel|call|cell|mobile|fax|dial|ring|text|reach|mail|contact|ssn|social security|iban|ip|host"
+CUES = rf"(?i)({CUE_WORDS})[^a-z0-9]{{0,4}}$"
+NEAR_CUES = rf"(?i)\b({CUE_WORDS})s?\b"
+#: A span's context is so many characters before it.
+CONTEXT = 40
+TREES, RATE, PRECISE = 40, 0.4, 0.9
 
 
 def luhn(digits: Column) -> Column:
@@ -89,7 +94,7 @@ def candidates(texts: DataFrame) -> DataFrame:
 
     def placed_in(kind: str) -> Column:
         pieces = F.col(f"pieces_{kind}")
-        return F.transform(f"matches_{kind}", lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m.alias("match"), F.length(F.get(pieces, i)).alias("gap"), F.right(F.get(pieces, i), F.lit(16)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("after")))
+        return F.transform(f"matches_{kind}", lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m.alias("match"), F.length(F.get(pieces, i)).alias("gap"), F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("after")))
 
     each = split.select("k", F.explode(F.concat(*map(placed_in, ORDER))).alias("x")).select("k", "x.*")
     once = each.groupBy("k", "kind", "i").agg(*(F.first(c).alias(c) for c in ("match", "gap", "before", "after"))).repartition("k")
@@ -99,10 +104,11 @@ def candidates(texts: DataFrame) -> DataFrame:
     beside = lambda c: F.when(c == "", 0).when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
     features = {
         "size": F.least(F.floor(size / 4), F.lit(7)).cast("int"),
-        "marks": F.least(F.length(F.regexp_replace("match", "[A-Za-z0-9]", "")), F.lit(3)).cast("int"),
-        "digits": F.least(F.floor(4 * digits / size), F.lit(3)).cast("int"),
+        "marks": F.least(F.length(F.regexp_replace("match", "[A-Za-z0-9]", "")), F.lit(9)).cast("int"),
+        "digits": F.when(digits == 0, 0).otherwise(1 + F.least(F.floor(4 * digits / size), F.lit(3))).cast("int"),
         "letters": F.col("match").rlike("[A-Z]").cast("int") + 2 * F.col("match").rlike("[a-z]").cast("int"),
-        "cue": F.col("before").rlike(CUES).cast("int"),
+        "loose": F.col("match").rlike(r"\. | \.").cast("int"),
+        "cue": F.when(F.col("before").rlike(CUES), 2).when(F.col("before").rlike(NEAR_CUES), 1).otherwise(0),
         "left": beside(F.right("before", F.lit(1))),
         "right": beside(F.col("after")),
     }
@@ -170,14 +176,18 @@ def planted(n: int, seed: int = 17) -> list[tuple[str, list[tuple[str, str]]]]:
     call = lambda: draw.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(str(draw.randint(200, 999)), digits(3), digits(4))
     account = lambda: of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2) + digits(2) + draw.choice(["", " "]).join(["", *(digits(4) for _ in range(draw.randint(3, 6)))])
     number = lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"
-    cue = lambda *names: draw.choice(names) + draw.choice([" ", ": ", " - "])
+    # what a person makes up: words, capitals and digits mixed
+    chosen = lambda: draw.choice([lambda: word() + digits(draw.randint(1, 4)) + word(), lambda: word().capitalize() + word() + digits(draw.randint(2, 4)), lambda: of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4) + digits(4) + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4) + digits(4)])()[:40].ljust(9, "7")
+    between = lambda: draw.choice([" ", ": ", " - ", " is ", " no. ", f" {word()} ", f" {word()} {word()} "])
+    cue = lambda *names: draw.choice(names) + between()
+    maybe = lambda *names: cue(*names) if draw.random() < 0.5 else ""
     # (kind, what stands before it, the span), then look-alikes of the same form
     real = [
-        lambda: ("secret", "", name() + equals() + token()),
-        lambda: ("mailbox", cue("mail", "contact", "Contact"), draw.choice(["{} (at) {} (dot) {}", "{}[at]{}[dot]{}", "{} (at) {}.{}"]).format(word(), word(), draw.choice(["com", "org", "net", "example"]))),
-        lambda: ("call", cue("phone", "tel", "call", "mobile"), call()),
-        lambda: ("number", cue("ssn", "SSN"), number()),
-        lambda: ("account", cue("iban", "IBAN", "account"), account()),
+        lambda: ("secret", "", name() + equals() + draw.choice([token, chosen])()),
+        lambda: ("mailbox", maybe("mail", "contact", "Contact"), draw.choice(["{} (at) {} (dot) {}", "{}[at]{}[dot]{}", "{} (at) {}.{}"]).format(word(), word(), draw.choice(["com", "org", "net", "example"]))),
+        lambda: ("call", cue("phone", "tel", "call", "mobile", "cell", "fax", "text", "reach", "dial"), call()),
+        lambda: ("number", cue("ssn", "SSN", "social security"), number()),
+        lambda: ("account", cue("iban", "IBAN", "account", "bank", "acct"), account()),
         lambda: ("email", "", f"{word()}@{word()}.org"),
         lambda: ("ip", "", ".".join(str(draw.randint(0, 255)) for _ in range(4))),
         lambda: ("card", cue("card", "visa"), card(True)),
@@ -186,6 +196,7 @@ def planted(n: int, seed: int = 17) -> list[tuple[str, list[tuple[str, str]]]]:
     alike = [
         lambda: ("", "", name() + equals() + of("abcdefghijklmnopqrstuvwxyz", draw.randint(8, 16))),
         lambda: ("", "", f"{word()} (at) {word()}. {word()}"),
+        lambda: ("", word() + " " + word() + " ", call()),
         lambda: ("", word() + " ", call()),
         lambda: ("", word() + " ", number()),
         lambda: ("", word() + " ", account()),
@@ -198,7 +209,9 @@ def planted(n: int, seed: int = 17) -> list[tuple[str, list[tuple[str, str]]]]:
     for i in range(n):
         kind, before, span = draw.choice((real, alike)[i % 2])()
         quote = '"' if '"' in span else ""
-        out.append((f"{words()} {before}{span}{quote}{draw.choice([' ', '. ', ', '])}{words()}", [(kind, span)] if kind else []))
+        # a span may begin or end its text or line
+        lead, rest = draw.choice(["", f"{words()}\n", *[f"{words()} "] * 4]), draw.choice(["", ".", *[f"{mark}{words()}" for mark in (" ", ". ", ", ", "\n")]])
+        out.append((f"{lead}{before}{span}{quote}{rest}", [(kind, span)] if kind else []))
     return out
 
 
@@ -207,7 +220,8 @@ def fitted(spark: SparkSession, sample: int = SAMPLE, trees: int = TREES, precis
     """(base score, trees, threshold by kind), fitted on ``sample`` planted texts of which each third is held out.
 
     A kind's threshold is the lowest score from which on its held-out spans are
-    planted ones at least ``precise`` of the time; a kind without one has none.
+    planted ones at least ``precise`` of the time, and of which itself at least
+    half are, halfway to the next lower one; a kind without one has none.
     """
     told = {text: spans for text, spans in planted(sample)}
     texts = spark.createDataFrame([(x,) for x in told], "text string")
@@ -226,9 +240,12 @@ def fitted(spark: SparkSession, sample: int = SAMPLE, trees: int = TREES, precis
         order = np.argsort(-scores[mine], kind="stable")
         s, good = scores[mine][order], label[mine][order].cumsum()
         last = np.r_[s[1:] < s[:-1] - 1e-9, True][: len(s)]
-        fine = np.flatnonzero(last & (good >= precise * np.arange(1, len(s) + 1)))
+        ends = np.flatnonzero(last)
+        own = np.diff(np.r_[0, good[ends]]) >= 0.5 * np.diff(np.r_[-1, ends])
+        fine = ends[own & (good[ends] >= precise * (ends + 1))]
         if len(fine):
-            least[kind] = float(s[fine[-1]]) - 1e-6
+            below = s[s < s[fine[-1]] - 1e-9]
+            least[kind] = float(s[fine[-1]] + below[0]) / 2 if len(below) else float(s[fine[-1]]) - 1e-6
     return start, grown, least
 
 
