@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Region key, display name, states.
 REGIONS = [
-    ("northeast", "Northeast", "CT ME MA NH NJ NY PA RI VT"),
-    ("midwest", "Midwest", "IL IN IA KS MI MN MO NE ND OH SD WI"),
-    ("south", "South", "AL AR DE FL GA KY LA MD MS NC OK SC TN TX VA WV DC"),
-    ("west", "West", "AK AZ CA CO HI ID MT NV NM OR UT WA WY"),
+    ("northeast", "Northeast", ["CT", "ME", "MA", "NH", "NJ", "NY", "PA", "RI", "VT"]),
+    ("midwest", "Midwest", ["IL", "IN", "IA", "KS", "MI", "MN", "MO", "NE", "ND", "OH", "SD", "WI"]),
+    ("south", "South", ["AL", "AR", "DE", "FL", "GA", "KY", "LA", "MD", "MS", "NC", "OK", "SC", "TN", "TX", "VA", "WV", "DC"]),
+    ("west", "West", ["AK", "AZ", "CA", "CO", "HI", "ID", "MT", "NV", "NM", "OR", "UT", "WA", "WY"]),
 ]
 # State names by abbreviation.
 STATE_NAMES = {
@@ -85,5 +85,5 @@ DEFAULT_SCORECARD = Scorecard((
 
 def states(spark: SparkSession) -> DataFrame:
     """The state dimension: 51 rows of (state_abbr, state_name, region, region_name, region_ord)."""
-    rows = [(s, STATE_NAMES[s], key, name, i) for i, (key, name, members) in enumerate(REGIONS) for s in members.split()]
+    rows = [(s, STATE_NAMES[s], key, name, i) for i, (key, name, members) in enumerate(REGIONS) for s in members]
     return spark.createDataFrame(rows, "state_abbr string, state_name string, region string, region_name string, region_ord int")

@@ -167,7 +167,8 @@ def with_related(props: DataFrame, **lists: DataFrame) -> DataFrame:
 
 
 def first_file(files: DataFrame) -> DataFrame:
-    """Each property's live file with the least id."""
+    """Each property's live file with the least id; files without deleted_at are all live."""
+    files = live(files) if "deleted_at" in files.columns else files
     return files.groupBy("property_id").agg(F.min_by("path", "id").alias("path"))
 
 

@@ -59,7 +59,7 @@ def decision_sql(s: str, card: Scorecard = DEFAULT_SCORECARD) -> str:
 SCORED = f"""{cte("properties_fx", "features_fx")},
 scores AS (SELECT property_id, {total_sql(DEFAULT_SCORECARD)} AS total_score FROM features_fx WHERE property_id % 17 <> 0),
 scored AS (SELECT p.*, s.total_score, CASE WHEN s.total_score IS NOT NULL THEN {decision_sql("s.total_score")} END AS decision FROM properties_fx p LEFT JOIN scores s USING (property_id)),
-states(state_key, state_name, region, region_name, region_ord) AS (VALUES {", ".join(f"('{s}', '{dims.STATE_NAMES[s]}', '{k}', '{n}', {i})" for i, (k, n, m) in enumerate(dims.REGIONS) for s in m.split())}),
+states(state_key, state_name, region, region_name, region_ord) AS (VALUES {", ".join(f"('{s}', '{dims.STATE_NAMES[s]}', '{k}', '{n}', {i})" for i, (k, n, m) in enumerate(dims.REGIONS) for s in m)}),
 placed AS (SELECT s.*, coalesce(t.state_name, upper(s.state_abbr)) AS state_name, region, region_name, region_ord FROM scored s LEFT JOIN states t ON upper(s.state_abbr) = t.state_key)"""
 COUNTS = "count(*) FILTER (WHERE decision = 'Move Forward') AS green, count(*) FILTER (WHERE decision = 'Needs Review') AS yellow, count(*) FILTER (WHERE coalesce(decision, '') NOT IN ('Move Forward', 'Needs Review')) AS red, count(*) AS total"
 half_up = lambda x, n: f"floor(({x}) * {d(float(10**n))} + {d(0.5)}) / {d(float(10**n))}"
@@ -107,7 +107,7 @@ QUERIES = {
     "property_view": lambda s, x: P.to_property_view(scored(s, x)).select("property_id", F.col("address.city").alias("city"), "score", "decision"),
     "rank_properties": lambda s, x: P.rank_properties(P.live(scored(s, x)), 100).select("property_id", "rank", "total_score"),
     "with_related": _related,
-    "first_file": lambda s, x: P.first_file(view(s, x, "documents_fx")),
+    "first_file": lambda s, x: P.first_file(view(s, x, "documents_fx").withColumn("deleted_at", F.when(F.col("id") % 5 == 0, F.col("uploaded_at")))),
     "extraction_ids": lambda s, x: view(s, x, "documents_fx").select("id", extraction_id(F.col("path")).alias("extraction_id")),
     "address_dedupe": lambda s, x: P.dedupe_addresses(view(s, x, "properties_fx")),
     "match_by_address": lambda s, x: P.match_by_address(incoming(s, x), view(s, x, "properties_fx")).select("incoming_id", "address_key", "match_id"),
@@ -146,7 +146,7 @@ SQL = {
         ff AS (SELECT property_id, count(*) AS n, min(section) AS first FROM extracted_fx GROUP BY 1)
         SELECT p.property_id, {total_sql(DEFAULT_SCORECARD)} AS total_score, CAST(coalesce(dd.n, 0) AS INT) AS n_documents, dd.first AS first_document, CAST(coalesce(ff.n, 0) AS INT) AS n_files, ff.first AS first_section
         FROM properties_fx p JOIN features_fx USING (property_id) LEFT JOIN dd USING (property_id) LEFT JOIN ff USING (property_id) WHERE deleted_at IS NULL""",
-    "first_file": f"WITH {cte('documents_fx')} SELECT property_id, arg_min(path, id) AS path FROM documents_fx GROUP BY 1",
+    "first_file": f"WITH {cte('documents_fx')} SELECT property_id, arg_min(path, id) AS path FROM documents_fx WHERE id % 5 <> 0 GROUP BY 1",
     "extraction_ids": f"WITH {cte('documents_fx')} SELECT id, concat('e_', CAST(id AS VARCHAR), '-ab', CAST(id % 10 AS VARCHAR)) AS extraction_id FROM documents_fx",
     "address_dedupe": f"WITH {cte('properties_fx')}, {KEYED} SELECT property_id, min(property_id) OVER (PARTITION BY address_key) AS canonical_id FROM keyed",
     "match_by_address": f"WITH {cte('properties_fx')}, {KEYED}, i AS ({INCOMING.format(supplier='supplier')}), ik AS (SELECT *, {ADDRESS.format('concat_ws(chr(32), street, city, state_abbr)')} AS address_key FROM i), m AS (SELECT address_key, min(property_id) AS match_id FROM keyed WHERE deleted_at IS NULL GROUP BY 1) SELECT incoming_id, address_key, match_id FROM ik LEFT JOIN m USING (address_key)",

@@ -27,7 +27,6 @@ from acrelight.sources.shared import fresh_path
 
 SAVED = json.dumps({"factors": {"population": {"weight": 0.15, "thresholds": {str(i): 6000 * i for i in range(10, 0, -1)}}}, "thresholds": {"moveForward": 6.5, "quickCheck": 5.0}})
 PATCH = {"factors": {"population": {"weight": 0.6}, "transitScore": {"weight": 0.4}}, "thresholds": {"forward": 6.0}}
-MAPPED = json.dumps({"sheets": {"Summary": {"fields": [{"cell": "B2", "json_path": "a.b"}, {"cell": "B3", "transform": "to_number"}]}, "Units": {"fields": [{"cell": "C1", "json_path": "u[0]"}]}}})
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +114,12 @@ def _merged_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = lambda m: F.struct(*(F.lit(v).cast("string").alias(n) for n, v in (("sheet", m.sheet), ("cell", m.cell), ("path", m.json_path), ("transform", m.transform), ("source", m.source))))
-    return view(spark, sf_dir, "nation").select("n_nationkey", F.inline(F.array(*map(field, O.load_mappings(MAPPED)))))
+    """Mappings from JSON texts that are made of the parts: a sheet for each brand, a field for each part, some without a path."""
+    k = F.col("p_partkey")
+    field = F.struct(F.concat(F.lit("B"), k.cast("string")).alias("cell"), F.col("p_name").alias("label"), F.when(k % 3 > 0, F.concat(F.lit("part."), F.col("p_type"))).alias("json_path"), F.when(k % 2 == 0, "to_number").alias("transform"), F.when(k % 5 == 0, "external").alias("source"))
+    fields = F.array_sort(F.collect_list(F.struct(k.alias("k"), field.alias("f"))))
+    sheets = view(spark, sf_dir, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.transform(fields, lambda x: x["f"]).alias("fields"))).alias("json"))
+    return O.read_mappings(sheets.withColumnRenamed("p_brand", "sheet")).select("sheet", "cell", "label", "json_path", "transform", "source")
 
 
 def _written_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +308,7 @@ SQL = {
     "source_snapshot": "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "source_registry": "SELECT n_regionkey AS region, CAST(sum(length(n_name) + 1) AS BIGINT) AS size, true AS named FROM nation GROUP BY 1",
     "source_scorecard": f"WITH {cte('features_fx')}, t AS (SELECT property_id, {total_sql(SAVED_CARD)} AS total_score FROM features_fx) SELECT *, {decision_sql('total_score', SAVED_CARD)} AS decision FROM t",
-    "source_mappings": "SELECT n_nationkey, sheet, cell, path, transform, source FROM nation CROSS JOIN (VALUES ('Summary', 'B2', 'a.b', NULL, 'pdf_extract'), ('Summary', 'B3', NULL, 'to_number', 'pdf_extract'), ('Units', 'C1', 'u[0]', NULL, 'pdf_extract')) v(sheet, cell, path, transform, source)",
+    "source_mappings": "SELECT p_brand AS sheet, concat('B', p_partkey) AS cell, p_name AS label, CASE WHEN p_partkey % 3 > 0 THEN concat('part.', p_type) END AS json_path, CASE WHEN p_partkey % 2 = 0 THEN 'to_number' END AS transform, CASE WHEN p_partkey % 5 = 0 THEN 'external' ELSE 'pdf_extract' END AS source FROM part",
     "sink_sections": "SELECT role AS section, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1",
     "sink_scores": f"WITH {cte('features_fx')} SELECT property_id, {total_sql(O.DEFAULT_SCORECARD)} AS total_score FROM features_fx",
     "files_by_user": f"WITH {LISTING} SELECT id, created_at FROM listing WHERE user_id = 'user3'",

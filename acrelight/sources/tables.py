@@ -164,6 +164,15 @@ def load_mappings(text: str) -> list[FieldMapping]:
     return [FieldMapping(sheet, f["cell"], f.get("label", ""), f.get("json_path"), f.get("fallback_path"), f.get("transform"), f.get("fallback_transform"), f.get("source", "pdf_extract")) for sheet, found in sheets.items() for f in found.get("fields", [])]
 
 
+MAPPING_SHEET = "struct<fields:array<struct<cell:string,label:string,json_path:string,fallback_path:string,transform:string,fallback_transform:string,source:string>>>"
+
+
+def read_mappings(sheets: DataFrame) -> DataFrame:
+    """(sheet, cell, label, json_path, fallback_path, transform, fallback_transform, source) of sheets (sheet, json); a text that is no sheet has none."""
+    read = sheets.select("sheet", F.inline(F.from_json("json", MAPPING_SHEET)["fields"]))
+    return read.withColumns({"label": F.coalesce("label", F.lit("")), "source": F.coalesce("source", F.lit("pdf_extract"))})
+
+
 def write_sections(sections: DataFrame, path: str) -> None:
     """Section documents as JSON, a folder for each section."""
     sections.write.partitionBy("section").mode("overwrite").json(path)

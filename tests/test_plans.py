@@ -1,5 +1,6 @@
 """Operators with plans of their own, against plain versions of their rules."""
 
+import json
 import random
 import statistics
 
@@ -11,7 +12,7 @@ from acrelight.operators.html import elements, table_rows
 from acrelight.operators.lines import detect_tables, looks_like_table, related_lines
 from acrelight.operators.portfolio import link_documents
 from acrelight.operators.profile import profile
-from acrelight.sources.tables import load_jdbc_tables, read_jdbc
+from acrelight.sources.tables import load_jdbc_tables, load_mappings, read_jdbc, read_mappings
 
 
 def test_medians_and_counts_of_all_columns(spark):
@@ -121,3 +122,12 @@ def test_a_database_is_read_in_ranges(spark):
     spark.createDataFrame([], "id long, name string").write.format("jdbc").option("url", url).option("dbtable", "scores").mode("overwrite").save()
     found = load_jdbc_tables(spark, url, {"properties": "id", "scores": "id"})
     assert (found["properties"].count(), found["scores"].count()) == (100, 0)
+
+
+def test_mappings_from_a_text_and_from_a_table(spark):
+    text = '{"sheets": {"Summary": {"fields": [{"cell": "B2", "json_path": "a.b"}, {"cell": "B3", "transform": "to_number"}]}, "Units": {"fields": [{"cell": "C1", "label": "First", "json_path": "u[0]", "source": "external"}]}, "Empty": {}}}'
+    listed = [(m.sheet, m.cell, m.label, m.json_path, m.transform, m.source) for m in load_mappings(text)]
+    assert listed == [("Summary", "B2", "", "a.b", None, "pdf_extract"), ("Summary", "B3", "", None, "to_number", "pdf_extract"), ("Units", "C1", "First", "u[0]", None, "external")]
+    sheets = spark.createDataFrame([(k, json.dumps(v)) for k, v in json.loads(text)["sheets"].items()] + [("Bad", "{ cut")], "sheet string, json string")
+    found = read_mappings(sheets).select("sheet", "cell", "label", "json_path", "transform", "source").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(listed, key=str)
