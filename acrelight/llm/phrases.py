@@ -7,7 +7,8 @@ the shards find has every frequent phrase. A shard where a phrase isn't found
 has fewer than that share of it, which bounds the phrase's count; where the bound
 is below the support, it goes. A last pass counts all of the union over all
 rows, exactly. A shard is a key of a distributed count, not a task, so it may
-have any size and the lowered support stays above one.
+have any size and the lowered support stays above one. Texts are turned into
+numbers of words once, in runs that a task can hold, which are staged.
 
 Between the levels go bit filters of one size for every corpus. A bit that other
 phrases set too lets a phrase be counted for nothing; the exact count drops it.
@@ -28,7 +29,7 @@ from acrelight.llm.shingles import filter_bits
 
 FILTER_BITS = 26
 #: A task counts about so many words at once, and cuts texts at so many bytes.
-RUN_WORDS = 2_000_000
+RUN_WORDS = 3_000_000
 SLICE = 1 << 20
 #: A language's phrases are ranked in so many parts, of which each sends on no more than the ranks asked for.
 RANKED = 32
@@ -51,11 +52,11 @@ class Numbers(dict):
         return [b"", *list(self)[len(SEPARATORS) :]]
 
 
-class Run:
-    """The words of many texts of one language as numbers, 0 where a piece ends."""
+class Texts:
+    """Texts of one language as numbers of their words, 0 where a piece ends."""
 
-    def __init__(self, lang: str):
-        self.lang, self.numbers, self.parts, self.size = lang, Numbers(), [], 0
+    def __init__(self) -> None:
+        self.numbers, self.parts, self.size = Numbers(), [], 0
 
     def add(self, text: str) -> None:
         data, at = text.encode().lower(), 0  # of bytes, this lowers A to Z alone
@@ -63,17 +64,31 @@ class Run:
             cut = BETWEEN.search(data, at + SLICE) if len(data) - at > SLICE else None
             end = cut.start() if cut else len(data)
             tokens = WORDS.findall(data, at, end)
-            self.parts.append(np.fromiter(map(self.numbers.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
+            self.parts.append(np.fromiter(map(self.numbers.__getitem__, tokens), dtype="<i4", count=len(tokens)))
             self.size += len(tokens)
             at = end
-        self.parts.append(np.zeros(1, dtype=np.int64))
+        self.parts.append(np.zeros(1, dtype="<i4"))
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """Their words, a line each, and the numbers, both as zstd frames."""
+        import zstandard
 
-    def finish(self) -> None:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return pack(b"\n".join(self.numbers.words()[1:])), pack(np.concatenate(self.parts).tobytes())
+
+
+class Run:
+    """Packed texts of one language and shard, opened."""
+
+    def __init__(self, lang: str, shard: int, words: bytes, ids: bytes):
         import xxhash
+        import zstandard
 
-        self.ids = np.concatenate(self.parts)
-        self.words = self.numbers.words()
-        seed = xxhash.xxh3_64_intdigest(self.lang.encode())
+        unpack = zstandard.ZstdDecompressor().decompress
+        spelled = unpack(words)
+        self.lang, self.shard, self.words = lang, shard, [b"", *(spelled.split(b"\n") if spelled else [])]
+        self.ids = np.frombuffer(unpack(ids), dtype="<i4").astype(np.int64)
+        seed = xxhash.xxh3_64_intdigest(lang.encode())
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words], dtype=np.uint64)
 
     def grams(self, at: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -117,25 +132,42 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+RUNS = "lang string, shard int, words binary, ids binary"
+
+
+def numbered(rows: DataFrame, shards: int) -> DataFrame:
+    """The staged runs of rows (lang, text), each of a bounded size: (lang, shard, words, ids). A task's runs are of one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() % shards
+        held: dict[str, Texts] = {}
+        size = 0
+
+        def batch_of(lang: str) -> pa.RecordBatch:
+            words, ids = held[lang].packed()
+            return pa.record_batch([pa.array([lang]), pa.array([shard], pa.int32()), pa.array([words], pa.binary()), pa.array([ids], pa.binary())], names=["lang", "shard", "words", "ids"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                texts = held.setdefault(lang, Texts())
+                before = texts.size
+                texts.add(text.as_py())
+                size += texts.size - before
+                if size >= RUN_WORDS:
+                    yield from map(batch_of, held)
+                    held.clear()
+                    size = 0
+        yield from map(batch_of, held)
+
+    return stage(rows.mapInArrow(run, RUNS))
+
+
 def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
-    """Runs of rows (lang, text), of bounded size together."""
-    held: dict[str, Run] = {}
-    size = 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if lang not in held:
-                held[lang] = Run(lang)
-            before = held[lang].size
-            held[lang].add(text.as_py())
-            size += held[lang].size - before
-            if size >= RUN_WORDS:
-                for run in held.values():
-                    run.finish()
-                    yield run
-                held, size = {}, 0
-    for run in held.values():
-        run.finish()
-        yield run
+        for i in range(batch.num_rows):
+            yield Run(*(batch.column(c)[i].as_py() for c in range(4)))
 
 
 def texts_of(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -144,7 +176,7 @@ def texts_of(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.where(text.isNotNull() & (text != "")).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text.alias("text"))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
+def word_counts(runs: DataFrame) -> DataFrame:
     """(lang, phrase, hash, f) of every word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,34 +186,31 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 hashes = run.hashed([np.arange(1, len(run.words))]).view(np.int64)
                 yield pa.record_batch([pa.array([run.lang] * len(n), pa.string()), pa.array(run.words[1:], pa.binary()).cast(pa.string()), pa.array(hashes), pa.array(n)], names=["lang", "phrase", "hash", "f"])
 
-    return rows.mapInArrow(count, "lang string, phrase string, hash long, f long").groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f"))
+    return runs.mapInArrow(count, "lang string, phrase string, hash long, f long").groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f"))
 
 
-def locally_frequent(rows: DataFrame, filters: list, least: int, shards: int) -> DataFrame:
+def locally_frequent(runs: DataFrame, filters: list, least: int, shards: int) -> DataFrame:
     """(hash) of the phrases of one word more than ``filters`` has levels, that a shard finds and that may reach ``least`` in all.
 
-    A task's rows are of one shard. A shard finds what it has ``least / shards``
+    A shard finds what it has ``least / shards``
     times, rounded up; of what it doesn't find it has at most one less.
     """
     length, support = len(filters) + 1, -(-least // shards)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId() % shards
         for run in runs_of(batches):
             at = run.starts([x.value for x in filters])
             if len(at):
                 parts, count = run.grams(at, length)
-                yield pa.record_batch([pa.array(np.full(len(count), shard, dtype=np.int32)), pa.array(run.hashed(parts).view(np.int64)), pa.array(count)], names=["shard", "hash", "n"])
+                yield pa.record_batch([pa.array(np.full(len(count), run.shard, dtype=np.int32)), pa.array(run.hashed(parts).view(np.int64)), pa.array(count)], names=["shard", "hash", "n"])
 
-    found = rows.mapInArrow(mine, "shard int, hash long, n long").groupBy("shard", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    found = runs.mapInArrow(mine, "shard int, hash long, n long").groupBy("shard", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
     bound = F.sum("n") + (shards - F.count("*")) * (support - 1)
     return found.groupBy("hash").agg(bound.alias("most")).where(F.col("most") >= least).select("hash")
 
 
-def global_counts(rows: DataFrame, filters: list) -> DataFrame:
-    """(lang, phrase, words, f) over all rows of the phrases that pass the filters of all their levels, of two words and more."""
+def global_counts(runs: DataFrame, filters: list) -> DataFrame:
+    """(lang, phrase, words, f) over all runs of the phrases that pass the filters of all their levels, of two words and more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [x.value for x in filters]
@@ -196,7 +225,7 @@ def global_counts(rows: DataFrame, filters: list) -> DataFrame:
                 phrases = list(map(" ".join, zip(*(words[p].tolist() for p in parts))))
                 yield pa.record_batch([pa.array([run.lang] * len(n), pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(n), length, dtype=np.int32)), pa.array(n)], names=["lang", "phrase", "words", "f"])
 
-    return rows.mapInArrow(count, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    return runs.mapInArrow(count, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -206,15 +235,15 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     nothing. Repeated rows count each. Other columns are left behind, whatever
     their names. A text of any length is cut between words, never within one.
     """
-    rows = texts_of(docs, lang_col, text_col)
+    runs = numbered(texts_of(docs, lang_col, text_col), shards)
     context = docs.sparkSession.sparkContext
-    words = stage(word_counts(rows))
+    words = stage(word_counts(runs))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
     filters = [context.broadcast(filter_bits(frequent.select("hash"), FILTER_BITS))]
     for _ in range(2, longest + 1):
-        filters.append(context.broadcast(filter_bits(stage(locally_frequent(rows, filters, least, shards)), FILTER_BITS)))
-    phrases = global_counts(rows, filters).where(F.col("f") >= least)
+        filters.append(context.broadcast(filter_bits(stage(locally_frequent(runs, filters, least, shards)), FILTER_BITS)))
+    phrases = global_counts(runs, filters).where(F.col("f") >= least)
     return stage(frequent.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(phrases)), totals
 
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from tests.oracle import spark_rows, sql_rows
 
@@ -59,12 +60,15 @@ def test_collocations_equal_a_plain_count(spark, shards, longest, top):
 def test_texts_are_cut_between_words_and_runs_anywhere(spark, monkeypatch):
     rows = rows_of(60, seed=3) + [("en", "new york city " * 500), ("en", "y" * 3000)]
     whole = brute(rows, least=3)
-    held = next(phrases.runs_of(iter([])), None)
-    assert held is None
     monkeypatch.setattr(phrases, "SLICE", 50)
-    batches = frame(spark, rows).selectExpr("coalesce(lang, 'und') lang", "text").where("text <> ''").toArrow().to_batches()
-    counts, totals = Counter(), Counter()
-    monkeypatch.setattr(phrases, "RUN_WORDS", 200)
+    counts, totals, held, batches = Counter(), Counter(), {}, []
+    for lang, text in rows:
+        if text:
+            held.setdefault("und" if lang is None else lang, phrases.Texts()).add(text)
+        if sum(t.size for t in held.values()) > 200:
+            batches += [pa.record_batch([[k], [0], [words], [ids]], names=["lang", "shard", "words", "ids"]) for k, t in held.items() for words, ids in [t.packed()]]
+            held = {}
+    batches += [pa.record_batch([[k], [0], [words], [ids]], names=["lang", "shard", "words", "ids"]) for k, t in held.items() for words, ids in [t.packed()]]
     for run in phrases.runs_of(iter(batches)):
         at = run.starts([])
         totals[run.lang] += len(at)
