@@ -247,6 +247,10 @@ def test_queries_run_over_whole_tables(spark, name):
         assert found.count() > 0
     elif name == "op1_packing":
         assert found.select("doc_id").distinct().count() == n
+    elif name == "op11_collocations":
+        assert {r["lang"] for r in found.select("lang").distinct().collect()} == {r["lang"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang").distinct().collect()}
+    elif name == "op13_warc":
+        assert found.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     else:
         assert found.count() == n
 
