@@ -181,7 +181,11 @@ def slug(c: Column, mark: str) -> Column:
 
 
 def apply_transform(name: str | None, c: Column, as_of: Column) -> Column:
-    """A named transform of a mapping, as text; an unknown name leaves the value as it is."""
+    """A named transform of a mapping, as text; an unknown name leaves the value as it is.
+
+    Numbers are the text of a double: from 10^7 on, and below 10^-3, with an
+    exponent, as in '2.745E7'.
+    """
     if name == "divide_by_100":
         return (c.try_cast("double") / F.lit(100.0)).cast("string")
     if name == "to_number":

@@ -175,6 +175,9 @@ OUTCOMES = """outcomes AS (
     unnest([CASE WHEN c_custkey % 3 = 0 THEN 'skipped' ELSE 'filled' END, 'filled', 'filled', 'filled', 'filled', 'filled', 'external']) AS status,
     unnest([CASE WHEN c_custkey % 3 <> 0 THEN c_name END, c_mktsegment, CAST(CAST(c_custkey % 40 AS DOUBLE) / CAST(100 AS DOUBLE) AS VARCHAR), 'price', '1', CASE WHEN c_custkey % 2 = 0 THEN '2' ELSE '3' END, NULL]) AS value
   FROM customer)"""
+# the text of a double has an exponent from 10^7 on
+_PRICE = "CAST(doc_id * 1000 AS VARCHAR)"
+PRICE_TEXT = f"CASE WHEN doc_id * 1000 < 10000000 THEN concat({_PRICE}, '.0') ELSE concat(left({_PRICE}, 1), '.', coalesce(nullif(rtrim(substr({_PRICE}, 2), '0'), ''), '0'), 'E', length({_PRICE}) - 1) END"
 SLUG = lambda c, m: f"regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '{m}', 'g'), '^{m}|{m}$', '', 'g')"
 PICK = lambda way, test: f"arg_{way}_null(num, (table_index, row_idx)) FILTER (WHERE {test})"
 ROWS = f"{cte('cells_fx')}, g AS (SELECT doc_id, table_index, row_idx, min(label) AS label, min(value) AS value FROM cells_fx GROUP BY 1, 2, 3), n AS (SELECT *, {NUM} AS num FROM g)"
@@ -225,7 +228,7 @@ SQL = {
     "table_lookup": f"WITH {cte('cells_fx')}, g AS (SELECT doc_id, table_index, row_idx, min(value) AS value, min(label) AS label FROM cells_fx GROUP BY 1, 2, 3) SELECT doc_id, arg_min(value, (table_index, row_idx)) AS value FROM g WHERE contains(label, 'Median') GROUP BY 1",
     "submarket_features": f"""WITH o AS (SELECT o_orderkey AS k, CAST(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) END AS DOUBLE) AS units FROM orders)
         SELECT k AS doc_id, CASE WHEN k % 20 <> 0 THEN CAST(k % 20 AS DOUBLE) / {d(100.0)} END AS vacancy_rate, CAST(k % 900 AS DOUBLE) / units AS delivered_pct_of_inventory, CAST(k % 500 AS DOUBLE) / units AS construction_pct_of_inventory, CASE WHEN k % 20 <> 0 THEN 'table' END AS vacancy_source FROM o""",
-    "resolve_mappings": f"WITH {OUTCOMES} SELECT doc_id, sheet, cell, label, status, CASE WHEN value = 'price' THEN CAST(CAST(doc_id * 1000 AS DOUBLE) AS VARCHAR) ELSE value END AS value FROM outcomes",
+    "resolve_mappings": f"WITH {OUTCOMES} SELECT doc_id, sheet, cell, label, status, CASE WHEN value = 'price' THEN {PRICE_TEXT} ELSE value END AS value FROM outcomes",
     "mapping_report": f"WITH {OUTCOMES} SELECT sheet, status, count(*) AS n FROM outcomes GROUP BY GROUPING SETS ((sheet, status), (status))",
     "mapping_coverage": f"WITH {OUTCOMES} SELECT sheet, count(*) FILTER (WHERE status = 'filled') AS filled, count(*) AS total, floor(CAST(count(*) FILTER (WHERE status = 'filled') AS DOUBLE) * 10000 / count(*) + {d(0.5)}) / 10000 AS share FROM outcomes GROUP BY 1",
     "fees_and_policies": "SELECT p_partkey, CAST(p_partkey % 500 AS DOUBLE) AS admin_fee, p_partkey % 2 = 0 AND p_partkey % 7 <> 0 AS dogs, p_partkey % 3 = 0 AND p_partkey % 7 <> 0 AS cats, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS restrictions, 'Gas,Water,Heat' AS utilities FROM part",
