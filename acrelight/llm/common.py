@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelight.sources.shared import stage
+from acrelight.sources.shared import stage, stage_alone
 
-__all__ = ["components", "documents", "id_text", "stage", "text_key", "text_keys"]
+__all__ = ["components", "documents", "id_text", "stage", "stage_alone", "text_key", "text_keys"]
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelight.llm.common import components, documents, stage, text_keys
+from acrelight.llm.common import components, documents, stage, stage_alone, text_keys
 
 #: Tokens that hold a digit.
 VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*"
@@ -28,12 +28,8 @@ PASSAGE_END = r"[deg]\s+|\n\s*"
 #: Texts are copies if this share of the passages of both is common, by their least ``SKETCH`` hashes.
 COPIED = 0.62
 SKETCH = 48
-#: Texts meet by so many runs of ``RUN`` least hashes; each is compared with the ``LEADERS`` texts that it meets most often.
-RUN = 3
-MEETINGS = 16
-LEADERS = 4
-#: Samples of so many hashes also meet by what is left without one of them, which is in common where only one differs.
-SHORT = (5, 10)
+#: A block's texts that are still apart are dealt out to joins of about so many.
+TOGETHER = 1000
 #: So much of a generalised template is constant.
 CONSTANT = 0.7
 #: Further shares that are tried, so a widespread value of a variable doesn't part a template's lines in all of them.
@@ -58,38 +54,59 @@ def masked_lines(docs: DataFrame) -> DataFrame:
 def copy_groups(docs: DataFrame) -> DataFrame:
     """(k1, root) of each text that is a near copy of another; equal ``root`` is one group.
 
-    A text's least passage hashes are a sample of its passages. Texts meet by
-    runs of them that are next to each other in both samples, which passages
-    that many texts share seldom are; for each run a few texts lead, and the
-    others are compared with those that they meet most often, by the whole
-    sample. Recall of the links between all texts is measured in the tests.
+    A text's least passage hashes are a sample of its passages; texts whose
+    samples are similar enough are linked, and all that links reach is a group.
+    Two such samples share one of the rarest hashes of both, as many as may be
+    missing and one more, so texts meet in blocks by these. Hashes that one text
+    alone has are rarest and make no block, so most texts are in none.
+
+    In each block two texts lead, others in each, and are compared with all.
+    Then what these links leave apart within a block is compared in all pairs.
     """
     passages = F.transform(F.array_remove(F.split("text", PASSAGE_END), ""), lambda x: F.xxhash64(x))
     sketch = F.slice(F.array_sort(F.array_distinct(passages)), 1, SKETCH)
     texts = stage(docs.select(text_keys(F.col("text"))[0], sketch.alias("sketch")).where(F.size("sketch") > 0))
-    # an end is a hash of its own, so samples of one or two hashes have a run too
-    end = F.array(F.lit(0).cast("long"))
-    padded = F.concat(end, "sketch", end)
-    starts = F.sequence(F.lit(1), F.least(F.lit(MEETINGS), F.greatest(F.lit(1), F.size("sketch") + 3 - RUN)))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.slice(padded, i, RUN)))
-    less = F.transform("sketch", lambda x: F.xxhash64(F.array_remove("sketch", x)))
-    without = F.when(F.size("sketch").between(*SHORT), F.concat(less, F.array(F.xxhash64("sketch")))).otherwise(F.array().cast("array<bigint>"))
-    at = texts.select("k1", F.explode(F.array_distinct(F.concat(runs, without))).alias("key"))
-    turned = F.xxhash64("k1")
-    ends = [F.min("k1"), F.max("k1"), F.min_by("k1", turned), F.max_by("k1", turned)]
-    leaders = at.groupBy("key").agg(F.array_distinct(F.array(*ends)).alias("leaders")).where(F.size("leaders") > 1)
-    met = at.join(leaders, "key").select("k1", F.explode("leaders").alias("leader")).where("k1 <> leader")
-    counted = met.groupBy("k1", "leader").agg(F.count("*").alias("n"))
-    # a text has at most four leaders for each of its meetings
-    most = counted.groupBy("k1").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "leader")), asc=False), 1, LEADERS).alias("most"))
-    pairs = most.select("k1", F.explode("most.leader").alias("leader"))
-    once = texts.groupBy("k1").agg(F.first("sketch").alias("sketch"))
-    beside = once.select(F.col("k1").alias("leader"), F.col("sketch").alias("other"))
-    both = F.slice(F.array_sort(F.array_union("sketch", "other")), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect("sketch", "other"), "both"))
-    compared = pairs.join(once, "k1").join(beside, "leader").withColumn("both", both).where(common >= COPIED * F.size("both"))
-    links = stage(compared.select(F.col("k1").alias("a"), F.col("leader").alias("b")))
-    return components(links).select(F.col("sid").alias("k1"), "root")
+    at = texts.select("k1", F.size("sketch").alias("size"), F.explode("sketch").alias("hash"))
+    often = at.groupBy("hash").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("hash", "n")
+    bits = lambda half: F.bit_or(F.expr(f"CASE WHEN (hash & 64) = {half} THEN shiftleft(1L, CAST(hash & 63 AS INT)) ELSE 0L END"))
+    held = at.join(often, "hash").groupBy("k1", "size").agg(F.sort_array(F.collect_set(F.struct("n", "hash"))).alias("held"), bits(0).alias("s1"), bits(64).alias("s2"))
+    least = lambda size: F.ceil(F.lit(COPIED) * size).cast("int")
+    own = F.col("size") - F.size("held")
+    missing = F.col("size") - least(F.col("size"))
+    points = stage(held.where(own <= missing).select("k1", "size", own.alias("own"), "s1", "s2", F.slice("held", 1, missing + 1 - own)["hash"].alias("keys")))
+    rows = stage(points.select("k1", F.explode("keys").alias("hash")))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` that are linked; hashes of one's own and bits of the others bound how many they don't share."""
+        side = lambda x: points.select(F.col("k1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "own", "s1", "s2")))
+        apart = F.col("own_a") + F.col("own_b") + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
+        near = apart <= F.col("size_a") + F.col("size_b") - 2 * least(F.greatest("size_a", "size_b"))
+        may = stage(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"))
+        wanted = may.select(F.col("a").alias("k1")).union(may.select("b")).distinct()
+        once = stage(texts.join(wanted, "k1", "left_semi").groupBy("k1").agg(F.first("sketch").alias("sketch")))
+        beside = lambda x: once.select(F.col("k1").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+        both = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
+        common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), "both"))
+        return stage(may.join(beside("a"), "a").join(beside("b"), "b").withColumn("both", both).where(common >= COPIED * F.size("both")).select("a", "b"))
+
+    # who leads goes by the block's hash, so a text has other leaders in each of its blocks
+    turned = F.col("k1").bitwiseXOR(F.col("hash"))
+    blocks = stage(rows.groupBy("hash").agg(F.min(turned).alias("low"), F.max(turned).alias("high"), F.count("*").alias("n")).where("low <> high"))
+    blocks = blocks.select("hash", "n", F.col("low").bitwiseXOR(F.col("hash")).alias("low"), F.col("high").bitwiseXOR(F.col("hash")).alias("high"))
+    met = rows.join(blocks, "hash").select("k1", F.explode(F.array("low", "high")).alias("leader")).where("k1 <> leader")
+    links = similar(met.select(F.least("k1", "leader").alias("a"), F.greatest("k1", "leader").alias("b")))
+    roots = components(links)
+    # a block of up to three texts is done; in larger ones, pairs of texts that don't lead and are still apart
+    rest = rows.join(blocks.where("n > 3"), "hash").where("k1 <> low and k1 <> high").select("hash", "k1").join(roots.withColumnRenamed("sid", "k1"), "k1", "left").select("hash", "k1", F.coalesce("root", "k1").alias("root"))
+    rest = stage(rest)
+    parts = rest.groupBy("hash").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.ceil(F.count("*") / TOGETHER).cast("int").alias("tiles")).where("r1 <> r2").select("hash", "tiles")
+    open_blocks = stage(rest.join(parts, "hash"))
+    one = open_blocks.select("hash", F.pmod(F.xxhash64("k1"), "tiles").cast("int").alias("tile"), F.col("k1").alias("a"), F.col("root").alias("root_a"))
+    other = open_blocks.select("hash", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("k1").alias("b"), F.col("root").alias("root_b"))
+    more = similar(one.join(other, ["hash", "tile"]).where("a < b and root_a <> root_b").select("a", "b"))
+    if more.isEmpty():
+        return roots.select(F.col("sid").alias("k1"), "root")
+    return components(stage(links.unionByName(more))).select(F.col("sid").alias("k1"), "root")
 
 
 def recurring(lines: DataFrame, name: str, least_docs: int) -> DataFrame:
@@ -105,7 +122,7 @@ def recurring(lines: DataFrame, name: str, least_docs: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, leading: int = LEADING, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(k1, k2, dropped): for each text with such lines, the positions of lines of recurring templates."""
     known = stage(masked_lines(docs).withColumn("leaf", leaf_of(tokens_of(F.col("masked")), leading)))
-    groups = copy_groups(docs)
+    groups = stage_alone(lambda: copy_groups(docs))
     grouped = lambda lines, name: lines.select("k1", name).join(groups, "k1", "left").select(name, F.coalesce("root", "k1").alias("group"))
     exact = stage(recurring(grouped(known, "mask"), "mask", least_docs))
     rest = known.drop("masked").join(exact, "mask", "left_anti")
@@ -143,7 +160,7 @@ def drop_recurring_lines(docs: DataFrame, leading: int = LEADING, least_docs: in
     have any number of them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gone = stage(dropped_lines(docs.select(text.alias("text")), leading, least_docs))
+    gone = stage_alone(lambda: dropped_lines(docs.select(text.alias("text")), leading, least_docs))
     lines = F.split(F.col(f"row.`{text_col}`"), "\n")
     # what lies between one dropped line and the next
     before = lambda j: F.when(j == 0, F.lit(-1)).otherwise(F.get("dropped", j - 1))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from acrelight.llm.common import components, documents, id_text, stage
+from acrelight.llm.common import components, documents, id_text, stage, stage_alone
 
 U = np.uint64
 WORDS = 5
@@ -579,17 +579,7 @@ def compared_blocks(members: DataFrame, compare, kind: str, most: int, room: int
 
 def linked_sets(table: DataFrame, percent: int, words: int, most: int, room: int) -> DataFrame:
     """(sid, root): the sets of the staged ``table`` that link with another, and the least set that each reaches."""
-    edges = stage(block_edges(table, frequent_cells(table), words, percent))
     points = stage(table.where("n > 0").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("route", "n", "fine", "short"))))
-    # a block of two sets is one pair, tried once for all blocks; in larger ones the tree decides, once for blocks of the same sets
-    sizes = stage(edges.groupBy("key").agg(F.count("*").alias("links"), F.first("a").alias("a"), F.first("b").alias("b")))
-    alone = sizes.where("links = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    inside = edges.join(sizes.where("links > 1").select("key", "links"), "key")
-    few = inside.where(F.col("links") <= SAME).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("ids"))
-    several = few.groupBy("ids").agg(F.min("key").alias("key")).select("key", F.explode("ids").alias("id"))
-    many = inside.where(F.col("links") > SAME).select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
-    vectors = points.select(F.col("route").alias("id"), F.col("short").alias("content"), "n", F.lit(256).alias("size"))
-    members = stage(several.unionByName(many).join(vectors, "id"))
 
     def tree(contents: list[bytes], sizes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
         return may_link(contents, sizes, label, percent)
@@ -599,7 +589,20 @@ def linked_sets(table: DataFrame, percent: int, words: int, most: int, room: int
         sets = [x for lo, hi in slices(list(map(len, texts))) for x in shingle_sets(texts[lo:hi], words)]
         return link_sets(texts, sets, label, percent, words)
 
-    candidates = stage(bounded(alone, points, percent).unionByName(compared_blocks(members, tree, "long", most, room)))
+    def met() -> DataFrame:
+        edges = stage(block_edges(table, frequent_cells(table), words, percent))
+        # a block of two sets is one pair, tried once for all blocks; in larger ones the tree decides, once for blocks of the same sets
+        sizes = stage(edges.groupBy("key").agg(F.count("*").alias("links"), F.first("a").alias("a"), F.first("b").alias("b")))
+        alone = sizes.where("links = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        inside = edges.join(sizes.where("links > 1").select("key", "links"), "key")
+        few = inside.where(F.col("links") <= SAME).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("ids"))
+        several = few.groupBy("ids").agg(F.min("key").alias("key")).select("key", F.explode("ids").alias("id"))
+        many = inside.where(F.col("links") > SAME).select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
+        vectors = points.select(F.col("route").alias("id"), F.col("short").alias("content"), "n", F.lit(256).alias("size"))
+        members = stage(several.unionByName(many).join(vectors, "id"))
+        return bounded(alone, points, percent).unionByName(compared_blocks(members, tree, "long", most, room))
+
+    candidates = stage_alone(met)
     # whole count vectors, each sent once, part what the short ones of the blocks could not
     loose = components(candidates).select(F.col("sid").alias("route"), F.col("root").alias("key"))
     whole = points.join(loose, "route").select("key", F.col("route").alias("id"), F.octet_length("fine").alias("size"), "n", F.col("fine").alias("content"))
@@ -624,7 +627,7 @@ def similar_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_co
     """
     table = stage(set_table(id_text(docs, id_col, text_col), words))
     rows = table.where("block is null").select("doc_id", F.col("n").alias("n_shingles"), "sid")
-    labels = linked_sets(table, percent, words, most, room)
+    labels = stage_alone(lambda: linked_sets(table, percent, words, most, room))
     # the least doc_id of each set, then of all sets that are linked; each a table of its own, so a join with it can split a frequent set
     least = stage(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")))
     roots = stage(labels.join(least, "sid").groupBy("root").agg(F.min("least").alias("component_id")))
@@ -645,7 +648,7 @@ def keep_one_of_similar(docs: DataFrame, percent: int = 80, words: int = WORDS,
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(text_col).isNull().alias("no text"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), own.alias("own"))
     table = stage(set_table(rows, words))
-    labels = linked_sets(table, percent, words, most, room)
+    labels = stage_alone(lambda: linked_sets(table, percent, words, most, room))
     turn = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tie"), "at")
     first = stage(table.where("n > 0").groupBy("sid").agg(F.min(turn).alias("first")))
     kept = first.join(labels, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")).select("first.at")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,10 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/acrelight-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+#: Paths that were staged within the ``stage_alone`` that runs, if one does.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -38,9 +44,27 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The staged result of ``make``; tables that it staged on its way are removed, so none of them may be used elsewhere."""
+    outer = _passing.get()
+    token = _passing.set(own := [])
+    try:
+        result = stage(make())
+    finally:
+        _passing.reset(token)
+    if outer is not None:
+        outer.append(own[-1])
+    for path in own[:-1]:
+        at = result.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(result.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    return result
+
+
 def clear_staged(spark: SparkSession) -> bool:
     """Remove all tables that this application has staged; frames that read them can't be used any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/acrelight-{spark.sparkContext.applicationId}")
