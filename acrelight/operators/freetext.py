@@ -56,9 +56,11 @@ UNIT_BLOCK = r"## UNIT AMENITIES\s*\n([\s\S]*?)(?=\n## |\n<!-- |\z)"
 
 def parse_unit_row(line: Column) -> Column:
     """The twelve fields of a unit-mix row as a struct, null for other lines; only a number's first comma goes."""
-    part = lambda i: F.regexp_replace(F.regexp_extract(line, UNIT_ROW, i), r"^([^,]*),", "$1")
-    fields = [part(i + 1).try_cast(f.split()[1]).alias(f.split()[0]) for i, f in enumerate(UNIT_FIELDS)]
-    return F.when(line.rlike(UNIT_ROW), F.struct(*fields))
+    # the row is matched once, and its fields are bound as one array
+    fields = F.split(F.regexp_replace(line, rf"(?s){UNIT_ROW}.*", " ".join(f"${i + 1}" for i in range(len(UNIT_FIELDS)))), " ")
+    part = lambda p, i: F.regexp_replace(F.get(p, F.lit(i)), r"^([^,]*),", "$1")
+    typed = lambda p: F.struct(*(part(p, i).try_cast(f.split()[1]).alias(f.split()[0]) for i, f in enumerate(UNIT_FIELDS)))
+    return F.when(line.rlike(UNIT_ROW), F.get(F.transform(F.array(fields), typed), F.lit(0)))
 
 
 def parse_metric_row(line: Column) -> Column:
