@@ -97,7 +97,8 @@ def section_records(sections: DataFrame, years: Sequence[str] = ("2024",)) -> Da
     not be read, which count in ``unreadable`` and nowhere else; a base of which
     none could be read has null features. What a base lacks is null.
     """
-    sections = stage(sections.select("base", "section", "document", "status"))  # read once for all groups of features
+    # read once for all groups of features, in parts of even size: documents grow as their tables become rows
+    sections = stage(sections.select("base", "section", "document", "status").repartition("base"))
     good = sections.where(F.coalesce(F.col("status"), F.lit("success")) == "success")
     pack = lambda df, name: df.select(F.col("doc_id").alias("base"), F.struct(*[c for c in df.columns if c != "doc_id"]).alias(name))
     bases = sections.groupBy("base").agg(F.count_if(F.col("status") != "success").alias("unreadable"), F.count("*").alias("sections"))
