@@ -108,7 +108,8 @@ def classify_tables(tables: DataFrame) -> DataFrame:
 
 def property_info(cells: DataFrame) -> DataFrame:
     """(doc_id, key, value): facts of a property table, whose labels end in a colon; '-' is no value, the first wins."""
-    pairs = labelled(cells).where((F.col("col_idx") == 1) & F.endswith(F.trim("label"), F.lit(":")) & (F.trim("value") != "-"))
+    # a row's label is at its value's place or before it
+    pairs = labelled(cells.where("col_idx is null or col_idx <= 1")).where((F.col("col_idx") == 1) & F.endswith(F.trim("label"), F.lit(":")) & (F.trim("value") != "-"))
     return pairs.groupBy("doc_id", property_key(F.col("label")).alias("key")).agg(F.min_by(F.trim("value"), F.struct("src_ord", "table_index", "row_idx")).alias("value"))
 
 
