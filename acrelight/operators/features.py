@@ -196,7 +196,8 @@ def extract_address(items: DataFrame) -> DataFrame:
     values = {"street": street, "name": name, "city": place(1), "state": place(2), "zip": code}
     found = items.select("doc_id", rank.alias("at"), *(F.when(v.isNotNull(), F.struct(v.alias("value"), labels[n].alias("source"))).alias(n) for n, v in values.items()))
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c)))).alias(c)
-    out = found.groupBy("doc_id").agg(*map(first, values))
+    # by document first, so no task sorts all that one part of the input expands to
+    out = found.repartition("doc_id").groupBy("doc_id").agg(*map(first, values))
     told = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}.at"), F.lit(i).alias("i"), F.col(f"{n}.{n}.source").alias("source"))) for i, n in enumerate(values))))
     out = out.select("doc_id", *(F.col(f"{n}.{n}.value").alias(n) for n in values), F.array_distinct(F.transform(F.array_sort(told), lambda x: x["source"])).alias("sources"))
     out = out.withColumn("state_abbr", state_abbr(F.col("state")))
