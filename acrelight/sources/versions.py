@@ -20,7 +20,8 @@ class VersionedTable:
     go to a folder of its own; then a manifest that lists every bucket's folder
     is renamed into place. A writer that fails before that leaves the former
     version as it was, and of two writers of one version the second fails.
-    ``buckets`` is fixed for a table and sets how many rows one holds.
+    ``buckets`` is fixed for a table and sets how many rows one holds; a large
+    bucket is written by several tasks.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str], buckets: int = 64):
@@ -96,7 +97,7 @@ class VersionedTable:
         if batch is not None and now["applied"].get(source or "", -1) >= batch:
             return now["version"]
         names = self.schema.names
-        fresh = stage(rows.select(*names))
+        fresh = stage(rows.select(*names).repartition(*self.keys))
         touched = self.touched(fresh)
         if not touched and batch is None:
             return now["version"]
@@ -105,7 +106,7 @@ class VersionedTable:
         merged = both.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*newest, "_fresh")).alias("_row")).select(*self.keys, "_row.*").select(*names)
         folder = f"data/{now['version'] + 1:012d}-{uuid.uuid4().hex}"
         if touched:
-            merged.withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+            merged.withColumn("_bucket", self.bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         applied = now["applied"] | ({source or "": batch} if batch is not None else {})
         self._publish({"version": now["version"] + 1, "applied": applied, "buckets": now["buckets"] | {str(b): f"{folder}/_bucket={b}" for b in touched}})
         return now["version"] + 1
