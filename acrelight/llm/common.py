@@ -37,19 +37,30 @@ def text_keys(text: Column) -> list[Column]:
 def components(links: DataFrame) -> DataFrame:
     """(sid, root) of every end of the staged ``links`` (a, b), root the least that it reaches.
 
-    Labels fall along links and are then replaced by their own labels, so paths
-    shorten by half each round; every round is a staged table, and only whether
-    labels still change reaches the driver. Both sides of each join are staged
+    Each end points to the least one beside it, and pointers are followed to
+    their ends. Then links join these ends instead, each once, and those within
+    one are gone, so later rounds handle few rows; ends at least halve within
+    two rounds. Every round's tables are staged, and only whether something is
+    left reaches the driver. Both sides of each join by a root are staged
     tables, so adaptive execution can split a root that many ends share.
     """
-    ends = links.select(F.col("a").alias("sid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("sid"), F.col("a").alias("to")))
-    both = stage(ends.distinct())
-    labels = stage(both.groupBy("sid").agg(F.min("to").alias("to")).select("sid", F.least("sid", "to").alias("root")))
+    labels = None
     while True:
-        beside = both.join(labels.select(F.col("sid").alias("to"), "root"), "to").groupBy("sid").agg(F.min("root").alias("near"))
-        lower = labels.join(beside, "sid").select("sid", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("sid").alias("root"), F.col("root").alias("far"))
-        following = stage(lower.join(jump, "root", "left").select("sid", "old", F.least("root", "far").alias("root")))
-        labels = following.select("sid", "root")
-        if following.where("root <> old").isEmpty():
+        ends = links.select(F.col("a").alias("sid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("sid"), F.col("a").alias("to")))
+        near = stage(ends.groupBy("sid").agg(F.min("to").alias("to")).select("sid", F.least("sid", "to").alias("root")))
+        while True:
+            jump = near.select(F.col("sid").alias("root"), F.col("root").alias("far"))
+            following = stage(near.join(jump, "root").select("sid", "root", "far"))
+            near = following.select("sid", F.col("far").alias("root"))
+            if following.where("root <> far").isEmpty():
+                break
+        if labels is None:
+            labels = near
+        else:
+            far = near.select(F.col("sid").alias("root"), F.col("root").alias("far"))
+            labels = stage(labels.join(far, "root", "left").select("sid", F.coalesce("far", "root").alias("root")))
+        to = lambda x: near.select(F.col("sid").alias(x), F.col("root").alias(f"root_{x}"))
+        met = links.join(to("a"), "a").join(to("b"), "b").where("root_a <> root_b")
+        links = stage(met.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+        if links.isEmpty():
             return labels

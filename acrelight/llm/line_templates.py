@@ -47,7 +47,7 @@ def leaf_of(tokens: Column, leading: int) -> Column:
 def masked_lines(docs: DataFrame) -> DataFrame:
     """(k1, k2, i, masked, mask) for each line that isn't blank."""
     lines = docs.select(*text_keys(F.col("text")), F.transform(F.split("text", "\n"), lambda x: F.trim(F.when(x.rlike("[0-9]"), F.regexp_replace(x, VARIABLE, "<*>")).otherwise(x))).alias("lines"))
-    each = lines.select(*KEY, F.posexplode("lines").alias("i", "masked")).where(r"masked rlike '\\S'")
+    each = lines.select(*KEY, F.posexplode("lines").alias("i", "masked")).where(F.trim("masked", F.lit(" \t\r\f\x0b")) != "")
     return each.withColumn("mask", F.xxhash64("masked"))
 
 
@@ -60,11 +60,12 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     missing and one more, so texts meet in blocks by these. Hashes that one text
     alone has are rarest and make no block, so most texts are in none.
 
-    In each block two texts lead, others in each, and are compared with all.
-    Then what these links leave apart within a block is compared in all pairs.
+    First each text meets one that leads its largest block. Then two texts lead
+    each block, others in each, and are compared with those still apart from them.
+    What is apart then within a block is compared in all pairs.
     """
     passages = F.transform(F.array_remove(F.split("text", PASSAGE_END), ""), lambda x: F.xxhash64(x))
-    sketch = F.slice(F.array_sort(F.array_distinct(passages)), 1, SKETCH)
+    sketch = F.slice(F.sort_array(F.array_distinct(passages)), 1, SKETCH)
     texts = stage(docs.select(text_keys(F.col("text"))[0], sketch.alias("sketch")).where(F.size("sketch") > 0))
     at = texts.select("k1", F.size("sketch").alias("size"), F.explode("sketch").alias("hash"))
     often = at.groupBy("hash").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("hash", "n")
@@ -73,37 +74,58 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     least = lambda size: F.ceil(F.lit(COPIED) * size).cast("int")
     own = F.col("size") - F.size("held")
     missing = F.col("size") - least(F.col("size"))
-    points = stage(held.where(own <= missing).select("k1", "size", own.alias("own"), "s1", "s2", F.slice("held", 1, missing + 1 - own)["hash"].alias("keys")))
-    rows = stage(points.select("k1", F.explode("keys").alias("hash")))
+    point = F.struct("k1", "size", own.alias("own"), "s1", "s2").alias("point")
+    points = stage(held.where(own <= missing).select(point, F.slice("held", 1, missing + 1 - own)["hash"].alias("keys")))
+
+    # of points alone: most texts are in no block
+    samples = stage(texts.join(points.select("point.k1").distinct(), "k1", "left_semi").groupBy("k1").agg(F.first("sketch").alias("sketch")))
+
+    def near(a: str, b: str) -> Column:
+        """Whether two points may be linked; hashes of one's own and bits of the others bound how many they don't share.
+
+        Of all hashes of both, ``SKETCH`` or fewer are looked at; if fewer, they are what both have less what is common.
+        """
+        of = lambda c: F.col(f"{a}.{c}") + F.col(f"{b}.{c}")
+        apart = of("own") + sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s1", "s2"))
+        common = F.greatest(least(F.greatest(f"{a}.size", f"{b}.size")), F.least(least(F.lit(SKETCH)), F.ceil(of("size") * COPIED / (1 + COPIED)).cast("int")))
+        return apart <= of("size") - 2 * common
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The (a, b) of ``pairs`` that are linked; hashes of one's own and bits of the others bound how many they don't share."""
-        side = lambda x: points.select(F.col("k1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "own", "s1", "s2")))
-        apart = F.col("own_a") + F.col("own_b") + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-        near = apart <= F.col("size_a") + F.col("size_b") - 2 * least(F.greatest("size_a", "size_b"))
-        may = stage(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"))
+        """The (a, b) of ``pairs``, of points, that are linked, by their samples."""
+        may = stage(pairs.select(F.least("a.k1", "b.k1").alias("a"), F.greatest("a.k1", "b.k1").alias("b")).distinct())
         wanted = may.select(F.col("a").alias("k1")).union(may.select("b")).distinct()
-        once = stage(texts.join(wanted, "k1", "left_semi").groupBy("k1").agg(F.first("sketch").alias("sketch")))
+        once = stage(samples.join(wanted, "k1", "left_semi"))
         beside = lambda x: once.select(F.col("k1").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-        both = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
+        both = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
         common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), "both"))
         return stage(may.join(beside("a"), "a").join(beside("b"), "b").withColumn("both", both).where(common >= COPIED * F.size("both")).select("a", "b"))
 
     # who leads goes by the block's hash, so a text has other leaders in each of its blocks
-    turned = F.col("k1").bitwiseXOR(F.col("hash"))
-    blocks = stage(rows.groupBy("hash").agg(F.min(turned).alias("low"), F.max(turned).alias("high"), F.count("*").alias("n")).where("low <> high"))
-    blocks = blocks.select("hash", "n", F.col("low").bitwiseXOR(F.col("hash")).alias("low"), F.col("high").bitwiseXOR(F.col("hash")).alias("high"))
-    met = rows.join(blocks, "hash").select("k1", F.explode(F.array("low", "high")).alias("leader")).where("k1 <> leader")
-    links = similar(met.select(F.least("k1", "leader").alias("a"), F.greatest("k1", "leader").alias("b")))
+    turned = F.struct(F.col("a.k1").bitwiseXOR(F.col("hash")).alias("turn"), "a")
+    widest = points.select(F.col("point").alias("a"), F.element_at("keys", -1).alias("hash"))
+    heads = widest.groupBy("hash").agg(F.min(turned)["a"].alias("b"))
+    links = similar(widest.join(heads, "hash").where((F.col("a.k1") != F.col("b.k1")) & near("a", "b")).select("a", "b"))
+    rooted = lambda df, roots: df.join(roots.withColumnRenamed("sid", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    own_root = rooted(points.withColumn("k1", F.col("point.k1")), components(links))
+    rows = stage(own_root.select("k1", F.struct("point.*", "root").alias("a"), F.explode("keys").alias("hash")))
+    blocks = rows.groupBy("hash").agg(F.min(turned)["a"].alias("low"), F.max(turned)["a"].alias("high"), F.count("*").alias("n"), F.min("a.root").alias("r1"), F.max("a.root").alias("r2"))
+    blocks = stage(blocks.where("r1 <> r2").drop("r1", "r2"))
+    met = rows.join(blocks, "hash").select("a", F.explode(F.array("low", "high")).alias("b"))
+    links = stage(links.unionByName(similar(met.where((F.col("a.root") != F.col("b.root")) & near("a", "b")))))
     roots = components(links)
     # a block of up to three texts is done; in larger ones, pairs of texts that don't lead and are still apart
-    rest = rows.join(blocks.where("n > 3"), "hash").where("k1 <> low and k1 <> high").select("hash", "k1").join(roots.withColumnRenamed("sid", "k1"), "k1", "left").select("hash", "k1", F.coalesce("root", "k1").alias("root"))
-    rest = stage(rest)
+    large = blocks.where("n > 3").select("hash", F.col("low.k1").alias("low"), F.col("high.k1").alias("high"))
+    rest = rows.join(large, "hash").where("k1 <> low and k1 <> high").select("hash", "k1")
+    rest = stage(rooted(rest, roots).select("hash", "k1", "root"))
     parts = rest.groupBy("hash").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.ceil(F.count("*") / TOGETHER).cast("int").alias("tiles")).where("r1 <> r2").select("hash", "tiles")
-    open_blocks = stage(rest.join(parts, "hash"))
-    one = open_blocks.select("hash", F.pmod(F.xxhash64("k1"), "tiles").cast("int").alias("tile"), F.col("k1").alias("a"), F.col("root").alias("root_a"))
-    other = open_blocks.select("hash", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("k1").alias("b"), F.col("root").alias("root_b"))
-    more = similar(one.join(other, ["hash", "tile"]).where("a < b and root_a <> root_b").select("a", "b"))
+    open_rows = stage(rest.join(parts, "hash").join(points.withColumn("k1", F.col("point.k1")), "k1"))
+    side = lambda x: (F.col("hash"), F.col("point").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "keys")))
+    one = open_rows.select(F.pmod(F.xxhash64("k1"), "tiles").cast("int").alias("tile"), *side("a")).alias("one")
+    other = open_rows.select(F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *side("b")).alias("other")
+    # a pair is tried in the first of the blocks that it shares, if its bits don't part it
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("one.hash")
+    tried = F.expr("one.hash = other.hash and one.tile = other.tile and a.k1 < b.k1 and root_a <> root_b") & near("a", "b") & first
+    more = similar(one.join(other, tried).select("a", "b"))
     if more.isEmpty():
         return roots.select(F.col("sid").alias("k1"), "root")
     return components(stage(links.unionByName(more))).select(F.col("sid").alias("k1"), "root")

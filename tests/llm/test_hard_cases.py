@@ -277,6 +277,17 @@ def test_components_of_paths_stars_and_rings(spark):
     assert found == {x: find(x) for x in root}
 
 
+def test_components_stage_less_than_the_links_of_a_dense_group(spark, monkeypatch):
+    from acrelight.llm import common
+
+    pairs = [(a, b) for a in range(60) for b in range(a)]
+    links, whole, rows = common.stage(spark.createDataFrame(pairs, "a long, b long")), common.stage, []
+    monkeypatch.setattr(common, "stage", lambda df: rows.append(whole(df)) or rows[-1])
+    assert {r["root"] for r in common.components(links).collect()} == {0}
+    # before, each link was staged in both directions
+    assert sum(x.count() for x in rows) < len(pairs)
+
+
 def brute_templates(texts, leading=3, least=4):
     """The kept lines of unrelated texts, by the template rules written out one line at a time."""
     import math
