@@ -23,9 +23,15 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.lit(0).alias("src_ord"), "table_index", "row_idx", F.lit(1).alias("col_idx"), F.lit("3 Mile").alias("header"), "value", "label", F.struct("t1", "t2", "t3").alias("tie"))
 
 
-def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label and value columns of the demographics cells, one table for each order line key."""
-    c = view(spark, sf_dir, "cells_fx").groupBy("doc_id", "table_index", "row_idx").agg(F.min("label").alias("label"), F.min("value").alias("value"))
+def wide_cells(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The label and value columns of the demographics cells, one table for each order line key.
+
+    ``dealt`` cells meet by document first: least texts are found by sorting,
+    which then holds a shuffled part instead of all that a file's part has, and
+    what follows by table and document needs no further shuffle.
+    """
+    c = view(spark, sf_dir, "cells_fx")
+    c = (c.repartition("doc_id") if dealt else c).groupBy("doc_id", "table_index", "row_idx").agg(F.min("label").alias("label"), F.min("value").alias("value"))
     each = F.inline(F.array(F.struct(F.lit(0).alias("col_idx"), F.lit("Label").alias("header"), F.col("label").alias("cell")), F.struct(F.lit(1).alias("col_idx"), F.lit("3 Mile").alias("header"), F.col("value").alias("cell"))))
     return c.select("doc_id", F.lit(0).alias("src_ord"), "table_index", "row_idx", each).withColumnRenamed("cell", "value")
 
@@ -138,7 +144,7 @@ QUERIES = {
     "array_mapping": lambda s, x: M.resolve_array_mapping(view(s, x, "units_fx").groupBy("property_id", "bed", "bath").agg(F.sum("units").alias("units"), F.sum("available").alias("available")).withColumn("k", F.concat("bed", F.col("bath").cast("string"))), 10, {"A": "bed_bath_label", "B": "units", "C": "occupied"}, "k"),
     "parse_values": _parse_values,
     "demographics_features": lambda s, x: X.demographics_features(cells(s, x)),
-    "table_lookup": lambda s, x: T.table_lookup(wide_cells(s, x), "Median", "3 mile"),
+    "table_lookup": lambda s, x: T.table_lookup(wide_cells(s, x, dealt=True), "Median", "3 mile"),
     "demographics_lookups": lambda s, x: X.with_lookups(X.demographics_features(wide_cells(s, x)), wide_cells(s, x), X.DEMOGRAPHICS_LOOKUPS, markdown=False),
     "submarket_features": lambda s, x: X.submarket_features(quarter_cells(s, x)),
     "extract_metrics": _metrics,

@@ -58,3 +58,13 @@ def test_items_meet_by_document_before_they_are_sorted(spark):
     lines = plan(features.extract_address(address_items(spark, SF))).split("\n")
     last = lambda word: max(i for i, x in enumerate(lines) if word in x)
     assert last("Aggregate") < last("Exchange")
+
+
+def test_table_lookup_sorts_shuffled_parts_of_documents(spark):
+    from acrelight.plans import registry
+
+    plan = registry.queries()["table_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange" in line]
+    # before, there were three, and the first came after a sort of the whole file's part
+    assert len(shuffles) == 1 and "hashpartitioning(doc_id" in shuffles[0]
+    assert "Sort" not in plan[plan.index("Exchange") :]
