@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import struct
 from collections.abc import Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from acrelight.llm.common import documents, id_text
@@ -42,7 +44,7 @@ class PerfectHash:
         hashes = np.array([self.hashed(k) for k in keys], dtype=np.uint64)
         if len(set(hashes.tolist())) != len(keys):
             raise ValueError("two keys have the same 64-bit hash")
-        self.levels: list[tuple[int, int, np.ndarray]] = []
+        self.levels: list[tuple[int, int, list[int]]] = []
         index = np.empty(len(keys), dtype=np.int64)
         left, base = np.arange(len(keys)), 0
         while len(left):
@@ -51,7 +53,7 @@ class PerfectHash:
             slot = slot.astype(np.int64)
             alone = np.bincount(slot, minlength=size) == 1
             place = np.where(alone, base + np.cumsum(alone) - 1, -1).astype(np.int32)
-            self.levels.append((size, base, place))
+            self.levels.append(((len(self.levels) * 0x9E3779B97F4A7C15) & MASK, size, place.tolist()))
             stays = alone[slot]
             index[left[stays]] = place[slot[stays]]
             base += int(alone.sum())
@@ -60,16 +62,8 @@ class PerfectHash:
 
     @staticmethod
     def hashed(key: bytes) -> int:
-        import xxhash
-
         return xxhash.xxh3_64_intdigest(key)
 
-    @staticmethod
-    def mixed(h: int, level: int) -> int:
-        h = (h ^ (level * 0x9E3779B97F4A7C15)) & MASK
-        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & MASK
-        return h ^ (h >> 31)
-
     @staticmethod
     def mixed_all(h: np.ndarray, level: int) -> np.ndarray:
         h = h ^ np.uint64((level * 0x9E3779B97F4A7C15) & MASK)
@@ -78,11 +72,13 @@ class PerfectHash:
 
     def __call__(self, key: bytes) -> int:
         """The key's index; for a foreign key any index or -1."""
-        h = self.hashed(key)
-        for level, (size, _, place) in enumerate(self.levels):
-            at = place[self.mixed(h, level) % size]
+        h = xxhash.xxh3_64_intdigest(key)
+        for salt, size, place in self.levels:
+            x = h ^ salt
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+            at = place[(x ^ (x >> 31)) % size]
             if at >= 0:
-                return int(at)
+                return at
         return -1
 
 
@@ -106,45 +102,57 @@ class Codec:
         return self.merge(piece)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Merge the lowest-ranked adjacent pair, leftmost first, until none is left: O(n log n) for n bytes."""
+        """Merge the lowest-ranked adjacent pair, leftmost first, until none is left: O(n log n) for n bytes.
+
+        The heap holds rank * n + start of each pair, whole numbers in place of
+        tuples. An entry counts while the pair that starts there has its rank.
+        """
         n = len(piece)
-        end = list(range(1, n + 1))  # of the part that starts here; 0 once merged away
+        end = list(range(1, n + 1))  # of the part that starts here
         before = list(range(-1, n - 1))
-        ranks, heap = self.ranks, []
-
-        def offer(a: int) -> None:
-            b = end[a]
-            if b < n and (rank := ranks.get(piece[a : end[b]])) is not None:
-                heapq.heappush(heap, (rank, a, b, end[b]))
-
-        for a in range(n):
-            offer(a)
+        rank_of = self.ranks.get
+        current = [rank_of(piece[a : a + 2], -1) for a in range(n - 1)]  # of the pair that starts here, -1 if none
+        current.append(-1)
+        heap = [rank * n + a for a, rank in enumerate(current) if rank >= 0]
+        heapify(heap)
         while heap:
-            _, a, b, c = heapq.heappop(heap)
-            if end[a] != b or end[b] != c:
+            rank, a = divmod(heappop(heap), n)
+            if current[a] != rank:
                 continue
-            end[a], end[b] = c, 0
+            b = end[a]
+            c = end[a] = end[b]
+            current[b] = -1
             if c < n:
                 before[c] = a
-            offer(a)
-            if before[a] >= 0:
-                offer(before[a])
+                current[a] = rank = rank_of(piece[a : end[c]], -1)
+                if rank >= 0:
+                    heappush(heap, rank * n + a)
+            else:
+                current[a] = -1
+            if (b := before[a]) >= 0:
+                current[b] = rank = rank_of(piece[b:c], -1)
+                if rank >= 0:
+                    heappush(heap, rank * n + b)
         ids, a = [], 0
         while a < n:
-            ids.append(ranks[piece[a : end[a]]])
+            ids.append(self.ranks[piece[a : end[a]]])
             a = end[a]
         return ids
 
 
 class PieceIds(dict):
-    """Ids of pre-tokens met so far; forgets all when full, so its memory is bounded."""
+    """Pre-tokens met so far and their ids, as little-endian unsigned 32-bit bytes; forgets all when full, so its memory is bounded.
+
+    Unlike lists, bytes are nothing that the garbage collector goes through again and again.
+    """
 
     def __init__(self, codec: Codec, limit: int = 400_000):
         super().__init__()
         self.codec, self.limit = codec, limit
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.codec.encode_piece(piece.encode())
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -152,20 +160,52 @@ class PieceIds(dict):
         return ids
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class SpacedIds(dict):
+    """Ids of words that follow a space, that space included, as ``PieceIds`` holds those of pre-tokens.
+
+    Only for a pattern of which every match ends before a space that a visible
+    character follows, and may begin with that space: then words between such
+    spaces are matched alike alone. Texts with other spaces are matched whole.
+    """
+
+    def __init__(self, pieces: PieceIds, pattern: str, limit: int = 400_000):
+        import regex
+
+        super().__init__()
+        self.piece, self.split, self.limit = pieces.__getitem__, regex.compile(pattern).findall, limit
+        self.other = regex.compile(r" (?:\s|\Z)").search
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.matched(" " + word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def matched(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.split(text)))
+
+    def encode(self, text: str) -> bytes:
+        if self.other(text):
+            return self.matched(text)
+        words = text.split(" ")
+        return self.matched(words[0]) + b"".join(map(self.__getitem__, islice(words, 1, None)))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every whole text.
 
     ``ids`` are little-endian unsigned 32-bit integers, ``decoded`` the bytes
     that they stand for. ``ranks_path`` is readable on every worker. A null or
     empty text has no tokens; repeated rows are encoded each for itself.
+    ``spaced`` patterns are those of ``SpacedIds``, which takes them faster.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
         codec = Codec(read_ranks(ranks_path))
-        pieces, split = PieceIds(codec), regex.compile(pattern).findall
-        spelled = codec.bytes_of.__getitem__
+        words = SpacedIds(PieceIds(codec), pattern)
+        ids_of = words.encode if spaced else words.matched
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), ENCODED_TYPES.types)], schema=ENCODED_TYPES)
@@ -173,9 +213,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             out, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = list(chain.from_iterable(map(pieces.__getitem__, split(text.as_py()))))
-                out.append((doc_id, len(ids), np.array(ids, dtype="<u4").tobytes(), b"".join(map(spelled, ids))))
-                held += len(ids)
+                ids = ids_of(text.as_py())
+                out.append((doc_id, len(ids) // 4, ids, decode(ids, codec.bytes_of)))
+                held += len(ids) // 4
                 if held > 4_000_000:
                     yield batch_of(out)
                     out, held = [], 0
@@ -186,7 +226,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 
 def decode(ids: bytes, bytes_of: dict[int, bytes]) -> bytes:
-    return b"".join(bytes_of[i] for i in np.frombuffer(ids, dtype="<u4").tolist())
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 def digest(data: bytes) -> str:
@@ -197,5 +237,5 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
 
-    coded = encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, spaced=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -74,6 +74,15 @@ def test_words_apart_give_the_tokenizers_ids(text):
     assert np.frombuffer(b"".join(ids[w] for w in packing.white_space_words(text)), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_forms_of_a_word_reach_the_model_once():
+    ids = packing.WordIds(Tokenizer.from_file(WORDS))
+    seen, model = [], ids.model
+    ids.model = lambda piece: seen.append(piece) or model(piece)
+    for word in ("hovelike", "Hovelike", "HOVELIKE", "hovelike,", "hovelike."):
+        ids[word]
+    assert len(seen) == len(set(seen)) and seen.count("hovelike") == 1
+
+
 def test_patterns_cover_the_demand_with_little_waste():
     draw = random.Random(4)
     demand = Counter(min(256, max(1, int(draw.lognormvariate(4, 0.9)))) for _ in range(20_000))
@@ -116,3 +125,22 @@ def test_merges_of_random_bytes():
     for n in (1, 2, 3, 50, 3000):
         piece = "".join(draw.choice("abcdeft hé") for _ in range(n))
         assert codec.encode_piece(piece.encode()) == other.encode_ordinary(piece)
+
+
+def test_words_after_spaces_give_the_whole_texts_ids():
+    codec, other = bpe.Codec(bpe.read_ranks(RANKS)), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    words = bpe.SpacedIds(bpe.PieceIds(codec), public_tokenizers.PATTERN)
+    draw = random.Random(3)
+    parts = [" ", " ", " ", "  ", "\n", " \n", "\t", "\xa0", "\u3000", "\x1c", "'s", "'", "don't", "Über", "日本", "12", "²", "é", "e\u0301", ",", "...", "a", "hovel"]
+    texts = ["", " ", " a", "a ", *("".join(draw.choices(parts, k=draw.randint(1, 30))) for _ in range(3000))]
+    assert sum(words.other(text) is None for text in texts) > 300
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == other.encode_ordinary(text), text
+
+
+def test_known_words_are_not_matched_again():
+    words = bpe.SpacedIds(bpe.PieceIds(bpe.Codec(bpe.read_ranks(RANKS))), public_tokenizers.PATTERN)
+    seen, split = [], words.split
+    words.split = lambda text: seen.append(text) or split(text)
+    words.encode("so much so much so much")
+    assert seen == ["so", " much", " so"]
