@@ -35,7 +35,8 @@ class WordIds(dict):
 
     New words of plain Latin letters, digits and symbols skip the tokenizer's
     normaliser, which leaves these alone but for case: they are split here, by
-    the tokenizer's own pattern, and go straight to its model.
+    the tokenizer's own pattern, and go straight to its model. Their parts are
+    remembered as well, since a word has many forms by case and punctuation.
     """
 
     def __init__(self, tokenizer, limit: int = 600_000):
@@ -45,6 +46,7 @@ class WordIds(dict):
         import regex
 
         self.tokenizer, self.limit = tokenizer, limit
+        self.parts: dict[str, bytes] = {}
         stages = json.loads(tokenizer.to_str())
         splits = stages["pre_tokenizer"]["pretokenizers"]
         own = [x["type"] for x in stages["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
@@ -61,11 +63,20 @@ class WordIds(dict):
         if len(self) >= self.limit:
             self.clear()
         if self.plain(word) and "<|" not in word:
-            pieces = [x if x.isascii() else x.encode().decode("latin-1").translate(self.spelled) for x in self.split(word.lower())]
-            ids = [token.id for piece in pieces for token in self.model(piece)]
+            found = b"".join(map(self.part, self.split(word.lower())))
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
+        return found
+
+    def part(self, piece: str) -> bytes:
+        found = self.parts.get(piece)
+        if found is None:
+            ids = [token.id for token in self.model(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelled))]
+            if len(self.parts) >= self.limit:
+                self.parts.clear()
+            found = self.parts[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
 
