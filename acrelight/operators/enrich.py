@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from acrelight.functions.values import blank_to_null, extracted, half_up, slug
 from acrelight.operators import html as H
 from acrelight.operators.features import nonzero
+from acrelight.sources.shared import stage
 
 
 def visible_text(html: Column) -> Column:
@@ -20,12 +21,14 @@ def visible_text(html: Column) -> Column:
 
 def walk_scores(pages: DataFrame) -> DataFrame:
     """(page_id, walk_score, transit_score, bike_score): from image texts, then the page's text if there is no walk score."""
-    html, text = F.col("html"), visible_text(F.col("html"))
+    html, text = F.col("html"), F.col("_text")
     image = lambda kind: extracted(html, rf'(?i)<img[^>]*alt="(\d+) {kind} Score').try_cast("int")
     prose = lambda kind: extracted(text, rf"(?i){kind} Score[:\s]+(\d+)").try_cast("int")
-    walk = image("Walk")
+    walk = F.col("_walk")
+    seen = H.once(pages, "page_id", "html", image("Walk").alias("_walk"))
+    seen = seen.withColumn("_text", F.when(walk.isNull(), visible_text(html)))
     each = {n: F.when(walk.isNotNull(), image(k)).otherwise(F.coalesce(prose(k), image(k))) for n, k in (("walk_score", "Walk"), ("transit_score", "Transit"), ("bike_score", "Bike"))}
-    return pages.select("page_id", *(c.alias(n) for n, c in each.items()))
+    return H.once(seen, "page_id", *(c.alias(n) for n, c in each.items()))
 
 
 def crime_total(violent: Column, theft: Column) -> Column:
@@ -57,38 +60,45 @@ def crime_indices(pages: DataFrame) -> DataFrame:
     page's text states, and for what it doesn't the cells of tables; 3 the prose
     of the section on crime, or of the page; 4 bars and charts by their attributes.
     A zero counts as missing when the next tier is asked. Pages without any stay, with nulls.
+    A page is only looked through for the tiers up to its own.
     """
     html = F.col("html")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<[a-z][^<>]*>"), F.lit(0))
     named = F.filter(tags, lambda t: F.contains(F.lower(t), F.lit("aria-label")) | t.rlike("(?i)^<img\\b"))
     labels = F.filter(F.transform(named, lambda t: F.coalesce(H.attribute(t, "aria-label"), H.attribute(t, "name"))), lambda x: ~F.lower(x).rlike("usa|united states"))
-    chart = lambda k: _first(F.transform(F.filter(labels, lambda x: F.contains(F.lower(x), F.lit(k))), lambda x: _number(x, rf"{k}[,\s]+")))
-    text = visible_text(html)
+    chart = lambda k: _first(F.transform(F.filter("_labels", lambda x: F.contains(F.lower(x), F.lit(k))), lambda x: _number(x, rf"{k}[,\s]+")))
+    text = F.col("_text")
     stated = {"violent": r"Violent\s*(?:Crime)?[:\s]+", "property": r"Property\s*(?:Crime)?[:\s]+", "total": r"(?:Total|Overall)\s*(?:Crime)?[:\s]+"}
     words = {"violent": ["violent"], "property": ["property"], "total": ["total", "overall"]}
     rows = F.filter(H.table_rows(html), lambda r: F.size(r) >= 2)
-    cell = lambda k: _last(F.transform(F.filter(rows, lambda r: F.lower(F.get(r, F.lit(0))).rlike("|".join(words[k]))), lambda r: _number(F.get(r, F.lit(1)))))
+    cell = lambda k: _last(F.transform(F.filter("_rows", lambda r: F.lower(F.get(r, F.lit(0))).rlike("|".join(words[k]))), lambda r: _number(F.get(r, F.lit(1)))))
     table = lambda k: F.coalesce(nonzero(_number(text, stated[k])), cell(k))
     on_crime = lambda t: H.class_has(t, "crime") | F.contains(F.coalesce(H.attribute(t, "id"), F.lit("")), F.lit("crime"))
-    section = H.elements(pages, on_crime).groupBy("page_id").agg(F.min_by("inner", "at").alias("_crime"))
-    prose_text = F.coalesce(visible_text(F.col("_crime")), text)
+    section = H.elements(pages, on_crime, H.named("crime", attributes="class|id")).groupBy("page_id").agg(F.min_by("inner", "at").alias("_crime"))
+    prose_text = F.col("_prose")
     after = {"violent": r"\s*(?:violent|for violent)", "property": r"\s*(?:property|for property)", "total": r"\s*(?:total|overall|crime index)"}
     rate = lambda k: _number(prose_text, rf"{k}\s*crime\s*(?:rate|index)?\s*(?:of|is|:)?\s*") if k != "total" else F.lit(None).cast("double")
     prose = lambda k: F.coalesce(nonzero(_number(prose_text, after=after[k])), rate(k))
     bars = F.filter(tags, lambda t: H.class_has(t, "progress", "meter", "bar") | (H.attribute(t, "role") == "progressbar"))
     length = lambda t: F.coalesce(blank_to_null(H.attribute(t, "aria-valuenow")), blank_to_null(H.attribute(t, "data-value")), blank_to_null(H.attribute(t, "data-percent")), extracted(H.attribute(t, "style"), rf"width\s*:\s*{NUMBER}"))
     of = {"violent": lambda x: F.contains(x, F.lit("violent")), "property": lambda x: F.contains(x, F.lit("property")) & ~F.contains(x, F.lit("violent"))}
-    bar = lambda k: _last(F.transform(F.filter(bars, lambda t: of[k](F.lower(F.coalesce(H.attribute(t, "aria-label"), F.lit(""))))), lambda t: _number(length(t))))
-    charts = H.elements(pages, lambda t: H.class_has(t, "violent", "property")).select("page_id", "at", F.lower(H.attribute(F.col("tag"), "class")).alias("c"), _number(H.first_text(F.col("inner"), r"(?is)<text\b[^>]*>(.*?)</text>", r'(?is)class\s*=\s*"[^"]*(?:chart|graph)-value[^"]*"[^>]*>(.*?)<')).alias("n"))
+    bar = lambda k: _last(F.transform(F.filter("_bars", lambda t: of[k](F.lower(F.coalesce(H.attribute(t, "aria-label"), F.lit(""))))), lambda t: _number(length(t))))
+    charts = H.elements(pages, lambda t: H.class_has(t, "violent", "property"), H.named("violent", "property")).select("page_id", "at", F.lower(H.attribute(F.col("tag"), "class")).alias("c"), _number(H.first_text(F.col("inner"), r"(?is)<text\b[^>]*>(.*?)</text>", r'(?is)class\s*=\s*"[^"]*(?:chart|graph)-value[^"]*"[^>]*>(.*?)<')).alias("n"))
     drawn = charts.groupBy("page_id").agg(*(F.max_by("n", F.when(of[k](F.col("c")) & F.col("n").isNotNull(), F.col("at"))).alias(f"_{k}") for k in of))
     tiers = {1: chart, 2: table, 3: prose, 4: lambda k: F.coalesce(nonzero(F.col(f"_{k}")), bar(k)) if k in of else F.lit(None).cast("double")}
     found = pages.join(section, "page_id", "left").join(drawn, "page_id", "left")
-    found = found.select("page_id", *(F.struct(*((tier(k) if n > 1 or k != "total" else F.lit(None).cast("double")).alias(k) for k in KINDS)).alias(f"t{n}") for n, tier in tiers.items()))
     has = lambda n: nonzero(F.col(f"t{n}.violent")).isNotNull() | nonzero(F.col(f"t{n}.property")).isNotNull()
+    # what each tier looks at
+    given = {1: {"_labels": labels}, 2: {"_text": visible_text(html), "_rows": rows}, 3: {"_prose": F.coalesce(visible_text(F.col("_crime")), text)}, 4: {"_bars": bars}}
+    for n, tier in tiers.items():
+        asked = F.lit(True) if n == 1 else ~reduce(lambda a, b: a | b, map(has, range(1, n)))
+        seen = H.once(found, *found.columns, *(F.when(asked, c).alias(name) for name, c in given[n].items()))
+        each = F.struct(*((tier(k) if n > 1 or k != "total" else F.lit(None).cast("double")).alias(k) for k in KINDS))
+        found = H.once(seen, *(c for c in seen.columns if c not in ("_labels", "_rows")), F.when(asked, each).alias(f"t{n}"))
     n = F.when(has(1), 1).when(has(2), 2).when(has(3), 3).when(has(4), 4)
     index = lambda k: F.when(has(1), F.col(f"t1.{k}")).when(has(2), F.col(f"t2.{k}")).when(has(3), F.col(f"t3.{k}")).when(has(4), F.col(f"t4.{k}"))
     total = F.when(has(1), crime_total(F.col("t1.violent"), F.col("t1.property"))).otherwise(index("total"))
-    return found.select("page_id", index("violent").alias("violent_crime_index"), index("property").alias("property_crime_index"), total.alias("total_crime_index"), n.alias("tier"))
+    return H.once(found, "page_id", index("violent").alias("violent_crime_index"), index("property").alias("property_crime_index"), total.alias("total_crime_index"), n.alias("tier"))
 
 
 SCHOOL_CARD = r'(?is)circle-rating--(\d+)"[^>]*>\s*(?:</span>)?\s*([^<]*)'
@@ -139,7 +149,8 @@ def assigned_schools(pages: DataFrame) -> DataFrame:
     to a school, or is a school card. The mark's text tells the level, else the
     card's. Cards without a name of over two characters are left out.
     """
-    lists = H.elements(pages, lambda t: H.class_is(t, "school-list")).groupBy("page_id").agg(F.min_by("inner", "at").alias("html"))
+    lists = H.elements(pages, lambda t: H.class_is(t, "school-list"), H.named("school-list")).groupBy("page_id").agg(F.min_by("inner", "at").alias("html"))
+    lists = stage(lists.where(F.col("html").rlike(H.named("assigned-tag"))))
     marks = H.elements(lists, lambda t: H.class_is(t, "assigned-tag")).select("page_id", F.col("at").alias("mark"), F.col("last").alias("mark_last"), F.lower(H.text_of(F.col("inner"))).alias("told"))
     around = H.elements(lists, lambda t: F.lit(True)).where(F.col("inner").rlike(r'circle-rating--search-page|(?is)<a\b[^>]*href\s*=\s*"[^"]*/school/') | H.class_is(F.col("tag"), "school-card"))
     near = marks.join(around, "page_id").where("at < mark and last > mark_last").groupBy("page_id", "mark", "told").agg(F.max_by("inner", "at").alias("card"))
@@ -159,7 +170,8 @@ def listed_schools(pages: DataFrame) -> DataFrame:
     any_kind = lambda t: reduce(lambda a, b: a | b, (kind(t) for kind in kinds))
     tag = F.col("tag")
     kind = reduce(lambda c, i: c.when(kinds[i](tag), i), range(1, len(kinds)), F.when(kinds[0](tag), 0))
-    cards = H.elements(pages, any_kind).withColumns({"kind": kind, "name": blank_to_null(H.text_of(extracted(F.col("inner"), LISTED_NAME, 2)))}).where("name is not null")
+    cards = H.elements(pages, any_kind, H.named("school", "SchoolCard", attributes="class|data-testid")).withColumns({"kind": kind, "name": blank_to_null(H.text_of(extracted(F.col("inner"), LISTED_NAME, 2)))}).where("name is not null")
+    cards = stage(cards)
     first = cards.groupBy("page_id").agg(F.min("kind").alias("kind"))
     mark = F.regexp_extract("inner", LISTED_RATING, 0)
     shown = H.text_of(extracted(F.col("inner"), LISTED_RATING + r"(.*?)</\1>", 2))

@@ -31,7 +31,17 @@ def table_rows(html: Column) -> Column:
     return F.transform(rows, lambda r: F.transform(cells(r), text_of))
 
 
-def elements(pages: DataFrame, wanted) -> DataFrame:
+def named(*parts: str, attributes: str = "class") -> str:
+    """A pattern that every page has in which one of ``attributes``, parted by '|', contains one of ``parts``."""
+    return rf"""\s(?i:{attributes})\s*=\s*(?:"[^"]*|'[^']*)(?:{"|".join(parts)})"""
+
+
+def once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """As ``select``; later filters and selections don't work out ``columns`` again."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+def elements(pages: DataFrame, wanted, mark: str | None = None) -> DataFrame:
     """(page_id, at, last, tag, inner): the elements whose opening tag is ``wanted``, a function of the tag, with their inner HTML.
 
     ``at`` and ``last`` are the places of their tags among the page's pieces, so
@@ -39,7 +49,11 @@ def elements(pages: DataFrame, wanted) -> DataFrame:
     counted among elements of one name, so one that was left open spoils no
     others; it reaches to the end of the page. Windows are by page and name, so
     one task holds a page, not a site. Pages without such elements have no row.
+    Only pages with ``mark``, a pattern that no page with a wanted tag lacks, are
+    taken apart.
     """
+    if mark is not None:
+        pages = pages.where(F.col("html").rlike(mark))
     pieces = pages.select("page_id", F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("pieces"))
     tags = pieces.where(F.exists("pieces", lambda p: p.startswith("<") & wanted(p))).select("page_id", F.posexplode("pieces").alias("at", "tag"))
     named = tags.withColumn("name", F.lower(F.regexp_extract("tag", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))).where(~F.col("name").rlike(rf"^(?:{VOID})?\z") & F.col("tag").rlike(r"^<[^<>]*>\z") & ~F.col("tag").rlike(r"/>\z"))
