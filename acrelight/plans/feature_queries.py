@@ -13,6 +13,7 @@ from acrelight.operators import mapping as M
 from acrelight.operators import tables as T
 from acrelight.plans.fixtures import cte, view
 from acrelight.plans.scoring_queries import d, half_up
+from acrelight.sources.shared import stage
 
 AS_OF = "2025-06-30"
 RANGES = [(bed, bath, lo, lo + 350, f"{bed}x{bath}-{name}") for bed in "123" for bath in (1, 2) for lo, name in ((500, "classic"), (850, "renovated"))]
@@ -123,7 +124,7 @@ def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _schools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assigned schools of pages that mark any, listed ones of the others."""
     pages = view(spark, sf_dir, "captured_fx")
-    assigned = E.assigned_schools(pages)
+    assigned = stage(E.assigned_schools(pages))
     found = E.schools_by_level(assigned.unionByName(E.listed_schools(pages).join(assigned.select("page_id").distinct(), "page_id", "left_anti")))
     return found.select("page_id", *(F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("elementary", "middle", "high") for c in ("name", "rating")), "average_rating")
 

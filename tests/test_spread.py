@@ -68,3 +68,32 @@ def test_table_lookup_sorts_shuffled_parts_of_documents(spark):
     # before, there were three, and the first came after a sort of the whole file's part
     assert len(shuffles) == 1 and "hashpartitioning(doc_id" in shuffles[0]
     assert "Sort" not in plan[plan.index("Exchange") :]
+
+
+def test_pages_are_taken_apart_only_where_an_element_may_be(spark):
+    from acrelight.operators import enrich, html
+
+    rows = [(1, '<div CLASS = "a my-crime"><b>5.5 violent</b></div>'), (2, "<p id='crime'>7 property</p>"), (3, "<p>crime class=x</p>"), (4, None), (5, '<p>Violent Crime: 3</p><p>Property: 4</p>')]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    tag = lambda t: html.class_has(t, "crime") | (html.attribute(t, "id") == "crime")
+    mark = html.named("crime", attributes="class|id")
+    assert {r["page_id"] for r in pages.where(F.col("html").rlike(mark)).collect()} == {1, 2}
+    assert sorted(html.elements(pages, tag, mark).collect()) == sorted(html.elements(pages, tag).collect())
+    found = {r["page_id"]: r["tier"] for r in enrich.crime_indices(pages).collect()}
+    assert found == {1: 3, 2: 3, 3: None, 4: None, 5: 2}
+
+
+def test_filters_on_indices_do_not_work_them_out_again(spark):
+    from acrelight.operators import enrich
+
+    pages = spark.createDataFrame([(1, "<p>Violent Crime: 3</p>")], "page_id long, html string")
+    text = plan(enrich.crime_indices(pages).where("violent_crime_index is not null or property_crime_index is not null"))
+    # before, there were 47: in the filter, in the selection, and once for each index of each tier
+    assert text.count("regexp_extract_all(html") <= 15
+
+
+def test_assigned_schools_are_found_once(spark):
+    from acrelight.plans import registry
+
+    # before, the pages were scanned for them in the union and again in the join beside it
+    assert plan(registry.queries()["schools_by_level"](spark, SF)).count("assigned-tag") == 0
