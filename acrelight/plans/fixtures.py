@@ -95,6 +95,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in needs(name)})
 
 
+def dealt_out(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by ``key`` over all shuffle partitions: left alone, adaptive execution makes few of them, and what one task sorts or hashes is many times its packed bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def cte(*names: str) -> str:
     """'name AS (...)' of the views and those that they need, in order."""
     found: dict[str, str] = {}

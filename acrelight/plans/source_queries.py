@@ -20,7 +20,7 @@ from acrelight.operators import lines as L
 from acrelight.operators import portfolio as P
 from acrelight.operators import scorecard as S
 from acrelight.operators import tables as T
-from acrelight.plans.fixtures import cte, view
+from acrelight.plans.fixtures import cte, dealt_out, view
 from acrelight.plans.scoring_queries import d, decision_sql, half_up, records, total_sql
 from acrelight.sources import tables as O
 from acrelight.sources.shared import fresh_path
@@ -195,9 +195,10 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.classify_tables(tables).select("doc_id", "kind")
 
 
-def info_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Property tables of three columns: labels, values and the right panel, a row for each order line."""
-    l = view(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_idx")).agg(F.min("l_partkey").alias("part"))  # noqa: E741
+def info_cells(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Property tables of three columns: labels, values and the right panel, a row for each order line; ``dealt`` lines meet by order before they are grouped."""
+    l = view(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")  # noqa: E741
+    l = (dealt_out(l, "l_orderkey") if dealt else l).groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_idx")).agg(F.min("l_partkey").alias("part"))  # noqa: E741
     n = F.col("part").cast("string")
     label = F.concat(F.element_at(F.array(*map(F.lit, ("Year Built", "Lot Size", "Lot Size", "Stories", "Parking", "Note", "Class"))), F.col("row_idx").cast("int")), F.when(F.col("row_idx") == 6, "").otherwise(":"))
     value = F.when(F.col("part") % 7 == 0, "-").otherwise(F.concat(F.lit(" "), n, F.lit(" ")))
@@ -210,9 +211,11 @@ INFO = """i AS (SELECT l_orderkey AS doc_id, l_linenumber AS row_idx, min(l_part
 
 
 def _unit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = info_cells(spark, sf_dir)
+    one = info_cells(spark, sf_dir, dealt=True)
     both = R.collect_tables(one.where("col_idx = 1"), one.where("col_idx = 2 and row_idx = 3"))
-    return R.format_unit_mix(both).groupBy("key").agg(F.count("*").alias("n"), F.count("number").alias("numbers"), F.sum("number").alias("total"), F.max("text").alias("text"))
+    # a greatest text is found by sorting, so equal texts are counted first
+    each = R.format_unit_mix(both).groupBy("key", "text").agg(F.count("*").alias("n"), F.count("number").alias("numbers"), F.sum("number").alias("total"))
+    return each.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "numbers", "total")), F.max("text").alias("text"))
 
 
 def _outside(spark: SparkSession, sf_dir: str) -> DataFrame:
