@@ -11,7 +11,7 @@ from acrelight.operators import features as X
 from acrelight.operators import formulas as D
 from acrelight.operators import mapping as M
 from acrelight.operators import tables as T
-from acrelight.plans.fixtures import cte, view
+from acrelight.plans.fixtures import cte, dealt_out, view
 from acrelight.plans.scoring_queries import d, half_up
 from acrelight.sources.shared import stage
 
@@ -19,8 +19,10 @@ AS_OF = "2025-06-30"
 RANGES = [(bed, bath, lo, lo + 350, f"{bed}x{bath}-{name}") for bed in "123" for bath in (1, 2) for lo, name in ((500, "classic"), (850, "renovated"))]
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The value column of the demographics cells; ``dealt`` ones meet by document, as in ``wide_cells``."""
     c = view(spark, sf_dir, "cells_fx")
+    c = dealt_out(c, "doc_id") if dealt else c
     return c.select("doc_id", F.lit(0).alias("src_ord"), "table_index", "row_idx", F.lit(1).alias("col_idx"), F.lit("3 Mile").alias("header"), "value", "label", F.struct("t1", "t2", "t3").alias("tie"))
 
 
@@ -32,14 +34,18 @@ def wide_cells(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFra
     what follows by table and document needs no further shuffle.
     """
     c = view(spark, sf_dir, "cells_fx")
-    c = (c.repartition("doc_id") if dealt else c).groupBy("doc_id", "table_index", "row_idx").agg(F.min("label").alias("label"), F.min("value").alias("value"))
+    c = (dealt_out(c, "doc_id") if dealt else c).groupBy("doc_id", "table_index", "row_idx").agg(F.min("label").alias("label"), F.min("value").alias("value"))
     each = F.inline(F.array(F.struct(F.lit(0).alias("col_idx"), F.lit("Label").alias("header"), F.col("label").alias("cell")), F.struct(F.lit(1).alias("col_idx"), F.lit("3 Mile").alias("header"), F.col("value").alias("cell"))))
     return c.select("doc_id", F.lit(0).alias("src_ord"), "table_index", "row_idx", each).withColumnRenamed("cell", "value")
 
 
-def quarter_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Submarket tables: rows of orders as documents, a total row and a delivered row in each second table."""
+def quarter_cells(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Submarket tables: rows of orders as documents, a total row and a delivered row in each second table.
+
+    ``dealt`` documents are shuffled before they become eight cells each, and none of these later.
+    """
     o = view(spark, sf_dir, "orders")
+    o = dealt_out(o.select("o_orderkey", "o_totalprice"), "o_orderkey") if dealt else o
     k, p = F.col("o_orderkey"), F.col("o_totalprice").cast("long")
     row = lambda i, name, units, building, vacancy: F.struct(F.lit(i).alias("row_idx"), F.array(F.struct(F.lit("Current Quarter").alias("header"), name.alias("value")), F.struct(F.lit("Units").alias("header"), units.alias("value")), F.struct(F.lit("Under Constr Units").alias("header"), building.alias("value")), F.struct(F.lit("Vacancy Rate").alias("header"), vacancy.alias("value"))).alias("cells"))
     text = lambda c: c.cast("string")
@@ -146,7 +152,7 @@ QUERIES = {
     "parse_values": _parse_values,
     "demographics_features": lambda s, x: X.demographics_features(cells(s, x)),
     "table_lookup": lambda s, x: T.table_lookup(wide_cells(s, x, dealt=True), "Median", "3 mile"),
-    "demographics_lookups": lambda s, x: X.with_lookups(X.demographics_features(wide_cells(s, x)), wide_cells(s, x), X.DEMOGRAPHICS_LOOKUPS, markdown=False),
+    "demographics_lookups": lambda s, x: X.with_lookups(X.demographics_features(wide_cells(s, x, dealt=True)), wide_cells(s, x, dealt=True), X.DEMOGRAPHICS_LOOKUPS, markdown=False),
     "submarket_features": lambda s, x: X.submarket_features(quarter_cells(s, x)),
     "extract_metrics": _metrics,
     "extract_address": lambda s, x: X.extract_address(address_items(s, x)).withColumn("sources", F.array_join("sources", ",")),
