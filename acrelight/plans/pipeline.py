@@ -46,7 +46,7 @@ def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rescore(cells(spark, sf_dir), quarter_cells(spark, sf_dir), _external(spark, sf_dir))
+    return rescore(cells(spark, sf_dir, dealt=True), quarter_cells(spark, sf_dir, dealt=True), _external(spark, sf_dir))
 
 
 def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:

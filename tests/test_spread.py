@@ -95,5 +95,18 @@ def test_filters_on_indices_do_not_work_them_out_again(spark):
 def test_assigned_schools_are_found_once(spark):
     from acrelight.plans import registry
 
-    # before, the pages were scanned for them in the union and again in the join beside it
-    assert plan(registry.queries()["schools_by_level"](spark, SF)).count("assigned-tag") == 0
+    # before, the pages were taken apart for them in the union and again in the join beside it
+    assert "school-list(?:" not in plan(registry.queries()["schools_by_level"](spark, SF)) and "array_contains" not in plan(registry.queries()["schools_by_level"](spark, SF))
+
+
+def test_cells_are_dealt_out_before_they_are_grouped(spark):
+    from acrelight.plans import registry
+
+    # before, the first aggregate of each branch went over a whole part of the file
+    for name in ("demographics_lookups", "unit_mix_cells", "rescore"):
+        lines = plan(registry.queries()[name](spark, SF)).split("\n")
+        scans = [i for i, x in enumerate(lines) if "Scan parquet" in x and ("l_orderkey" in x or "o_totalprice" in x) and "o_custkey" not in x]
+        assert scans
+        for i in scans:
+            up = next(x for x in reversed(lines[:i]) if "Exchange" in x or "Aggregate" in x)
+            assert "REPARTITION_BY_NUM" in up, (name, up)
