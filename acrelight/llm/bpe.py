@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from acrelight.llm.common import documents, id_text
 
 MASK = (1 << 64) - 1
+#: Up to so many new words of a text are matched one by one.
+FEW = 8
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 ENCODED_TYPES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
@@ -44,6 +48,11 @@ class PerfectHash:
         hashes = np.array([self.hashed(k) for k in keys], dtype=np.uint64)
         if len(set(hashes.tolist())) != len(keys):
             raise ValueError("two keys have the same 64-bit hash")
+        # most foreign keys have a place here that no key has
+        self.few = (1 << (16 * len(keys)).bit_length()) - 1
+        taken = np.zeros(self.few + 1, dtype=bool)
+        taken[(hashes & np.uint64(self.few)).astype(np.int64)] = True
+        self.taken = taken.tobytes()
         self.levels: list[tuple[int, int, list[int]]] = []
         index = np.empty(len(keys), dtype=np.int64)
         left, base = np.arange(len(keys)), 0
@@ -73,6 +82,8 @@ class PerfectHash:
     def __call__(self, key: bytes) -> int:
         """The key's index; for a foreign key any index or -1."""
         h = xxhash.xxh3_64_intdigest(key)
+        if not self.taken[h & self.few]:
+            return -1
         for salt, size, place in self.levels:
             x = h ^ salt
             x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
@@ -88,6 +99,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         tokens = list(ranks)
         self.ranks = ranks
+        self.of_two = [[ranks.get(bytes((x, y)), -1) for y in range(256)] for x in range(256)]
         self.hash = PerfectHash(tokens)
         self.keys: list[bytes] = [b""] * len(tokens)
         self.ids = [0] * len(tokens)
@@ -105,48 +117,57 @@ class Codec:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is left: O(n log n) for n bytes.
 
         The heap holds rank * n + start of each pair, whole numbers in place of
-        tuples. An entry counts while the pair that starts there has its rank.
+        tuples. An entry counts while it is that of the pair that starts there.
         """
         n = len(piece)
         end = list(range(1, n + 1))  # of the part that starts here
         before = list(range(-1, n - 1))
         rank_of = self.ranks.get
-        current = [rank_of(piece[a : a + 2], -1) for a in range(n - 1)]  # of the pair that starts here, -1 if none
+        current, heap = [], []  # current: the entry of the pair that starts here, -1 if none
+        for a, (x, y) in enumerate(zip(piece, piece[1:])):
+            rank = self.of_two[x][y]
+            if rank >= 0:
+                rank = rank * n + a
+                heap.append(rank)
+            current.append(rank)
         current.append(-1)
-        heap = [rank * n + a for a, rank in enumerate(current) if rank >= 0]
         heapify(heap)
         while heap:
-            rank, a = divmod(heappop(heap), n)
-            if current[a] != rank:
+            entry = heappop(heap)
+            a = entry % n
+            if current[a] != entry:
                 continue
             b = end[a]
             c = end[a] = end[b]
-            current[b] = -1
+            current[b] = current[a] = -1
             if c < n:
                 before[c] = a
-                current[a] = rank = rank_of(piece[a : end[c]], -1)
-                if rank >= 0:
-                    heappush(heap, rank * n + a)
-            else:
-                current[a] = -1
-            if (b := before[a]) >= 0:
-                current[b] = rank = rank_of(piece[b:c], -1)
-                if rank >= 0:
-                    heappush(heap, rank * n + b)
+                rank = rank_of(piece[a : end[c]])
+                if rank is not None:
+                    current[a] = entry = rank * n + a
+                    heappush(heap, entry)
+            if a:
+                b = before[a]
+                current[b] = -1
+                rank = rank_of(piece[b:c])
+                if rank is not None:
+                    current[b] = entry = rank * n + b
+                    heappush(heap, entry)
         ids, a = [], 0
         while a < n:
-            ids.append(self.ranks[piece[a : end[a]]])
-            a = end[a]
+            b = end[a]
+            ids.append(self.ranks[piece[a:b]])
+            a = b
         return ids
 
 
 class PieceIds(dict):
     """Pre-tokens met so far and their ids, as little-endian unsigned 32-bit bytes; forgets all when full, so its memory is bounded.
 
-    Unlike lists, bytes are nothing that the garbage collector goes through again and again.
+    The limit is such that the rare words of several tasks fit. Unlike lists, bytes are nothing that the garbage collector goes through again and again.
     """
 
-    def __init__(self, codec: Codec, limit: int = 400_000):
+    def __init__(self, codec: Codec, limit: int = 1_200_000):
         super().__init__()
         self.codec, self.limit = codec, limit
 
@@ -168,11 +189,11 @@ class SpacedIds(dict):
     spaces are matched alike alone. Texts with other spaces are matched whole.
     """
 
-    def __init__(self, pieces: PieceIds, pattern: str, limit: int = 400_000):
+    def __init__(self, pieces: PieceIds, pattern: str, limit: int = 600_000):
         import regex
 
         super().__init__()
-        self.piece, self.split, self.limit = pieces.__getitem__, regex.compile(pattern).findall, limit
+        self.codec, self.piece, self.split, self.limit = pieces.codec, pieces.__getitem__, regex.compile(pattern).findall, limit
         self.other = regex.compile(r" (?:\s|\Z)").search
 
     def __missing__(self, word: str) -> bytes:
@@ -190,8 +211,29 @@ class SpacedIds(dict):
         if self.other(text):
             return self.matched(text)
         words = text.split(" ")
+        new = [word for word in islice(words, 1, None) if word not in self]
+        if len(new) > FEW:
+            self.learn(list(dict.fromkeys(new)))
         return self.matched(words[0]) + b"".join(map(self.__getitem__, islice(words, 1, None)))
 
+    def learn(self, new: list[str]) -> None:
+        """Takes up words, which are matched all at once: a match that begins with a space begins a word."""
+        if len(self) + len(new) > self.limit:
+            self.clear()
+        pieces, at = self.split(" " + " ".join(new)), 0
+        for word in new:
+            ids, at = self.piece(pieces[at]), at + 1
+            while at < len(pieces) and pieces[at][0] != " ":
+                ids, at = ids + self.piece(pieces[at]), at + 1
+            if len(word) <= 64:
+                self[word] = ids
+
+
+@lru_cache(maxsize=1)
+def known_words(ranks_path: str, changed: int, pattern: str) -> SpacedIds:
+    """What a worker knows of words, kept from task to task; ``changed`` is when the file at ``ranks_path`` was written."""
+    return SpacedIds(PieceIds(Codec(read_ranks(ranks_path))), pattern)
+
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every whole text.
@@ -203,8 +245,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(ranks_path))
-        words = SpacedIds(PieceIds(codec), pattern)
+        words = known_words(ranks_path, os.stat(ranks_path).st_mtime_ns, pattern)
+        bytes_of = words.codec.bytes_of
         ids_of = words.encode if spaced else words.matched
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
@@ -214,7 +256,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             out, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = ids_of(text.as_py())
-                out.append((doc_id, len(ids) // 4, ids, decode(ids, codec.bytes_of)))
+                out.append((doc_id, len(ids) // 4, ids, decode(ids, bytes_of)))
                 held += len(ids) // 4
                 if held > 4_000_000:
                     yield batch_of(out)

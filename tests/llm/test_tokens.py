@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -144,3 +145,33 @@ def test_known_words_are_not_matched_again():
     words.split = lambda text: seen.append(text) or split(text)
     words.encode("so much so much so much")
     assert seen == ["so", " much", " so"]
+
+
+def test_new_words_of_a_text_are_matched_at_once():
+    words = bpe.SpacedIds(bpe.PieceIds(bpe.Codec(bpe.read_ranks(RANKS))), public_tokenizers.PATTERN)
+    seen, split = [], words.split
+    words.split = lambda text: seen.append(text) or split(text)
+    words.encode("so " + " ".join(f"hovel{c}, hovel{c}" for c in "abcdefghijkl"))
+    assert len(seen) == 2
+
+
+def test_workers_know_words_of_earlier_tasks(monkeypatch):
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(bpe, "id_text", lambda *args: Docs())
+    task = bpe.encode(None, RANKS, public_tokenizers.PATTERN, spaced=True)
+    batch = pa.record_batch({"doc_id": [1], "text": ["a hovelikest hovelikest"]})
+    first = list(task([batch]))
+    monkeypatch.setattr(bpe.Codec, "merge", lambda *args: pytest.fail("merged again"))
+    assert list(task([batch])) == first
+
+
+def test_words_are_forgotten_when_full():
+    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    words = bpe.SpacedIds(bpe.PieceIds(bpe.Codec(bpe.read_ranks(RANKS)), limit=7), public_tokenizers.PATTERN, limit=5)
+    draw = random.Random(5)
+    for _ in range(300):
+        text = " ".join("".join(draw.choices("ab'c,\né", k=draw.randint(1, 4))) for _ in range(12))
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == codec.encode_ordinary(text)
