@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,13 @@ class WordIds(dict):
     remembered as well, since a word has many forms by case and punctuation.
     """
 
-    def __init__(self, tokenizer, limit: int = 600_000):
+    def __init__(self, tokenizer, limit: int = 600_000, parts_limit: int = 1_000_000):
         super().__init__()
         import json
 
         import regex
 
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.limit, self.parts_limit = tokenizer, limit, parts_limit
         self.parts: dict[str, bytes] = {}
         stages = json.loads(tokenizer.to_str())
         splits = stages["pre_tokenizer"]["pretokenizers"]
@@ -74,12 +75,21 @@ class WordIds(dict):
         found = self.parts.get(piece)
         if found is None:
             ids = [token.id for token in self.model(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelled))]
-            if len(self.parts) >= self.limit:
+            if len(self.parts) >= self.parts_limit:
                 self.parts.clear()
             found = self.parts[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
 
+@lru_cache(maxsize=1)
+def known_words(vocabulary: str, changed: int) -> WordIds:
+    """What a worker knows of words, kept from task to task; ``changed`` is when the file ``vocabulary`` was written."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(vocabulary))
+
+
 def white_space_words(text: str) -> list[str]:
     """Words between Unicode white space; unlike ``str.split``, control characters 28 to 31 don't separate."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -109,10 +119,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        words, end = WordIds(Tokenizer.from_file(vocabulary)), struct.pack("<I", end_id)
+        words, end = known_words(vocabulary, os.stat(vocabulary).st_mtime_ns), struct.pack("<I", end_id)
         for batch in batches:
             out: list[tuple] = []
             held = 0

@@ -84,6 +84,19 @@ def test_forms_of_a_word_reach_the_model_once():
     assert len(seen) == len(set(seen)) and seen.count("hovelike") == 1
 
 
+def test_packing_workers_know_words_of_earlier_tasks(monkeypatch):
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(packing, "id_text", lambda *args: Docs())
+    task = packing.tokenize_pieces(None, WORDS)
+    batch = pa.record_batch({"doc_id": [1], "text": ["a hovelikest 日本hovelikest"]})
+    first = list(task([batch]))
+    monkeypatch.setattr(packing.WordIds, "__missing__", lambda *args: pytest.fail("tokenised again"))
+    assert list(task([batch])) == first
+
+
 def test_patterns_cover_the_demand_with_little_waste():
     draw = random.Random(4)
     demand = Counter(min(256, max(1, int(draw.lognormvariate(4, 0.9)))) for _ in range(20_000))
