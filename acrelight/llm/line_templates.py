@@ -24,7 +24,7 @@ VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*"
 LEADING = 3
 LEAST_DOCS = 4
 #: A passage ends with its line, blank lines included, or with a word that ends so.
-PASSAGE_END = r"[deg]\s+|\n\s*"
+PASSAGE_END = r"[deg\n](?:(?<=\n)|(?=\s))\s*+"
 #: Texts are copies if this share of the passages of both is common, by their least ``SKETCH`` hashes.
 COPIED = 0.62
 SKETCH = 48
@@ -36,8 +36,13 @@ CONSTANT = 0.7
 SHARES = [CONSTANT, 0.8, 0.9]
 KEY = ["k1", "k2"]
 
+
 def tokens_of(masked: Column) -> Column:
-    return F.split(masked, r"\s+")
+    """What lies between white space in a line; where that is single spaces alone, no pattern is needed."""
+    other = F.lit(False)
+    for space in ("  ", "\t", "\r", "\f", "\x0b"):
+        other = other | masked.contains(space)
+    return F.when(other, F.split(masked, r"\s+")).otherwise(F.split(masked, " "))
 
 
 def leaf_of(tokens: Column, leading: int) -> Column:
@@ -47,7 +52,8 @@ def leaf_of(tokens: Column, leading: int) -> Column:
 def masked_lines(docs: DataFrame) -> DataFrame:
     """(k1, k2, i, masked, mask) for each line that isn't blank."""
     lines = docs.select(*text_keys(F.col("text")), F.transform(F.split("text", "\n"), lambda x: F.trim(F.when(x.rlike("[0-9]"), F.regexp_replace(x, VARIABLE, "<*>")).otherwise(x))).alias("lines"))
-    each = lines.select(*KEY, F.posexplode("lines").alias("i", "masked")).where(F.trim("masked", F.lit(" \t\r\f\x0b")) != "")
+    # a text has a line at least; without outer, Spark first masks all lines once more to see that
+    each = lines.select(*KEY, F.posexplode_outer("lines").alias("i", "masked")).where(F.trim("masked", F.lit(" \t\r\f\x0b")) != "")
     return each.withColumn("mask", F.xxhash64("masked"))
 
 
@@ -66,7 +72,8 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     """
     passages = F.transform(F.array_remove(F.split("text", PASSAGE_END), ""), lambda x: F.xxhash64(x))
     sketch = F.slice(F.sort_array(F.array_distinct(passages)), 1, SKETCH)
-    texts = stage(docs.select(text_keys(F.col("text"))[0], sketch.alias("sketch")).where(F.size("sketch") > 0))
+    # empty samples are dropped by what explodes them; dropped here, Spark would work out each sample twice
+    texts = stage(docs.select(text_keys(F.col("text"))[0], sketch.alias("sketch")))
     at = texts.select("k1", F.size("sketch").alias("size"), F.explode("sketch").alias("hash"))
     often = at.groupBy("hash").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("hash", "n")
     bits = lambda half: F.bit_or(F.expr(f"CASE WHEN (hash & 64) = {half} THEN shiftleft(1L, CAST(hash & 63 AS INT)) ELSE 0L END"))

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.test_hard_cases import frame, words
 
@@ -78,3 +79,26 @@ def test_a_pair_is_tried_once_and_only_if_its_bits_allow(spark, monkeypatch):
     assert dict(line_templates.copy_groups(docs).collect()) == all_groups(docs)
     # there are 19900 pairs; before, those of each shared block were tried, 49615 in all
     assert max(tried) < 19900
+
+
+def test_texts_are_cut_and_masked_once(spark, monkeypatch):
+    class Staged(Exception):
+        pass
+
+    def staged(df):
+        raise Staged(df._jdf.queryExecution().optimizedPlan().toString())
+
+    docs = spark.range(3).select(F.concat(F.lit("a word 7\n"), F.col("id").cast("string")).alias("text")).repartition(2)
+    assert line_templates.masked_lines(docs)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    monkeypatch.setattr(line_templates, "stage", staged)
+    with pytest.raises(Staged) as plan:
+        line_templates.copy_groups(docs)
+    assert str(plan.value).count("array_distinct(") == 1
+
+
+def test_cheaper_patterns_cut_alike(spark):
+    odd = ["", "\n", "e \n d", "e\n\n  g\td e", "\n\n", "deg deg\n\x0b e", "e", "e ", "a  b\tc\r", "d e 　g ", " \n e\ne \x0cq", "dd  gg\r\n\r\n", "a e\0b\nc", "ede d\neg\n\nx \ny"]
+    texts = spark.createDataFrame([(x,) for x in odd], "text string")
+    assert texts.where(F.split("text", r"[deg]\s+|\n\s*") != F.split("text", line_templates.PASSAGE_END)).count() == 0
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
+    assert lines.where(F.split("line", r"\s+") != line_templates.tokens_of(F.col("line"))).count() == 0
